@@ -66,9 +66,9 @@ def top_pct_label(df: DataFrame, score: str, pct: float = 1.0, accuracy: int = 1
     one-row frame — no global window or sort.
     """
     q = 1.0 - pct / 100.0
-    thr = df.agg(F.percentile_approx(score, q, accuracy).alias("_thr"))
-    return (df.crossJoin(F.broadcast(thr))
-            .withColumn(name, F.coalesce(F.col(score) >= F.col("_thr"), F.lit(False))).drop("_thr"))
+    thr = df.agg(F.percentile_approx(score, q, accuracy).alias("_thr")).withColumn("_one", F.lit(1))
+    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(thr), "_one")
+            .withColumn(name, F.coalesce(F.col(score) >= F.col("_thr"), F.lit(False))).drop("_thr", "_one"))
 
 
 def hash_split(df: DataFrame, key: str, train_pct: int = 80, name: str = "split") -> DataFrame:
