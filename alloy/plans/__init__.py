@@ -1,6 +1,6 @@
 """Registered showcase queries (one per operator) and their oracle SQL twins."""
 
-from alloy.plans import flagship, q_gold, q_history, q_profile, q_relational, q_silver  # noqa: F401
+from alloy.plans import flagship, q_docs, q_gold, q_history, q_profile, q_relational, q_silver  # noqa: F401
 from alloy.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
