@@ -50,7 +50,7 @@ def scd2(df: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[str],
 
 def scd2_apply(current: DataFrame, changes: DataFrame, keys: Sequence[str], ts: str,
                tracked: Sequence[str], op_col: str | None = None, seq: str | None = None,
-               bucket_seconds: int = 86_400) -> DataFrame:
+               bucket_seconds: int = 86_400, delete_value: str = "DELETE") -> DataFrame:
     """Incremental SCD2: re-derive only the keys touched by ``changes``.
 
     The last version of each touched key (open or a final delete) seeds the history,
@@ -59,16 +59,20 @@ def scd2_apply(current: DataFrame, changes: DataFrame, keys: Sequence[str], ts:
     """
     base_cols = [c for c in current.columns if c not in (FROM, TO, CURRENT)]
     touched = changes.select(*keys).distinct()
-    cur_touched = current.join(touched, list(keys), "left_semi")
-    untouched = current.join(touched, list(keys), "left_anti")
+    cur_touched = current.join(touched, list(keys), "left_semi").select(*current.columns)
+    untouched = current.join(touched, list(keys), "left_anti").select(*current.columns)
     last = keep_one(cur_touched, keys, [Order(FROM, desc=True)])
-    closed = cur_touched.join(last.select(*keys, F.col(FROM).alias("_lf")), list(keys), "inner") \
-        .filter(F.col(FROM) != F.col("_lf")).drop("_lf")
+    # everything before the last version stays; a final delete stays too (it is closed
+    # already) and only serves as the predecessor of the changes below
+    closed = cur_touched.join(last.select(*keys, F.col(FROM).alias("_lf"), F.col(DELETED).alias("_ld")),
+                              list(keys), "inner") \
+        .filter((F.col(FROM) != F.col("_lf")) | F.col("_ld")).select(*current.columns)
+    if op_col and op_col in last.columns:
+        # a stored delete version must stay a delete when it seeds the re-derivation
+        last = last.withColumn(op_col, F.when(F.col(DELETED), F.lit(delete_value)).otherwise(F.col(op_col)))
     seed = last.select(*[c for c in base_cols if c != DELETED])
-    if op_col and op_col in seed.columns:
-        seed = seed.withColumn(op_col, F.when(last[DELETED], F.lit("DELETE")).otherwise(F.col(op_col)))
-    fresh = scd2(seed.unionByName(changes.select(*seed.columns)), keys, ts, tracked, op_col, seq=seq,
-                 bucket_seconds=bucket_seconds)
+    fresh = scd2(seed.unionByName(changes.select(*seed.columns)), keys, ts, tracked, op_col,
+                 delete_value=delete_value, seq=seq, bucket_seconds=bucket_seconds)
     return untouched.unionByName(closed).unionByName(fresh.select(*current.columns))
 
 

@@ -104,9 +104,9 @@ def stream_keep_latest(src: DataFrame, keys: Sequence[str], order_cols: Sequence
             new = keep_latest(batch, keys, order_cols, flag)
         else:
             touched = batch.select(*keys).distinct()
-            untouched = cur.join(touched, list(keys), "left_anti")
-            redo = keep_latest(cur.join(touched, list(keys), "left_semi").unionByName(batch.select(*cur.columns)),
-                               keys, order_cols, flag)
+            untouched = cur.join(touched, list(keys), "left_anti").select(*cur.columns)
+            redo = keep_latest(cur.join(touched, list(keys), "left_semi").select(*cur.columns)
+                               .unionByName(batch.select(*cur.columns)), keys, order_cols, flag)
             new = untouched.unionByName(redo)
         table.commit(new, batch_id)
 
@@ -156,7 +156,8 @@ def stream_aggregate(src: DataFrame, ts: str, window: str, dims: Sequence[str],
         if table.committed(batch_id):
             return
         cur = table.read()
-        new = batch if cur is None else cur.join(batch.select(*key), key, "left_anti").unionByName(batch)
+        new = batch if cur is None else cur.join(batch.select(*key), key, "left_anti").select(*cur.columns) \
+            .unionByName(batch)
         table.commit(new, batch_id)
 
     return _start(agg, checkpoint, trigger, merge)
@@ -175,7 +176,8 @@ def refresh_stream(src: DataFrame, transform: Callable[[DataFrame], DataFrame],
             return
         out = transform(batch)
         cur = table.read()
-        new = out if cur is None else cur.join(out.select(*keys), list(keys), "left_anti").unionByName(out)
+        new = out if cur is None else cur.join(out.select(*keys), list(keys), "left_anti").select(*cur.columns) \
+            .unionByName(out)
         table.commit(new, batch_id)
 
     return _start(src, checkpoint, trigger, merge)
