@@ -184,6 +184,16 @@ def hash_key(df: DataFrame, cols: Sequence[str]) -> Column:
     return F.sha2(F.concat_ws(HASH_SEP, *parts), 256)
 
 
+def to_text(c: Column, dtype: T.DataType, scale: int = 2, date_format: str = "yyyy-MM-dd") -> Column:
+    """Numeric / date -> string with a fixed format (decimals through DECIMAL, so no
+    exponent or binary noise; timestamps by an explicit pattern)."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType, T.IntegralType)):
+        return c.cast(T.DecimalType(38, scale)).cast("string") if scale else c.cast("long").cast("string")
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(c, date_format)
+    return c.cast("string")
+
+
 def upc_standard(c: Column) -> tuple[Column, Column]:
     """(left-padded 12-digit UPC, is_standard flag)."""
     text = F.trim(c.cast("string"))

@@ -147,7 +147,7 @@ def routed_orders(spark, sf):
     return gold.route(t(spark, sf, "orders"), routing_rules(spark, sf), "o_orderpriority", "o_orderstatus")
 
 
-@query("route", f"WITH {ROUTE_SQL} SELECT * FROM routed", ("G5", "SNK5"))
+@query("route", f"WITH {ROUTE_SQL} SELECT * FROM routed", ("G5", "SNK5", "FL4"))
 def q_route(spark, sf):
     return routed_orders(spark, sf)
 

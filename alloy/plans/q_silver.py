@@ -33,7 +33,7 @@ WITH tgt AS (SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBI
 SELECT * FROM tgt
 UNION ALL
 SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM tgt WHERE upper(tgt.c_name) = upper(b.c_name))""",
-       ("SRC2", "J5"))
+       ("SRC2", "J5", "FL4"))
 def q_insert_absent(spark, sf):
     c = t(spark, sf, "customer")
     target = c.filter(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"))
@@ -120,7 +120,7 @@ def q_quarantine(spark, sf):
 SELECT {LINEITEM_COLS} FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
                                ORDER BY l_shipdate DESC NULLS LAST, {LINEITEM_TIEBREAK}) AS rn
-  FROM lineitem WHERE NOT coalesce(l_returnflag = 'R', false)) WHERE rn = 1""", ("W1", "S2"))
+  FROM lineitem WHERE NOT coalesce(l_returnflag = 'R', false)) WHERE rn = 1""", ("W1", "S2", "PR2"))
 def q_dedup_keep_latest(spark, sf):
     return dedup.keep_latest(t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"],
                              order_cols=("l_shipdate",), deleted=F.col("l_returnflag") == "R")
@@ -192,3 +192,13 @@ def q_upc_standard(spark, sf):
     raw = F.col("p_size") * 1000003 + F.col("p_partkey")
     padded, ok = C.upc_standard(raw)
     return p.select("p_partkey", padded.alias("upc"), ok.alias("is_standard"))
+
+
+@query("to_text", """
+SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(38,2)) AS VARCHAR) AS price_text,
+       strftime(o_orderdate, '%Y-%m-%d') AS date_text FROM orders""", ("C8",))
+def q_to_text(spark, sf):
+    o = t(spark, sf, "orders")
+    types = {f.name: f.dataType for f in o.schema.fields}
+    return o.select("o_orderkey", C.to_text(F.col("o_totalprice"), types["o_totalprice"]).alias("price_text"),
+                    C.to_text(F.col("o_orderdate"), types["o_orderdate"]).alias("date_text"))
