@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from alloy.functions.columns import (canonical_text, looks_like_boolean, looks_like_number,
                                      looks_like_timestamp)
+from alloy.session import cut_lineage
 
 # ---- fixed values ---------------------------------------------------------------
 # Suffixes dropped before comparing FK column names.
@@ -40,12 +41,19 @@ def simple_type(dt: T.DataType) -> str:
 
 def profile(df: DataFrame, table_name: str, exact: bool = False) -> DataFrame:
     """One row per column: position, type, rows, nulls, distinct, empty strings, average
-    length (strings), numeric min / max — computed in a single aggregation."""
+    length (strings), numeric min / max.
+
+    Approximate mode is one aggregation pass (HyperLogLog distinct). Exact mode keeps that
+    pass for the other statistics and counts distinct values with one single-distinct
+    aggregate per column (each reads one column and deduplicates map-side) instead of
+    Spark's multi-distinct Expand, which replicates every row once per column.
+    """
     aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(df.schema.fields):
         c = F.col(f.name)
         aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
-        aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"d{i}"))
+        if not exact:
+            aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
         is_str = isinstance(f.dataType, T.StringType)
         aggs.append((F.count_if(c == "") if is_str else F.lit(None).cast("long")).alias(f"e{i}"))
         aggs.append((F.round(F.avg(F.length(c)), 4) if is_str else F.lit(None).cast("double")).alias(f"l{i}"))
@@ -56,11 +64,21 @@ def profile(df: DataFrame, table_name: str, exact: bool = False) -> DataFrame:
     rows = [F.struct(F.lit(table_name).alias("table_name"), F.lit(f.name).alias("column_name"),
                      F.lit(i + 1).alias("position"), F.lit(simple_type(f.dataType)).alias("data_type"),
                      F.col("__rows").alias("n_rows"), F.col(f"n{i}").alias("n_nulls"),
-                     F.col(f"d{i}").alias("n_distinct"), F.col(f"e{i}").alias("n_empty"),
+                     (F.lit(None).cast("long") if exact else F.col(f"d{i}")).alias("n_distinct"),
+                     F.col(f"e{i}").alias("n_empty"),
                      F.col(f"l{i}").alias("avg_len"), F.col(f"mn{i}").alias("min_value"),
                      F.col(f"mx{i}").alias("max_value"))
             for i, f in enumerate(df.schema.fields)]
-    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    stacked = one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    if not exact:
+        return stacked
+    distinct = None
+    for i, f in enumerate(df.schema.fields):
+        part = df.agg(F.count_distinct(F.col(f.name)).alias("_d")).select(F.lit(i + 1).alias("_pos"), "_d")
+        distinct = part if distinct is None else distinct.unionByName(part)
+    cols = [c if c != "n_distinct" else "_d" for c in stacked.columns]
+    return (stacked.join(F.broadcast(distinct), stacked.position == distinct._pos)
+            .select(*[F.col(c).alias("n_distinct") if c == "_d" else F.col(c) for c in cols]))
 
 
 def profile_tables(tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:
@@ -118,40 +136,42 @@ def pk_candidates(prof: DataFrame) -> DataFrame:
 
 
 def value_index(tables: dict[str, DataFrame]) -> DataFrame:
-    """Distinct ``(table, column, value)`` for every integral column of every table."""
+    """Distinct ``(table, column, value)`` for every integral column of every table: one
+    single-column projection per column (columnar reads), unioned, one distinct."""
     out = None
     for name, df in tables.items():
-        cols = [f.name for f in df.schema.fields if isinstance(f.dataType, INTEGRAL)]
-        if not cols:
-            continue
-        longf = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("long").alias("v")) for c in cols])).alias("x"))
-        part = longf.select(F.lit(name).alias("table_name"), "x.column_name", "x.v").filter(F.col("v").isNotNull())
-        out = part if out is None else out.unionByName(part)
+        for f in df.schema.fields:
+            if not isinstance(f.dataType, INTEGRAL):
+                continue
+            part = df.select(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
+                             F.col(f.name).cast("long").alias("v")).filter(F.col("v").isNotNull())
+            out = part if out is None else out.unionByName(part)
     return out.distinct()
 
 
 def discover_fks(tables: dict[str, DataFrame], min_conf: float = FK_MIN_CONFIDENCE) -> DataFrame:
     """FK edges ``(source_table, source_column, target_table, target_column, containment,
-    name_similarity, confidence, relationship_type)`` with confidence >= ``min_conf``."""
-    vals = value_index(tables)
-    rows = None
-    for name, df in tables.items():
-        r = df.agg(F.count(F.lit(1)).alias("table_rows")).select(F.lit(name).alias("table_name"), "table_rows")
-        rows = r if rows is None else rows.unionByName(r)
-    stats = (vals.groupBy("table_name", "column_name")
-             .agg(F.count(F.lit(1)).alias("n_distinct"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
-             .join(rows, "table_name"))
-    nonnull = None
+    name_similarity, confidence, relationship_type)`` with confidence >= ``min_conf``.
+
+    The distinct value index is materialised once (reliable checkpoint) because three
+    consumers read it; per-column metadata (one row per column, bounded by the schema)
+    is broadcast to the value-level joins.
+    """
+    vals = cut_lineage(value_index(tables))
+    colstats = None
     for name, df in tables.items():
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, INTEGRAL)]
         if not cols:
             continue
-        nn = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_nonnull")) for c in cols])).alias("x")) \
+        one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(c) for c in cols])
+        part = one.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col("_rows").alias("table_rows"),
+                     F.col(c).alias("n_nonnull")) for c in cols])).alias("x")) \
             .select(F.lit(name).alias("table_name"), "x.*")
-        nonnull = nn if nonnull is None else nonnull.unionByName(nn)
-    stats = stats.join(nonnull, ["table_name", "column_name"])
+        colstats = part if colstats is None else colstats.unionByName(part)
+    stats = (vals.groupBy("table_name", "column_name")
+             .agg(F.count(F.lit(1)).alias("n_distinct"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
+             .join(F.broadcast(colstats), ["table_name", "column_name"]))
     targets = stats.filter((F.col("n_distinct") == F.col("table_rows")) & (F.col("n_nonnull") == F.col("table_rows")))
     tgt = targets.select(F.col("table_name").alias("target_table"), F.col("column_name").alias("target_column"),
                          F.col("vmin").alias("t_min"), F.col("vmax").alias("t_max"),
@@ -164,7 +184,8 @@ def discover_fks(tables: dict[str, DataFrame], min_conf: float = FK_MIN_CONFIDEN
                                         F.col("n_distinct").alias("source_distinct"),
                                         F.col("vmin").alias("s_min"), F.col("vmax").alias("s_max"))
     sv = vals.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), "v")
-    tv = vals.join(targets.select("table_name", "column_name"), ["table_name", "column_name"], "left_semi") \
+    tv = vals.join(F.broadcast(targets.select("table_name", "column_name")), ["table_name", "column_name"],
+                   "left_semi") \
         .select(F.col("table_name").alias("target_table"), F.col("column_name").alias("target_column"), "v")
     # column pairs sharing at least one value; a pair sharing none has containment 0 and
     # can never reach the confidence floor, so no pair is enumerated without data
@@ -173,7 +194,8 @@ def discover_fks(tables: dict[str, DataFrame], min_conf: float = FK_MIN_CONFIDEN
               .agg(F.count(F.lit(1)).alias("shared_values")))
     sa, sb = base_name(F.col("source_column")), base_name(F.col("target_column"))
     sim = F.lit(1.0) - F.levenshtein(sa, sb).cast("double") / F.greatest(F.length(sa), F.length(sb), F.lit(1)).cast("double")
-    e = (shared.join(src, ["source_table", "source_column"]).join(tgt, ["target_table", "target_column"])
+    e = (shared.join(F.broadcast(src), ["source_table", "source_column"])
+         .join(F.broadcast(tgt), ["target_table", "target_column"])
          .filter((F.col("s_min") >= F.col("t_min")) & (F.col("s_max") <= F.col("t_max")))
          .withColumn("name_similarity", F.round(sim, 4))
          .filter((F.col("name_similarity") >= 0.5) | (F.col("source_distinct") >= 10)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloy.operators.windows import top_k_per_group
+from alloy.session import broadcast_if_small, cut_lineage
 
 # ---- fixed values: tokenizer and BM25 parameters ---------------------------------
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
@@ -19,7 +20,7 @@ def tokens(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, term, tf)`` plus document length, built with explode + grouped counts."""
+    """``(doc, term, tf)`` built with explode + grouped counts."""
     terms = docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term"))
     return terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -29,28 +30,41 @@ def bm25_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q
               filters: Column | None = None) -> DataFrame:
     """Top-k documents per query by BM25 (query terms counted once).
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); score summed over shared terms;
-    rank by round(score, 6) desc then doc id. Corpus statistics (N, avgdl) are one
-    row joined on a constant key; the postings-query join is an equi-join on term
-    (AQE splits hot terms), scores combine map-side per (query, doc), and the top-k
-    is taken in two salted rounds so one query's candidates are not one task.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); score summed over shared terms; rank by
+    round(score, 6) desc then doc id.
+
+    Plan: N and avgdl are scalar subqueries over per-document token counts; postings are
+    restricted to the query vocabulary by a (size-checked) broadcast semi-join right after
+    tokenising, carrying the document length along, so the full postings list is never
+    shuffled or joined; per-term df over that vocabulary is broadcast back. Scores
+    combine map-side per (query, doc) and the top-k is taken in two salted rounds, so a
+    hot term or a query with many candidates is never one task.
     """
     if filters is not None:
         docs = docs.filter(filters)
-    post = postings(docs, doc_id, doc_text)
-    dl = post.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).withColumn("_one", F.lit(1))
-    dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     qterms = queries.select(F.col(q_id).alias("query"), F.explode(tokens(F.col(q_text))).alias("term")).distinct()
-    scored_terms = (qterms.join(dfreq, "term")
-                    .withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")
-                    .withColumn("idf", F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5))
-                                             / (F.col("df") + F.lit(0.5))))
-                    .select("query", "term", "idf", "avgdl"))
-    hits = scored_terms.join(post, "term").join(dl, "doc")
-    part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (
-        F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query", "doc").agg(F.sum(part).alias("_s")).withColumn("score", F.round("_s", 6))
+    vocab = qterms.select("term").distinct().withColumn("_in", F.lit(True))
+    toks = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(doc_text)).alias("_toks"))
+    dl = F.when(F.col("_toks").isNull(), F.lit(0)).otherwise(F.size("_toks"))
+    # explode_outer keeps token-less documents (they count in N) and avoids a second
+    # regex evaluation in an inferred size() filter; out-of-vocabulary tokens collapse
+    # into one NULL-term row per document
+    tagged = (toks.select("doc", dl.alias("dl"), F.explode_outer("_toks").alias("term"))
+              .join(broadcast_if_small(vocab), "term", "left")
+              .select("doc", "dl", F.when(F.col("_in"), F.col("term")).alias("term")))
+    post_all = cut_lineage(tagged.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    per_doc = post_all.groupBy("doc").agg(F.max("dl").alias("dl"))
+    n_docs = per_doc.agg(F.count(F.lit(1))).scalar()
+    avgdl = per_doc.agg(F.avg("dl")).scalar()
+    post = post_all.filter(F.col("term").isNotNull())
+    dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    weights = (post.join(broadcast_if_small(dfreq), "term")
+               .withColumn("w", idf * F.col("tf") * F.lit(k1 + 1) / (
+                   F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl)))
+               .select("term", "doc", "w"))
+    hits = weights.join(broadcast_if_small(qterms), "term")
+    scores = hits.groupBy("query", "doc").agg(F.sum("w").alias("_s")).withColumn("score", F.round("_s", 6))
     top = top_k_per_group(scores, ["query"], [F.col("score").desc(), F.col("doc").asc()], k, salt_col=F.col("doc"))
     return top.select(F.col("query").alias(q_id), F.col("doc").alias(doc_id), "score", "rank")
 

@@ -109,7 +109,7 @@ WITH post AS (SELECT doc, term, count(*) AS tf FROM
                 (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM documents)
               GROUP BY 1, 2),
 dl AS (SELECT doc, sum(tf) AS dl FROM post GROUP BY 1),
-st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+st AS (SELECT count(*) AS n_docs, avg(coalesce(dl.dl, 0)) AS avgdl FROM documents d LEFT JOIN dl ON d.doc_id = dl.doc),
 dfreq AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 q AS (SELECT DISTINCT query, term FROM
         (SELECT item_id AS query, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM benchmark)),
