@@ -62,13 +62,12 @@ def top_pct_label(df: DataFrame, score: str, pct: float = 1.0, accuracy: int = 1
     """Label rows whose score is at or above the (100 - pct) percentile.
 
     The threshold is one distributed ``percentile_approx`` (exact while the row count
-    is below ``accuracy``; rank error <= n / accuracy beyond), broadcast back as a
-    one-row frame — no global window or sort.
+    is below ``accuracy``; rank error <= n / accuracy beyond) used as a scalar
+    subquery — no global window, sort or join.
     """
     q = 1.0 - pct / 100.0
-    thr = df.agg(F.percentile_approx(score, q, accuracy).alias("_thr")).withColumn("_one", F.lit(1))
-    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(thr), "_one")
-            .withColumn(name, F.coalesce(F.col(score) >= F.col("_thr"), F.lit(False))).drop("_thr", "_one"))
+    thr = df.agg(F.percentile_approx(score, q, accuracy)).scalar()
+    return df.withColumn(name, F.coalesce(F.col(score) >= thr, F.lit(False)))
 
 
 def hash_split(df: DataFrame, key: str, train_pct: int = 80, name: str = "split") -> DataFrame:

@@ -37,8 +37,8 @@ def bm25_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q
     restricted to the query vocabulary by a (size-checked) broadcast semi-join right after
     tokenising, carrying the document length along, so the full postings list is never
     shuffled or joined; per-term df over that vocabulary is broadcast back. Scores
-    combine map-side per (query, doc) and the top-k is taken in two salted rounds, so a
-    hot term or a query with many candidates is never one task.
+    combine map-side per (query, doc) and the rank-limited top-k is pre-limited map-side,
+    so a hot term or a query with many candidates is never one task.
     """
     if filters is not None:
         docs = docs.filter(filters)
@@ -65,7 +65,7 @@ def bm25_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q
                .select("term", "doc", "w"))
     hits = weights.join(broadcast_if_small(qterms), "term")
     scores = hits.groupBy("query", "doc").agg(F.sum("w").alias("_s")).withColumn("score", F.round("_s", 6))
-    top = top_k_per_group(scores, ["query"], [F.col("score").desc(), F.col("doc").asc()], k, salt_col=F.col("doc"))
+    top = top_k_per_group(scores, ["query"], [F.col("score").desc(), F.col("doc").asc()], k)
     return top.select(F.col("query").alias(q_id), F.col("doc").alias(doc_id), "score", "rank")
 
 
@@ -77,24 +77,23 @@ def vector_topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFram
                 q_vec: str, k: int = 10, max_queries: int = 10_000) -> DataFrame:
     """Exact cosine top-k of a query batch against all vectors.
 
-    The query batch is size-checked and broadcast as one array attached to every
-    vector row (constant-key broadcast join); each vector scores the whole batch in one
-    expression, then the salted two-round top-k keeps k per query. Norms are computed
-    once per vector.
+    The query batch is count-checked and becomes one array-valued scalar subquery
+    (evaluated once, shipped to executors as a value); each vector scores the whole batch
+    in one expression, then the map-side-limited top-k keeps k per query. Norms are
+    computed once per vector.
     """
     n_q = queries.count()
     if n_q > max_queries:
         raise ValueError(f"query batch of {n_q} exceeds {max_queries}; split it into batches")
     qd = queries.select(F.col(q_id).alias("_qid"), F.transform(F.col(q_vec), lambda x: x.cast("double")).alias("_q"))
     qd = qd.select("_qid", "_q", F.sqrt(_dot(F.col("_q"), F.col("_q"))).alias("_qn"))
-    batch = qd.agg(F.collect_list(F.struct("_qid", "_q", "_qn")).alias("_batch")).withColumn("_one", F.lit(1))
+    batch = qd.agg(F.collect_list(F.struct("_qid", "_q", "_qn"))).scalar()  # bounded by the check above
     v = vectors.select(F.col(id_col).alias("_vid"),
                        F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("_v"))
-    v = v.select("_vid", "_v", F.sqrt(_dot(F.col("_v"), F.col("_v"))).alias("_vn")).withColumn("_one", F.lit(1))
-    joined = v.join(F.broadcast(batch), "_one")  # bounded by the check above
-    sims = joined.select("_vid", F.explode(F.transform(F.col("_batch"), lambda q: F.struct(
+    v = v.select("_vid", "_v", F.sqrt(_dot(F.col("_v"), F.col("_v"))).alias("_vn"), batch.alias("_batch"))
+    sims = v.select("_vid", F.explode(F.transform(F.col("_batch"), lambda q: F.struct(
         q["_qid"].alias("_qid"),
         F.round(_dot(q["_q"], F.col("_v")) / (q["_qn"] * F.col("_vn")), 6).alias("score")))).alias("s"))
     sims = sims.select(F.col("s._qid").alias("query"), F.col("_vid").alias("doc"), F.col("s.score").alias("score"))
-    top = top_k_per_group(sims, ["query"], [F.col("score").desc(), F.col("doc").asc()], k, salt_col=F.col("doc"))
+    top = top_k_per_group(sims, ["query"], [F.col("score").desc(), F.col("doc").asc()], k)
     return top.select(F.col("query").alias(q_id), F.col("doc").alias(id_col), "score", "rank")

@@ -27,11 +27,12 @@ def reinforce(observations: DataFrame, key: str, ts: str, seq: str, conf: str,
     First observation inserts (count 1, confidence as observed); each later one adds 1
     to the count, sets ``conf = least((conf + c) / 2 + 0.05, 1)`` and replaces the texts.
     The fold is 1/2-Lipschitz per step, so it is evaluated over the last
-    ``HISTORY_HORIZON`` observations of each key (picked by a salted two-round top-k,
-    never a whole key in one task); count and last texts are plain aggregates.
+    ``HISTORY_HORIZON`` observations of each key (a rank-limited window, which Spark
+    pre-limits map-side, so no key reaches one task whole); count and last texts are
+    plain aggregates.
     """
     order = [F.col(ts).desc(), F.col(seq).desc()]
-    recent = top_k_per_group(observations, [key], order, HISTORY_HORIZON, salt_col=F.col(seq), rank_name="_r")
+    recent = top_k_per_group(observations, [key], order, HISTORY_HORIZON, rank_name="_r")
     hist = recent.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ts, seq, conf))).alias("_h"))
     first = F.element_at("_h", 1)[conf]
     folded = F.aggregate(F.slice("_h", 2, HISTORY_HORIZON), first,
@@ -56,12 +57,12 @@ def top_learnings(learnings: DataFrame, n: int = 5, min_conf: float = ACTIVE_MIN
 
 
 def kpis(runs: DataFrame, lineage: DataFrame, learnings: DataFrame) -> DataFrame:
-    """One-row KPI frame from three one-row aggregates (constant-key joins)."""
-    a = runs.agg(F.count(F.lit(1)).alias("runs")).withColumn("_one", F.lit(1))
-    b = lineage.agg(F.count("silver_table").alias("silver_complete"),
-                    F.count("gold_table").alias("gold_complete")).withColumn("_one", F.lit(1))
-    c = learnings.agg(F.count_if(F.col("is_active")).alias("active_learnings")).withColumn("_one", F.lit(1))
-    return a.join(b, "_one").join(c, "_one").drop("_one")
+    """One-row KPI frame: one aggregate plus scalar subqueries (no join)."""
+    return runs.agg(F.count(F.lit(1)).alias("runs")).select(
+        "runs",
+        lineage.agg(F.count("silver_table")).scalar().alias("silver_complete"),
+        lineage.agg(F.count("gold_table")).scalar().alias("gold_complete"),
+        learnings.agg(F.count_if(F.col("is_active"))).scalar().alias("active_learnings"))
 
 
 def run_results(runs_nested: DataFrame, run_col: str, results_col: str) -> DataFrame:

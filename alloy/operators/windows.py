@@ -103,17 +103,13 @@ def with_neighbors(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequen
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
-                    salt_col: Column | None = None, salt_buckets: int = 64,
                     rank_name: str = "rank") -> DataFrame:
-    """Top-k rows per group in two rounds so a hot group is split first.
+    """Top-k rows per group (``row_number() <= k``).
 
-    Round 1 keeps the top k inside ``(group, salt)`` (salt = hash of a row id), round 2
-    ranks the at most ``k * salt_buckets`` survivors of each group. ``order`` must be
-    a total order (end it in a unique column) for a deterministic result.
+    The filter sits directly on the rank, so Catalyst plans a ``WindowGroupLimit`` both
+    before the shuffle (each map task keeps its own top k per group) and after it: a
+    group holding a third of all rows reaches its final task as at most k rows per map
+    task. ``order`` must be a total order (end it in a unique column).
     """
-    salt = salt_col if salt_col is not None else F.lit(0)
-    s = df.withColumn("_salt", F.pmod(F.hash(salt), F.lit(salt_buckets)))
-    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
-    pre = s.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
-    w2 = Window.partitionBy(*group).orderBy(*order)
-    return pre.withColumn(rank_name, F.row_number().over(w2)).filter(F.col(rank_name) <= k)
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn(rank_name, F.row_number().over(w)).filter(F.col(rank_name) <= k)
