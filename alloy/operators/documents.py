@@ -33,10 +33,13 @@ HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
 # ---------------------------------------------------------------------------------
 
 STRIP_RE = f"^{STRIP_CLASS}+|{STRIP_CLASS}+$"
+# the same character set spelled out, for btrim (a character-set trim, no regex)
+STRIP_CHARS = ("\t\n\x0b\f\r" + "".join(chr(c) for c in range(0x1C, 0x20)) + " \x85\xa0\u1680"
+               + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP_RE, "")
+    return F.btrim(c, F.lit(STRIP_CHARS))
 
 
 def chunk_array(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -168,20 +171,26 @@ def pack_batches(df: DataFrame, group: str, order: str, text_col: str | None = N
     ends = totals.select(group, F.col("_end").alias("_E"), F.col("_end").alias("_J"))
     jump = nxt.unionByName(ends)
     # step 3: pointer doubling; levels J_0 .. J_M with M = ceil(log2(max group rows))
-    max_rows = df.groupBy(group).count().agg(F.max("count")).first()[0] or 1
+    # chain length = batches per group <= rows, and <= 2 * tokens / room + 1 because two
+    # consecutive batches always hold more than ``room`` tokens; two numbers reach the driver
+    bound = totals.join(rows.groupBy(group).count(), group).agg(
+        F.max(F.least(F.col("count"), F.floor(F.col("_end") * 2 / F.lit(room)) + 1))).first()[0] or 1
     levels = [cut_lineage(jump)]
-    for _ in range(max(1, math.ceil(math.log2(max_rows + 1)))):
+    for _ in range(max(1, math.ceil(math.log2(bound + 1)))):
         prev = levels[-1]
         hop = prev.alias("a").join(prev.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}"))
                                    & (F.col("a._J") == F.col("b._E")))
         # each level is checkpointed: it is used twice by the next one and plans stay flat
         levels.append(cut_lineage(hop.select(F.col(f"a.{group}").alias(group), F.col("a._E").alias("_E"),
                                              F.col("b._J").alias("_J"))))
+    # walk down the levels: every reached node also reaches its J_m; the set is read once
+    # per level (join, then explode [E, J]), so the plan grows linearly
     starts = totals.select(group, F.lit(0).cast("long").alias("_E"))
     for lvl in reversed(levels):
-        reach = starts.join(lvl, [group, "_E"]).select(group, F.col("_J").alias("_E"))
-        starts = cut_lineage(starts.unionByName(reach).distinct())
-    starts = starts.join(totals, group).filter(F.col("_E") < F.col("_end")).select(group, "_E")
+        starts = (starts.join(lvl, [group, "_E"])
+                  .select(group, F.explode(F.array("_E", "_J")).alias("_E")).distinct())
+    # materialised once: the start set is read by the rank, the row assignment and the join
+    starts = cut_lineage(starts.join(totals, group).filter(F.col("_E") < F.col("_end")).select(group, "_E"))
     starts = starts.withColumn("_one", F.lit(1))
     starts = block_prefix_sum(starts, group, "_E", "_one", "batch_no", room * 1024).drop("_one")
     # step 4: owning start of every row
