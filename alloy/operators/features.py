@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloy.functions.columns import MONEY_TYPE
-from alloy.operators.windows import range_aggregates, with_neighbors
+from alloy.operators.windows import range_frames, with_neighbors
 from alloy.session import broadcast_if_small
 
 DAY = 86_400
@@ -15,10 +15,13 @@ RISK_HIGH, RISK_MEDIUM = 0.75, 0.40
 
 
 def velocity(df: DataFrame, key: str, ts: str, amount: str) -> DataFrame:
-    """Count in the last 24 h and exact spend in the last 7 d (both include the row)."""
-    out = range_aggregates(df, [key], ts, [
-        ("txn_count_24h", lambda: F.count(F.lit(1)), DAY),
-        ("_spend_7d", lambda: F.sum(F.col(amount).cast(MONEY_TYPE)), 7 * DAY)])
+    """Count in the last 24 h and exact spend in the last 7 d (both include the row).
+
+    ``windows.range_frames`` picks the plan by skew: one bucketed window normally, prefix
+    sums (no task holds more than an hour of one entity) when an entity is hot."""
+    out = range_frames(df, [key], ts, [
+        ("txn_count_24h", None, DAY),
+        ("_spend_7d", F.col(amount).cast(MONEY_TYPE), 7 * DAY)])
     return out.withColumn("spend_7d", F.col("_spend_7d").cast("double")).drop("_spend_7d")
 
 
@@ -27,10 +30,10 @@ def zscore(df: DataFrame, key: str, ts: str, amount: str, days: int = 30,
     """(x - mean) / stddev_samp over the entity's last ``days`` (row included); NULL when
     fewer than 2 rows or zero spread. Sums are exact decimals, final math in DOUBLE."""
     x = F.col(amount).cast(MONEY_TYPE)
-    out = range_aggregates(df, [key], ts, [
-        ("_n", lambda: F.count(F.col(amount)), days * DAY),
-        ("_s1", lambda: F.sum(x), days * DAY),
-        ("_s2", lambda: F.sum(x * x), days * DAY)])
+    out = range_frames(df, [key], ts, [
+        ("_n", F.when(F.col(amount).isNotNull(), F.lit(1)).otherwise(F.lit(0)), days * DAY),
+        ("_s1", x, days * DAY),
+        ("_s2", x * x, days * DAY)])
     n = F.col("_n").cast("double")
     s1 = F.col("_s1").cast("double")
     s2 = F.col("_s2").cast("double")
@@ -84,13 +87,23 @@ def risk_tier(score: Column) -> Column:
 def transaction_features(df: DataFrame, key: str, ts: str, amount: str, merchant: str,
                          keep: tuple[str, ...] = ()) -> DataFrame:
     """Feature table: 24 h count, 7 d spend, merchant mean, 30 d z-score, hour, weekday
-    (0 = Sunday). PII (the entity key) is not carried unless listed in ``keep``."""
-    v = velocity(df, key, ts, amount)
-    z = zscore(v, key, ts, amount)
+    (0 = Sunday). PII (the entity key) is not carried unless listed in ``keep``.
+    All five range sums share one pass (``windows.range_frames``)."""
+    x = F.col(amount).cast(MONEY_TYPE)
+    w = range_frames(df, [key], ts, [
+        ("txn_count_24h", None, DAY),
+        ("_spend_7d", x, 7 * DAY),
+        ("_n", F.when(F.col(amount).isNotNull(), F.lit(1)).otherwise(F.lit(0)), 30 * DAY),
+        ("_s1", x, 30 * DAY),
+        ("_s2", x * x, 30 * DAY)])
+    n, s1, s2 = (F.col(c).cast("double") for c in ("_n", "_s1", "_s2"))
+    var = (s2 - s1 * s1 / n) / (n - F.lit(1.0))
+    z = F.when((F.col("_n") >= 2) & (var > 0), F.round((F.col(amount) - s1 / n) / F.sqrt(var), 6))
+    w = w.withColumn("spend_7d", F.col("_spend_7d").cast("double")).withColumn("amount_z", z)
     m = df.groupBy(merchant).agg(
         (F.sum(F.col(amount).cast(MONEY_TYPE)).cast("double")
          / F.count(F.col(amount)).cast("double")).alias("merchant_avg"))
-    out = z.join(broadcast_if_small(m), merchant, "left")
+    out = w.join(broadcast_if_small(m), merchant, "left")
     return out.select(*keep, "txn_count_24h", "spend_7d", F.round("merchant_avg", 6).alias("merchant_avg"),
                       "amount_z", F.hour(ts).alias("hour_of_day"),
                       (F.dayofweek(ts) - 1).alias("day_of_week"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alloy.operators.dedup import ntz_micros
+from alloy.session import cut_lineage
 
 MICROS = 1_000_000
 
@@ -113,3 +114,105 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     """
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank_name, F.row_number().over(w)).filter(F.col(rank_name) <= k)
+
+
+def range_sums(df: DataFrame, keys: Sequence[str], ts: str,
+               specs: Sequence[tuple[str, Column | None, int]],
+               block_seconds: int = 3_600) -> DataFrame:
+    """RANGE-frame sums with no task holding more than one time block of one entity.
+
+    For each ``(name, value, length_seconds)`` (``value`` None = row count) adds the sum
+    of ``value`` over the entity's rows with time in ``[t - length, t]`` (peers at ``t``
+    included), computed as ``P(t) - P(< t - length)`` where ``P`` is the entity's prefix
+    sum over its distinct timestamps:
+
+    1. rows are pre-aggregated per (entity, timestamp) (map-side combine);
+    2. ``P`` = prefix of block totals (one row per entity and ``block_seconds`` block)
+       + running sum inside the (entity, block);
+    3. ``P(< x)`` is looked up inside x's (entity, block) by a window over the block's
+       points and the probes falling in it; a probe with no earlier point in its block
+       takes the cumulative total of the entity's earlier blocks (a window over one row
+       per block);
+    4. results join back to the rows on (entity, timestamp).
+    Sums must be exact (integers or decimals) for ``P(t) - P(< x)`` to be exact; keys
+    must be non-NULL.
+    """
+    width = block_seconds * MICROS
+    names = [s[0] for s in specs]
+    base = df.withColumn("_t", micros(df, ts))
+    pts = base.groupBy(*keys, "_t").agg(*[
+        (F.count(F.lit(1)) if v is None else F.sum(v)).alias(f"_s{i}") for i, (_, v, _) in enumerate(specs)])
+    pts = pts.withColumn("_blk", F.floor(F.col("_t") / F.lit(width)))
+    sums = [f"_s{i}" for i in range(len(specs))]
+    blocks = pts.groupBy(*keys, "_blk").agg(*[F.sum(s).alias(f"_b{s}") for s in sums])
+    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut_lineage(blocks.select(*keys, "_blk", *[F.coalesce(F.sum(f"_b{s}").over(wb), F.lit(0)).alias(f"_o{s}")
+                                                        for s in sums],
+                                       *[F.col(f"_b{s}") for s in sums]))
+    wi = Window.partitionBy(*keys, "_blk").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    # materialised once: read by the probes, the points of every lookup and the result
+    prefix = cut_lineage(pts.join(blocks, [*keys, "_blk"])
+                         .select(*keys, "_t", "_blk", *[(F.col(f"_o{s}") + F.sum(s).over(wi)).alias(f"_P{s}")
+                                                        for s in sums]))
+    out = prefix
+    lengths = sorted({length for _, _, length in specs})
+    for li, length in enumerate(lengths):
+        ss = [sums[i] for i, spec in enumerate(specs) if spec[2] == length]
+        # probes: last point strictly before t - length, i.e. at or before t - length - 1us
+        probes = prefix.select(*keys, "_t", (F.col("_t") - F.lit(length * MICROS) - 1).alias("_x"))
+        probes = probes.withColumn("_xb", F.floor(F.col("_x") / F.lit(width)))
+        p_pts = prefix.select(*keys, F.col("_blk").alias("_xb"), F.col("_t").alias("_x"),
+                              *[F.col(f"_P{s}").alias(f"_v{s}") for s in ss],
+                              F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_own"))
+        p_prb = probes.select(*keys, "_xb", "_x",
+                              *[F.lit(None).cast(prefix.schema[f"_P{s}"].dataType).alias(f"_v{s}") for s in ss],
+                              F.lit(1).alias("_kind"), F.col("_t").alias("_own"))
+        wx = Window.partitionBy(*keys, "_xb").orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        looked = (p_pts.unionByName(p_prb)
+                  .select(*keys, "_xb", "_kind", "_own",
+                          *[F.last(f"_v{s}", ignorenulls=True).over(wx).alias(f"_q{s}") for s in ss])
+                  .filter(F.col("_kind") == 1).drop("_kind").withColumnRenamed("_own", "_t"))
+        # carry for probes whose block has no earlier point: total of all earlier blocks
+        # (probe rows sort before the same block's total, so only earlier blocks count)
+        cum = blocks.select(*keys, "_blk", *[(F.col(f"_o{s}") + F.col(f"_b{s}")).alias(f"_c{s}") for s in ss],
+                            F.lit(1).alias("_kind"))
+        need = looked.select(*keys, F.col("_xb").alias("_blk")).distinct().select(
+            *keys, "_blk", *[F.lit(None).cast(cum.schema[f"_c{s}"].dataType).alias(f"_c{s}") for s in ss],
+            F.lit(0).alias("_kind"))
+        wc = Window.partitionBy(*keys).orderBy("_blk", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        carry = (cum.unionByName(need)
+                 .select(*keys, "_blk", "_kind", *[F.last(f"_c{s}", ignorenulls=True).over(wc).alias(f"_k{s}")
+                                                    for s in ss])
+                 .filter(F.col("_kind") == 0).select(*keys, F.col("_blk").alias("_xb"), *[f"_k{s}" for s in ss]))
+        q = looked.join(carry, [*keys, "_xb"], "left").select(
+            *keys, "_t", *[F.coalesce(F.col(f"_q{s}"), F.col(f"_k{s}"), F.lit(0)).alias(f"_Q{s}") for s in ss])
+        out = out.join(q, [*keys, "_t"])
+        for i, (name, _, ln) in enumerate(specs):
+            if ln == length:
+                out = out.withColumn(name, F.col(f"_P{sums[i]}") - F.col(f"_Q{sums[i]}")).drop(f"_Q{sums[i]}")
+    res = out.select(*keys, "_t", *names)
+    return base.join(res, [*keys, "_t"]).select(*df.columns, *names)
+
+
+# Largest (entity, frame-bucket) group the one-window path may give a single task.
+MAX_GROUP_ROWS = 2_000_000
+
+
+def range_frames(df: DataFrame, keys: Sequence[str], ts: str,
+                 specs: Sequence[tuple[str, Column | None, int]],
+                 max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """RANGE-frame sums/counts per entity, choosing the plan by the data's skew.
+
+    One aggregate (entity, frame-length bucket) -> row count, of which only the maximum
+    reaches the driver, decides: when no such group exceeds ``max_group_rows`` the
+    bucketed window (``range_aggregates``, one window, <= 2x rows) is used; otherwise the
+    prefix-sum plan (``range_sums``), whose tasks hold at most one hour of one entity.
+    """
+    longest = max(s[2] for s in specs)
+    biggest = (df.groupBy(*keys, F.floor(micros(df, ts) / F.lit(longest * MICROS)).alias("_b"))
+               .count().agg(F.max("count")).first()[0] or 0)
+    if biggest <= max_group_rows:
+        return range_aggregates(df, keys, ts, [
+            (name, (lambda: F.count(F.lit(1))) if v is None else (lambda v=v: F.sum(v)), length)
+            for name, v, length in specs])
+    return range_sums(df, keys, ts, specs)
