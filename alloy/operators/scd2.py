@@ -16,7 +16,7 @@ FROM, TO, CURRENT, DELETED = "EFFECTIVE_FROM", "EFFECTIVE_TO", "IS_CURRENT", "IS
 
 def scd2(df: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[str],
          op_col: str | None = None, delete_value: str = "DELETE", seq: str | None = None,
-         bucket_seconds: int = 86_400) -> DataFrame:
+         bucket_seconds: int = 3_600) -> DataFrame:
     """Version history per key.
 
     1. collapse to the last row per (key, ts) by ``seq``;
@@ -50,7 +50,7 @@ def scd2(df: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[str],
 
 def scd2_apply(current: DataFrame, changes: DataFrame, keys: Sequence[str], ts: str,
                tracked: Sequence[str], op_col: str | None = None, seq: str | None = None,
-               bucket_seconds: int = 86_400, delete_value: str = "DELETE") -> DataFrame:
+               bucket_seconds: int = 3_600, delete_value: str = "DELETE") -> DataFrame:
     """Incremental SCD2: re-derive only the keys touched by ``changes``.
 
     The last version of each touched key (open or a final delete) seeds the history,

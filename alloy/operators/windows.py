@@ -59,7 +59,7 @@ def range_aggregates(df: DataFrame, keys: Sequence[str], ts: str,
 
 def with_neighbors(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
                    prev_cols: Sequence[str] = (), next_cols: Sequence[str] = (),
-                   bucket_seconds: int = 86_400, prefix_prev: str = "prev_",
+                   bucket_seconds: int = 3_600, prefix_prev: str = "prev_",
                    prefix_next: str = "next_") -> DataFrame:
     """``lag`` of ``prev_cols`` and ``lead`` of ``next_cols`` per entity ordered by
     ``(ts, *tiebreak)``, computed per (entity, time bucket) plus a boundary fix."""

@@ -126,7 +126,11 @@ def q_bm25_topk(spark, sf):
 
 
 @query("vector_topk", """
-WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 10),
+WITH c AS (SELECT label, u.pos, avg(CAST(u.val AS DOUBLE)) AS m
+           FROM embeddings, LATERAL (SELECT unnest(generate_series(1, len(embedding))) AS pos,
+                                            unnest(embedding) AS val) u
+           GROUP BY label, u.pos),
+q AS (SELECT label AS query_id, list(m ORDER BY pos) AS qv FROM c GROUP BY label),
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vv FROM embeddings),
 s AS (SELECT query_id, vec_id,
              round(list_dot_product(qv, vv) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(vv, vv))), 6) AS score
@@ -134,8 +138,12 @@ s AS (SELECT query_id, vec_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""", ("K4", "T3"))
 def q_vector_topk(spark, sf):
+    """Nearest vectors to each label's centroid (the query batch is derived from the table)."""
     e = t(spark, sf, "embeddings")
-    queries = e.filter(F.col("vec_id") < 10).select(F.col("vec_id").alias("query_id"), "embedding")
+    parts = e.select("label", F.posexplode("embedding").alias("pos", "val"))
+    cent = parts.groupBy("label", "pos").agg(F.avg(F.col("val").cast("double")).alias("m"))
+    queries = cent.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_c")).select(
+        F.col("label").cast("long").alias("query_id"), F.transform("_c", lambda x: x["m"]).alias("embedding"))
     return S.vector_topk(e, "vec_id", "embedding", queries, "query_id", "embedding", k=10)
 
 
