@@ -38,7 +38,7 @@ def q_stream_keep_latest(spark, sf):
     q = ST.stream_keep_latest(_source(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ("l_shipdate",),
                               out, ck, deleted=lambda: F.col("l_returnflag") == "R")
     q.awaitTermination()
-    return ST.VersionedTable(spark, out).read()
+    return ST.BucketedTable(spark, out, ["l_orderkey", "l_linenumber"]).read()
 
 
 @query("stream_immutable", "SELECT * FROM events", ("ST2",))
@@ -61,7 +61,7 @@ def q_stream_scd2(spark, sf):
         .otherwise("UPDATE").alias("_OPERATION"))
     q = ST.stream_scd2(src, ["user_id"], "ts", ["event_type"], out, ck, op_col="_OPERATION", seq="event_id")
     q.awaitTermination()
-    return ST.VersionedTable(spark, out).read().select(
+    return ST.BucketedTable(spark, out, ["user_id"]).read().select(
         "user_id", "event_id", "event_type", "EFFECTIVE_FROM", "EFFECTIVE_TO", "IS_CURRENT", "IS_DELETED")
 
 
@@ -75,4 +75,4 @@ def q_stream_aggregate(spark, sf):
         "n_events": lambda: F.count(F.lit(1)),
         "total_value": lambda: F.sum(F.col("value").cast("decimal(18,4)")).cast("double")}, "1 hour", out, ck)
     q.awaitTermination()
-    return ST.VersionedTable(spark, out).read()
+    return ST.BucketedTable(spark, out, ["window_start", "event_type"]).read()

@@ -6,10 +6,14 @@
 * ``stream_aggregate`` (ST4): windowed aggregation with a watermark, upserted by window.
 * ``refresh_stream`` (SNK3): the generic lag-refreshed target.
 
-Parquet has no MERGE, so a merged target is written as a new version directory per
-micro-batch and published with a ``_committed_<batch_id>`` marker (one small file,
-created after the data is complete). A replayed batch whose marker exists is skipped,
-which makes ``foreachBatch`` idempotent across executor or driver restarts.
+Parquet has no MERGE, so a merged target is a Parquet table partitioned by a hash
+bucket of its key. A micro-batch reads only the buckets its keys fall into (partition
+pruning), merges them with the batch, materialises the result (reliable checkpoint, so
+the target is never read and overwritten by the same job) and replaces just those
+partitions with Spark's dynamic partition overwrite; a ``_committed_<batch_id>``
+marker is written last. A replayed batch whose marker exists is skipped; one replayed
+after a partial overwrite re-merges idempotently (keep-latest and upserts are
+idempotent, SCD2 ignores changes not newer than the stored history).
 """
 
 from __future__ import annotations
@@ -23,49 +27,64 @@ from pyspark.sql.streaming import StreamingQuery
 
 from alloy.operators.dedup import keep_latest
 from alloy.operators.scd2 import scd2, scd2_apply
+from alloy.session import cut_lineage
 
 MARKER = "_committed_"
+BUCKET = "_bucket"
+DEFAULT_BUCKETS = 64
 # fixed refresh lags offered for continuously refreshed targets
 LAGS = {"1 minute": "1 minute", "5 minutes": "5 minutes", "1 hour": "1 hour", "1 day": "1 day"}
 
 
-class VersionedTable:
-    """Directory of immutable versions ``v=<n>/`` plus commit markers."""
+class BucketedTable:
+    """Merge target: ``<root>/data`` partitioned by ``_bucket = pmod(xxhash64(keys), n)``
+    plus ``<root>/_committed_<batch_id>`` markers."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], buckets: int = DEFAULT_BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self.data = f"{self.root}/data"
+        self.keys = list(keys)
+        self.buckets = buckets
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
+    def bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    def committed_batches(self) -> list[int]:
         p = self._path(self.root)
         if not self.fs.exists(p):
             return []
-        out = []
-        for st in self.fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith(MARKER):
-                out.append(int(name[len(MARKER):]))
-        return sorted(out)
+        return sorted(int(st.getPath().getName()[len(MARKER):]) for st in self.fs.listStatus(p)
+                      if st.getPath().getName().startswith(MARKER))
 
-    def current_version(self) -> int | None:
-        v = self._versions()
-        return v[-1] if v else None
+    def committed(self, batch_id: int) -> bool:
+        return self.fs.exists(self._path(f"{self.root}/{MARKER}{batch_id}"))
 
     def read(self) -> DataFrame | None:
-        v = self.current_version()
-        return None if v is None else self.spark.read.parquet(f"{self.root}/v={v}")
-
-    def committed(self, version: int) -> bool:
-        return self.fs.exists(self._path(f"{self.root}/{MARKER}{version}"))
-
-    def commit(self, df: DataFrame, version: int) -> None:
-        if self.committed(version):
+        if not self.fs.exists(self._path(self.data)):
+            return None
+        return self.spark.read.parquet(self.data).drop(BUCKET)
+
+    def touched(self, batch: DataFrame) -> list[int]:
+        """Bucket ids of a batch's keys (at most ``buckets`` small numbers)."""
+        return [r[0] for r in batch.select(self.bucket().alias("b")).distinct().collect()]
+
+    def read_buckets(self, ids: list[int]) -> DataFrame | None:
+        if not self.fs.exists(self._path(self.data)):
+            return None
+        return self.spark.read.parquet(self.data).filter(F.col(BUCKET).isin(ids)).drop(BUCKET)
+
+    def commit(self, rows: DataFrame, batch_id: int) -> None:
+        """Replace the partitions of the buckets present in ``rows`` (their full new
+        content), then publish the batch marker."""
+        if self.committed(batch_id):
             return
-        df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        self.fs.create(self._path(f"{self.root}/{MARKER}{version}"), True).close()
+        staged = cut_lineage(rows.withColumn(BUCKET, self.bucket()))
+        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(BUCKET).parquet(self.data))
+        self.fs.create(self._path(f"{self.root}/{MARKER}{batch_id}"), True).close()
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -95,20 +114,13 @@ def stream_keep_latest(src: DataFrame, keys: Sequence[str], order_cols: Sequence
     spark = src.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        table = VersionedTable(spark, target)
+        table = BucketedTable(spark, target, keys)
         if table.committed(batch_id):
             return
         flag = deleted() if deleted else None
-        cur = table.read()
-        if cur is None:
-            new = keep_latest(batch, keys, order_cols, flag)
-        else:
-            touched = batch.select(*keys).distinct()
-            untouched = cur.join(touched, list(keys), "left_anti").select(*cur.columns)
-            redo = keep_latest(cur.join(touched, list(keys), "left_semi").select(*cur.columns)
-                               .unionByName(batch.select(*cur.columns)), keys, order_cols, flag)
-            new = untouched.unionByName(redo)
-        table.commit(new, batch_id)
+        cur = table.read_buckets(table.touched(batch))
+        rows = batch if cur is None else cur.unionByName(batch.select(*cur.columns))
+        table.commit(keep_latest(rows, keys, order_cols, flag), batch_id)
 
     return _start(src, checkpoint, trigger, merge)
 
@@ -120,12 +132,12 @@ def stream_scd2(src: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[
     spark = src.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        table = VersionedTable(spark, target)
+        table = BucketedTable(spark, target, keys)
         if table.committed(batch_id):
             return
-        cur = table.read()
+        cur = table.read_buckets(table.touched(batch))
         new = (scd2(batch, keys, ts, tracked, op_col, seq=seq) if cur is None
-               else scd2_apply(cur, batch, keys, ts, tracked, op_col, seq=seq))
+               else scd2_apply(cur, batch, keys, ts, tracked, op_col, seq=seq, only_newer=True))
         table.commit(new, batch_id)
 
     return _start(src, checkpoint, trigger, merge)
@@ -152,12 +164,12 @@ def stream_aggregate(src: DataFrame, ts: str, window: str, dims: Sequence[str],
     key = ["window_start", *dims]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        table = VersionedTable(spark, target)
+        table = BucketedTable(spark, target, key)
         if table.committed(batch_id):
             return
-        cur = table.read()
-        new = batch if cur is None else cur.join(batch.select(*key), key, "left_anti").select(*cur.columns) \
-            .unionByName(batch)
+        cur = table.read_buckets(table.touched(batch))
+        new = batch if cur is None else \
+            cur.join(batch.select(*key), key, "left_anti").select(*cur.columns).unionByName(batch)
         table.commit(new, batch_id)
 
     return _start(agg, checkpoint, trigger, merge)
@@ -171,13 +183,13 @@ def refresh_stream(src: DataFrame, transform: Callable[[DataFrame], DataFrame],
     trigger = LAGS.get(lag, lag) if lag else None
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        table = VersionedTable(spark, target)
+        table = BucketedTable(spark, target, keys)
         if table.committed(batch_id):
             return
         out = transform(batch)
-        cur = table.read()
-        new = out if cur is None else cur.join(out.select(*keys), list(keys), "left_anti").select(*cur.columns) \
-            .unionByName(out)
+        cur = table.read_buckets(table.touched(out))
+        new = out if cur is None else \
+            cur.join(out.select(*keys), list(keys), "left_anti").select(*cur.columns).unionByName(out)
         table.commit(new, batch_id)
 
     return _start(src, checkpoint, trigger, merge)
