@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from alloy.functions.columns import canonical_text
 from alloy.operators.filters import exclusion_flag
 from alloy.operators.joins import resolve_merge_targets
+from alloy.session import broadcast_if_small
 
 TOLERANCE = 0.01  # fixed: 1 % row-count tolerance
 
@@ -142,7 +143,7 @@ def reconcile_routes(silver: DataFrame, gold: DataFrame, rules: DataFrame, value
     r = resolve_merge_targets(rules)
     ex = r.select(F.upper("value").alias("_v"), F.col("exclusions").alias("_ex"))
     s = (silver.select(F.upper(F.col(value_col)).alias("_v"), F.col(category_col).alias("_c"))
-         .join(F.broadcast(ex), "_v", "inner")
+         .join(broadcast_if_small(ex), "_v", "inner")
          .groupBy("_v").agg(F.count(F.lit(1)).alias("silver_rows"),
                             F.count_if(exclusion_flag(F.col("_c"), F.col("_ex"))).alias("excluded_rows")))
     g = gold.groupBy(F.col(table_col).alias("_gt")).agg(F.count(F.lit(1)).alias("gold_rows"))
