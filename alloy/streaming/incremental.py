@@ -76,13 +76,18 @@ class BucketedTable:
             return None
         return self.spark.read.parquet(self.data).filter(F.col(BUCKET).isin(ids)).drop(BUCKET)
 
-    def commit(self, rows: DataFrame, batch_id: int) -> None:
+    def commit(self, rows: DataFrame, batch_id: int, reads_target: bool = True) -> None:
         """Replace the partitions of the buckets present in ``rows`` (their full new
-        content), then publish the batch marker."""
+        content), then publish the batch marker. ``rows`` is materialised first when it
+        was derived from the target itself (a job may not read and overwrite one path)."""
         if self.committed(batch_id):
             return
-        staged = cut_lineage(rows.withColumn(BUCKET, self.bucket()))
-        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        staged = rows.withColumn(BUCKET, self.bucket())
+        if reads_target:
+            staged = cut_lineage(staged)
+        # one writer task per bucket -> one file per replaced partition (size the bucket
+        # count so a bucket stays around a file's worth of data at the target scale)
+        (staged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(BUCKET).parquet(self.data))
         self.fs.create(self._path(f"{self.root}/{MARKER}{batch_id}"), True).close()
 
@@ -120,7 +125,7 @@ def stream_keep_latest(src: DataFrame, keys: Sequence[str], order_cols: Sequence
         flag = deleted() if deleted else None
         cur = table.read_buckets(table.touched(batch))
         rows = batch if cur is None else cur.unionByName(batch.select(*cur.columns))
-        table.commit(keep_latest(rows, keys, order_cols, flag), batch_id)
+        table.commit(keep_latest(rows, keys, order_cols, flag), batch_id, reads_target=cur is not None)
 
     return _start(src, checkpoint, trigger, merge)
 
@@ -138,7 +143,7 @@ def stream_scd2(src: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[
         cur = table.read_buckets(table.touched(batch))
         new = (scd2(batch, keys, ts, tracked, op_col, seq=seq) if cur is None
                else scd2_apply(cur, batch, keys, ts, tracked, op_col, seq=seq, only_newer=True))
-        table.commit(new, batch_id)
+        table.commit(new, batch_id, reads_target=cur is not None)
 
     return _start(src, checkpoint, trigger, merge)
 
@@ -170,7 +175,7 @@ def stream_aggregate(src: DataFrame, ts: str, window: str, dims: Sequence[str],
         cur = table.read_buckets(table.touched(batch))
         new = batch if cur is None else \
             cur.join(batch.select(*key), key, "left_anti").select(*cur.columns).unionByName(batch)
-        table.commit(new, batch_id)
+        table.commit(new, batch_id, reads_target=cur is not None)
 
     return _start(agg, checkpoint, trigger, merge)
 
@@ -190,6 +195,6 @@ def refresh_stream(src: DataFrame, transform: Callable[[DataFrame], DataFrame],
         cur = table.read_buckets(table.touched(out))
         new = out if cur is None else \
             cur.join(out.select(*keys), list(keys), "left_anti").select(*cur.columns).unionByName(out)
-        table.commit(new, batch_id)
+        table.commit(new, batch_id, reads_target=cur is not None)
 
     return _start(src, checkpoint, trigger, merge)
