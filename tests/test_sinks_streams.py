@@ -179,3 +179,19 @@ def test_scd2_apply_replay_is_idempotent(spark):
     full = scd2(x, *args, seq="event_id")
     assert sorted(once.collect()) == sorted(full.collect())
     assert sorted(twice.collect()) == sorted(full.collect())
+
+
+def test_refresh_stream_upserts_per_batch(spark, tmp):
+    from alloy.operators.dedup import Order, keep_one
+    e = _split_events(spark, tmp)
+    src = ST.parquet_stream(spark, f"{tmp}/events", e.schema, max_files_per_trigger=1)
+
+    def latest_state(batch):
+        return keep_one(batch.select("user_id", "ts", "event_id", "event_type"), ["user_id"],
+                        [Order("ts", desc=True)])
+
+    q = ST.refresh_stream(src, latest_state, ["user_id"], f"{tmp}/out", f"{tmp}/ck")   # lag None = available now
+    q.awaitTermination()
+    got = ST.BucketedTable(spark, f"{tmp}/out", ["user_id"]).read()
+    want = latest_state(e)
+    assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
