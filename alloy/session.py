@@ -14,23 +14,31 @@ DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 def build_session(master: str | None = None, app: str = "alloy",
                   shuffle_partitions: int | None = None) -> SparkSession:
-    """Session with AQE, skew-join and UTC time; UI off (no server/port beyond Spark's own)."""
+    """Session with AQE, skew-join and UTC time; UI off (no server/port beyond Spark's own).
+
+    On a cluster (no ``local`` master) the cluster's own sizing wins: shuffle partitions
+    and driver memory are only set for local runs or when passed explicitly. With AQE
+    on, a high shuffle-partition count is coalesced at run time, so clusters should set
+    it for their largest stage (e.g. input bytes / 128 MB).
+    """
     builder = SparkSession.builder.appName(app)
+    local = master is None or master.startswith("local")
     if master:
         builder = builder.master(master)
-    cores = os.cpu_count() or 8
     builder = (
         builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("ALLOY_DRIVER_MEMORY", "16g"))
     )
+    if shuffle_partitions or local:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or os.cpu_count() or 8))
+    if local:
+        builder = builder.config("spark.driver.memory", os.environ.get("ALLOY_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
