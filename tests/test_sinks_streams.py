@@ -131,7 +131,7 @@ def test_stream_aggregate_multi_batch_equals_batch(spark, tmp):
 
 
 # ---- goldens from the reference's fixtures (FIXTURES.md A5, A2) ------------------------
-def test_marketbasket_routing_goldens(spark):
+def test_routing_goldens_three_rules(spark):
     ids = spark.range(1, 40001).withColumnRenamed("id", "product_id")
     banner = F.element_at(F.array(*[F.lit(x) for x in ("standard", "express", "premium")]),
                           (F.col("product_id") % 3 + 1).cast("int"))
@@ -151,7 +151,7 @@ def test_marketbasket_routing_goldens(spark):
                    "premium": (13_266, 1_895, 11_371, "PASS")}
 
 
-def test_dashmart_completeness_goldens(spark):
+def test_completeness_goldens_five_provinces(spark):
     ids = spark.range(0, 18200)
     prov = F.element_at(F.array(*[F.lit(x) for x in ("ON", "QC", "BC", "AB", "MB")]), (F.col("id") % 5 + 1).cast("int"))
     df = ids.select(prov.alias("province"), F.when(F.col("id") % 5 == 1, F.lit("nom")).alias("name_fr"),
