@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from alloy.operators.dedup import Order, keep_one
 from alloy.operators.windows import with_neighbors
-from alloy.session import cut_lineage
 
 FROM, TO, CURRENT, DELETED = "EFFECTIVE_FROM", "EFFECTIVE_TO", "IS_CURRENT", "IS_DELETED"
 
@@ -51,44 +50,29 @@ def scd2(df: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[str],
 
 def scd2_apply(current: DataFrame, changes: DataFrame, keys: Sequence[str], ts: str,
                tracked: Sequence[str], op_col: str | None = None, seq: str | None = None,
-               bucket_seconds: int = 3_600, delete_value: str = "DELETE",
-               only_newer: bool = False) -> DataFrame:
+               bucket_seconds: int = 3_600, delete_value: str = "DELETE") -> DataFrame:
     """Incremental SCD2: re-derive only the keys touched by ``changes``.
 
-    The last version of each touched key (open or a final delete) seeds the history,
-    so its EFFECTIVE_TO is closed by the first change; untouched keys pass through.
-    Equals a full rebuild when every change is later than the stored history. With
-    ``only_newer`` changes not later than the key's stored history are ignored, which
-    makes a replayed micro-batch a no-op.
+    A key's stored versions are its surviving events (deletes included); events that did
+    not survive cannot change the decisions for later events, so re-running ``scd2`` over
+    (stored versions of the touched keys + the changes) equals a full rebuild when the
+    changes do not precede the key's stored history, and re-applying the same changes is
+    a no-op (replays). Changes older than the stored history may need events that were
+    dropped earlier (a leading delete), so late history needs a rebuild of those keys.
+    Untouched keys pass through unchanged.
     """
-    base_cols = [c for c in current.columns if c not in (FROM, TO, CURRENT)]
+    base_cols = [c for c in current.columns if c not in (FROM, TO, CURRENT, DELETED)]
     touched = changes.select(*keys).distinct()
-    cur_touched = current.join(touched, list(keys), "left_semi").select(*current.columns)
+    cur_touched = current.join(touched, list(keys), "left_semi")
     untouched = current.join(touched, list(keys), "left_anti").select(*current.columns)
-    last = keep_one(cur_touched, keys, [Order(FROM, desc=True)])
-    if only_newer:
-        # a key whose changes are all old keeps its history (the seed re-derives to itself)
-        newest = last.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col(FROM).alias("_lf"))
-        cond = None
-        for k in keys:
-            part = F.col(k) == F.col(f"_n_{k}")
-            cond = part if cond is None else cond & part
-        # materialised: the filtered changes would otherwise share lineage with ``current``,
-        # which both sides of the joins below read
-        changes = cut_lineage(changes.join(newest, cond, "left")
-                              .filter(F.col("_lf").isNull() | (F.col(ts) > F.col("_lf"))).select(*changes.columns))
-    # everything before the last version stays; a final delete stays too (it is closed
-    # already) and only serves as the predecessor of the changes below
-    closed = cur_touched.join(last.select(*keys, F.col(FROM).alias("_lf"), F.col(DELETED).alias("_ld")),
-                              list(keys), "inner") \
-        .filter((F.col(FROM) != F.col("_lf")) | F.col("_ld")).select(*current.columns)
-    if op_col and op_col in last.columns:
-        # a stored delete version must stay a delete when it seeds the re-derivation
-        last = last.withColumn(op_col, F.when(F.col(DELETED), F.lit(delete_value)).otherwise(F.col(op_col)))
-    seed = last.select(*[c for c in base_cols if c != DELETED])
-    fresh = scd2(seed.unionByName(changes.select(*seed.columns)), keys, ts, tracked, op_col,
-                 delete_value=delete_value, seq=seq, bucket_seconds=bucket_seconds)
-    return untouched.unionByName(closed).unionByName(fresh.select(*current.columns))
+    stored = cur_touched
+    if op_col and op_col in current.columns:
+        # a stored delete version is replayed as a delete event
+        stored = stored.withColumn(op_col, F.when(F.col(DELETED), F.lit(delete_value)).otherwise(F.col(op_col)))
+    events = stored.select(*base_cols).unionByName(changes.select(*base_cols))
+    fresh = scd2(events, keys, ts, tracked, op_col, delete_value=delete_value, seq=seq,
+                 bucket_seconds=bucket_seconds)
+    return untouched.unionByName(fresh.select(*current.columns))
 
 
 def flatten_and_type(df: DataFrame, col: str, schema: T.StructType | str | None = None,

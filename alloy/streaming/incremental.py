@@ -13,7 +13,7 @@ the target is never read and overwritten by the same job) and replaces just thos
 partitions with Spark's dynamic partition overwrite; a ``_committed_<batch_id>``
 marker is written last. A replayed batch whose marker exists is skipped; one replayed
 after a partial overwrite re-merges idempotently (keep-latest and upserts are
-idempotent, SCD2 ignores changes not newer than the stored history).
+idempotent, and SCD2 re-derives touched keys from their stored versions).
 """
 
 from __future__ import annotations
@@ -142,7 +142,7 @@ def stream_scd2(src: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[
             return
         cur = table.read_buckets(table.touched(batch))
         new = (scd2(batch, keys, ts, tracked, op_col, seq=seq) if cur is None
-               else scd2_apply(cur, batch, keys, ts, tracked, op_col, seq=seq, only_newer=True))
+               else scd2_apply(cur, batch, keys, ts, tracked, op_col, seq=seq))
         table.commit(new, batch_id, reads_target=cur is not None)
 
     return _start(src, checkpoint, trigger, merge)

@@ -174,8 +174,8 @@ def test_scd2_apply_replay_is_idempotent(spark):
     from alloy.session import cut_lineage
     # materialised between applications, as the stream does (it reads the target files)
     first = cut_lineage(scd2(early, *args, seq="event_id"))
-    once = cut_lineage(scd2_apply(first, late, *args, seq="event_id", only_newer=True))
-    twice = scd2_apply(once, late, *args, seq="event_id", only_newer=True)
+    once = cut_lineage(scd2_apply(first, late, *args, seq="event_id"))
+    twice = scd2_apply(once, late, *args, seq="event_id")
     full = scd2(x, *args, seq="event_id")
     assert sorted(once.collect()) == sorted(full.collect())
     assert sorted(twice.collect()) == sorted(full.collect())
