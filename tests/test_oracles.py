@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from alloy.plans import REGISTRY
 from tests.conftest import SF_SMALL
 from tests.oracle_harness import compare, duck
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {name: fn for name, fn in entry.queries().items() if name in REGISTRY}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in REGISTRY}
 
 
 @pytest.fixture(scope="module")
