@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,9 @@ from alloy.llm.common import coded, text_or_empty, text_slices, worker_cached
 CACHE_WORDS, CACHE_ARCS = 300_000, 2_000_000
 #: fixed value: the word pattern of byte-level BPE
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: the same without the letters and numbers that the tokenizers library does not know yet
+OLDER_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}--[NEWER]]+| ?[\p{N}--[NEWER]]+| ?(?:[^\s\p{L}\p{N}]|[NEWER])+"
+                 r"|\s+(?!\S)|\s+")
 #: RE2: texts whose words are not just the parts between single spaces
 IRREGULAR = (r"[\s\x0b]{2}|^[\s\x0b]|[\s\x0b]$|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
              r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
@@ -47,65 +51,67 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def newer_letters() -> str:
+    """Letters and numbers of the regex module that the tokenizers library, whose Unicode tables
+    are older, does not take for such. Both know what Python's tables know."""
+    from tokenizers.pre_tokenizers import ByteLevel
+    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    new = [c for c in regex.findall(r"[\p{L}\p{N}]", everything) if unicodedata.category(c) == "Cn"]
+    # a letter joins the letter before it, a number the digit before it
+    line = "\n".join(f"a{c}\n1{c}" for c in new)
+    ends = {end for _, (_, end) in ByteLevel(add_prefix_space=False).pre_tokenize_str(line)}
+    return "".join(c for i, c in enumerate(new) if {6 * i + 1, 6 * i + 4} <= ends)
+
+
 class TokenAutomaton:
     """Compiled from ``labels`` (token id -> bytes) and ``merges`` (pairs of ids, by rank)."""
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int]]):
         self.labels = labels
         self.token = {label: t for t, label in labels.items()}
-        self.parent, self.cut, self.born = [ROOT], [-1], [-1]  # by state
+        # by state: its parent, the arc it lacks, the rank of its merge, the token whose arcs it ends
+        self.parent, self.cut, self.born, self.owner = [ROOT], [-1], [-1], [-1]
         self.target = dict.fromkeys(labels, ROOT)  # by token
+        self.before: dict[int, int] = {}  # by token: its target before the first split
         self.made: dict[int, int] = {}
         self.first: dict[int, int] = {}
+        self.cuts: dict[tuple[int, int], int] = {}
+        self.lines: dict[int, tuple[tuple[int, int], ...]] = {}
         live = {t for t, label in labels.items() if len(label) == 1}
         for rank, (u, v) in enumerate(merges):
             w = self.token.get(labels[u] + labels[v])
-            if w is not None and u in live and v in live and w not in live:
+            # no gadget where u is never followed by v any more: w is not made this way
+            if w is not None and u in live and v in live and w not in live and self.find_arc(self.target[u], v):
                 self.gadget(rank, u, v, w)
                 live.add(w)
-        # cuts of one token's arc, so that a look-up does not walk all splits of a state
         self.read = {self.labels[t]: t for t in live}
         self.size = {t: len(label) for t, label in labels.items()}
         self.steps, self.ends = self.spelling()
         self.arcs: dict[int, bool] = {}
-        self.spans: dict[int, tuple[tuple[int, int], ...]] = {}
-        self.cuts = {(self.owner[s], self.cut[s]): self.born[s] for s in range(1, len(self.cut))}
-
-    owner: dict[int, int]
 
     def gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        if not hasattr(self, "owner"):
-            self.owner = {}
         self.made[w], self.first[w] = rank, u
         self.target[w] = self.target[v]
-        self.owner[len(self.parent)] = u
+        self.before.setdefault(u, self.target[u])
         self.parent.append(self.target[u])
         self.cut.append(v)
         self.born.append(rank)
+        self.owner.append(u)
+        self.cuts[u, v] = rank
         self.target[u] = len(self.parent) - 1
 
     def line(self, state: int) -> tuple[tuple[int, int], ...]:
         """The ancestry of a state as (token whose arcs it ends, rank of its last split): the
         splits of one token follow each other, so one entry stands for all of them."""
-        found = self.spans.get(state)
+        found = self.lines.get(state)
         if found is None:
             out, s = [], state
             while s != ROOT:
-                token = self.owner[s]
-                out.append((token, self.born[s]))
-                # back over all splits of this token to the state that it led to when made
-                s = self.base(token)
-            found = self.spans[state] = tuple(out)
+                out.append((self.owner[s], self.born[s]))
+                s = self.before[self.owner[s]]
+            found = self.lines[state] = tuple(out)
         return found
 
-    def base(self, token: int) -> int:
-        """Where the token led before its own first split."""
-        if not hasattr(self, "bases"):
-            self.bases: dict[int, int] = {}
-            for s in range(1, len(self.parent)):
-                self.bases.setdefault(self.owner[s], self.parent[s])
-        return self.bases.get(token, ROOT)
-
     def spelling(self) -> tuple[dict[int, int], list[int]]:
         """Table (place * 256 + byte) -> next place over the spellings of the tokens, and the
         token that ends at each place (-1: none)."""
@@ -125,7 +131,7 @@ class TokenAutomaton:
     def find_arc(self, state: int, token: int) -> bool:
         # a token's arc was copied from its first part's when it was made; a split cut it if
         # it came later than the token and not later than the rest of the way allows
-        limit = len(self.made) + len(self.parent) + (1 << 40)
+        limit = 1 << 40
         while True:
             for owner, last in self.line(state):
                 rank = self.cuts.get((owner, token))
@@ -194,6 +200,9 @@ class BpeCodec:
         self.added = added
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.words = regex.compile(WORD_PATTERN)
+        newer = newer_letters() or "\0"
+        self.newer = regex.compile(f"[{newer}]")
+        self.older_words = regex.compile(OLDER_PATTERN.replace("NEWER", newer), regex.V1)
         self.seen: dict[str, list[int]] = {}
         self.known: dict[str, tuple[str, int, bytes]] = {}
 
@@ -205,11 +214,15 @@ class BpeCodec:
             found = self.seen[word] = self.automaton.encode(word.encode())
         return found
 
+    def split(self, text: str) -> list[str]:
+        words = self.words if text.isascii() or not self.newer.search(text) else self.older_words
+        return words.findall(text)
+
     def part(self, part: str) -> tuple[str, int, bytes]:
         """Decimal ids joined by commas, their number, and the decoded bytes."""
         found = self.known.get(part)
         if found is None:
-            ids = [i for w in self.words.findall(part) for i in self.word(w)]
+            ids = [i for w in self.split(part) for i in self.word(w)]
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
             found = self.known[part] = (",".join(map(str, ids)), len(ids), self.automaton.decode(ids))
@@ -221,7 +234,7 @@ class BpeCodec:
             if i % 2:
                 ids.append(self.added[piece])
             else:
-                for w in self.words.findall(piece):
+                for w in self.split(piece):
                     ids += self.word(w)
         return ids
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from alloy.llm.common import table
 
 #: kinds of token files that the queries use; their place is the tokenizers package's
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, BYTE_RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
 def vocabulary(name: str) -> str:
@@ -38,10 +39,63 @@ def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
+def op1_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how like they are."""
+    from alloy.llm.fingerprint import compare_edited
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from alloy.llm.style_tree import extract
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, counted by base kind and written out."""
+    from alloy.llm.secret_scan import KINDS, find_secrets, written
+    found = find_secrets(table(spark, sf_dir, "documents"), vocabulary(BYTE_RANKS))
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:3]))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels of ids that are not held out."""
+    from alloy.llm.quality_rank import fit, score
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), train=~held_out())
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stay when repeated passages go."""
+    from alloy.llm.substring_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    from alloy.llm.near_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document under a model of the whole corpus."""
+    from alloy.llm.pseudo_lm import fit, score
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_digest_index": op3_digest_index,
-    "op6_bpe_automaton": op6_bpe_automaton,
-    "op9_sum_of_squares": op9_sum_of_squares,
+    fn.__name__: fn
+    for fn in (op1_piecewise_hash, op2_style_tree, op3_digest_index, op4_token_efficiency, op5_pairwise_quality, op6_bpe_automaton,
+               op7_fm_index, op8_chosen_path, op9_sum_of_squares, op10_pseudo_likelihood)
 }
 
 ORACLES: dict[str, str] = {
