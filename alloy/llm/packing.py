@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alloy.llm.bpe_automaton import byte_letters
 from alloy.llm.common import space_words, staged, text_or_empty, text_slices, worker_cached
 
 CAPACITY = 2048
 SHARD_PIECES = 10_000
 GOOD_FILL = 0.98
 #: chunks that a worker remembers
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, fill long"
 
@@ -47,34 +48,43 @@ class ChunkIds(dict):
         self.tokenizer.no_padding()
         self.model, self.normalizer, self.splitter = (self.tokenizer.model, self.tokenizer.normalizer,
                                                       self.tokenizer.pre_tokenizer)
-        self.plain = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-                                  or "(?!)")
-        self.pieces: dict[str, list[int]] = {}
-
-    def piece(self, piece: str) -> list[int]:
+        self.special = list(self.tokenizer.get_added_tokens_decoder().values())
+        # visible ASCII and the letters of Latin-1 and Latin Extended-A, but for the one that
+        # two characters stand for in lower case
+        self.latin = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+        self.words = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one word of the splitter, in the letters of byte-level vocabularies."""
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = [t.id for t in self.model.tokenize(piece)]
+            found = [t.id for t in self.model.tokenize(piece)]
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
-            self.pieces[piece] = ids
+            ids = self.pieces[piece] = pack(f"<{len(found)}I", *found)
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.special.search(chunk):
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        elif chunk.isascii() and chunk.isprintable() and "'" not in chunk:
-            # normalising only lower-cases, and letters, digits and the rest part
-            ids = [i for p in self.plain.findall(chunk.lower()) for i in (self.pieces.get(p) or self.piece(p))]
+        if chunk.isascii() and chunk.isalpha():  # one word, which normalising only lower-cases
+            ids = self.piece(chunk.lower())
+        elif self.latin.fullmatch(chunk) and "'" not in chunk and "<|" not in chunk:
+            # normalising only lower-cases; runs of letters, digits, and runs of the rest are words
+            words = self.words.findall(chunk.lower())
+            if not chunk.isascii():
+                words = [w.encode().decode("latin-1").translate(self.letters) for w in words]
+            ids = b"".join(map(self.piece, words))
+        elif any(t.content in chunk for t in self.special):
+            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            ids = pack(f"<{len(found)}I", *found)
         else:
             split = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))
-            ids = [i for p, _ in split for i in self.piece(p)]
-        packed = pack(f"<{len(ids)}I", *ids)
+            ids = b"".join(self.piece(p) for p, _ in split)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[chunk] = packed
-        return packed
+        self[chunk] = ids
+        return ids
 
     def documents(self, texts: pa.Array, closing: int) -> Iterator[bytes]:
         """The ids of each text and the closing id."""

@@ -5,7 +5,8 @@ role from the body). A node's importance is the entropy, to the base of the numb
 that have it, of what the pages show there: the texts at a content node, the sequences of
 children at a presentation node. Noise repeats, so its entropy is low. A branch's composite
 importance is the mean over the nodes below it, weighted by pages and by 0.9 for each level;
-branches below ``LEAST_IMPORTANCE`` go from every page of the host. Pages of a host with
+branches that are under ``LEAST_IMPORTANCE`` with all that is below them go from every page of
+the host. Pages of a host with
 identical text count once.
 
 Hosts may have one page only, and menus or adverts may differ on every page; entropy says
@@ -243,16 +244,21 @@ def noise_branches(pages: DataFrame) -> DataFrame:
     counts = seen.groupBy("host", "path", "shown").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
-    # every node counts for itself and for each branch above it
-    parts = F.split("path", ">")
-    nodes = nodes.withColumn("importance", entropy).withColumn("parts", parts).select(
-        "host", "path", "m", "importance", "parts", F.explode(F.sequence(F.lit(2), F.size("parts"))).alias("depth"))
-    branch = F.array_join(F.slice("parts", 1, F.col("depth")), ">")
+    nodes = nodes.withColumn("importance", entropy).select("host", "m", "importance", F.col("path").alias("below"))
+
+    def by_branch(rows: DataFrame) -> DataFrame:
+        """A row for each branch that ``below`` is in, itself among them."""
+        parts = F.split("below", ">")
+        deep = rows.withColumn("parts", parts).withColumn("depth", F.explode(F.sequence(F.lit(2), F.size("parts"))))
+        return deep.withColumn("branch", F.array_join(F.slice("parts", 1, F.col("depth")), ">"))
+
     weight = F.col("m") * F.pow(F.lit(LEVEL_WEIGHT), F.size("parts") - F.col("depth"))
-    branches = (nodes.select("host", branch.alias("branch"), "m", "importance", weight.alias("w"))
-                .groupBy("host", "branch")
-                .agg((F.sum(F.col("w") * F.col("importance")) / F.sum("w")).alias("importance"), F.max("m").alias("m")))
-    low = branches.filter((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    composite = (by_branch(nodes).withColumn("w", weight).groupBy("host", "branch")
+                 .agg((F.sum(F.col("w") * F.col("importance")) / F.sum("w")).alias("importance"), F.max("m").alias("m")))
+    # a branch is noise if it and all branches below it are unimportant
+    low = (by_branch(composite.withColumnRenamed("branch", "below")).groupBy("host", "branch")
+           .agg(F.max("importance").alias("importance"), F.max("m").alias("m"))
+           .filter((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)))
     return low.groupBy("host").agg(F.sort_array(F.collect_set("branch")).alias("noise"))
 
 
