@@ -208,12 +208,14 @@ def main_text(source: str, noise: frozenset[str] = frozenset()) -> str:
 
 
 def page_features(source: str) -> tuple[int, list[tuple[str, int]]]:
-    """A hash of the page's whole text, and for each element path without a fixed importance
-    what the page shows there."""
+    """A hash of the page's whole text, and for each element path that is not noise by its
+    label what the page shows there (content branches as a whole)."""
     page = parse(source)
     shown: dict[str, list[str]] = {}
     for path, inside, text in page.blocks:
-        if not inside and not is_noise(path):
+        if not is_noise(path):
+            if inside:
+                path = path[:(path.find(">", path.find(f">{CONTENT}") + 1) + 1 or len(path) + 1) - 1]
             shown.setdefault(path, []).append(text)
     for path, shape in page.shapes.items():
         if path and path not in shown and not is_noise(path) and f">{CONTENT}" not in path:
@@ -244,6 +246,7 @@ def noise_branches(pages: DataFrame) -> DataFrame:
     counts = seen.groupBy("host", "path", "shown").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
+    entropy = F.when(F.contains("path", F.lit(f">{CONTENT}")), F.lit(1.0)).otherwise(entropy)
     nodes = nodes.withColumn("importance", entropy).select("host", "m", "importance", F.col("path").alias("below"))
 
     def by_branch(rows: DataFrame) -> DataFrame:
