@@ -241,7 +241,8 @@ def group_pairs(marks: np.ndarray) -> list[tuple[int, int, bool]]:
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets are similar enough; ``texts``: key, packed."""
     rows = (pairs.select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("packed").alias("text_a")), "a")
-            .join(texts.select(F.col("key").alias("b"), F.col("packed").alias("text_b")), "b"))
+            .join(texts.select(F.col("key").alias("b"), F.col("packed").alias("text_b")), "b")
+            .select("a", "b", "text_a", "text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
