@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alloy.llm.common import join_hot, mixed, run_hashes, space_words, staged, text_or_empty, text_slices, word_hashes
+from alloy.llm.common import join_hot, run_hashes, space_words, staged, text_or_empty, text_slices, word_hashes
 
 WINDOW = 13
 GRAM = 4
@@ -331,7 +331,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = docs.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"))
     docs = join_hot(docs, classes, "key", "size", docs.count())
     docs = staged(docs.withColumn("copy", F.coalesce((F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= WINDOW), F.lit(False))), "docs")
-    copies = docs.filter("copy").select("doc_id").distinct()
+    copies = docs.groupBy("doc_id").agg(F.bool_and("copy").alias("copy")).filter("copy").select("doc_id")
 
     def shared(a: DataFrame) -> DataFrame:
         several = (a.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
