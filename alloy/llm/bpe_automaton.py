@@ -11,7 +11,7 @@ transition table.
 
 A word has exactly one accepted path that spells it, its BPE encoding. It is found by
 reading the longest token that fits and stepping back to shorter ones where an arc is
-absent. Decoding emits the labels of the arcs.
+absent; spellings are read through a table too. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from alloy.llm.common import coded, text_or_empty, text_slices, worker_cached
 
-#: words and arcs that a worker remembers
-CACHE_WORDS, CACHE_ARCS = 300_000, 2_000_000
+#: words, parts of texts, and arcs that a worker remembers
+CACHE_WORDS, CACHE_PARTS, CACHE_ARCS = 800_000, 500_000, 2_000_000
 #: fixed value: the word pattern of byte-level BPE
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: the same without the letters and numbers that the tokenizers library does not know yet
@@ -86,7 +86,7 @@ class TokenAutomaton:
                 live.add(w)
         self.read = {self.labels[t]: t for t in live}
         self.size = {t: len(label) for t, label in labels.items()}
-        self.steps, self.ends = self.spelling()
+        self.steps, self.longest, self.shorter = self.spelling()
         self.arcs: dict[int, bool] = {}
 
     def gadget(self, rank: int, u: int, v: int, w: int) -> None:
@@ -112,21 +112,29 @@ class TokenAutomaton:
             found = self.lines[state] = tuple(out)
         return found
 
-    def spelling(self) -> tuple[dict[int, int], list[int]]:
-        """Table (place * 256 + byte) -> next place over the spellings of the tokens, and the
-        token that ends at each place (-1: none)."""
+    def spelling(self) -> tuple[dict[int, int], list[int], dict[int, int]]:
+        """Over the spellings of the tokens: table (place * 256 + byte) -> next place, the longest
+        token on the way to each place (-1: none), and the next shorter one of each token."""
         steps: dict[int, int] = {}
-        ends = [-1]
+        above, longest = [0], [-1]
         for label, token in self.read.items():
             place = 0
             for byte in label:
                 key = place << 8 | byte
-                place = steps.get(key, 0)
-                if not place:
-                    place = steps[key] = len(ends)
-                    ends.append(-1)
-            ends[place] = token
-        return steps, ends
+                if key not in steps:
+                    steps[key] = len(above)
+                    above.append(place)
+                    longest.append(-1)
+                place = steps[key]
+            longest[place] = token
+        shorter = {}
+        for place in range(1, len(above)):  # a place comes after the one above it
+            before = longest[above[place]]
+            if longest[place] >= 0:
+                shorter[longest[place]] = before
+            else:
+                longest[place] = before
+        return steps, longest, shorter
 
     def find_arc(self, state: int, token: int) -> bool:
         # a token's arc was copied from its first part's when it was made; a split cut it if
@@ -143,41 +151,40 @@ class TokenAutomaton:
 
     def encode(self, word: bytes) -> list[int]:
         """Ids of one pre-split word."""
-        step, ends, size, arcs, target = self.steps.get, self.ends, self.size, self.arcs, self.target
+        step, longest, shorter = self.steps.get, self.longest, self.shorter
+        size, arcs, target = self.size, self.arcs, self.target
         out: list[int] = []
-        open_: list[list[int]] = []  # by position of the path: tokens still to try, longest last
         dead: set[int] = set()  # places in the word that no accepted path goes on from
-        start, n, state, tokens = 0, len(word), ROOT, None
+        start, n, state = 0, len(word), ROOT
         while start < n:
-            if tokens is None:
-                tokens, place = [], 0
-                for byte in word[start:]:
-                    place = step(place << 8 | byte)
-                    if place is None:
-                        break
-                    if ends[place] >= 0:
-                        tokens.append(ends[place])
-            while tokens:
-                token = tokens.pop()
-                key = state << 32 | token
-                arc = arcs.get(key)
-                if arc is None:
-                    if len(arcs) >= CACHE_ARCS:
-                        arcs.clear()
-                    arc = arcs[key] = self.find_arc(state, token)
-                if arc and (not dead or start + size[token] not in dead):
-                    out.append(token)
-                    open_.append(tokens)
-                    start += size[token]
-                    state, tokens = target[token], None
+            place = 0
+            for byte in word[start:]:
+                after = step(place << 8 | byte)
+                if after is None:
                     break
-            else:
-                dead.add(start)
-                if not out:
-                    raise ValueError("the vocabulary has no token for some byte")
-                start -= size[out.pop()]
-                tokens = open_.pop()
-                state = target[out[-1]] if out else ROOT
+                place = after
+            token = longest[place]
+            while True:
+                if token < 0:  # nothing fits: one token back, and on to the next shorter one
+                    dead.add(start)
+                    if not out:
+                        raise ValueError("the vocabulary has no token for some byte")
+                    token = out.pop()
+                    start -= size[token]
+                    state = target[out[-1]] if out else ROOT
+                else:
+                    key = state << 32 | token
+                    arc = arcs.get(key)
+                    if arc is None:
+                        if len(arcs) >= CACHE_ARCS:
+                            arcs.clear()
+                        arc = arcs[key] = self.find_arc(state, token)
+                    if arc and (not dead or start + size[token] not in dead):
+                        break
+                token = shorter[token]
+            out.append(token)
+            start += size[token]
+            state = target[token]
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -201,31 +208,39 @@ class BpeCodec:
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.words = regex.compile(WORD_PATTERN)
         newer = newer_letters() or "\0"
+        self.first_newer = min(newer)
         self.newer = regex.compile(f"[{newer}]")
         self.older_words = regex.compile(OLDER_PATTERN.replace("NEWER", newer), regex.V1)
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, tuple[str, int, bytes]] = {}
         self.known: dict[str, tuple[str, int, bytes]] = {}
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[str, int, bytes]:
+        """Decimal ids joined by commas, their number, and the labels of the arcs."""
         found = self.seen.get(word)
         if found is None:
+            ids = self.automaton.encode(word.encode())
             if len(self.seen) >= CACHE_WORDS:
                 self.seen.clear()
-            found = self.seen[word] = self.automaton.encode(word.encode())
+            found = self.seen[word] = (",".join(map(str, ids)), len(ids), self.automaton.decode(ids))
         return found
 
     def split(self, text: str) -> list[str]:
-        words = self.words if text.isascii() or not self.newer.search(text) else self.older_words
+        words = self.words if text.isascii() or max(text) < self.first_newer or not self.newer.search(text) else self.older_words
         return words.findall(text)
 
     def part(self, part: str) -> tuple[str, int, bytes]:
-        """Decimal ids joined by commas, their number, and the decoded bytes."""
+        """As ``word``, of all words of a part."""
         found = self.known.get(part)
         if found is None:
-            ids = [i for w in self.split(part) for i in self.word(w)]
-            if len(self.known) >= CACHE_WORDS:
+            words = self.split(part)
+            if len(words) == 1:
+                found = self.word(words[0])
+            else:
+                each = [self.word(w) for w in words]
+                found = ",".join([e[0] for e in each]), sum(e[1] for e in each), b"".join([e[2] for e in each])
+            if len(self.known) >= CACHE_PARTS:
                 self.known.clear()
-            found = self.known[part] = (",".join(map(str, ids)), len(ids), self.automaton.decode(ids))
+            self.known[part] = found
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -235,7 +250,7 @@ class BpeCodec:
                 ids.append(self.added[piece])
             else:
                 for w in self.split(piece):
-                    ids += self.word(w)
+                    ids += map(int, self.word(w)[0].split(","))
         return ids
 
     def decode(self, ids: list[int]) -> str:

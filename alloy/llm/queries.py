@@ -56,7 +56,11 @@ def op4_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alloy.llm.secret_scan import KINDS, find_secrets, written
     found = find_secrets(table(spark, sf_dir, "documents"), vocabulary(BYTE_RANKS))
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:3]))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 

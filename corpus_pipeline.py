@@ -24,7 +24,7 @@ def chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is in ``kept`` (doc_id), and those without id."""
     ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
     with_id = docs.filter(F.col("doc_id").isNotNull())
-    found = with_id.join(ids, with_id["doc_id"].cast("long") == F.col("_kept_id"), "left_semi")
+    found = with_id.join(ids, with_id["doc_id"].cast("long") == ids["_kept_id"], "left_semi")
     return found.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
