@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,7 @@ FALSE_STRINGS = ("false", "f", "no", "n", "0")
 # ---------------------------------------------------------------------------
 
 MONEY_TYPE = T.DecimalType(18, 4)
-NULL_MARK = "^^"
-HASH_SEP = "||"
+NULL_MARK = "-"
 
 # Engine-independent "looks like" rules (Java regex and RE2 agree on these).
 ISO_TS_PATTERN = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
@@ -76,15 +76,22 @@ def to_number(c: Column) -> Column:
 
 
 def is_money_name(name: str) -> bool:
-    up = name.upper()
-    return any(part in up for part in MONEY_NAME_PARTS)
+    """One of the name's words (parted by ``_`` or by case) is a money word or its plural."""
+    words = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)
+    return any(w.upper() in MONEY_NAME_PARTS or w.upper().removesuffix("S") in MONEY_NAME_PARTS for w in words)
 
 
 def money(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Cast money-named (and explicitly listed) numeric columns to DECIMAL(18,4)."""
-    targets = {f.name for f in df.schema.fields
-               if (is_money_name(f.name) or f.name in extra)
-               and isinstance(f.dataType, (T.NumericType, T.StringType))}
+    """Cast money-named (and explicitly listed) columns to DECIMAL(18,4).
+
+    A text column is cast only if each of its non-NULL values is a number that fits (one
+    aggregate over the text columns in question); else it stays as it is."""
+    named = [f for f in df.schema.fields if is_money_name(f.name) or f.name in extra]
+    targets = {f.name for f in named if isinstance(f.dataType, T.NumericType)}
+    texts = [f.name for f in named if isinstance(f.dataType, T.StringType)]
+    if texts:
+        bad = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(MONEY_TYPE).isNull()) for c in texts]).first()
+        targets |= {c for c, n in zip(texts, bad, strict=True) if n == 0}
     return df.select([F.col(f.name).try_cast(MONEY_TYPE).alias(f.name) if f.name in targets
                       else F.col(f.name) for f in df.schema.fields])
 
@@ -92,16 +99,19 @@ def money(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 def null_policy(df: DataFrame, sentinels: Iterable[str] = DEFAULT_SENTINELS,
                 defaults: dict[str, object] | None = None,
                 columns: Sequence[str] | None = None) -> DataFrame:
-    """NULLIF for sentinel values only (empty strings and 0 stay), then COALESCE defaults."""
+    """NULLIF for sentinel values only (empty strings and 0 stay), then COALESCE defaults.
+    Numbers are compared as numbers, so -1.0 is the sentinel -1."""
     sentinels = tuple(sentinels)
     defaults = defaults or {}
     cols = set(columns) if columns is not None else {f.name for f in df.schema.fields}
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
-        if f.name in cols and isinstance(f.dataType, (T.StringType, T.NumericType)):
-            as_text = F.trim(c.cast("string"))
-            c = F.when(as_text.isin(*sentinels), F.lit(None).cast(f.dataType)).otherwise(c)
+        if f.name in cols and isinstance(f.dataType, T.StringType):
+            c = F.when(F.trim(c).isin(*sentinels), F.lit(None).cast(f.dataType)).otherwise(c)
+        elif f.name in cols and isinstance(f.dataType, T.NumericType):
+            for number in (Decimal(s.strip()) for s in sentinels if re.match(NUMBER_PATTERN, s.strip())):
+                c = F.when(F.col(f.name) != F.lit(number), c)
         if f.name in defaults:
             c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
         out.append(c.alias(f.name))
@@ -137,18 +147,6 @@ def mask(df: DataFrame, mask_cols: Sequence[str] = (), drop_cols: Sequence[str]
     return df.select(out)
 
 
-def card_rules_for(df: DataFrame) -> tuple[list[str], list[str]]:
-    """Default card rules: CVV dropped, the other card-number names masked."""
-    masked, dropped = [], []
-    for name in df.columns:
-        up = name.upper()
-        if up == "CVV":
-            dropped.append(name)
-        elif up in CARD_COLUMNS:
-            masked.append(name)
-    return masked, dropped
-
-
 def snake_upper_name(name: str) -> str:
     s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
     s = re.sub(r"[^0-9A-Za-z]+", "_", s).strip("_")
@@ -164,10 +162,19 @@ def snake_upper(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def _plain_decimal(text: Column) -> Column:
+    """Decimal text without the zeros at its end, but with one digit after the point."""
+    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", ".0")
+
+
 def canonical_text(c: Column, dtype: T.DataType) -> Column:
-    """Engine-independent text form used inside hashes and checksums."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return c.cast(MONEY_TYPE).cast("string")
+    """Lossless text form used inside hashes and checksums; equal numbers have equal texts
+    whether they are floats or decimals."""
+    if isinstance(dtype, T.DecimalType):
+        return _plain_decimal(c.cast("string")) if dtype.scale else F.concat(c.cast("string"), F.lit(".0"))
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        exact = c.try_cast(T.DecimalType(38, 18))
+        return F.when(exact.cast(dtype) == c, _plain_decimal(exact.cast("string"))).otherwise(c.cast("string"))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(dtype, T.DateType):
@@ -177,11 +184,18 @@ def canonical_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
-def hash_key(df: DataFrame, cols: Sequence[str]) -> Column:
-    """SHA-256 hex over delimited, NULL-marked canonical text of ``cols``."""
+def canonical_row(df: DataFrame, cols: Sequence[str]) -> Column:
+    """One text for the values of ``cols``, different for different values: each part is its
+    length, a colon and its text, or a bare ``-`` for NULL."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    parts = [F.coalesce(canonical_text(F.col(c), types[c]), F.lit(NULL_MARK)) for c in cols]
-    return F.sha2(F.concat_ws(HASH_SEP, *parts), 256)
+    texts = [canonical_text(F.col(c), types[c]) for c in cols]
+    return F.concat(F.lit(""), *[F.when(x.isNull(), F.lit(NULL_MARK)).otherwise(F.concat(F.length(x).cast("string"), F.lit(":"), x))
+                                 for x in texts])
+
+
+def hash_key(df: DataFrame, cols: Sequence[str]) -> Column:
+    """SHA-256 hex over the canonical text of ``cols``."""
+    return F.sha2(canonical_row(df, cols), 256)
 
 
 def to_text(c: Column, dtype: T.DataType, scale: int = 2, date_format: str = "yyyy-MM-dd") -> Column:

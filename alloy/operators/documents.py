@@ -97,7 +97,7 @@ def html_to_text(html: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    return (F.round(F.length(text) / F.lit(TOKEN_DIVISOR)).cast("int") + F.lit(TOKEN_OVERHEAD)).cast("long")
+    return (F.round(F.coalesce(F.length(text), F.lit(0)) / F.lit(TOKEN_DIVISOR)).cast("int") + F.lit(TOKEN_OVERHEAD)).cast("long")
 
 
 # ---- distributed greedy batching ------------------------------------------------
@@ -153,10 +153,12 @@ def pack_batches(df: DataFrame, group: str, order: str, text_col: str | None = N
     4. Each row belongs to the last start at or below its E (again a bucket join, as a
        non-start row lies within budget - base of its start).
     Output: input columns + ``tokens``, ``batch_no`` (from 0 per group), ``batch_tokens``.
+    Rows with NULL group are one group; NULL texts and token counts are empty texts.
     """
     room = budget - base
-    t = F.col(tokens_col) if tokens_col else token_estimate(F.col(text_col))
-    rows = df.withColumn("tokens", t)
+    t = F.coalesce(F.col(tokens_col), F.lit(0)) if tokens_col else token_estimate(F.col(text_col))
+    rows = df.withColumn("tokens", t).withColumn("_group", F.struct(F.col(group)))
+    group = "_group"  # a struct is never NULL itself, so joins find NULL groups
     rows = block_prefix_sum(rows, group, order, "tokens", "_E", block_width)
     rows = rows.withColumn("_I", F.col("_E") + F.col("tokens"))
     nodes = rows.select(group, "_E", "_I")
@@ -199,4 +201,4 @@ def pack_batches(df: DataFrame, group: str, order: str, text_col: str | None = N
     out = (rows.join(owned, [group, "_E"])
            .join(starts.withColumnRenamed("_E", "_S"), [group, "_S"]))
     bt = out.groupBy(group, "batch_no").agg((F.sum("tokens") + F.lit(base)).alias("batch_tokens"))
-    return out.join(bt, [group, "batch_no"]).drop("_E", "_I", "_S")
+    return out.join(bt, [group, "batch_no"]).drop("_E", "_I", "_S", group)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,7 @@ RISK_HIGH, RISK_MEDIUM = 0.75, 0.40
 def velocity(df: DataFrame, key: str, ts: str, amount: str) -> DataFrame:
     """Count in the last 24 h and exact spend in the last 7 d (both include the row).
 
-    ``windows.range_frames`` picks the plan by skew: one bucketed window normally, prefix
-    sums (no task holds more than an hour of one entity) when an entity is hot."""
+    ``windows.range_frames``: prefix sums, no task holds more than an hour of one entity."""
     out = range_frames(df, [key], ts, [
         ("txn_count_24h", None, DAY),
         ("_spend_7d", F.col(amount).cast(MONEY_TYPE), 7 * DAY)])
@@ -60,17 +62,48 @@ def phase_durations(log: DataFrame, run: str, ts: str, tiebreak: str) -> DataFra
             .drop("_r", "_total_us", "_dur_us", f"next_{ts}", "is_first"))
 
 
-def top_pct_label(df: DataFrame, score: str, pct: float = 1.0, accuracy: int = 1_000_000,
-                  name: str = "is_top") -> DataFrame:
-    """Label rows whose score is at or above the (100 - pct) percentile.
-
-    The threshold is one distributed ``percentile_approx`` (exact while the row count
-    is below ``accuracy``; rank error <= n / accuracy beyond) used as a scalar
-    subquery — no global window, sort or join.
-    """
-    q = 1.0 - pct / 100.0
-    thr = df.agg(F.percentile_approx(score, q, accuracy)).scalar()
-    return df.withColumn(name, F.coalesce(F.col(score) >= thr, F.lit(False)))
+#: rows that are sorted in one task; buckets of the histogram that narrows down to them
+SORT_ROWS, SKETCH_BUCKETS = 100_000, 10_000
+
+
+def nth_smallest(df: DataFrame, col: str, rank: int) -> object:
+    """The exact ``rank``-th smallest non-NULL value (from 1; None without values).
+
+    A quantile sketch brackets the rank, counting verifies the bracket, and the rows inside
+    go through the same again until few enough are left to sort: a few passes over one
+    column for any number of rows, each leaving about 4 / SKETCH_BUCKETS of the last."""
+    left = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
+    n, margin = left.count(), 2.0 / SKETCH_BUCKETS
+    if not 1 <= rank <= n:
+        return None
+    while n > SORT_ROWS:
+        share = rank / n
+        low, high = left.agg(F.percentile_approx("v", [max(0.0, share - margin), min(1.0, share + margin)], SKETCH_BUCKETS)).first()[0]
+        below, upto = left.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") <= high)).first()
+        if not below < rank <= upto:
+            margin *= 4
+        elif low == high:
+            return low
+        elif upto - below == n:  # few distinct values
+            counts = left.groupBy("v").count().orderBy("v").toLocalIterator()
+            for value, count in counts:
+                if rank <= count:
+                    return value
+                rank -= count
+        else:
+            left, rank, n = left.filter(F.col("v").between(low, high)), rank - below, upto - below
+    return left.orderBy("v").offset(rank - 1).first()[0]
+
+
+def top_pct_label(df: DataFrame, score: str, pct: float = 1.0, name: str = "is_top") -> DataFrame:
+    """Label rows whose score is at or above the exact (100 - pct) percentile: the smallest
+    score with at least that share of the non-NULL scores at or below it."""
+    n = df.select(score).filter(F.col(score).isNotNull()).count()
+    rank = max(1, math.ceil(Fraction(str(100 - pct)) * n / 100))
+    threshold = nth_smallest(df, score, rank)
+    if threshold is None:
+        return df.withColumn(name, F.lit(False))
+    return df.withColumn(name, F.coalesce(F.col(score) >= F.lit(threshold), F.lit(False)))
 
 
 def hash_split(df: DataFrame, key: str, train_pct: int = 80, name: str = "split") -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from alloy.operators.windows import MICROS, micros
 from alloy.session import broadcast_if_small
 
 
@@ -57,22 +58,34 @@ def match_rules(df: DataFrame, rules: DataFrame, value_col: str, layer: str | No
 
 def as_of_join(fact: DataFrame, versions: DataFrame, fact_key: str, version_key: str,
                fact_ts: str, valid_from: str = "EFFECTIVE_FROM",
-               valid_to: str = "EFFECTIVE_TO") -> DataFrame:
+               valid_to: str = "EFFECTIVE_TO", bucket_seconds: int = 86_400) -> DataFrame:
     """Point-in-time join to SCD2 versions: ``from <= t < to`` (open end = NULL).
 
-    The equi key keeps this a hash / sort-merge join on the key, never a cartesian
-    product; by the SCD2 invariant at most one version matches each fact row, and
-    zero-length delete versions never match.
+    By the SCD2 invariant the version of a fact is the last one that begins at or before
+    it, if that one has not ended. Facts and versions are laid together per (key, time
+    bucket) and the last version is carried along; a bucket begins with the last version
+    of the buckets before it (one row per bucket). No fact meets more than one version,
+    and no task holds more than one bucket of one key. Empty versions (``from = to``)
+    never match, nor do NULL keys and times.
     """
-    cond = ((fact[fact_key] == versions[version_key])
-            & (versions[valid_from] <= fact[fact_ts])
-            & (versions[valid_to].isNull() | (fact[fact_ts] < versions[valid_to])))
-    return fact.join(versions, cond, "left")
-
-
-def semi(child: DataFrame, parent: DataFrame, child_col: str, parent_col: str) -> DataFrame:
-    return child.join(parent.select(F.col(parent_col).alias("_pk")).distinct(),
-                      F.col(child_col) == F.col("_pk"), "left_semi")
+    width = bucket_seconds * MICROS
+    f = fact.select(F.struct(*fact.columns).alias("_f"), F.col(fact_key).alias("_k"), micros(fact, fact_ts).alias("_t"))
+    v = versions.filter(F.col(valid_from).isNotNull() & F.col(version_key).isNotNull()
+                        & (F.col(valid_to).isNull() | (F.col(valid_to) > F.col(valid_from))))
+    v = v.select(F.struct(*versions.columns).alias("_v"), F.col(version_key).alias("_k"), micros(versions, valid_from).alias("_t"))
+    both = f.unionByName(v, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / F.lit(width)))
+    last = F.last("_v", ignorenulls=True)
+    # RANGE frames: a version that begins at the time of a fact counts
+    inside = Window.partitionBy("_k", "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("_in", last.over(inside)).filter(F.col("_f").isNotNull()).select("_f", "_k", "_t", "_b", "_in")
+    ends = both.groupBy("_k", "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_v"))
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("_k").alias("_ck"), F.col("_b").alias("_cb"), last.over(before).alias("_carry"))
+    found = held.join(carried, (F.col("_k") == F.col("_ck")) & (F.col("_b") == F.col("_cb")), "left")
+    version = F.coalesce("_in", "_carry")
+    open_ = version[valid_to].isNull() | (F.col("_f")[fact_ts] < version[valid_to])
+    found = found.select("_f", F.when(F.col("_t").isNotNull() & open_, version).alias("_v"))
+    return found.select(*[F.col("_f")[c].alias(c) for c in fact.columns], *[F.col("_v")[c].alias(c) for c in versions.columns])
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_col: str, parent_col: str) -> DataFrame:
@@ -104,13 +117,6 @@ def children_per_parent(parents: DataFrame, children: DataFrame, key: str,
             .withColumn(name, F.coalesce(F.col(name), F.lit(0))))
 
 
-def share_of_total(df: DataFrame, value: str, name: str = "pct_of_total",
-                   scale: int = 2) -> DataFrame:
-    """Percent of the grand total, for an already aggregated (small) frame."""
-    total = F.sum(F.col(value)).over(Window.partitionBy())
-    return df.withColumn(name, F.round(F.col(value) * 100.0 / total, scale))
-
-
 def resolve_merge_targets(rules: DataFrame, value_col: str = "value",
                           table_col: str = "target_table",
                           merge_col: str = "merge_into") -> DataFrame:

@@ -3,33 +3,38 @@
 * ``profile``: one aggregation pass over all columns (approximate distinct by
   default, exact on request), stacked to one row per column.
 * ``discover_fks``: inclusion dependencies found with a single value-level join:
-  every integral column is turned into distinct ``(table, column, value)`` rows,
-  sources are joined to unique target columns on ``value`` and the shared value
-  count per column pair gives the containment. No column pair is scanned on its own.
+  every integral or short text column is turned into distinct ``(table, column, value)``
+  rows; column pairs are chosen from the columns' statistics first, then the values of the
+  chosen columns are joined, and the shared value count per pair gives the containment.
+  No column pair is scanned on its own.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alloy.functions.columns import (canonical_text, looks_like_boolean, looks_like_number,
+from alloy.functions.columns import (canonical_row, looks_like_boolean, looks_like_number,
                                      looks_like_timestamp)
 from alloy.session import cut_lineage
 
 # ---- fixed values ---------------------------------------------------------------
-# Suffixes dropped before comparing FK column names.
-KEY_SUFFIXES = ("_ID", "_KEY", "_CODE", "_REF", "_NUM", "KEY", "ID")
 # Name fragments of measure / free-text columns that are never FK sources.
 MEASURE_PARTS = ("PRICE", "QTY", "QUANTITY", "AMOUNT", "TOTAL", "BAL", "DISCOUNT", "TAX", "SIZE",
                  "TITLE", "NAME", "COMMENT", "VALUE")
 # CDC / soft-delete column names.
 CDC_COLUMNS = ("_OPERATION", "OPERATION", "OP", "IS_DELETED", "_DELETED", "DELETED_AT", "_CHANGE_TYPE")
 FK_MIN_CONFIDENCE = 0.70
-LOOKUP_MAX_ROWS = 1000
+# A lookup table has at most this many rows per row of the table that refers to it; a
+# reference whose name does not tell covers at least this share of the target's values.
+LOOKUP_ROW_RATIO = 0.1
+MIN_COVERAGE = 0.05
+# Text columns with longer values are free text, not keys.
+MAX_KEY_CHARS = 64
 # ---------------------------------------------------------------------------------
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -108,8 +113,8 @@ def singular(col: Column) -> Column:
     return F.regexp_replace(F.lower(col), r"s$", "")
 
 
-def pk_candidates(prof: DataFrame) -> DataFrame:
-    """Rank columns per table as primary-key candidates and keep the best one.
+def _ranked(prof: DataFrame) -> DataFrame:
+    """``table_name, column_name, _ratio, _lcp, rn``: key candidates in order.
 
     Lexicographic score: not a date/timestamp when the table has an id/key column;
     id/key name; longest common prefix with the singular table name; distinct/rows
@@ -125,28 +130,69 @@ def pk_candidates(prof: DataFrame) -> DataFrame:
                      .otherwise(F.lit(0.0))))
     has_key = p.groupBy("table_name").agg(F.max(F.col("_is_key").cast("int")).alias("_has_key"))
     p = p.join(F.broadcast(has_key), "table_name")
-    p = p.withColumn("_time_penalty", ((F.col("_has_key") == 1) & is_time).cast("int"))
-    order = F.struct(F.col("_time_penalty"), (-F.col("_is_key").cast("int")).alias("k"),
-                     (-F.col("_lcp")).alias("l"), (-F.col("_ratio")).alias("r"), F.col("position"))
-    best = p.groupBy("table_name").agg(F.min(F.struct(order.alias("o"), F.col("column_name"),
-                                                       F.col("_ratio"), F.col("_lcp"))).alias("b"))
-    return best.select("table_name", F.col("b.column_name").alias("pk_column"),
-                       F.round(F.col("b._ratio"), 6).alias("uniqueness"), F.col("b._lcp").alias("name_match"),
-                       (F.col("b._ratio") == 1.0).alias("is_unique"))
-
-
-def value_index(tables: dict[str, DataFrame]) -> DataFrame:
-    """Distinct ``(table, column, value)`` for every integral column of every table: one
-    single-column projection per column (columnar reads), unioned, one distinct."""
+    penalty = ((F.col("_has_key") == 1) & is_time).cast("int")
+    w = Window.partitionBy("table_name").orderBy(penalty, (-F.col("_is_key").cast("int")), -F.col("_lcp"), -F.col("_ratio"),
+                                                 F.col("position"))
+    return p.withColumn("rn", F.row_number().over(w)).select("table_name", "column_name", "_ratio", "_lcp", "rn")
+
+
+def pk_candidates(prof: DataFrame, tables: dict[str, DataFrame] | None = None, top: int = 5) -> DataFrame:
+    """The best primary-key candidate per table. Where no best column is unique, the first
+    pair of the ``top`` candidates that is unique in ``tables`` takes its place
+    (``pk_column`` = ``a,b``); if there is none, ``is_unique`` stays false."""
+    ranked = _ranked(prof).filter(F.col("rn") <= top)
+    best = ranked.filter(F.col("rn") == 1).select(
+        "table_name", F.col("column_name").alias("pk_column"), F.round("_ratio", 6).alias("uniqueness"),
+        F.col("_lcp").alias("name_match"), (F.col("_ratio") == 1.0).alias("is_unique"))
+    if not tables:
+        return best
+    # ``top`` short rows per table come to the driver
+    columns: dict[str, list] = {}
+    for r in ranked.orderBy("table_name", "rn").collect():
+        columns.setdefault(r["table_name"], []).append(r)
+    pairs = None
+    for table, cand in columns.items():
+        if cand[0]["_ratio"] == 1.0 or table not in tables:
+            continue
+        for i, (a, b) in enumerate(itertools.combinations([c["column_name"] for c in cand], 2)):
+            one = tables[table].agg(F.count_distinct(F.struct(a, b)).alias("n"), F.count(F.lit(1)).alias("rows")).select(
+                F.lit(table).alias("pair_table"), F.lit(f"{a},{b}").alias("pair"), F.lit(i).alias("i"),
+                (F.col("n") == F.col("rows")).alias("unique"))
+            pairs = one if pairs is None else pairs.unionByName(one)
+    if pairs is None:
+        return best
+    first = pairs.filter("unique").groupBy("pair_table").agg(F.min_by("pair", "i").alias("pair"))
+    out = best.join(F.broadcast(first), F.col("table_name") == F.col("pair_table"), "left")
+    found = F.col("pair").isNotNull()
+    return out.select("table_name", F.coalesce("pair", "pk_column").alias("pk_column"),
+                      F.when(found, F.lit(1.0)).otherwise(F.col("uniqueness")).alias("uniqueness"), "name_match",
+                      (F.col("is_unique") | found).alias("is_unique"))
+
+
+def _key_columns(df: DataFrame) -> list[tuple[str, str]]:
+    """(column, family) of the columns that may hold keys."""
+    return [(f.name, "i" if isinstance(f.dataType, INTEGRAL) else "s") for f in df.schema.fields
+            if isinstance(f.dataType, (*INTEGRAL, T.StringType))]
+
+
+def value_index(tables: dict[str, DataFrame]) -> DataFrame | None:
+    """Distinct ``(table, column, family, v, i)`` for every integral and text column of every
+    table (texts up to MAX_KEY_CHARS): one single-column projection per column (columnar
+    reads), unioned, one distinct. ``i`` is the number of an integral value."""
     out = None
     for name, df in tables.items():
-        for f in df.schema.fields:
-            if not isinstance(f.dataType, INTEGRAL):
-                continue
-            part = df.select(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
-                             F.col(f.name).cast("long").alias("v")).filter(F.col("v").isNotNull())
+        for c, family in _key_columns(df):
+            number = F.col(c).cast("long") if family == "i" else F.lit(None).cast("long")
+            part = df.select(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(family).alias("family"),
+                             F.col(c).cast("string").alias("v"), number.alias("i"))
+            part = part.filter(F.length("v") <= MAX_KEY_CHARS)
             out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return None if out is None else out.distinct()
+
+
+EDGES = ("source_table string, source_column string, target_table string, target_column string, source_distinct long, "
+         "shared_values long, containment double, name_similarity double, confidence double, relationship_type string, "
+         "name_mismatch boolean")
 
 
 def discover_fks(tables: dict[str, DataFrame], min_conf: float = FK_MIN_CONFIDENCE) -> DataFrame:
@@ -154,68 +200,83 @@ def discover_fks(tables: dict[str, DataFrame], min_conf: float = FK_MIN_CONFIDEN
     name_similarity, confidence, relationship_type)`` with confidence >= ``min_conf``.
 
     The distinct value index is materialised once (reliable checkpoint) because three
-    consumers read it; per-column metadata (one row per column, bounded by the schema)
-    is broadcast to the value-level joins.
+    consumers read it; what is broadcast has one row per column or pair of columns.
     """
-    vals = cut_lineage(value_index(tables))
+    index = value_index(tables)
+    if index is None:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], EDGES)
+    vals = cut_lineage(index)
     colstats = None
     for name, df in tables.items():
-        cols = [f.name for f in df.schema.fields if isinstance(f.dataType, INTEGRAL)]
+        cols = [c for c, _ in _key_columns(df)]
         if not cols:
             continue
-        one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(c) for c in cols])
+        one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(f"n_{c}") for c in cols],
+                     *[F.max(F.length(F.col(c).cast("string"))).alias(f"l_{c}") for c in cols])
         part = one.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column_name"), F.col("_rows").alias("table_rows"),
-                     F.col(c).alias("n_nonnull")) for c in cols])).alias("x")) \
+                     F.col(f"n_{c}").alias("n_nonnull"), F.col(f"l_{c}").alias("longest")) for c in cols])).alias("x")) \
             .select(F.lit(name).alias("table_name"), "x.*")
         colstats = part if colstats is None else colstats.unionByName(part)
-    stats = (vals.groupBy("table_name", "column_name")
-             .agg(F.count(F.lit(1)).alias("n_distinct"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
-             .join(F.broadcast(colstats), ["table_name", "column_name"]))
-    targets = stats.filter((F.col("n_distinct") == F.col("table_rows")) & (F.col("n_nonnull") == F.col("table_rows")))
-    tgt = targets.select(F.col("table_name").alias("target_table"), F.col("column_name").alias("target_column"),
-                         F.col("vmin").alias("t_min"), F.col("vmax").alias("t_max"),
-                         F.col("table_rows").alias("target_rows"))
+    texts = F.when(F.col("family") == "s", F.col("v"))
+    stats = (vals.groupBy("table_name", "column_name", "family")
+             .agg(F.count(F.lit(1)).alias("n_distinct"), F.min("i").alias("imin"), F.max("i").alias("imax"),
+                  F.min(texts).alias("smin"), F.max(texts).alias("smax"))
+             .join(F.broadcast(colstats.filter(F.col("longest") <= MAX_KEY_CHARS)), ["table_name", "column_name"]))
+    stats = cut_lineage(stats)  # one row per column
+    tgt = stats.filter((F.col("n_distinct") == F.col("table_rows")) & (F.col("n_nonnull") == F.col("table_rows"))).select(
+        F.col("table_name").alias("target_table"), F.col("column_name").alias("target_column"), "family",
+        *[F.col(c).alias(f"t_{c}") for c in ("imin", "imax", "smin", "smax")], F.col("table_rows").alias("target_rows"))
     measure = F.lit(False)
     for part in MEASURE_PARTS:
         measure = measure | F.upper(F.col("column_name")).contains(part)
-    src = stats.filter(~measure).select(F.col("table_name").alias("source_table"),
-                                        F.col("column_name").alias("source_column"),
-                                        F.col("n_distinct").alias("source_distinct"),
-                                        F.col("vmin").alias("s_min"), F.col("vmax").alias("s_max"))
-    sv = vals.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), "v")
-    tv = vals.join(F.broadcast(targets.select("table_name", "column_name")), ["table_name", "column_name"],
-                   "left_semi") \
-        .select(F.col("table_name").alias("target_table"), F.col("column_name").alias("target_column"), "v")
-    # column pairs sharing at least one value; a pair sharing none has containment 0 and
-    # can never reach the confidence floor, so no pair is enumerated without data
-    shared = (sv.join(tv, "v").filter(F.col("source_table") != F.col("target_table"))
-              .groupBy("source_table", "source_column", "target_table", "target_column")
-              .agg(F.count(F.lit(1)).alias("shared_values")))
+    src = stats.filter(~measure).select(
+        F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), "family",
+        F.col("n_distinct").alias("source_distinct"), F.col("table_rows").alias("source_rows"), "imin", "imax", "smin", "smax")
     sa, sb = base_name(F.col("source_column")), base_name(F.col("target_column"))
     sim = F.lit(1.0) - F.levenshtein(sa, sb).cast("double") / F.greatest(F.length(sa), F.length(sb), F.lit(1)).cast("double")
-    e = (shared.join(F.broadcast(src), ["source_table", "source_column"])
-         .join(F.broadcast(tgt), ["target_table", "target_column"])
-         .filter((F.col("s_min") >= F.col("t_min")) & (F.col("s_max") <= F.col("t_max")))
-         .withColumn("name_similarity", F.round(sim, 4))
-         .filter((F.col("name_similarity") >= 0.5) | (F.col("source_distinct") >= 10)))
+
+    def inside(kind: str) -> Column:
+        return (F.col(f"{kind}min") >= F.col(f"t_{kind}min")) & (F.col(f"{kind}max") <= F.col(f"t_{kind}max"))
+
+    # column pairs worth a look, from one row per column
+    pairs = (src.join(F.broadcast(tgt), "family").filter(F.col("source_table") != F.col("target_table"))
+             .filter(F.when(F.col("family") == "i", inside("i")).otherwise(inside("s")))
+             .withColumn("name_similarity", F.round(sim, 4))
+             .filter((F.col("name_similarity") >= 0.5) | (F.col("source_distinct") >= MIN_COVERAGE * F.col("target_rows"))))
+    pairs = cut_lineage(pairs.select("source_table", "source_column", "target_table", "target_column", "source_distinct",
+                                     "source_rows", "target_rows", "name_similarity"))
+
+    def values_of(side: str) -> DataFrame:
+        named = vals.select(F.col("table_name").alias(f"{side}_table"), F.col("column_name").alias(f"{side}_column"), "family", "v")
+        return named.join(F.broadcast(pairs.select(f"{side}_table", f"{side}_column").distinct()),
+                          [f"{side}_table", f"{side}_column"], "left_semi")
+
+    four = ["source_table", "source_column", "target_table", "target_column"]
+    # a pair that shares no value has containment 0 and can never reach the confidence floor
+    shared = (values_of("source").join(values_of("target"), ["family", "v"])
+              .join(F.broadcast(pairs.select(*four)), four, "left_semi")
+              .groupBy(*four).agg(F.count(F.lit(1)).alias("shared_values")))
+    e = shared.join(F.broadcast(pairs), four)
     containment = F.col("shared_values").cast("double") / F.col("source_distinct").cast("double")
     e = e.withColumn("containment", F.round(containment, 4))
     e = e.withColumn("confidence", F.round(F.lit(0.7) * containment + F.lit(0.3) * F.col("name_similarity"), 4))
     rtype = (F.when((F.col("shared_values") == F.col("source_distinct")) & (F.col("name_similarity") >= 0.5), F.lit("FK"))
-             .when((F.col("target_rows") <= LOOKUP_MAX_ROWS) & (F.col("shared_values") == F.col("source_distinct")),
-                   F.lit("LOOKUP"))
+             .when((F.col("target_rows") <= LOOKUP_ROW_RATIO * F.col("source_rows"))
+                   & (F.col("shared_values") == F.col("source_distinct")), F.lit("LOOKUP"))
              .otherwise(F.lit("SOFT_FK")))
     return (e.filter(F.col("confidence") >= min_conf).withColumn("relationship_type", rtype)
-            .select("source_table", "source_column", "target_table", "target_column", "source_distinct",
-                    "shared_values", "containment", "name_similarity", "confidence", "relationship_type",
-                    (F.col("name_similarity") < 0.5).alias("name_mismatch")))
+            .select(*four, "source_distinct", "shared_values", "containment", "name_similarity", "confidence",
+                    "relationship_type", (F.col("name_similarity") < 0.5).alias("name_mismatch")))
 
 
 def infer_types(df: DataFrame, threshold: float = 1.0) -> DataFrame:
     """Share of non-empty values of each string column that parse as timestamp / boolean /
     number (one pass), and the inferred type (ambiguous columns stay string)."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not cols:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, n_present long, ts_share double, bool_share double, num_share double, inferred_type string")
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(c)
@@ -264,8 +325,7 @@ def fingerprint(df: DataFrame, table_name: str) -> DataFrame:
     """Schema MD5 (ordered name:type list), order-independent content checksum and row
     count — kept apart so a new row does not change the schema fingerprint."""
     schema_text = ",".join(f"{f.name}:{simple_type(f.dataType)}" for f in df.schema.fields)
-    parts = [F.coalesce(canonical_text(F.col(f.name), f.dataType), F.lit("^^")) for f in df.schema.fields]
-    row_hash = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("decimal(38,0)")
+    row_hash = F.conv(F.substring(F.md5(canonical_row(df, df.columns)), 1, 12), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_hash).cast("string").alias("content_checksum")) \
         .select(F.lit(table_name).alias("table_name"), F.md5(F.lit(schema_text)).alias("schema_fingerprint"),
                 "content_checksum", "n_rows")

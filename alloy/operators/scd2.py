@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,8 @@ def scd2(df: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[str],
     Neighbours are found per (key, time bucket) so a hot key is not one task.
     """
     tie = [seq] if seq else []
-    if seq:
-        df = keep_one(df, [*keys, ts], [Order(seq, desc=True)])
+    # equal times: the last by ``seq``, then the first by all columns, so one row is left
+    df = keep_one(df, [*keys, ts], [Order(seq, desc=True)] if seq else [])
     is_del = (F.col(op_col) == delete_value) if op_col else F.lit(False)
     base = df.withColumn(DELETED, F.coalesce(is_del, F.lit(False)))
     nb = with_neighbors(base, keys, ts, tie, prev_cols=[*tracked, DELETED], bucket_seconds=bucket_seconds)
@@ -48,28 +48,19 @@ def scd2(df: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[str],
             .select(*base.columns, FROM, TO, CURRENT))
 
 
-def scd2_apply(current: DataFrame, changes: DataFrame, keys: Sequence[str], ts: str,
+def scd2_apply(current: DataFrame, changes: DataFrame, log: DataFrame, keys: Sequence[str], ts: str,
                tracked: Sequence[str], op_col: str | None = None, seq: str | None = None,
                bucket_seconds: int = 3_600, delete_value: str = "DELETE") -> DataFrame:
     """Incremental SCD2: re-derive only the keys touched by ``changes``.
 
-    A key's stored versions are its surviving events (deletes included); events that did
-    not survive cannot change the decisions for later events, so re-running ``scd2`` over
-    (stored versions of the touched keys + the changes) equals a full rebuild when the
-    changes do not precede the key's stored history, and re-applying the same changes is
-    a no-op (replays). Changes older than the stored history may need events that were
-    dropped earlier (a leading delete), so late history needs a rebuild of those keys.
-    Untouched keys pass through unchanged.
+    ``log`` holds the earlier changes (the Bronze table that ``current`` was built from).
+    A touched key's history is derived from all its logged and new changes, so changes may
+    come in any order and more than once: a row that was dropped as a repeat survives when
+    a late change comes between. Untouched keys pass through unchanged.
     """
-    base_cols = [c for c in current.columns if c not in (FROM, TO, CURRENT, DELETED)]
     touched = changes.select(*keys).distinct()
-    cur_touched = current.join(touched, list(keys), "left_semi")
     untouched = current.join(touched, list(keys), "left_anti").select(*current.columns)
-    stored = cur_touched
-    if op_col and op_col in current.columns:
-        # a stored delete version is replayed as a delete event
-        stored = stored.withColumn(op_col, F.when(F.col(DELETED), F.lit(delete_value)).otherwise(F.col(op_col)))
-    events = stored.select(*base_cols).unionByName(changes.select(*base_cols))
+    events = log.join(touched, list(keys), "left_semi").select(*changes.columns).unionByName(changes).distinct()
     fresh = scd2(events, keys, ts, tracked, op_col, delete_value=delete_value, seq=seq,
                  bucket_seconds=bucket_seconds)
     return untouched.unionByName(fresh.select(*current.columns))
@@ -98,7 +89,3 @@ def normalize(df: DataFrame, key: str, array_col: str,
                        F.size(F.col(array_col)).alias(f"n_{array_col}"))
     child = df.select(F.col(key), F.posexplode_outer(F.col(array_col)).alias("pos", value_name))
     return parent, child
-
-
-def is_current_count(df: DataFrame) -> Column:
-    return F.count_if(F.col(CURRENT))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, term, tf)`` built with explode + grouped counts."""
-    terms = docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term"))
-    return terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q_id: str,
               q_text: str, k: int = 10, k1: float = BM25_K1, b: float = BM25_B,
               filters: Column | None = None) -> DataFrame:
@@ -69,31 +65,57 @@ def bm25_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q
     return top.select(F.col("query").alias(q_id), F.col("doc").alias(doc_id), "score", "rank")
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+#: queries and vectors that one task multiplies at a time
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 50_000
 
 
 def vector_topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, q_id: str,
-                q_vec: str, k: int = 10, max_queries: int = 10_000) -> DataFrame:
-    """Exact cosine top-k of a query batch against all vectors.
+                q_vec: str, k: int = 10) -> DataFrame:
+    """Exact cosine top-k of a query batch of any size against all vectors.
 
-    The query batch is count-checked and becomes one array-valued scalar subquery
-    (evaluated once, shipped to executors as a value); each vector scores the whole batch
-    in one expression, then the map-side-limited top-k keeps k per query. Norms are
-    computed once per vector.
+    Queries and vectors are dealt to blocks; each pair of blocks meets in one task, which
+    multiplies the two matrices and keeps the k best of each query (and their ties), so at
+    most k rows per query and vector block are merged. A vector of length zero, or with a
+    NULL, has no angle: its score is NULL and ranks last.
     """
-    n_q = queries.count()
-    if n_q > max_queries:
-        raise ValueError(f"query batch of {n_q} exceeds {max_queries}; split it into batches")
-    qd = queries.select(F.col(q_id).alias("_qid"), F.transform(F.col(q_vec), lambda x: x.cast("double")).alias("_q"))
-    qd = qd.select("_qid", "_q", F.sqrt(_dot(F.col("_q"), F.col("_q"))).alias("_qn"))
-    batch = qd.agg(F.collect_list(F.struct("_qid", "_q", "_qn"))).scalar()  # bounded by the check above
-    v = vectors.select(F.col(id_col).alias("_vid"),
-                       F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("_v"))
-    v = v.select("_vid", "_v", F.sqrt(_dot(F.col("_v"), F.col("_v"))).alias("_vn"), batch.alias("_batch"))
-    sims = v.select("_vid", F.explode(F.transform(F.col("_batch"), lambda q: F.struct(
-        q["_qid"].alias("_qid"),
-        F.round(_dot(q["_q"], F.col("_v")) / (q["_qn"] * F.col("_vn")), 6).alias("score")))).alias("s"))
-    sims = sims.select(F.col("s._qid").alias("query"), F.col("_vid").alias("doc"), F.col("s.score").alias("score"))
-    top = top_k_per_group(sims, ["query"], [F.col("score").desc(), F.col("doc").asc()], k)
+    def dealt(df: DataFrame, key: str, vec: str, size: int, mine: str) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-df.count() // size))
+        return df.select(F.col(key).alias(f"{mine}_id"), F.transform(F.col(vec), lambda x: x.cast("double")).alias(f"{mine}_vec"),
+                         F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(f"{mine}_block")), blocks
+
+    (q, n_q), (v, n_v) = dealt(queries, q_id, q_vec, QUERY_BLOCK, "q"), dealt(vectors, id_col, vec_col, VECTOR_BLOCK, "v")
+    q = q.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+    v = v.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    kinds = {f.name: f.dataType.simpleString() for f in (*q.schema.fields, *v.schema.fields)}
+
+    def unit(rows: pd.Series, width: int) -> np.ndarray:
+        out = np.full((len(rows), width), np.nan)
+        for i, x in enumerate(rows):
+            if x is not None and len(x) == width:
+                out[i] = x
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return out / np.sqrt((out * out).sum(1, keepdims=True))
+
+    def best(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(vs):
+            return pd.DataFrame({"query": [], "doc": [], "score": []})
+        vs = vs.sort_values("v_id", kind="stable")
+        width = max(len(x) for x in [*qs["q_vec"].dropna(), *vs["v_vec"].dropna(), ()])
+        docs, right = vs["v_id"].to_numpy(), unit(vs["v_vec"], width).T
+        out = []
+        for query, row in zip(qs["q_id"], unit(qs["q_vec"], width), strict=True):
+            scores = row @ right
+            worth = np.where(np.isnan(scores), -np.inf, scores)
+            if len(worth) > k:
+                floor = np.partition(worth, -k)[-k] - 2e-6  # scores that round to one value tie
+                chosen = np.flatnonzero(worth >= floor) if np.isfinite(floor) else np.argsort(-worth, kind="stable")[:k]
+            else:
+                chosen = np.arange(len(worth))
+            out.append(pd.DataFrame({"query": query, "doc": docs[chosen], "score": scores[chosen]}))
+        return pd.concat(out)
+
+    found = q.groupBy("q_block", "v_block").cogroup(v.groupBy("q_block", "v_block")).applyInPandas(
+        best, f"query {kinds['q_id']}, doc {kinds['v_id']}, score double")
+    score = F.when(~F.isnan("score"), F.round("score", 6))
+    top = top_k_per_group(found.withColumn("score", score), ["query"], [F.col("score").desc(), F.col("doc").asc()], k)
     return top.select(F.col("query").alias(q_id), F.col("doc").alias(id_col), "score", "rank")

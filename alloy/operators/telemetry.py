@@ -8,45 +8,89 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alloy.operators.windows import top_k_per_group
+from alloy.operators.windows import MICROS, micros
 
 # ---- fixed values ---------------------------------------------------------------
 # Reinforcement: conf' = least((conf + observed) / 2 + 0.05, 1)
 REINFORCE_BONUS = 0.05
-# Older observations than this many steps change the folded confidence by less than
-# 2**-64 (each step halves the weight of the past), i.e. below double precision.
-HISTORY_HORIZON = 64
 ACTIVE_MIN_CONFIDENCE = 0.7
 # ---------------------------------------------------------------------------------
 
 
+def _blocks(observations: DataFrame, key: str, ts: str, seq: str, conf: str, block_seconds: int) -> DataFrame:
+    """``key, steps``: per key its time blocks in order, each as the first confidence folded
+    over the rest (``alone``) and as one step ``x -> least(a * x + d, m)`` (``after``)."""
+    block = F.floor(micros(observations, ts) / F.lit(block_seconds * MICROS))
+    rows = observations.filter(F.col(conf).isNotNull()).select(
+        F.col(key), block.alias("_b"), F.col(ts).alias("_ts"), F.col(seq).alias("_seq"), F.col(conf).cast("double").alias("_c"))
+    held = rows.groupBy(key, "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("_ts", "_seq", "_c"))),
+                                                   lambda x: x["_c"]).alias("_h"))
+
+    def bonus(c: Column) -> Column:
+        return c / F.lit(2.0) + F.lit(REINFORCE_BONUS)
+
+    alone = F.aggregate(F.slice("_h", 2, F.size("_h")), F.element_at("_h", 1),
+                        lambda v, c: F.least((v + c) / F.lit(2.0) + F.lit(REINFORCE_BONUS), F.lit(1.0)))
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("d"), F.lit(float("inf")).alias("m"))
+    after = F.aggregate("_h", same, lambda f, c: F.struct(
+        (f["a"] / F.lit(2.0)).alias("a"), (f["d"] / F.lit(2.0) + bonus(c)).alias("d"),
+        F.least(f["m"] / F.lit(2.0) + bonus(c), F.lit(1.0)).alias("m")))
+    return held.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.struct("_b", alone.alias("alone"), after.alias("after")))).alias("steps"))
+
+
+def _through(steps: Column, start: Column) -> Column:
+    """``start`` taken through the blocks' steps."""
+    return F.aggregate(steps, start, lambda v, s: F.least(s["after"]["a"] * v + s["after"]["d"], s["after"]["m"]))
+
+
+def _observed(observations: DataFrame, key: str, ts: str, seq: str, text_cols: Sequence[str]) -> DataFrame:
+    aggs = [F.count(F.lit(1)).alias("times_observed"), F.max(ts).alias("last_observed")]
+    if text_cols:
+        aggs.append(F.max_by(F.struct(*[F.col(c) for c in text_cols]), F.struct(ts, seq)).alias("_t"))
+    return observations.groupBy(key).agg(*aggs)
+
+
 def reinforce(observations: DataFrame, key: str, ts: str, seq: str, conf: str,
-              text_cols: Sequence[str] = ()) -> DataFrame:
-    """Fold observations per signature in time order.
+              text_cols: Sequence[str] = (), block_seconds: int = 3_600) -> DataFrame:
+    """Fold all observations per signature in time order.
 
     First observation inserts (count 1, confidence as observed); each later one adds 1
     to the count, sets ``conf = least((conf + c) / 2 + 0.05, 1)`` and replaces the texts.
-    The fold is 1/2-Lipschitz per step, so it is evaluated over the last
-    ``HISTORY_HORIZON`` observations of each key (a rank-limited window, which Spark
-    pre-limits map-side, so no key reaches one task whole); count and last texts are
-    plain aggregates.
+    A step is ``x -> least(a * x + d, m)``, and such steps compose to one of their kind:
+    rows are folded per (key, time block), then a key's blocks in order, so no task holds
+    more of a key than one block's rows or one row per block. Observations without
+    confidence count and set the texts, and leave the confidence as it is.
     """
-    order = [F.col(ts).desc(), F.col(seq).desc()]
-    recent = top_k_per_group(observations, [key], order, HISTORY_HORIZON, rank_name="_r")
-    hist = recent.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ts, seq, conf))).alias("_h"))
-    first = F.element_at("_h", 1)[conf]
-    folded = F.aggregate(F.slice("_h", 2, HISTORY_HORIZON), first,
-                         lambda acc, x: F.least((acc + x[conf]) / F.lit(2.0) + F.lit(REINFORCE_BONUS), F.lit(1.0)))
-    conf_df = hist.select(key, folded.alias("confidence"))
-    last = F.max_by(F.struct(*[F.col(c) for c in text_cols]), F.struct(ts, seq)) if text_cols else None
-    aggs = [F.count(F.lit(1)).alias("times_observed"), F.max(ts).alias("last_observed")]
-    if last is not None:
-        aggs.append(last.alias("_t"))
-    counts = observations.groupBy(key).agg(*aggs)
-    out = counts.join(conf_df, key)
+    folded = _blocks(observations, key, ts, seq, conf, block_seconds).select(
+        key, _through(F.slice("steps", 2, F.size("steps")), F.element_at("steps", 1)["alone"]).alias("confidence"))
+    out = _observed(observations, key, ts, seq, text_cols).join(folded, key, "left")
     cols = [key, "times_observed", "last_observed", F.round("confidence", 6).alias("confidence")]
     cols += [F.col(f"_t.{c}").alias(c) for c in text_cols]
-    return out.select(*cols).withColumn("is_active", F.col("confidence") >= F.lit(0.5))
+    return out.select(*cols).withColumn("is_active", F.coalesce(F.col("confidence") >= F.lit(0.5), F.lit(False)))
+
+
+def merge_learnings(stored: DataFrame, observations: DataFrame, key: str, ts: str, seq: str, conf: str,
+                    text_cols: Sequence[str] = (), block_seconds: int = 3_600) -> DataFrame:
+    """Merge observations into stored learnings ``key, times_observed, last_observed,
+    confidence, *text_cols, is_active``: the active row of a signature is reinforced by
+    each of them, a signature without one gets a new active row; all other rows stay."""
+    columns = [key, "times_observed", "last_observed", "confidence", *text_cols, "is_active"]
+    new = (_observed(observations, key, ts, seq, text_cols)
+           .join(_blocks(observations, key, ts, seq, conf, block_seconds), key, "left"))
+    old = stored.filter("is_active").select(F.col(key).alias("_key"), F.struct(*columns[1:]).alias("_old"))
+    both = old.join(new, F.col("_key") == F.col(key), "full")
+    steps = F.coalesce("steps", F.array())
+    first = F.coalesce(F.col("_old")["confidence"], F.get(F.col("steps"), F.lit(0))["alone"])
+    rest = F.when(F.col("_old")["confidence"].isNotNull(), steps).otherwise(F.slice(steps, 2, F.greatest(F.size(steps), F.lit(1))))
+    merged = both.select(
+        F.coalesce(key, "_key").alias(key),
+        (F.coalesce(F.col("_old")["times_observed"], F.lit(0)) + F.coalesce("times_observed", F.lit(0))).alias("times_observed"),
+        F.greatest(F.col("_old")["last_observed"], F.col("last_observed")).alias("last_observed"),
+        F.when(F.col("times_observed").isNull(), F.col("_old")["confidence"]).otherwise(F.round(_through(rest, first), 6)).alias("confidence"),
+        *[F.when(F.col("times_observed").isNull(), F.col("_old")[c]).otherwise(F.col(f"_t.{c}")).alias(c) for c in text_cols],
+        F.lit(True).alias("is_active"))
+    return merged.unionByName(stored.filter(~F.coalesce(F.col("is_active"), F.lit(False))).select(columns))
 
 
 def top_learnings(learnings: DataFrame, n: int = 5, min_conf: float = ACTIVE_MIN_CONFIDENCE,

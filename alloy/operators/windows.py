@@ -4,10 +4,8 @@ A plain ``Window.partitionBy(entity)`` sends every row of an entity to one task,
 so an entity holding a third of the data becomes a single-task stage. The helpers
 here partition by ``(entity, time bucket)`` instead:
 
-* ``range_aggregates`` — RANGE frames of length L: every row is owned by bucket
-  ``floor(t / B)`` (B >= L) and copied, as context only, into the next bucket when
-  it lies in the last L of its bucket. Each (entity, bucket) task sees all rows
-  any of its owned rows' frames can reach; replication is at most 2x.
+* ``range_frames`` — RANGE frames of length L as differences of prefix sums over the
+  entity's distinct times; no task holds more than one time block of one entity.
 * ``with_neighbors`` — lag/lead: computed inside (entity, bucket), then the first
   and last row of every bucket are fixed from a per-bucket summary (one row per
   non-empty bucket) that carries the previous bucket's last row and the next
@@ -16,7 +14,7 @@ here partition by ``(entity, time bucket)`` instead:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,26 +35,6 @@ def micros(df: DataFrame, ts: str) -> Column:
     return F.col(ts).cast("long")
 
 
-def range_aggregates(df: DataFrame, keys: Sequence[str], ts: str,
-                     specs: Sequence[tuple[str, Callable[[], Column], int]],
-                     bucket_seconds: int | None = None) -> DataFrame:
-    """Add one column per ``(name, make_agg, length_seconds)`` computed over
-    ``RANGE BETWEEN length PRECEDING AND CURRENT ROW`` per entity (ties included)."""
-    longest = max(s[2] for s in specs)
-    width = max(bucket_seconds or longest, longest) * MICROS
-    cols = df.columns
-    t = micros(df, ts)
-    base = df.withColumn("_t", t).withColumn("_b0", F.floor(F.col("_t") / F.lit(width)))
-    in_tail = F.col("_t") >= (F.col("_b0") + 1) * F.lit(width) - F.lit(longest * MICROS)
-    buckets = F.when(in_tail, F.array(F.col("_b0"), F.col("_b0") + 1)).otherwise(F.array(F.col("_b0")))
-    spread = base.withColumn("_b", F.explode(buckets)).withColumn("_own", F.col("_b") == F.col("_b0"))
-    w = Window.partitionBy(*keys, "_b").orderBy("_t")
-    out = spread
-    for name, make, length in specs:
-        out = out.withColumn(name, make().over(w.rangeBetween(-length * MICROS, 0)))
-    return out.filter("_own").select(*cols, *[s[0] for s in specs])
-
-
 def with_neighbors(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
                    prev_cols: Sequence[str] = (), next_cols: Sequence[str] = (),
                    bucket_seconds: int = 3_600, prefix_prev: str = "prev_",
@@ -116,9 +94,9 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     return df.withColumn(rank_name, F.row_number().over(w)).filter(F.col(rank_name) <= k)
 
 
-def range_sums(df: DataFrame, keys: Sequence[str], ts: str,
-               specs: Sequence[tuple[str, Column | None, int]],
-               block_seconds: int = 3_600) -> DataFrame:
+def range_frames(df: DataFrame, keys: Sequence[str], ts: str,
+                 specs: Sequence[tuple[str, Column | None, int]],
+                 block_seconds: int = 3_600) -> DataFrame:
     """RANGE-frame sums with no task holding more than one time block of one entity.
 
     For each ``(name, value, length_seconds)`` (``value`` None = row count) adds the sum
@@ -132,87 +110,77 @@ def range_sums(df: DataFrame, keys: Sequence[str], ts: str,
     3. ``P(< x)`` is looked up inside x's (entity, block) by a window over the block's
        points and the probes falling in it; a probe with no earlier point in its block
        takes the cumulative total of the entity's earlier blocks (a window over one row
-       per block);
+       per block, so as many rows as the entity has hours, whatever its number of rows);
     4. results join back to the rows on (entity, timestamp).
-    Sums must be exact (integers or decimals) for ``P(t) - P(< x)`` to be exact; keys
-    must be non-NULL.
+
+    As SQL has it, rows with NULL keys are one entity, rows with NULL time are each
+    other's only peers, and a frame without non-NULL values sums to NULL. Sums must be
+    exact (integers or decimals) for ``P(t) - P(< x)`` to be exact.
     """
     width = block_seconds * MICROS
     names = [s[0] for s in specs]
-    base = df.withColumn("_t", micros(df, ts))
-    pts = base.groupBy(*keys, "_t").agg(*[
-        (F.count(F.lit(1)) if v is None else F.sum(v)).alias(f"_s{i}") for i, (_, v, _) in enumerate(specs)])
-    pts = pts.withColumn("_blk", F.floor(F.col("_t") / F.lit(width)))
-    sums = [f"_s{i}" for i in range(len(specs))]
-    blocks = pts.groupBy(*keys, "_blk").agg(*[F.sum(s).alias(f"_b{s}") for s in sums])
-    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = cut_lineage(blocks.select(*keys, "_blk", *[F.coalesce(F.sum(f"_b{s}").over(wb), F.lit(0)).alias(f"_o{s}")
-                                                        for s in sums],
+    base = df.withColumn("_t", micros(df, ts)).withColumn("_key", F.struct(*[F.col(k) for k in keys]))
+    # each sum, and beside it the number of its values
+    aggs, lengths_of = [], {}
+    for i, (_, value, length) in enumerate(specs):
+        total = F.count(F.lit(1)) if value is None else F.sum(value)
+        aggs.append(F.coalesce(total, F.lit(0)).alias(f"_s{i}"))
+        aggs.append(F.count(F.lit(1) if value is None else value).alias(f"_n{i}"))
+        lengths_of[f"_s{i}"] = lengths_of[f"_n{i}"] = length
+    sums = list(lengths_of)
+
+    def named(part: DataFrame) -> list[Column]:
+        return [(F.col(f"_s{i}") if value is None else F.when(F.col(f"_n{i}") > 0, F.col(f"_s{i}"))).alias(name)
+                for i, (name, value, _) in enumerate(specs)]
+
+    timed, untimed = base.filter(F.col("_t").isNotNull()), base.filter(F.col("_t").isNull())
+    pts = timed.groupBy("_key", "_t").agg(*aggs).withColumn("_blk", F.floor(F.col("_t") / F.lit(width)))
+    blocks = pts.groupBy("_key", "_blk").agg(*[F.sum(s).alias(f"_b{s}") for s in sums])
+    wb = Window.partitionBy("_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut_lineage(blocks.select("_key", "_blk", *[F.coalesce(F.sum(f"_b{s}").over(wb), F.lit(0)).alias(f"_o{s}")
+                                                         for s in sums],
                                        *[F.col(f"_b{s}") for s in sums]))
-    wi = Window.partitionBy(*keys, "_blk").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    wi = Window.partitionBy("_key", "_blk").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
     # materialised once: read by the probes, the points of every lookup and the result
-    prefix = cut_lineage(pts.join(blocks, [*keys, "_blk"])
-                         .select(*keys, "_t", "_blk", *[(F.col(f"_o{s}") + F.sum(s).over(wi)).alias(f"_P{s}")
-                                                        for s in sums]))
+    prefix = cut_lineage(pts.join(blocks, ["_key", "_blk"])
+                         .select("_key", "_t", "_blk", *[(F.col(f"_o{s}") + F.sum(s).over(wi)).alias(f"_P{s}")
+                                                         for s in sums]))
     out = prefix
-    lengths = sorted({length for _, _, length in specs})
-    for li, length in enumerate(lengths):
-        ss = [sums[i] for i, spec in enumerate(specs) if spec[2] == length]
+    for length in sorted(set(lengths_of.values())):
+        ss = [s for s in sums if lengths_of[s] == length]
         # probes: last point strictly before t - length, i.e. at or before t - length - 1us
-        probes = prefix.select(*keys, "_t", (F.col("_t") - F.lit(length * MICROS) - 1).alias("_x"))
+        probes = prefix.select("_key", "_t", (F.col("_t") - F.lit(length * MICROS) - 1).alias("_x"))
         probes = probes.withColumn("_xb", F.floor(F.col("_x") / F.lit(width)))
-        p_pts = prefix.select(*keys, F.col("_blk").alias("_xb"), F.col("_t").alias("_x"),
+        p_pts = prefix.select("_key", F.col("_blk").alias("_xb"), F.col("_t").alias("_x"),
                               *[F.col(f"_P{s}").alias(f"_v{s}") for s in ss],
                               F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_own"))
-        p_prb = probes.select(*keys, "_xb", "_x",
+        p_prb = probes.select("_key", "_xb", "_x",
                               *[F.lit(None).cast(prefix.schema[f"_P{s}"].dataType).alias(f"_v{s}") for s in ss],
                               F.lit(1).alias("_kind"), F.col("_t").alias("_own"))
-        wx = Window.partitionBy(*keys, "_xb").orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        wx = Window.partitionBy("_key", "_xb").orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
         looked = (p_pts.unionByName(p_prb)
-                  .select(*keys, "_xb", "_kind", "_own",
+                  .select("_key", "_xb", "_kind", "_own",
                           *[F.last(f"_v{s}", ignorenulls=True).over(wx).alias(f"_q{s}") for s in ss])
                   .filter(F.col("_kind") == 1).drop("_kind").withColumnRenamed("_own", "_t"))
         # carry for probes whose block has no earlier point: total of all earlier blocks
         # (probe rows sort before the same block's total, so only earlier blocks count)
-        cum = blocks.select(*keys, "_blk", *[(F.col(f"_o{s}") + F.col(f"_b{s}")).alias(f"_c{s}") for s in ss],
+        cum = blocks.select("_key", "_blk", *[(F.col(f"_o{s}") + F.col(f"_b{s}")).alias(f"_c{s}") for s in ss],
                             F.lit(1).alias("_kind"))
-        need = looked.select(*keys, F.col("_xb").alias("_blk")).distinct().select(
-            *keys, "_blk", *[F.lit(None).cast(cum.schema[f"_c{s}"].dataType).alias(f"_c{s}") for s in ss],
+        need = looked.select("_key", F.col("_xb").alias("_blk")).distinct().select(
+            "_key", "_blk", *[F.lit(None).cast(cum.schema[f"_c{s}"].dataType).alias(f"_c{s}") for s in ss],
             F.lit(0).alias("_kind"))
-        wc = Window.partitionBy(*keys).orderBy("_blk", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        wc = Window.partitionBy("_key").orderBy("_blk", "_kind").rowsBetween(Window.unboundedPreceding, 0)
         carry = (cum.unionByName(need)
-                 .select(*keys, "_blk", "_kind", *[F.last(f"_c{s}", ignorenulls=True).over(wc).alias(f"_k{s}")
+                 .select("_key", "_blk", "_kind", *[F.last(f"_c{s}", ignorenulls=True).over(wc).alias(f"_k{s}")
                                                     for s in ss])
-                 .filter(F.col("_kind") == 0).select(*keys, F.col("_blk").alias("_xb"), *[f"_k{s}" for s in ss]))
-        q = looked.join(carry, [*keys, "_xb"], "left").select(
-            *keys, "_t", *[F.coalesce(F.col(f"_q{s}"), F.col(f"_k{s}"), F.lit(0)).alias(f"_Q{s}") for s in ss])
-        out = out.join(q, [*keys, "_t"])
-        for i, (name, _, ln) in enumerate(specs):
-            if ln == length:
-                out = out.withColumn(name, F.col(f"_P{sums[i]}") - F.col(f"_Q{sums[i]}")).drop(f"_Q{sums[i]}")
-    res = out.select(*keys, "_t", *names)
-    return base.join(res, [*keys, "_t"]).select(*df.columns, *names)
-
-
-# Largest (entity, frame-bucket) group the one-window path may give a single task.
-MAX_GROUP_ROWS = 2_000_000
-
-
-def range_frames(df: DataFrame, keys: Sequence[str], ts: str,
-                 specs: Sequence[tuple[str, Column | None, int]],
-                 max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """RANGE-frame sums/counts per entity, choosing the plan by the data's skew.
-
-    One aggregate (entity, frame-length bucket) -> row count, of which only the maximum
-    reaches the driver, decides: when no such group exceeds ``max_group_rows`` the
-    bucketed window (``range_aggregates``, one window, <= 2x rows) is used; otherwise the
-    prefix-sum plan (``range_sums``), whose tasks hold at most one hour of one entity.
-    """
-    longest = max(s[2] for s in specs)
-    biggest = (df.groupBy(*keys, F.floor(micros(df, ts) / F.lit(longest * MICROS)).alias("_b"))
-               .count().agg(F.max("count")).first()[0] or 0)
-    if biggest <= max_group_rows:
-        return range_aggregates(df, keys, ts, [
-            (name, (lambda: F.count(F.lit(1))) if v is None else (lambda v=v: F.sum(v)), length)
-            for name, v, length in specs])
-    return range_sums(df, keys, ts, specs)
+                 .filter(F.col("_kind") == 0).select("_key", F.col("_blk").alias("_xb"), *[f"_k{s}" for s in ss]))
+        q = looked.join(carry, ["_key", "_xb"], "left").select(
+            "_key", "_t", *[F.coalesce(F.col(f"_q{s}"), F.col(f"_k{s}"), F.lit(0)).alias(f"_Q{s}") for s in ss])
+        out = out.join(q, ["_key", "_t"])
+        for s in ss:
+            out = out.withColumn(s, F.col(f"_P{s}") - F.col(f"_Q{s}")).drop(f"_Q{s}")
+    res = out.select("_key", "_t", *named(out))
+    peers = untimed.groupBy("_key").agg(*aggs)
+    peers = peers.select("_key", *[c.cast(res.schema[n].dataType).alias(n) for c, n in zip(named(peers), names, strict=True)])
+    return (timed.join(res, ["_key", "_t"]).select(*df.columns, *names)
+            .unionByName(untimed.join(peers, "_key").select(*df.columns, *names)))

@@ -14,7 +14,7 @@ from alloy.plans.registry import query
 
 def hk(*cols: str) -> str:
     """SQL twin of ``hash_key`` for integer / string columns."""
-    return "sha256(concat_ws('||', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '^^')" for c in cols) + "))"
+    return "sha256(" + " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in cols) + ")"
 
 
 @query("gold_flat", """
@@ -262,8 +262,8 @@ def _pres_side(side: str, src: str, exprs: dict[str, str]) -> str:
 
 
 _PRES_B = {"c_custkey": "CAST(c_custkey AS VARCHAR)", "c_name": "c_name", "c_nationkey": "CAST(c_nationkey AS VARCHAR)",
-           "c_acctbal": "CAST(CAST(c_acctbal AS DECIMAL(18,4)) AS VARCHAR)", "c_mktsegment": "c_mktsegment"}
-_PRES_S = dict(_PRES_B, c_name="c_name")
+           "c_acctbal": "CAST(c_acctbal AS VARCHAR)", "c_mktsegment": "c_mktsegment"}
+_PRES_S = dict(_PRES_B, c_acctbal=r"regexp_replace(regexp_replace(CAST(c_acctbal AS VARCHAR), '0+$', ''), '\.$', '.0')")
 
 
 @query("preservation", f"""

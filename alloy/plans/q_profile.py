@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from alloy.functions.columns import ISO_TS_PATTERN, NUMBER_PATTERN, TRUE_STRINGS, FALSE_STRINGS
@@ -26,8 +28,14 @@ SCHEMAS = {
                  ("l_shipdate", "timestamp_ntz")],
     "events": [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
                ("value", "double"), ("props", "string")],
+    "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")],
+    "embeddings": [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")],
+    "pages": [("page_id", "bigint"), ("url", "string"), ("html", "string")],
+    "benchmark": [("item_id", "bigint"), ("text", "string")],
+    "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
+    "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
 }
-DISCOVERY_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+DISCOVERY_TABLES = tuple(SCHEMAS)
 NUMERIC = ("int", "bigint", "double")
 INTEGRALS = ("int", "bigint")
 
@@ -57,6 +65,12 @@ def q_profile(spark, sf):
     return P.profile_tables(_tables(spark, sf, ["orders", "lineitem"]), exact=True)
 
 
+def _pairs_sql(tables) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{tb}' AS table_name, '{a}' AS c1, '{b}' AS c2, count(DISTINCT ({a}, {b})) AS n, count(*) AS n_rows FROM {tb}"
+        for tb in tables for a, b in itertools.combinations([c for c, _ in SCHEMAS[tb]], 2))
+
+
 PK_SQL = f"""
 WITH prof AS ({_profile_sql(DISCOVERY_TABLES)}),
 p AS (SELECT *, regexp_matches(lower(column_name), '(_id|_key|key|id)$') AS is_key,
@@ -70,25 +84,37 @@ q AS (SELECT *, (SELECT coalesce(max(i), 0) FROM range(1, least(length(stripped)
       FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY
                  CAST(has_key = 1 AND data_type IN ('timestamp', 'timestamp_ntz', 'date') AS INTEGER),
-                 CAST(is_key AS INTEGER) DESC, lcp DESC, ratio DESC, position) AS rn FROM q)
-SELECT table_name, column_name AS pk_column, round(ratio, 6) AS uniqueness, lcp AS name_match,
-       ratio = 1.0 AS is_unique FROM r WHERE rn = 1"""
+                 CAST(is_key AS INTEGER) DESC, lcp DESC, ratio DESC, position) AS rn FROM q),
+pairs AS ({_pairs_sql(DISCOVERY_TABLES)}),
+pr AS (SELECT a.table_name, arg_min(a.column_name || ',' || b.column_name, a.rn * 100 + b.rn) AS pair
+       FROM r a JOIN r b ON a.table_name = b.table_name AND a.rn < b.rn AND b.rn <= 5
+                JOIN pairs p ON p.table_name = a.table_name
+                            AND ((p.c1 = a.column_name AND p.c2 = b.column_name) OR (p.c1 = b.column_name AND p.c2 = a.column_name))
+       WHERE p.n = p.n_rows GROUP BY a.table_name)
+SELECT r.table_name, CASE WHEN ratio < 1.0 AND pair IS NOT NULL THEN pair ELSE column_name END AS pk_column,
+       CASE WHEN ratio < 1.0 AND pair IS NOT NULL THEN 1.0 ELSE round(ratio, 6) END AS uniqueness, lcp AS name_match,
+       ratio = 1.0 OR pair IS NOT NULL AS is_unique
+FROM r LEFT JOIN pr ON r.table_name = pr.table_name WHERE rn = 1"""
 
 
 @query("pk_candidates", PK_SQL, ("P2", "T-07"))
 def q_pk_candidates(spark, sf):
-    return P.pk_candidates(P.profile_tables(_tables(spark, sf, DISCOVERY_TABLES), exact=True))
+    tables = _tables(spark, sf, DISCOVERY_TABLES)
+    return P.pk_candidates(P.profile_tables(tables, exact=True), tables)
 
 
 def _fk_sql(tables) -> str:
-    vals, rows, nonnull = [], [], []
+    vals, rows, cols = [], [], []
     for tb in tables:
-        ints = [c for c, ty in SCHEMAS[tb] if ty in INTEGRALS]
         rows.append(f"SELECT '{tb}' AS table_name, count(*) AS table_rows FROM {tb}")
-        for c in ints:
-            vals.append(f"SELECT DISTINCT '{tb}' AS table_name, '{c}' AS column_name, CAST({c} AS BIGINT) AS v "
-                        f"FROM {tb} WHERE {c} IS NOT NULL")
-            nonnull.append(f"SELECT '{tb}' AS table_name, '{c}' AS column_name, count({c}) AS n_nonnull FROM {tb}")
+        for c, ty in SCHEMAS[tb]:
+            if ty not in (*INTEGRALS, "string"):
+                continue
+            family, number = ("i", f"CAST({c} AS BIGINT)") if ty in INTEGRALS else ("s", "CAST(NULL AS BIGINT)")
+            vals.append(f"SELECT DISTINCT '{tb}' AS table_name, '{c}' AS column_name, '{family}' AS family, CAST({c} AS VARCHAR) AS v, "
+                        f"{number} AS i FROM {tb} WHERE length(CAST({c} AS VARCHAR)) <= {P.MAX_KEY_CHARS}")
+            cols.append(f"SELECT '{tb}' AS table_name, '{c}' AS column_name, count({c}) AS n_nonnull, "
+                        f"max(length(CAST({c} AS VARCHAR))) AS longest FROM {tb}")
     measure = "|".join(P.MEASURE_PARTS)
 
     def base(c: str) -> str:
@@ -97,33 +123,36 @@ def _fk_sql(tables) -> str:
 
     return f"""vals AS ({' UNION ALL '.join(vals)}),
 trows AS ({' UNION ALL '.join(rows)}),
-nn AS ({' UNION ALL '.join(nonnull)}),
-stats AS (SELECT s.*, trows.table_rows, nn.n_nonnull FROM
-            (SELECT table_name, column_name, count(*) AS n_distinct, min(v) AS vmin, max(v) AS vmax
-             FROM vals GROUP BY 1, 2) s
-          JOIN trows USING (table_name) JOIN nn USING (table_name, column_name)),
+cols AS ({' UNION ALL '.join(cols)}),
+stats AS (SELECT s.*, trows.table_rows, cols.n_nonnull FROM
+            (SELECT table_name, column_name, family, count(*) AS n_distinct, min(i) AS imin, max(i) AS imax,
+                    min(v) AS smin, max(v) AS smax
+             FROM vals GROUP BY 1, 2, 3) s
+          JOIN trows USING (table_name) JOIN cols USING (table_name, column_name) WHERE longest <= {P.MAX_KEY_CHARS}),
 targets AS (SELECT * FROM stats WHERE n_distinct = table_rows AND n_nonnull = table_rows),
 src AS (SELECT * FROM stats WHERE NOT regexp_matches(upper(column_name), '{measure}')),
 shared AS (SELECT s.table_name AS source_table, s.column_name AS source_column,
                   g.table_name AS target_table, g.column_name AS target_column, count(*) AS shared_values
-           FROM vals s JOIN (SELECT vals.* FROM vals JOIN targets USING (table_name, column_name)) g ON s.v = g.v
+           FROM vals s JOIN (SELECT vals.* FROM vals JOIN targets USING (table_name, column_name)) g
+                ON s.v = g.v AND s.family = g.family
            WHERE s.table_name <> g.table_name GROUP BY 1, 2, 3, 4),
-cand AS (SELECT sh.*, src.n_distinct AS source_distinct, tg.table_rows AS target_rows,
+cand AS (SELECT sh.*, src.n_distinct AS source_distinct, src.table_rows AS source_rows, tg.table_rows AS target_rows,
                 round(1.0 - CAST(levenshtein({base('sh.source_column')}, {base('sh.target_column')}) AS DOUBLE)
                       / CAST(greatest(length({base('sh.source_column')}), length({base('sh.target_column')}), 1) AS DOUBLE), 4)
                   AS name_similarity
          FROM shared sh JOIN src ON sh.source_table = src.table_name AND sh.source_column = src.column_name
                         JOIN targets tg ON sh.target_table = tg.table_name AND sh.target_column = tg.column_name
-         WHERE src.vmin >= tg.vmin AND src.vmax <= tg.vmax),
+         WHERE CASE WHEN src.family = 'i' THEN src.imin >= tg.imin AND src.imax <= tg.imax
+                    ELSE src.smin >= tg.smin AND src.smax <= tg.smax END),
 edges AS (SELECT source_table, source_column, target_table, target_column, source_distinct, shared_values,
                  round(CAST(shared_values AS DOUBLE) / CAST(source_distinct AS DOUBLE), 4) AS containment,
                  name_similarity,
                  round(0.7 * (CAST(shared_values AS DOUBLE) / CAST(source_distinct AS DOUBLE)) + 0.3 * name_similarity, 4) AS confidence,
                  CASE WHEN shared_values = source_distinct AND name_similarity >= 0.5 THEN 'FK'
-                      WHEN target_rows <= {P.LOOKUP_MAX_ROWS} AND shared_values = source_distinct THEN 'LOOKUP'
+                      WHEN target_rows <= {P.LOOKUP_ROW_RATIO} * source_rows AND shared_values = source_distinct THEN 'LOOKUP'
                       ELSE 'SOFT_FK' END AS relationship_type,
                  name_similarity < 0.5 AS name_mismatch
-          FROM cand WHERE name_similarity >= 0.5 OR source_distinct >= 10)"""
+          FROM cand WHERE name_similarity >= 0.5 OR source_distinct >= {P.MIN_COVERAGE} * target_rows)"""
 
 
 FK_SQL = _fk_sql(DISCOVERY_TABLES)
@@ -195,8 +224,6 @@ def q_type_cast(spark, sf):
 
 
 def _canon_sql(c: str, ty: str) -> str:
-    if ty == "double":
-        return f"CAST(CAST({c} AS DECIMAL(18,4)) AS VARCHAR)"
     if ty == "timestamp_ntz":
         return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
     if ty == "string":
@@ -208,7 +235,8 @@ def _fingerprint_sql(tables) -> str:
     parts = []
     for tb in tables:
         schema_text = ",".join(f"{c}:{ty}" for c, ty in SCHEMAS[tb])
-        row = "concat_ws('|', " + ", ".join(f"coalesce({_canon_sql(c, ty)}, '^^')" for c, ty in SCHEMAS[tb]) + ")"
+        texts = [_canon_sql(c, ty) for c, ty in SCHEMAS[tb]]
+        row = " || ".join(f"coalesce(length({x}) || ':' || {x}, '-')" for x in texts)
         parts.append(f"SELECT '{tb}' AS table_name, md5('{schema_text}') AS schema_fingerprint, "
                      f"CAST(sum(CAST(('0x' || substr(md5({row}), 1, 12)) AS BIGINT)) AS VARCHAR) AS content_checksum, "
                      f"count(*) AS n_rows FROM {tb}")
@@ -229,7 +257,9 @@ def q_fingerprint(spark, sf):
 
 PATTERN_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"],
                 "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
-                "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"]}
+                "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"], "documents": ["doc_id"],
+                "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"],
+                "conversations": ["conv_id", "turn"]}
 
 
 PATTERN_SOURCES = {"events_cdc": "(SELECT *, CASE WHEN event_type = 'signup' THEN 'INSERT' "

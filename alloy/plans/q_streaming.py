@@ -1,5 +1,5 @@
-"""Streaming queries: each runs its stream over the whole table (available-now trigger)
-into a scratch folder under the shared checkpoint dir and returns the result table.
+"""Streaming queries: each writes its table as several files, in no order of time, under the
+shared checkpoint dir, streams it one file per micro-batch, and returns the resulting state.
 Their oracles are the batch operators' SQL: streaming must equal batch."""
 
 from __future__ import annotations
@@ -8,45 +8,45 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from alloy.operators.features import DAY  # noqa: F401 - documented window unit
+from alloy.operators.dedup import Order, keep_one
+from alloy.plans.fixtures import t
 from alloy.plans.q_history import SCD2_SQL
 from alloy.plans.q_silver import LINEITEM_COLS, LINEITEM_TIEBREAK
-from alloy.plans.fixtures import t
 from alloy.plans.registry import query
 from alloy.session import scratch_path
 from alloy.streaming import incremental as ST
 
+MICRO_BATCHES = 3
 
-def _dirs(spark, name: str) -> tuple[str, str]:
-    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
-    return f"{base}/out", f"{base}/_checkpoint"
 
-
-def _source(spark, sf: str, name: str, max_files: int | None = None):
-    schema = t(spark, sf, name).schema
-    # a glob over the table file: the file stream source then lists it like a folder
-    return ST.parquet_stream(spark, f"{sf.rstrip('/')}/{name}.parque[t]", schema, max_files)
+def _stream(spark, name: str, df):
+    """(stream of ``df`` in MICRO_BATCHES micro-batches, log folder, late log, checkpoint)."""
+    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
+    df.repartition(MICRO_BATCHES, F.xxhash64(*df.columns)).write.parquet(f"{base}/in")
+    return ST.parquet_stream(spark, f"{base}/in", df.schema, 1), f"{base}/log", f"{base}/late", f"{base}/_checkpoint"
 
 
 @query("stream_keep_latest", f"""
 SELECT {LINEITEM_COLS} FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
                                ORDER BY l_shipdate DESC NULLS LAST, {LINEITEM_TIEBREAK}) AS rn
-  FROM lineitem WHERE NOT coalesce(l_returnflag = 'R', false)) WHERE rn = 1""", ("ST1", "SNK3"))
+  FROM lineitem WHERE NOT coalesce(l_returnflag = 'R', false)) WHERE rn = 1""", ("ST1",))
 def q_stream_keep_latest(spark, sf):
-    out, ck = _dirs(spark, "keep_latest")
-    q = ST.stream_keep_latest(_source(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ("l_shipdate",),
-                              out, ck, deleted=lambda: F.col("l_returnflag") == "R")
-    q.awaitTermination()
-    return ST.BucketedTable(spark, out, ["l_orderkey", "l_linenumber"]).read()
+    keys = ["l_orderkey", "l_linenumber"]
+    src, log, _, ck = _stream(spark, "keep_latest", t(spark, sf, "lineitem"))
+    ST.stream_keep_latest(src, keys, ("l_shipdate",), log, ck, deleted=lambda: F.col("l_returnflag") == "R").awaitTermination()
+    return ST.latest_state(ST.read_log(spark, log), keys, ("l_shipdate",))
 
 
 @query("stream_immutable", "SELECT * FROM events", ("ST2",))
 def q_stream_immutable(spark, sf):
-    out, ck = _dirs(spark, "immutable")
-    q = ST.stream_immutable(_source(spark, sf, "events"), ["event_id"], "ts", "1 hour", out, ck)
-    q.awaitTermination()
-    return spark.read.schema(t(spark, sf, "events").schema).parquet(out)
+    """Every fifth event arrives twice; files hold all times, so later batches hold late rows."""
+    e = t(spark, sf, "events")
+    twice = e.unionByName(e.filter(F.col("event_id") % 5 == 0)).withColumn("_copy", F.monotonically_increasing_id())
+    src, log, late, ck = _stream(spark, "immutable", twice)
+    ST.stream_immutable(src.drop("_copy"), "ts", 3600, log, late, ck).awaitTermination()
+    rows = ST.read_log(spark, log).unionByName(ST.read_log(spark, late))
+    return ST.immutable_state(rows, ["event_id"])
 
 
 @query("stream_scd2", f"""
@@ -54,14 +54,13 @@ WITH {SCD2_SQL}
 SELECT user_id, event_id, event_type, EFFECTIVE_FROM, EFFECTIVE_TO, EFFECTIVE_TO IS NULL AS IS_CURRENT, IS_DELETED
 FROM v""", ("ST3", "S3i"))
 def q_stream_scd2(spark, sf):
-    out, ck = _dirs(spark, "scd2")
-    src = _source(spark, sf, "events").select(
+    e = t(spark, sf, "events").select(
         "user_id", "ts", "event_id", "event_type",
         F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type") == "error", "DELETE")
         .otherwise("UPDATE").alias("_OPERATION"))
-    q = ST.stream_scd2(src, ["user_id"], "ts", ["event_type"], out, ck, op_col="_OPERATION", seq="event_id")
-    q.awaitTermination()
-    return ST.BucketedTable(spark, out, ["user_id"]).read().select(
+    src, log, _, ck = _stream(spark, "scd2", e)
+    ST.stream_scd2(src, log, ck).awaitTermination()
+    return ST.scd2_state(ST.read_log(spark, log), ["user_id"], "ts", ["event_type"], "_OPERATION", "event_id").select(
         "user_id", "event_id", "event_type", "EFFECTIVE_FROM", "EFFECTIVE_TO", "IS_CURRENT", "IS_DELETED")
 
 
@@ -70,9 +69,20 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1
        event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total_value
 FROM events GROUP BY 1, 2, 3""", ("ST4",))
 def q_stream_aggregate(spark, sf):
-    out, ck = _dirs(spark, "aggregate")
-    q = ST.stream_aggregate(_source(spark, sf, "events"), "ts", "1 hour", ["event_type"], {
-        "n_events": lambda: F.count(F.lit(1)),
-        "total_value": lambda: F.sum(F.col("value").cast("decimal(18,4)")).cast("double")}, "1 hour", out, ck)
-    q.awaitTermination()
-    return ST.BucketedTable(spark, out, ["window_start", "event_type"]).read()
+    src, log, _, ck = _stream(spark, "aggregate", t(spark, sf, "events"))
+    measures = {"n_events": lambda: F.count(F.lit(1)), "total_value": lambda: F.sum(F.col("value").cast("decimal(18,4)"))}
+    ST.stream_aggregate(src, "ts", "1 hour", ["event_type"], measures, log, ck).awaitTermination()
+    return ST.aggregate_state(ST.read_log(spark, log), ["event_type"], list(measures))
+
+
+@query("stream_refresh", """
+SELECT user_id, count(*) AS n_events, max(ts) AS last_ts
+FROM events GROUP BY user_id""", ("SNK3",))
+def q_stream_refresh(spark, sf):
+    """A refreshed target of one row per user and batch, folded into a base and read back."""
+    e = t(spark, sf, "events")
+    src, log, base, ck = _stream(spark, "refresh", e.select("event_id", "user_id", "ts"))
+    ST.refresh_stream(src, lambda b: keep_one(b, ["event_id"], [Order("ts", desc=True)]), log, ck).awaitTermination()
+    ST.compact(spark, log, base, lambda rows: ST.refreshed_state(rows, ["event_id"]))
+    rows = ST.refreshed_state(ST.read_log(spark, log, base), ["event_id"])
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.max("ts").alias("last_ts"))

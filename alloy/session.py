@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Bytes under which a side may be broadcast; anything larger takes the shuffle path.
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+# Bytes in memory per byte of compressed Parquet, at worst usual.
+FILE_TO_MEMORY = 4
 
 
 def build_session(master: str | None = None, app: str = "alloy",
@@ -34,6 +36,7 @@ def build_session(master: str | None = None, app: str = "alloy",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if shuffle_partitions or local:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or os.cpu_count() or 8))
@@ -56,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="alloy-ckpt-")
     spark.conf.set("spark.checkpoint.dir", scratch)
     spark.sparkContext.setCheckpointDir(scratch)
@@ -77,8 +82,9 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only behind a size check; larger sides keep the shuffle join."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
+    """Broadcast hint only behind a size check; larger sides keep the shuffle join. The
+    estimate starts from compressed files, so rows in memory count FILE_TO_MEMORY times."""
+    return F.broadcast(df) if estimated_bytes(df) * FILE_TO_MEMORY <= limit_bytes else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -47,23 +47,38 @@ def parse_spec(spec: str) -> list[str]:
     return [s.strip() for s in spec.split(",") if s.strip()]
 
 
+def list_tables(spark: SparkSession, root: str, entry: str) -> list[str]:
+    """The tables an entry stands for: itself if it is one, else those of the schema."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(jvm_path(TableId.parse(entry).path(root))):
+        return [entry]
+    folder = jvm_path("/".join([root.rstrip("/"), *(p.strip() for p in entry.split("."))]))
+    if not fs.exists(folder):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
+    return [f"{entry}.{n.removesuffix('.parquet')}" for n in names if n.endswith(".parquet")]
+
+
 def read_sources(spark: SparkSession, root: str, spec: str,
                  source_col: str = "source_table") -> tuple[DataFrame | None, list[str]]:
-    """Read every listed source, tag rows with their source, skip unreachable ones.
+    """Read every listed source, tag rows with their table, skip unreachable ones.
 
-    Returns ``(union, skipped)``; the union aligns columns by name and fills
-    columns a source lacks with NULL.
+    An entry names a table or a schema, of which every table is read. Returns ``(union,
+    skipped)``; the union aligns columns by name and fills columns a source lacks with NULL.
     """
     frames, skipped = [], []
     for entry in parse_spec(spec):
-        tid = TableId.parse(entry)
-        try:
-            df = spark.read.parquet(tid.path(root))
-            df.schema  # noqa: B018 - forces the path/footer check
-        except AnalysisException:
+        tables = list_tables(spark, root, entry)
+        if not tables:
             skipped.append(entry)
-            continue
-        frames.append(df.select(F.lit(entry).alias(source_col), "*"))
+        for name in tables:
+            try:
+                df = spark.read.parquet(TableId.parse(name).path(root))
+            except AnalysisException:
+                skipped.append(name)
+                continue
+            frames.append(df.select(F.lit(name).alias(source_col), "*"))
     if not frames:
         return None, skipped
     out = frames[0]

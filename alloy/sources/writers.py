@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _exists_with_rows(spark: SparkSession, path: str) -> bool:
@@ -16,13 +18,24 @@ def _exists_with_rows(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Create-or-replace a Parquet table. Spark's file committer writes task output to
-    a staging area and only moves committed files into place, so a lost executor
-    leaves no partial table behind."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    """Create-or-replace a Parquet table. The new table is written whole to a folder beside
+    the old one, which is only then dropped and replaced by a rename: a job that fails
+    leaves the old table as it was, and ``df`` may read the table that it replaces."""
+    path = path.rstrip("/")
+    staging = f"{path}__staging_{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    try:
+        writer.parquet(staging)
+        fs.delete(hadoop_path(path), True)
+        if not fs.rename(hadoop_path(staging), hadoop_path(path)):
+            raise OSError(f"cannot rename {staging} to {path}")
+    except Exception:
+        if fs.exists(hadoop_path(path)):  # else the staged table is the only one left
+            fs.delete(hadoop_path(staging), True)
+        raise
     return path
 
 
@@ -75,7 +88,10 @@ def write_clustered(df: DataFrame, path: str, date_col: str | None, cluster_cols
     return path
 
 
-def write_routed(routed: DataFrame, path: str, table_col: str = "gold_table") -> str:
-    """Fan-out in one pass: one directory per Gold target (not one scan per target)."""
-    routed.write.mode("overwrite").partitionBy(table_col).parquet(path)
+def write_routed(routed: DataFrame, path: str, table_col: str = "gold_table", files_per_target: int = 8) -> str:
+    """Fan-out in one pass: one directory per Gold target (not one scan per target). Rows are
+    dealt by target and a salt, so a target gets ``files_per_target`` files at most and a
+    hot target as many tasks."""
+    salt = F.pmod(F.xxhash64(*routed.columns), F.lit(files_per_target))
+    routed.repartition(F.col(table_col), salt).write.mode("overwrite").partitionBy(table_col).parquet(path)
     return path

@@ -1,97 +1,37 @@
 """Incremental (streaming) versions of the main operators on Structured Streaming.
 
-* ``stream_keep_latest`` (ST1) and ``stream_scd2`` (ST3): ``foreachBatch`` merges each
-  micro-batch into the target; only the keys touched by the batch are re-derived.
-* ``stream_immutable`` (ST2): watermark + ``dropDuplicatesWithinWatermark``.
-* ``stream_aggregate`` (ST4): windowed aggregation with a watermark, upserted by window.
-* ``refresh_stream`` (SNK3): the generic lag-refreshed target.
-
-Parquet has no MERGE, so a merged target is a Parquet table partitioned by a hash
-bucket of its key. A micro-batch reads only the buckets its keys fall into (partition
-pruning), merges them with the batch, materialises the result (reliable checkpoint, so
-the target is never read and overwritten by the same job) and replaces just those
-partitions with Spark's dynamic partition overwrite; a ``_committed_<batch_id>``
-marker is written last. A replayed batch whose marker exists is skipped; one replayed
-after a partial overwrite re-merges idempotently (keep-latest and upserts are
-idempotent, and SCD2 re-derives touched keys from their stored versions).
+A stream appends its micro-batches to a change log: plain Parquet, one ``batch_id=<n>``
+folder per micro-batch, written in overwrite mode, so a replayed batch replaces itself and
+nothing else is read or rewritten. The table's state is the batch operator over the log,
+which makes it independent of the order and the lateness of the changes:
+
+* ``stream_keep_latest`` (ST1): each batch is reduced to its own latest rows first;
+* ``stream_immutable`` (ST2): rows later than the bound go to a log of their own and count;
+* ``stream_scd2`` (ST3): the log holds every change, the history is derived from it;
+* ``stream_aggregate`` (ST4): each batch is reduced to partial sums per window;
+* ``refresh_stream`` (SNK3): the generic lag-refreshed target, last batch per key wins.
+
+``compact`` folds a log into a base table that later reads take in place of the batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from alloy.operators.dedup import keep_latest
-from alloy.operators.scd2 import scd2, scd2_apply
-from alloy.session import cut_lineage
+from alloy.operators.dedup import Order, immutable_fact, keep_latest, keep_one
+from alloy.operators.scd2 import scd2
 
-MARKER = "_committed_"
-BUCKET = "_bucket"
-DEFAULT_BUCKETS = 64
+BATCH = "batch_id"
 # fixed refresh lags offered for continuously refreshed targets
 LAGS = {"1 minute": "1 minute", "5 minutes": "5 minutes", "1 hour": "1 hour", "1 day": "1 day"}
 
 
-class BucketedTable:
-    """Merge target: ``<root>/data`` partitioned by ``_bucket = pmod(xxhash64(keys), n)``
-    plus ``<root>/_committed_<batch_id>`` markers."""
-
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], buckets: int = DEFAULT_BUCKETS):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.data = f"{self.root}/data"
-        self.keys = list(keys)
-        self.buckets = buckets
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def bucket(self) -> F.Column:
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
-
-    def committed_batches(self) -> list[int]:
-        p = self._path(self.root)
-        if not self.fs.exists(p):
-            return []
-        return sorted(int(st.getPath().getName()[len(MARKER):]) for st in self.fs.listStatus(p)
-                      if st.getPath().getName().startswith(MARKER))
-
-    def committed(self, batch_id: int) -> bool:
-        return self.fs.exists(self._path(f"{self.root}/{MARKER}{batch_id}"))
-
-    def read(self) -> DataFrame | None:
-        if not self.fs.exists(self._path(self.data)):
-            return None
-        return self.spark.read.parquet(self.data).drop(BUCKET)
-
-    def touched(self, batch: DataFrame) -> list[int]:
-        """Bucket ids of a batch's keys (at most ``buckets`` small numbers)."""
-        return [r[0] for r in batch.select(self.bucket().alias("b")).distinct().collect()]
-
-    def read_buckets(self, ids: list[int]) -> DataFrame | None:
-        if not self.fs.exists(self._path(self.data)):
-            return None
-        return self.spark.read.parquet(self.data).filter(F.col(BUCKET).isin(ids)).drop(BUCKET)
-
-    def commit(self, rows: DataFrame, batch_id: int, reads_target: bool = True) -> None:
-        """Replace the partitions of the buckets present in ``rows`` (their full new
-        content), then publish the batch marker. ``rows`` is materialised first when it
-        was derived from the target itself (a job may not read and overwrite one path)."""
-        if self.committed(batch_id):
-            return
-        staged = rows.withColumn(BUCKET, self.bucket())
-        if reads_target:
-            staged = cut_lineage(staged)
-        # one writer task per bucket -> one file per replaced partition (size the bucket
-        # count so a bucket stays around a file's worth of data at the target scale)
-        (staged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(BUCKET).parquet(self.data))
-        self.fs.create(self._path(f"{self.root}/{MARKER}{batch_id}"), True).close()
-
-
 def parquet_stream(spark: SparkSession, path: str, schema: T.StructType,
                    max_files_per_trigger: int | None = None, base_path: str | None = None) -> DataFrame:
     """File stream over a folder (or a single file inside ``base_path``)."""
@@ -103,98 +43,119 @@ def parquet_stream(spark: SparkSession, path: str, schema: T.StructType,
     return reader.parquet(path)
 
 
-def _start(df: DataFrame, checkpoint: str, trigger: str | None, fn=None, mode: str = "update",
-           sink: str | None = None) -> StreamingQuery:
+# ---- the change log ------------------------------------------------------------------
+def append_batch(batch: DataFrame, log: str, batch_id: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{log}/{BATCH}={batch_id}")
+
+
+def read_log(spark: SparkSession, log: str, base: str | None = None) -> DataFrame | None:
+    """All logged rows with their ``batch_id``; with ``base`` (made by ``compact``) its rows
+    and the batches after it. None while nothing is logged."""
+    parts = []
+    for path in filter(None, (log, base)):
+        try:
+            parts.append(spark.read.parquet(path))
+        except AnalysisException:
+            continue
+    if len(parts) < 2:
+        return parts[0] if parts else None
+    last = parts[1].agg(F.max(BATCH)).first()[0]
+    return parts[0].filter(F.col(BATCH) > (-1 if last is None else last)).unionByName(parts[1])
+
+
+def compact(spark: SparkSession, log: str, base: str, state: Callable[[DataFrame], DataFrame],
+            old_base: str | None = None) -> None:
+    """Write the state of all logged batches as a new base table, one folder named after the
+    last of them. The log itself is left alone; its folders up to there may be dropped."""
+    rows = read_log(spark, log, old_base)
+    if rows is None:
+        return
+    last = rows.agg(F.max(BATCH)).first()[0]
+    state(rows).drop(BATCH).write.mode("overwrite").parquet(f"{base}/{BATCH}={last}")
+
+
+def _start(df: DataFrame, checkpoint: str, trigger: str | None, fn: Callable, mode: str = "append") -> StreamingQuery:
     w = df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
     w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
-    if fn is not None:
-        return w.foreachBatch(fn).start()
-    return w.format("parquet").option("path", sink).start()
+    return w.foreachBatch(fn).start()
+
+
+def _log_stream(src: DataFrame, log: str, checkpoint: str, trigger: str | None,
+                reduce: Callable[[DataFrame], DataFrame] = lambda b: b) -> StreamingQuery:
+    return _start(src, checkpoint, trigger, lambda batch, batch_id: append_batch(reduce(batch), log, batch_id))
 
 
-def stream_keep_latest(src: DataFrame, keys: Sequence[str], order_cols: Sequence[str], target: str,
-                       checkpoint: str, deleted: Callable | None = None,
+# ---- operators -----------------------------------------------------------------------
+def stream_keep_latest(src: DataFrame, keys: Sequence[str], order_cols: Sequence[str], log: str,
+                       checkpoint: str, deleted: Callable[[], Column] | None = None,
                        trigger: str | None = None) -> StreamingQuery:
-    """ST1: keep-latest Silver table maintained per micro-batch (touched keys only)."""
-    spark = src.sparkSession
+    """ST1: the log of a keep-latest Silver table; ``latest_state`` reads it."""
+    return _log_stream(src, log, checkpoint, trigger,
+                       lambda b: keep_latest(b, keys, order_cols, deleted() if deleted else None))
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        table = BucketedTable(spark, target, keys)
-        if table.committed(batch_id):
-            return
-        flag = deleted() if deleted else None
-        cur = table.read_buckets(table.touched(batch))
-        rows = batch if cur is None else cur.unionByName(batch.select(*cur.columns))
-        table.commit(keep_latest(rows, keys, order_cols, flag), batch_id, reads_target=cur is not None)
 
-    return _start(src, checkpoint, trigger, merge)
+def latest_state(rows: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+    return keep_latest(rows.drop(BATCH), keys, order_cols, None)
 
 
-def stream_scd2(src: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[str], target: str,
-                checkpoint: str, op_col: str | None = None, seq: str | None = None,
-                trigger: str | None = None) -> StreamingQuery:
-    """ST3: SCD2 history maintained per micro-batch via ``scd2_apply``."""
-    spark = src.sparkSession
+def stream_scd2(src: DataFrame, log: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
+    """ST3: the log of every change; ``scd2_state`` derives the history."""
+    return _log_stream(src, log, checkpoint, trigger)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        table = BucketedTable(spark, target, keys)
-        if table.committed(batch_id):
-            return
-        cur = table.read_buckets(table.touched(batch))
-        new = (scd2(batch, keys, ts, tracked, op_col, seq=seq) if cur is None
-               else scd2_apply(cur, batch, keys, ts, tracked, op_col, seq=seq))
-        table.commit(new, batch_id, reads_target=cur is not None)
 
-    return _start(src, checkpoint, trigger, merge)
+def scd2_state(rows: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[str],
+               op_col: str | None = None, seq: str | None = None) -> DataFrame:
+    return scd2(rows.drop(BATCH).distinct(), keys, ts, tracked, op_col, seq=seq)
 
 
-def stream_immutable(src: DataFrame, keys: Sequence[str], ts: str, late: str, sink: str,
+def stream_immutable(src: DataFrame, ts: str, late_seconds: int, log: str, late_log: str,
                      checkpoint: str, trigger: str | None = None) -> StreamingQuery:
-    """ST2: immutable-fact dedup with a late-data bound; state is dropped behind the
-    watermark. The watermark column must be TIMESTAMP (NTZ is cast)."""
-    wm = src.withColumn("_wm", F.col(ts).cast("timestamp")).withWatermark("_wm", late)
-    out = wm.dropDuplicatesWithinWatermark(list(keys)).drop("_wm")
-    return _start(out, checkpoint, trigger, mode="append", sink=sink)
+    """ST2: the log of an immutable fact table. Rows more than ``late_seconds`` behind the
+    latest time of the earlier batches are logged apart (``late_log``), not lost."""
+    spark = src.sparkSession
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        seen = read_log(spark, log)
+        newest = None if seen is None else seen.filter(F.col(BATCH) < batch_id).agg(F.max(ts)).first()[0]
+        late = F.lit(False)
+        if newest is not None:
+            bound = F.lit(newest) - F.make_dt_interval(secs=F.lit(late_seconds))
+            late = F.coalesce(F.col(ts) < bound, F.lit(False))
+        append_batch(batch.filter(late), late_log, batch_id)
+        append_batch(batch.filter(~late), log, batch_id)
+
+    return _start(src, checkpoint, trigger, split)
+
+
+def immutable_state(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key of the logged rows (of both logs, if their union is given)."""
+    return immutable_fact(rows.drop(BATCH), keys, money=False)
 
 
 def stream_aggregate(src: DataFrame, ts: str, window: str, dims: Sequence[str],
-                     measures: dict[str, Callable], late: str, target: str, checkpoint: str,
+                     measures: dict[str, Callable[[], Column]], log: str, checkpoint: str,
                      trigger: str | None = None) -> StreamingQuery:
-    """ST4: tumbling-window Gold aggregate; updated windows are upserted by (window, dims)."""
-    spark = src.sparkSession
-    wm = src.withColumn("_wm", F.col(ts).cast("timestamp")).withWatermark("_wm", late)
-    agg = wm.groupBy(F.window("_wm", window).alias("w"), *dims).agg(*[m().alias(n) for n, m in measures.items()])
-    agg = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), *dims, *measures.keys())
-    key = ["window_start", *dims]
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        table = BucketedTable(spark, target, key)
-        if table.committed(batch_id):
-            return
-        cur = table.read_buckets(table.touched(batch))
-        new = batch if cur is None else \
-            cur.join(batch.select(*key), key, "left_anti").select(*cur.columns).unionByName(batch)
-        table.commit(new, batch_id, reads_target=cur is not None)
-
-    return _start(agg, checkpoint, trigger, merge)
-
-
-def refresh_stream(src: DataFrame, transform: Callable[[DataFrame], DataFrame], keys: Sequence[str],
-                   target: str, checkpoint: str, lag: str | None = None) -> StreamingQuery:
+    """ST4: the log of a tumbling-window Gold aggregate. ``measures`` are sums or counts, so
+    the batches' parts add up in ``aggregate_state`` however late their rows are."""
+    def parts(batch: DataFrame) -> DataFrame:
+        timed = batch.withColumn("_w", F.window(F.col(ts).cast("timestamp"), window))
+        agg = timed.groupBy("_w", *dims).agg(*[m().alias(n) for n, m in measures.items()])
+        return agg.select(F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
+                          F.col("_w.end").cast("timestamp_ntz").alias("window_end"), *dims, *measures)
+
+    return _log_stream(src, log, checkpoint, trigger, parts)
+
+
+def aggregate_state(rows: DataFrame, dims: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    return rows.groupBy("window_start", "window_end", *dims).agg(*[F.sum(m).alias(m) for m in measures])
+
+
+def refresh_stream(src: DataFrame, transform: Callable[[DataFrame], DataFrame],
+                   log: str, checkpoint: str, lag: str | None = None) -> StreamingQuery:
     """SNK3: a target refreshed every ``lag`` (``None`` = run what is available, then stop):
-    each micro-batch is transformed and upserted by key."""
-    spark = src.sparkSession
-    trigger = LAGS.get(lag, lag) if lag else None
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        table = BucketedTable(spark, target, keys)
-        if table.committed(batch_id):
-            return
-        out = transform(batch)
-        cur = table.read_buckets(table.touched(out))
-        new = out if cur is None else \
-            cur.join(out.select(*keys), list(keys), "left_anti").select(*cur.columns).unionByName(out)
-        table.commit(new, batch_id, reads_target=cur is not None)
-
-    return _start(src, checkpoint, trigger, merge)
+    each micro-batch is transformed and logged; ``refreshed_state`` upserts by key."""
+    return _log_stream(src, log, checkpoint, LAGS.get(lag, lag) if lag else None, transform)
+
+
+def refreshed_state(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return keep_one(rows, keys, [Order(BATCH, desc=True)]).drop(BATCH)

@@ -92,39 +92,51 @@ def _split_events(spark, tmp, parts=4):
 def test_stream_keep_latest_multi_batch_equals_batch(spark, tmp):
     from alloy.operators.dedup import keep_latest
     e = _split_events(spark, tmp)
+    keys = ["user_id", "event_type"]
     src = ST.parquet_stream(spark, f"{tmp}/events", e.schema, max_files_per_trigger=1)
-    q = ST.stream_keep_latest(src, ["user_id", "event_type"], ("ts",), f"{tmp}/out", f"{tmp}/ck")
-    q.awaitTermination()
-    table = ST.BucketedTable(spark, f"{tmp}/out", ["user_id", "event_type"])
-    assert len(table.committed_batches()) >= 3
-    want = sorted(keep_latest(e, ["user_id", "event_type"], ("ts",)).collect())
-    assert sorted(table.read().collect()) == want
-    table.commit(spark.range(1), table.committed_batches()[-1])   # replay of a committed batch: no-op
-    assert sorted(table.read().collect()) == want
+    ST.stream_keep_latest(src, keys, ("ts",), f"{tmp}/log", f"{tmp}/ck").awaitTermination()
+    rows = ST.read_log(spark, f"{tmp}/log")
+    assert rows.select("batch_id").distinct().count() >= 3
+    want = sorted(keep_latest(e, keys, ("ts",)).collect())
+    assert sorted(ST.latest_state(rows, keys, ("ts",)).collect()) == want
+    ST.append_batch(spark.read.parquet(f"{tmp}/log/batch_id=1"), f"{tmp}/log2", 1)   # a batch again: replaces itself
+    ST.append_batch(spark.read.parquet(f"{tmp}/log/batch_id=1"), f"{tmp}/log2", 1)
+    assert ST.read_log(spark, f"{tmp}/log2").count() == rows.filter("batch_id = 1").count()
+
+
+def test_stream_scd2_late_batches_and_compaction(spark, tmp):
+    """Files in reverse order of time, a batch twice: the history is that of all changes."""
+    from alloy.operators.scd2 import scd2
+    e = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    op = F.when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
+    x = e.select("user_id", "ts", "event_id", "event_type", op.alias("_OPERATION"))
+    for i, (lo, hi) in enumerate([("2024-01-22", "2024-03-01"), ("2024-01-08", "2024-01-22"), ("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-22")]):
+        ST.append_batch(x.filter((F.col("ts") >= lo) & (F.col("ts") < hi)), f"{tmp}/log", i)
+    args = (["user_id"], "ts", ["event_type"], "_OPERATION", "event_id")
+    want = sorted(scd2(x, *args[:4], seq="event_id").collect())
+    assert sorted(ST.scd2_state(ST.read_log(spark, f"{tmp}/log"), *args).collect()) == want
+    ST.compact(spark, f"{tmp}/log", f"{tmp}/base", lambda rows: rows.drop("batch_id").distinct())
+    again = ST.read_log(spark, f"{tmp}/log", f"{tmp}/base")
+    assert again.count() == x.count() and sorted(ST.scd2_state(again, *args).collect()) == want
 
 
-def test_stream_scd2_multi_batch_equals_batch(spark, tmp):
-    from alloy.operators.scd2 import scd2
+def test_stream_immutable_keeps_late_rows(spark, tmp):
     e = _split_events(spark, tmp)
-    op = F.when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
+    e.limit(50).coalesce(1).write.mode("append").parquet(f"{tmp}/events")     # repeated, and late
     src = ST.parquet_stream(spark, f"{tmp}/events", e.schema, max_files_per_trigger=1)
-    src = src.select("user_id", "ts", "event_id", "event_type", op.alias("_OPERATION"))
-    q = ST.stream_scd2(src, ["user_id"], "ts", ["event_type"], f"{tmp}/out", f"{tmp}/ck",
-                       op_col="_OPERATION", seq="event_id")
-    q.awaitTermination()
-    batch = scd2(e.select("user_id", "ts", "event_id", "event_type", op.alias("_OPERATION")),
-                 ["user_id"], "ts", ["event_type"], "_OPERATION", seq="event_id")
-    got = ST.BucketedTable(spark, f"{tmp}/out", ["user_id"]).read()
-    assert sorted(got.collect()) == sorted(batch.collect())
+    ST.stream_immutable(src, "ts", 3600, f"{tmp}/log", f"{tmp}/late", f"{tmp}/ck").awaitTermination()
+    late = ST.read_log(spark, f"{tmp}/late")
+    assert late.count() > 0
+    rows = ST.read_log(spark, f"{tmp}/log").unionByName(late)
+    assert rows.count() == e.count() + 50
+    assert sorted(ST.immutable_state(rows, ["event_id"]).collect(), key=str) == sorted(e.collect(), key=str)
 
 
 def test_stream_aggregate_multi_batch_equals_batch(spark, tmp):
     e = _split_events(spark, tmp)
     src = ST.parquet_stream(spark, f"{tmp}/events", e.schema, max_files_per_trigger=1)
-    q = ST.stream_aggregate(src, "ts", "1 hour", ["event_type"], {"n": lambda: F.count(F.lit(1))},
-                            "1 day", f"{tmp}/out", f"{tmp}/ck")
-    q.awaitTermination()
-    got = ST.BucketedTable(spark, f"{tmp}/out", ["window_start", "event_type"]).read()
+    ST.stream_aggregate(src, "ts", "1 hour", ["event_type"], {"n": lambda: F.count(F.lit(1))}, f"{tmp}/log", f"{tmp}/ck").awaitTermination()
+    got = ST.aggregate_state(ST.read_log(spark, f"{tmp}/log"), ["event_type"], ["n"])
     want = e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").start.cast("timestamp_ntz")
                      .alias("window_start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(got.select("window_start", "event_type", "n").collect()) == sorted(want.collect())
@@ -164,21 +176,33 @@ def test_completeness_goldens_five_provinces(spark):
     assert tax == {True: 11_648, False: 6_552}
 
 
-def test_scd2_apply_replay_is_idempotent(spark):
+def test_scd2_apply_in_any_order(spark):
+    """Changes in shuffled batches, some twice, some older than the history they meet."""
+    import random
+
     from alloy.operators.scd2 import scd2, scd2_apply
-    e = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    op = F.when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
-    x = e.select("user_id", "ts", "event_id", "event_type", op.alias("_OPERATION"))
-    early, late = x.filter(F.col("ts") < "2024-01-15"), x.filter(F.col("ts") >= "2024-01-15")
-    args = (["user_id"], "ts", ["event_type"], "_OPERATION")
     from alloy.session import cut_lineage
-    # materialised between applications, as the stream does (it reads the target files)
-    first = cut_lineage(scd2(early, *args, seq="event_id"))
-    once = cut_lineage(scd2_apply(first, late, *args, seq="event_id"))
-    twice = scd2_apply(once, late, *args, seq="event_id")
-    full = scd2(x, *args, seq="event_id")
-    assert sorted(once.collect()) == sorted(full.collect())
-    assert sorted(twice.collect()) == sorted(full.collect())
+    rnd = random.Random(4)
+    rows = [("a", f"2024-01-{d:02d} {h:02d}:00:00", i, v, "UPDATE") for i, (d, h, v) in enumerate(
+        [(1, 0, "x"), (3, 0, "x"), (4, 0, "x"), (3, 12, "y"), (6, 0, "y"), (7, 0, "z")])]
+    rows += [("b", f"2024-01-{rnd.randint(1, 20):02d} {rnd.randint(0, 23):02d}:00:00", 100 + i, rnd.choice("pq"),
+              rnd.choice(["UPDATE", "UPDATE", "DELETE"])) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, s string, n long, v string, op string").select(
+        "k", F.to_timestamp_ntz("s").alias("ts"), "n", "v", "op")
+    args = (["k"], "ts", ["v"], "op")
+    full = sorted(scd2(df, *args, seq="n").collect())
+    for seed in range(2):
+        ids = [r[2] for r in rows]
+        random.Random(seed).shuffle(ids)
+        current = log = None
+        for part in (ids[:12], ids[12:24], ids[6:14], ids[24:]):
+            batch = df.filter(F.col("n").isin(part))
+            if current is None:
+                current, log = cut_lineage(scd2(batch, *args, seq="n")), batch
+            else:
+                current = cut_lineage(scd2_apply(current, batch, log, *args, seq="n"))
+                log = log.unionByName(batch)
+        assert sorted(current.collect()) == full
 
 
 def test_refresh_stream_upserts_per_batch(spark, tmp):
@@ -190,8 +214,57 @@ def test_refresh_stream_upserts_per_batch(spark, tmp):
         return keep_one(batch.select("user_id", "ts", "event_id", "event_type"), ["user_id"],
                         [Order("ts", desc=True)])
 
-    q = ST.refresh_stream(src, latest_state, ["user_id"], f"{tmp}/out", f"{tmp}/ck")   # lag None = available now
-    q.awaitTermination()
-    got = ST.BucketedTable(spark, f"{tmp}/out", ["user_id"]).read()
+    ST.refresh_stream(src, latest_state, f"{tmp}/log", f"{tmp}/ck").awaitTermination()   # lag None = available now
+    got = ST.refreshed_state(ST.read_log(spark, f"{tmp}/log"), ["user_id"])
     want = latest_state(e)
     assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+
+
+def test_staged_replace_keeps_the_old_table(spark, tmp):
+    """A write that fails leaves the table as it was; one that succeeds replaces it whole."""
+    writers.write_table(spark.range(5), f"{tmp}/t")
+    with pytest.raises(Exception):
+        writers.write_table(spark.range(9).select(F.raise_error(F.lit("no")).alias("id")), f"{tmp}/t")
+    assert spark.read.parquet(f"{tmp}/t").count() == 5
+    writers.write_table(spark.read.parquet(f"{tmp}/t").filter("id > 1"), f"{tmp}/t")   # reads what it replaces
+    assert sorted(r[0] for r in spark.read.parquet(f"{tmp}/t").collect()) == [2, 3, 4]
+    assert os.listdir(tmp) == ["t"]
+
+
+def test_read_sources_lists_a_schema(spark, tmp):
+    for name in ("a", "b"):
+        spark.range(3).write.parquet(f"{tmp}/db/s/{name}.parquet")
+    df, skipped = readers.read_sources(spark, tmp, "db.s, db.s.a, db.none")
+    assert {(r["source_table"], r["count"]) for r in df.groupBy("source_table").count().collect()} == {("db.s.a", 6), ("db.s.b", 3)}
+    assert skipped == ["db.none"]
+
+
+def test_as_of_join_of_a_hot_key(spark):
+    """One key holds half of the facts; NULL keys and times match nothing; also across days."""
+    from alloy.operators.joins import as_of_join
+    facts = spark.range(2000).select(
+        F.col("id").alias("f"), F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 19 == 0, None).otherwise(F.col("id") % 7).cast("long").alias("fk"),
+        F.when(F.col("id") % 23 != 0, F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.col("id").cast("int") % 400)).alias("at"))
+    versions = spark.range(60).select(
+        (F.col("id") % 6).alias("vk"), F.col("id").alias("version"),
+        (F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'") + F.make_dt_interval((F.col("id") / 6).cast("int"))).alias("EFFECTIVE_FROM"),
+        F.when(F.col("id") < 54, F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'")
+               + F.make_dt_interval((F.col("id") / 6).cast("int"), F.when(F.col("id") % 5 == 0, 0).otherwise(20))).alias("EFFECTIVE_TO"))
+    got = sorted(((r["f"], r["version"]) for r in as_of_join(facts, versions, "fk", "vk", "at").collect()))
+    plain = facts.join(versions, (F.col("fk") == F.col("vk")) & (F.col("EFFECTIVE_FROM") <= F.col("at"))
+                       & (F.col("EFFECTIVE_TO").isNull() | (F.col("at") < F.col("EFFECTIVE_TO"))), "left")
+    assert got == sorted((r["f"], r["version"]) for r in plain.collect())
+
+
+def test_pack_batches_with_nulls(spark):
+    from alloy.operators import documents as D
+    df = spark.createDataFrame([("a", 1, "x" * 400), ("a", 2, None), (None, 3, "y" * 40), (None, 4, "")], "g string, o long, txt string")
+    got = {r["o"]: (r["g"], r["tokens"], r["batch_no"]) for r in D.pack_batches(df, "g", "o", text_col="txt").collect()}
+    assert got == {1: ("a", 150, 0), 2: ("a", 50, 0), 3: (None, 60, 0), 4: (None, 50, 0)}
+
+
+def test_profile_without_integers_or_texts(spark):
+    from alloy.operators import profile as P
+    floats = {"f": spark.createDataFrame([(1.5,)], "x double")}
+    assert P.discover_fks(floats).collect() == []
+    assert P.infer_types(floats["f"], "f").collect() == []
