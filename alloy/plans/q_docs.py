@@ -16,12 +16,17 @@ from alloy.plans.q_profile import DISCOVERY_TABLES, FK_SQL, _tables
 from alloy.plans.registry import query
 
 STRIP_SQL = D.STRIP_RE
-CHUNK_SQL = f"""paras_t AS (
-  SELECT doc_id, source, list_filter(list_transform(regexp_split_to_array(text, '\\n{{2,}}'),
+
+
+def chunk_sql(src: str, key: str, keep: tuple[str, ...]) -> str:
+    """CTEs that end in ``chunks``: the chunks of ``src``'s texts."""
+    cols = ", ".join([key, *keep])
+    return f"""paras_t AS (
+  SELECT {cols}, list_filter(list_transform(regexp_split_to_array(text, '\\n{{2,}}'),
                  lambda x: regexp_replace(x, '{STRIP_SQL}', '', 'g')), lambda x: x <> '') AS paras
-  FROM documents),
+  FROM {src}),
 f AS (
-  SELECT doc_id, source, list_reduce(paras, lambda acc, para: CASE
+  SELECT {cols}, list_reduce(paras, lambda acc, para: CASE
       WHEN length(acc.cur) + length(para) + 1 <= 1500
         THEN {{'chunks': acc.chunks, 'cur': regexp_replace(acc.cur || chr(10) || para, '{STRIP_SQL}', '', 'g')}}
       WHEN length(para) <= 1500
@@ -32,10 +37,13 @@ f AS (
             'cur': ''}} END,
     {{'chunks': []::VARCHAR[], 'cur': ''}}) AS st
   FROM paras_t),
-cc AS (SELECT doc_id, source, CASE WHEN length(st.cur) > 0 THEN list_append(st.chunks, st.cur) ELSE st.chunks END AS ch
+cc AS (SELECT {cols}, CASE WHEN length(st.cur) > 0 THEN list_append(st.chunks, st.cur) ELSE st.chunks END AS ch
        FROM f),
-chunks AS (SELECT doc_id, source, chunk_index, chunk_text, length(chunk_text) AS chunk_chars
-           FROM (SELECT doc_id, source, unnest(range(0, len(ch))) AS chunk_index, unnest(ch) AS chunk_text FROM cc))"""
+chunks AS (SELECT {cols}, chunk_index, chunk_text, length(chunk_text) AS chunk_chars
+           FROM (SELECT {cols}, unnest(range(0, len(ch))) AS chunk_index, unnest(ch) AS chunk_text FROM cc))"""
+
+
+CHUNK_SQL = chunk_sql("documents", "doc_id", ("source",))
 
 
 def doc_chunks(spark, sf):
