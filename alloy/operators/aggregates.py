@@ -20,11 +20,11 @@ def safe_pct(part: Column, whole: Column, scale: int = 1) -> Column:
     return F.round(part.cast("double") * 100.0 / F.nullif(whole, F.lit(0)).cast("double"), scale)
 
 
-def coverage(df: DataFrame, covered_col: str, scale: int = 1) -> DataFrame:
-    """Total, covered (non-NULL ``covered_col``) and zero-safe percentage."""
-    return df.agg(F.count(F.lit(1)).alias("total"),
-                  F.count(F.col(covered_col)).alias("covered")) \
-             .withColumn("pct", safe_pct(F.col("covered"), F.col("total"), scale))
+def coverage(df: DataFrame, by: Sequence[str], covered: dict[str, str], total: str = "total", scale: int = 1) -> DataFrame:
+    """Rows per group, and per ``{name: column}`` the rows with a value (``<name>_covered``)
+    and their zero-safe percentage (``<name>_pct``)."""
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias(total), *[F.count(c).alias(f"{n}_covered") for n, c in covered.items()])
+    return out.withColumns({f"{n}_pct": safe_pct(F.col(f"{n}_covered"), F.col(total), scale) for n in covered})
 
 
 def count_ifs(df: DataFrame, by: Sequence[str], conds: dict[str, Column]) -> DataFrame:
@@ -75,12 +75,10 @@ def collect_objects(df: DataFrame, by: Sequence[str], order: Sequence[str],
     return df.groupBy(*by).agg(F.to_json(F.transform(items, lambda x: x["_o"])).alias(name))
 
 
-def pct_of_total(counts: DataFrame, value: str, name: str = "pct_of_total",
-                 scale: int = 2) -> DataFrame:
-    """Share of the grand total over an *aggregated* frame (small: one row per group)."""
-    total = F.sum(F.col(value)).over(Window.partitionBy())
-    return counts.withColumn(name, F.round(F.col(value).cast("double") * 100.0
-                                           / total.cast("double"), scale))
+def pct_of_total(df: DataFrame, value: str, name: str = "pct_of_total", scale: int = 2) -> DataFrame:
+    """Percent of the grand total, which is a scalar subquery: no row leaves its task."""
+    total = df.agg(F.sum(value)).scalar()
+    return df.withColumn(name, F.round(F.col(value).cast("double") * 100.0 / total.cast("double"), scale))
 
 
 def pre_aggregate(df: DataFrame, dims: Sequence[str], measures: dict[str, Column],

@@ -45,11 +45,6 @@ def exclusion_flag(col: Column, rules: Column) -> Column:
     return F.coalesce(F.array_contains(F.filter(items, lambda x: x != ""), col), F.lit(False))
 
 
-def iequals(a: Column, b: Column) -> Column:
-    """Case-insensitive value predicate."""
-    return F.upper(a) == F.upper(b)
-
-
 def quarantine_nulls(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Split rows into (ok, bad) where bad has a NULL in any required column.
 
@@ -60,11 +55,3 @@ def quarantine_nulls(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, Dat
     for c in cols:
         bad_cond = bad_cond | F.col(c).isNull()
     return df.filter(~bad_cond), df.filter(bad_cond)
-
-
-def quarantine_flag(df: DataFrame, cols: Sequence[str], name: str = "is_quarantined") -> DataFrame:
-    """Single-pass form: one output with the routing flag, for ``partitionBy`` writes."""
-    bad = F.lit(False)
-    for c in cols:
-        bad = bad | F.col(c).isNull()
-    return df.withColumn(name, bad)

@@ -41,9 +41,10 @@ def label_join(features: DataFrame, labels: DataFrame, key: str,
                          *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in label_cols])
 
 
-def match_rules(df: DataFrame, rules: DataFrame, value_col: str, layer: str | None = None,
+def match_rules(df: DataFrame, rules: DataFrame, value_cols: Sequence[str], layer: str | None = None,
                 pattern_col: str = "pattern", layer_col: str = "layer") -> DataFrame:
-    """Theta join ``value LIKE pattern`` against a (small, size-checked) rule table.
+    """Theta join ``value LIKE pattern`` (of any value column, once for each rule) against a
+    (small, size-checked) rule table.
 
     The rule table is configuration (tens of rows); it is broadcast behind the size
     check so the data side is never shuffled. A layer filter keeps rules for the
@@ -53,7 +54,7 @@ def match_rules(df: DataFrame, rules: DataFrame, value_col: str, layer: str | No
     if layer is not None:
         r = r.filter(F.upper(F.col(layer_col)).isin(layer.upper(), "BOTH"))
     r = broadcast_if_small(r)
-    return df.join(r, F.expr(f"`{value_col}` LIKE `{pattern_col}`"), "inner")
+    return df.join(r, F.expr(" OR ".join(f"`{c}` LIKE `{pattern_col}`" for c in value_cols)), "inner")
 
 
 def as_of_join(fact: DataFrame, versions: DataFrame, fact_key: str, version_key: str,

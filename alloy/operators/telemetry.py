@@ -115,9 +115,9 @@ def run_results(runs_nested: DataFrame, run_col: str, results_col: str) -> DataF
 
 
 def coverage_level(lineage: DataFrame) -> DataFrame:
-    level = (F.when(F.col("gold_table").isNotNull(), F.lit("Bronze+Silver+Gold"))
-             .when(F.col("silver_table").isNotNull(), F.lit("Bronze+Silver"))
-             .otherwise(F.lit("Bronze")))
+    level = (F.when(F.col("gold_status") == "COMPLETE", F.lit("Bronze+Silver+Gold"))
+             .when(F.col("silver_status") == "COMPLETE", F.lit("Bronze+Silver"))
+             .otherwise(F.lit("Bronze Only")))
     return lineage.groupBy(level.alias("coverage_level")).agg(F.count(F.lit(1)).alias("n_tables"))
 
 

@@ -47,7 +47,8 @@ def lineage(spark: SparkSession, sf: str) -> DataFrame:
     gold = F.when(silver.isNotNull() & (F.col("_purchases") > F.col("_clicks")),
                   F.concat(F.col("bronze_table"), F.lit("_GOLD")))
     out = agg.select(
-        "user_id", "bronze_table", F.lit("BRONZE").alias("bronze_schema"),
+        "user_id", "bronze_table",
+        F.concat(F.lit("BRONZE_"), F.pmod("user_id", F.lit(3)).cast("string")).alias("bronze_schema"),
         F.lit("DEMO").alias("bronze_database"), "bronze_rows",
         silver.alias("silver_table"),
         F.when(silver.isNotNull(), F.col("bronze_rows") - F.col("_errors")).alias("silver_rows"),
@@ -56,7 +57,10 @@ def lineage(spark: SparkSession, sf: str) -> DataFrame:
     status = (F.when(F.col("gold_table").isNotNull(), F.lit("COMPLETE"))
               .when(F.col("silver_table").isNotNull(), F.lit("EXISTING"))
               .otherwise(F.lit("PENDING")))
-    return out.withColumn("status", status)
+    own = F.when(F.col("user_id") % 4 == 0, F.lit("EXISTING")).otherwise(F.lit("COMPLETE"))
+    return (out.withColumn("status", status)
+            .withColumn("silver_status", F.when(F.col("silver_table").isNull(), "PENDING").otherwise(own))
+            .withColumn("gold_status", F.when(F.col("gold_table").isNull(), "PENDING").otherwise(own)))
 
 
 LINEAGE_SQL = """lin0 AS (
@@ -68,7 +72,10 @@ LINEAGE_SQL = """lin0 AS (
 lin1 AS (
   SELECT *, CASE WHEN _views > _errors THEN bronze_table || '_SILVER' END AS silver_table FROM lin0),
 lineage AS (
-  SELECT user_id, bronze_table, 'BRONZE' AS bronze_schema, 'DEMO' AS bronze_database, bronze_rows,
+  SELECT user_id, bronze_table, 'BRONZE_' || CAST(user_id % 3 AS VARCHAR) AS bronze_schema, 'DEMO' AS bronze_database, bronze_rows,
+         CASE WHEN silver_table IS NULL THEN 'PENDING' WHEN user_id % 4 = 0 THEN 'EXISTING' ELSE 'COMPLETE' END AS silver_status,
+         CASE WHEN silver_table IS NULL OR _purchases <= _clicks THEN 'PENDING' WHEN user_id % 4 = 0 THEN 'EXISTING'
+              ELSE 'COMPLETE' END AS gold_status,
          silver_table,
          CASE WHEN silver_table IS NOT NULL THEN bronze_rows - _errors END AS silver_rows,
          CASE WHEN silver_table IS NOT NULL AND _purchases > _clicks THEN bronze_table || '_GOLD' END AS gold_table,

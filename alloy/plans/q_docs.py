@@ -112,22 +112,27 @@ def q_pack_conversations(spark, sf):
 TOK = "[\\p{L}\\p{N}_]+"
 
 
-@query("bm25_topk", f"""
-WITH post AS (SELECT doc, term, count(*) AS tf FROM
-                (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM documents)
+def bm25_sql(docs: str, doc_id: str, text: str, queries: str, q_id: str, q_text: str) -> str:
+    """CTEs that end in ``r``: query, doc, score, rank."""
+    return f"""post AS (SELECT doc, term, count(*) AS tf FROM
+                (SELECT {doc_id} AS doc, unnest(regexp_extract_all(lower({text}), '{TOK}')) AS term FROM {docs})
               GROUP BY 1, 2),
 dl AS (SELECT doc, sum(tf) AS dl FROM post GROUP BY 1),
-st AS (SELECT count(*) AS n_docs, avg(coalesce(dl.dl, 0)) AS avgdl FROM documents d LEFT JOIN dl ON d.doc_id = dl.doc),
+st AS (SELECT count(*) AS n_docs, avg(coalesce(dl.dl, 0)) AS avgdl FROM {docs} d LEFT JOIN dl ON d.{doc_id} = dl.doc),
 dfreq AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 q AS (SELECT DISTINCT query, term FROM
-        (SELECT item_id AS query, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM benchmark)),
+        (SELECT {q_id} AS query, unnest(regexp_extract_all(lower({q_text}), '{TOK}')) AS term FROM {queries})),
 s AS (SELECT q.query, p.doc,
              sum(ln(1.0 + (CAST(st.n_docs - f.df AS DOUBLE) + 0.5) / (CAST(f.df AS DOUBLE) + 0.5)) * p.tf * 2.2
                  / (p.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avgdl))) AS s
       FROM q JOIN dfreq f ON q.term = f.term JOIN post p ON p.term = q.term JOIN dl ON dl.doc = p.doc CROSS JOIN st
       GROUP BY 1, 2),
 r AS (SELECT query, doc, round(s, 6) AS score,
-             row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC, doc) AS rank FROM s)
+             row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC, doc) AS rank FROM s)"""
+
+
+@query("bm25_topk", f"""
+WITH {bm25_sql('documents', 'doc_id', 'text', 'benchmark', 'item_id', 'text')}
 SELECT query AS item_id, doc AS doc_id, score, rank FROM r WHERE rank <= 10""", ("K3", "T3"))
 def q_bm25_topk(spark, sf):
     return S.bm25_topk(t(spark, sf, "documents"), "doc_id", "text", t(spark, sf, "benchmark"), "item_id", "text", k=10)
@@ -209,8 +214,8 @@ def q_run_results(spark, sf):
 
 @query("coverage_level", f"""
 WITH {LINEAGE_SQL}
-SELECT CASE WHEN gold_table IS NOT NULL THEN 'Bronze+Silver+Gold' WHEN silver_table IS NOT NULL THEN 'Bronze+Silver'
-            ELSE 'Bronze' END AS coverage_level, count(*) AS n_tables
+SELECT CASE WHEN gold_status = 'COMPLETE' THEN 'Bronze+Silver+Gold' WHEN silver_status = 'COMPLETE' THEN 'Bronze+Silver'
+            ELSE 'Bronze Only' END AS coverage_level, count(*) AS n_tables
 FROM lineage GROUP BY 1""", ("TM4",))
 def q_coverage_level(spark, sf):
     return TM.coverage_level(lineage(spark, sf))
@@ -224,54 +229,76 @@ def q_gaps(spark, sf):
     return TM.gaps(lineage(spark, sf))
 
 
-# ---- knowledge corpus: chunks + learnings + relationships + run plans ----------------
+# ---- knowledge corpus: learnings, plans, relationships, document chunks ----------------
+# fixed values: the least confidences of the corpus, and what its texts look like
+MIN_LEARNING, MIN_PLAN, MIN_RELATIONSHIP = 0.5, 0.6, 0.65
+
+
+def plans_df(spark, sf):
+    """One plan per logged step: table, strategy, confidence, reasoning, key columns."""
+    return run_log(spark, sf).select(
+        F.concat(F.lit("T"), F.lpad(F.col("execution_id").cast("string"), 5, "0")).alias("source_table"),
+        F.col("phase").alias("transformation_strategy"), "confidence", "event_id",
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("step "), F.col("event_id").cast("string"))).alias("reasoning"),
+        F.when(F.col("event_id") % 3 == 0, F.lit("event_id")).alias("pk_columns"))
+
+
+PLANS_SQL = """plans AS (
+  SELECT 'T' || lpad(CAST(execution_id AS VARCHAR), 5, '0') AS source_table, phase AS transformation_strategy, confidence, event_id,
+         CASE WHEN event_id % 2 = 0 THEN 'step ' || CAST(event_id AS VARCHAR) END AS reasoning,
+         CASE WHEN event_id % 3 = 0 THEN 'event_id' END AS pk_columns
+  FROM runlog)"""
+
+
 def corpus_df(spark, sf):
+    lrn = learnings_df(spark, sf).filter(F.col("is_active") & (F.col("confidence") >= MIN_LEARNING)).select(
+        F.lit("learning").alias("source_type"), F.col("pattern_signature").alias("source_id"),
+        F.col("pattern_signature").alias("source_context"), "confidence",
+        F.concat(F.lit("["), F.upper(F.split("pattern_signature", ":")[0]), F.lit("] "), "pattern_signature", F.lit(": "),
+                 "observation", F.lit(" - Recommendation: "), "recommendation").alias("text_content"))
+    plans = plans_df(spark, sf).filter(F.col("confidence") >= MIN_PLAN).select(
+        F.lit("planner_decision").alias("source_type"), F.col("event_id").cast("string").alias("source_id"),
+        F.col("source_table").alias("source_context"), "confidence",
+        F.concat(F.lit("[PLAN] "), "source_table", F.lit(" ("), "transformation_strategy", F.lit("): "),
+                 F.coalesce("reasoning", F.lit("")), F.lit(" | PK: "), F.coalesce("pk_columns", F.lit("unknown"))).alias("text_content"))
+    edges = P.discover_fks(_tables(spark, sf, DISCOVERY_TABLES), MIN_RELATIONSHIP).select(
+        F.lit("schema_relationship").alias("source_type"),
+        F.concat_ws(".", "source_table", "source_column", "target_table", "target_column").alias("source_id"),
+        F.col("source_table").alias("source_context"), "confidence",
+        F.concat(F.lit("[FK] "), "source_table", F.lit("."), "source_column", F.lit(" -> "), "target_table", F.lit("."),
+                 "target_column", F.lit(" ("), "relationship_type", F.lit(", "),
+                 F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("% confidence)")).alias("text_content"))
     chunks = doc_chunks(spark, sf).select(
-        F.lit("document").alias("source_type"),
+        F.lit("document_context").alias("source_type"),
         F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("chunk_index").cast("string")).alias("source_id"),
-        F.col("source").alias("document_context"), F.col("chunk_text").alias("content"),
-        F.lit(1.0).alias("confidence"))
-    lrn = learnings_df(spark, sf).select(
-        F.lit("learning").alias("source_type"), F.col("pattern_signature").alias("source_id"),
-        F.col("recommendation").alias("document_context"),
-        F.concat(F.lit("Observed "), F.col("times_observed").cast("string"), F.lit(" times: "),
-                 F.col("observation")).alias("content"), "confidence")
-    edges = P.discover_fks(_tables(spark, sf, DISCOVERY_TABLES)).select(
-        F.lit("relationship").alias("source_type"),
-        F.concat_ws(".", "source_table", "source_column").alias("source_id"),
-        F.col("target_table").alias("document_context"),
-        F.concat(F.col("source_table"), F.lit("."), F.col("source_column"), F.lit(" -> "), F.col("target_table"),
-                 F.lit("."), F.col("target_column"), F.lit(" ("), F.col("relationship_type"), F.lit(", confidence "),
-                 F.col("confidence").cast("decimal(10,4)").cast("string"), F.lit(")")).alias("content"),
-        "confidence")
-    plans = run_log(spark, sf).groupBy("execution_id").agg(
-        F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n")).select(
-        F.lit("plan").alias("source_type"), F.col("execution_id").cast("string").alias("source_id"),
-        F.lit("run").alias("document_context"),
-        F.concat(F.lit("Run "), F.col("execution_id").cast("string"), F.lit(" with "), F.col("n").cast("string"),
-                 F.lit(" steps")).alias("content"), "confidence")
-    corpus = union_like([chunks, lrn, edges, plans])
-    return corpus.withColumn("confidence_bucket", confidence_bucket("confidence"))
-
-
-CORPUS_SQL = f"""{CHUNK_SQL}, {REINFORCE_SQL}, {FK_SQL}, {RUNS_SQL},
+        F.col("source").alias("source_context"), F.lit(1.0).alias("confidence"),
+        F.concat(F.lit("[DOC:TXT] "), "source", F.lit(" | "), "chunk_text").alias("text_content"))
+    corpus = union_like([lrn, plans, edges, chunks])
+    return corpus.withColumn("confidence_bucket", confidence_bucket("confidence")).drop("confidence")
+
+
+CORPUS_SQL = f"""{CHUNK_SQL}, {REINFORCE_SQL}, {FK_SQL}, {RUNS_SQL}, {PLANS_SQL},
 corpus0 AS (
-  SELECT 'document' AS source_type, CAST(doc_id AS VARCHAR) || '#' || CAST(chunk_index AS VARCHAR) AS source_id,
-         source AS document_context, chunk_text AS content, 1.0::DOUBLE AS confidence FROM chunks
+  SELECT 'learning' AS source_type, pattern_signature AS source_id, pattern_signature AS source_context, confidence,
+         '[' || upper(split_part(pattern_signature, ':', 1)) || '] ' || pattern_signature || ': ' || observation
+           || ' - Recommendation: ' || recommendation AS text_content
+  FROM learnings WHERE is_active AND confidence >= {MIN_LEARNING}
   UNION ALL
-  SELECT 'learning', pattern_signature, recommendation,
-         'Observed ' || CAST(times_observed AS VARCHAR) || ' times: ' || observation, confidence FROM learnings
+  SELECT 'planner_decision', CAST(event_id AS VARCHAR), source_table, confidence,
+         '[PLAN] ' || source_table || ' (' || transformation_strategy || '): ' || coalesce(reasoning, '') || ' | PK: '
+           || coalesce(pk_columns, 'unknown')
+  FROM plans WHERE confidence >= {MIN_PLAN}
   UNION ALL
-  SELECT 'relationship', source_table || '.' || source_column, target_table,
-         source_table || '.' || source_column || ' -> ' || target_table || '.' || target_column || ' ('
-           || relationship_type || ', confidence ' || CAST(CAST(confidence AS DECIMAL(10,4)) AS VARCHAR) || ')',
-         confidence FROM edges WHERE confidence >= {P.FK_MIN_CONFIDENCE}
+  SELECT 'schema_relationship', source_table || '.' || source_column || '.' || target_table || '.' || target_column, source_table, confidence,
+         '[FK] ' || source_table || '.' || source_column || ' -> ' || target_table || '.' || target_column || ' ('
+           || relationship_type || ', ' || CAST(CAST(round(confidence * 100) AS INTEGER) AS VARCHAR) || '% confidence)'
+  FROM edges WHERE confidence >= {MIN_RELATIONSHIP}
   UNION ALL
-  SELECT 'plan', CAST(execution_id AS VARCHAR), 'run',
-         'Run ' || CAST(execution_id AS VARCHAR) || ' with ' || CAST(count(*) AS VARCHAR) || ' steps', max(confidence)
-  FROM runlog GROUP BY execution_id),
-corpus AS (SELECT *, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END
-                     AS confidence_bucket FROM corpus0)"""
+  SELECT 'document_context', CAST(doc_id AS VARCHAR) || '#' || CAST(chunk_index AS VARCHAR), source, 1.0::DOUBLE,
+         '[DOC:TXT] ' || source || ' | ' || chunk_text FROM chunks),
+corpus AS (SELECT * EXCLUDE (confidence),
+                  CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS confidence_bucket
+           FROM corpus0)"""
 
 
 @query("corpus", f"WITH {CORPUS_SQL} SELECT * FROM corpus", ("K2", "U1"))
@@ -289,40 +316,73 @@ def q_corpus_mix(spark, sf):
                                         F.count_if(F.col("confidence_bucket") == "high").alias("n_high"))
 
 
+@query("search_corpus", f"""
+WITH {CORPUS_SQL},
+docs AS (SELECT source_id, text_content FROM corpus
+         WHERE source_type IN ('learning', 'planner_decision') AND confidence_bucket IN ('high', 'medium')),
+{bm25_sql('docs', 'source_id', 'text_content', "(SELECT DISTINCT event_type, 'plan for ' || event_type || ' step' AS q FROM events)",
+          'event_type', 'q')}
+SELECT query AS event_type, doc AS source_id, score, rank FROM r WHERE rank <= 10""", ("K3",))
+def q_search_corpus(spark, sf):
+    """The corpus searched for each event type, by source type and confidence."""
+    queries = t(spark, sf, "events").select(
+        "event_type", F.concat(F.lit("plan for "), "event_type", F.lit(" step")).alias("q")).distinct()
+    wanted = F.col("source_type").isin("learning", "planner_decision") & F.col("confidence_bucket").isin("high", "medium")
+    return S.bm25_topk(corpus_df(spark, sf), "source_id", "text_content", queries, "event_type", "q", k=10, filters=wanted)
+
+
 # ---- saved semantic-model questions ----------------------------------------------
-@query("saved_runs_by_status", f"""
-WITH {RUNS_SQL} SELECT status, count(*) AS n_runs FROM runs GROUP BY status""", ("TM8",))
-def q_saved_runs_by_status(spark, sf):
-    return TM.metric(runs(spark, sf), {"n_runs": F.count(F.lit(1))}, ["status"])
+@query("saved_coverage_status", f"""
+WITH {LINEAGE_SQL}
+SELECT bronze_table, silver_table, silver_status, gold_table, gold_status, bronze_rows, silver_rows, gold_rows
+FROM lineage""", ("TM8",))
+def q_saved_coverage_status(spark, sf):
+    return lineage(spark, sf).select("bronze_table", "silver_table", "silver_status", "gold_table", "gold_status",
+                                     "bronze_rows", "silver_rows", "gold_rows").orderBy("bronze_table")
+
+
+@query("saved_silver_pct", f"""
+WITH {LINEAGE_SQL}
+SELECT count(DISTINCT bronze_table) AS total_tables, count_if(silver_status = 'COMPLETE') AS silver_complete,
+       round(CAST(count_if(silver_status = 'COMPLETE') AS DOUBLE) * 100.0 / CAST(nullif(count(*), 0) AS DOUBLE), 1) AS silver_pct
+FROM lineage""", ("TM8",))
+def q_saved_silver_pct(spark, sf):
+    complete = F.count_if(F.col("silver_status") == "COMPLETE")
+    return TM.metric(lineage(spark, sf), {
+        "total_tables": F.count_distinct("bronze_table"), "silver_complete": complete,
+        "silver_pct": F.round(complete.cast("double") * 100.0 / F.nullif(F.count(F.lit(1)), F.lit(0)).cast("double"), 1)})
 
 
 @query("saved_strategies_by_confidence", f"""
-WITH {RUNS_SQL}
-SELECT phase AS strategy,
-       CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS confidence_bucket,
-       count(*) AS n_plans
-FROM runlog GROUP BY 1, 2""", ("TM8",))
+WITH {RUNS_SQL}, {PLANS_SQL}
+SELECT source_table, transformation_strategy, confidence, pk_columns, event_id FROM plans""", ("TM8",))
 def q_saved_strategies(spark, sf):
-    log = run_log(spark, sf).withColumn("strategy", F.col("phase")) \
-        .withColumn("confidence_bucket", confidence_bucket("confidence"))
-    return TM.metric(log, {"n_plans": F.count(F.lit(1))}, ["strategy", "confidence_bucket"])
+    return (plans_df(spark, sf).select("source_table", "transformation_strategy", "confidence", "pk_columns", "event_id")
+            .orderBy(F.col("confidence").desc_nulls_last(), "event_id"))
+
+
+@query("saved_active_learnings", f"""
+WITH {REINFORCE_SQL}
+SELECT split_part(pattern_signature, ':', 1) AS learning_type, pattern_signature AS source_context, observation, recommendation,
+       confidence, times_observed
+FROM learnings WHERE is_active""", ("TM8",))
+def q_saved_active_learnings(spark, sf):
+    lrn = learnings_df(spark, sf).filter("is_active")
+    return (lrn.select(F.split("pattern_signature", ":")[0].alias("learning_type"), F.col("pattern_signature").alias("source_context"),
+                       "observation", "recommendation", "confidence", "times_observed")
+            .orderBy(F.col("confidence").desc(), "source_context"))
 
 
 @query("saved_strong_fks", f"""
 WITH {FK_SQL}
-SELECT relationship_type, count(*) AS n_edges FROM edges WHERE confidence >= 0.9 GROUP BY 1""", ("TM8",))
+SELECT source_table, source_column, target_table, relationship_type, confidence FROM edges WHERE confidence >= 0.7""", ("TM8",))
 def q_saved_strong_fks(spark, sf):
-    edges = P.discover_fks(_tables(spark, sf, DISCOVERY_TABLES))
-    return TM.metric(edges, {"n_edges": F.count(F.lit(1))}, ["relationship_type"], F.col("confidence") >= 0.9)
+    edges = P.discover_fks(_tables(spark, sf, DISCOVERY_TABLES), 0.7)
+    return (edges.select("source_table", "source_column", "target_table", "relationship_type", "confidence")
+            .orderBy(F.col("confidence").desc(), "source_table", "source_column"))
 
 
-@query("saved_silver_pct", f"""
-WITH {LINEAGE_SQL}
-SELECT status, count(*) AS n_tables,
-       round(CAST(count(silver_table) AS DOUBLE) * 100.0 / CAST(count(*) AS DOUBLE), 1) AS silver_pct
-FROM lineage GROUP BY status""", ("TM8",))
-def q_saved_silver_pct(spark, sf):
-    lin = lineage(spark, sf)
-    return TM.metric(lin, {"n_tables": F.count(F.lit(1)),
-                           "silver_pct": F.round(F.count("silver_table").cast("double") * 100.0
-                                                 / F.count(F.lit(1)).cast("double"), 1)}, ["status"])
+@query("saved_runs_by_status", f"""
+WITH {RUNS_SQL} SELECT status, count(*) AS n_runs FROM runs GROUP BY status""", ("TM8",))
+def q_saved_runs_by_status(spark, sf):
+    return TM.metric(runs(spark, sf), {"n_runs": F.count(F.lit(1))}, ["status"])

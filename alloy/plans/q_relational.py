@@ -149,17 +149,14 @@ def q_top_n(spark, sf):
 # ---- run registry (lineage, runs, learnings) ------------------------------------
 @query("coverage", f"""
 WITH {LINEAGE_SQL}
-SELECT count(*) AS total, count(silver_table) AS covered,
-       round(CAST(count(silver_table) AS DOUBLE) * 100.0 / CAST(nullif(count(*), 0) AS DOUBLE), 1) AS pct,
+SELECT bronze_database, bronze_schema, count(*) AS total_bronze_tables, count(silver_table) AS silver_covered,
        count(gold_table) AS gold_covered,
+       round(CAST(count(silver_table) AS DOUBLE) * 100.0 / CAST(nullif(count(*), 0) AS DOUBLE), 1) AS silver_pct,
        round(CAST(count(gold_table) AS DOUBLE) * 100.0 / CAST(nullif(count(*), 0) AS DOUBLE), 1) AS gold_pct
-FROM lineage""", ("AG1",))
+FROM lineage GROUP BY bronze_database, bronze_schema""", ("AG1",))
 def q_coverage(spark, sf):
-    lin = lineage(spark, sf)
-    return lin.agg(F.count(F.lit(1)).alias("total"), F.count("silver_table").alias("covered"),
-                   F.count("gold_table").alias("gold_covered")) \
-        .withColumn("pct", A.safe_pct(F.col("covered"), F.col("total"), 1)) \
-        .withColumn("gold_pct", A.safe_pct(F.col("gold_covered"), F.col("total"), 1))
+    return A.coverage(lineage(spark, sf), ["bronze_database", "bronze_schema"],
+                      {"silver": "silver_table", "gold": "gold_table"}, total="total_bronze_tables")
 
 
 @query("layer_funnel", f"""
@@ -190,11 +187,13 @@ sc AS (SELECT 'T' || lpad(CAST(user_id AS VARCHAR), 5, '0') || '_SILVER' AS tbl,
        FROM cdc WHERE _OPERATION != 'DELETE' GROUP BY user_id),
 gc AS (SELECT 'T' || lpad(CAST(user_id AS VARCHAR), 5, '0') || '_GOLD' AS tbl, count(*) AS n
        FROM events WHERE event_type = 'purchase' GROUP BY user_id)
-SELECT l.bronze_table, l.status, coalesce(bc.n, 0) AS bronze_count, l.silver_table,
+SELECT l.bronze_table, l.status, pd.strategy, coalesce(bc.n, 0) AS bronze_count, l.silver_table,
        coalesce(sc.n, 0) AS silver_count, l.gold_table, coalesce(gc.n, 0) AS gold_count
 FROM lineage l LEFT JOIN bc ON l.bronze_table = bc.tbl
                LEFT JOIN sc ON l.silver_table = sc.tbl
-               LEFT JOIN gc ON l.gold_table = gc.tbl""", ("J3",))
+               LEFT JOIN gc ON l.gold_table = gc.tbl
+               LEFT JOIN (SELECT DISTINCT 'T' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS tbl, event_type AS strategy
+                          FROM events WHERE value >= 95) pd ON l.bronze_table = pd.tbl""", ("J3",))
 def q_lineage_report(spark, sf):
     lin = lineage(spark, sf)
     name = F.concat(F.lit("T"), F.lpad(F.col("user_id").cast("string"), 5, "0"))
@@ -206,10 +205,11 @@ def q_lineage_report(spark, sf):
     gc = (e.filter(F.col("event_type") == "purchase").groupBy("user_id")
           .agg(F.count(F.lit(1)).alias("gold_count"))
           .select(F.concat(name, F.lit("_GOLD")).alias("_g"), "gold_count"))
-    j = (lin.join(bc, lin.bronze_table == bc._b, "left")
+    pd = e.filter(F.col("value") >= 95).select(name.alias("_p"), F.col("event_type").alias("strategy")).distinct()
+    j = (lin.join(bc, lin.bronze_table == bc._b, "left").join(pd, lin.bronze_table == pd._p, "left")
          .join(sc, lin.silver_table == sc._s, "left")
          .join(gc, lin.gold_table == gc._g, "left"))
-    return j.select("bronze_table", "status", F.coalesce("bronze_count", F.lit(0)).alias("bronze_count"),
+    return j.select("bronze_table", "status", "strategy", F.coalesce("bronze_count", F.lit(0)).alias("bronze_count"),
                     "silver_table", F.coalesce("silver_count", F.lit(0)).alias("silver_count"),
                     "gold_table", F.coalesce("gold_count", F.lit(0)).alias("gold_count"))
 
@@ -289,14 +289,12 @@ FROM m GROUP BY p_partkey""", ("J6", "AG6"))
 def q_match_rules(spark, sf):
     p = t(spark, sf, "part").select("p_partkey", "p_type", "p_name")
     d = directives_df(spark)
-    typed = joins.match_rules(p.withColumn("_v", F.col("p_type")), d, "_v", layer="SILVER")
-    named = joins.match_rules(p.withColumn("_v", F.col("p_name")), d, "_v", layer="SILVER")
-    m = typed.unionByName(named).select("p_partkey", "rule_name", "priority").distinct()
-    txt = A.ordered_text(m.withColumn("_neg", -F.col("priority")), ["p_partkey"], ["_neg", "rule_name"],
-                         F.col("rule_name"), name="rules")
-    agg = m.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_rules"),
-                                     F.max_by("rule_name", "priority").alias("top_rule"))
-    return agg.join(txt, "p_partkey")
+    m = joins.match_rules(p, d, ["p_type", "p_name"], layer="SILVER").select("p_partkey", "rule_name", "priority")
+    # a part matches each of the few rules once at most, so its list is as short as the table
+    rules = F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("o"), "rule_name")))
+    return m.groupBy("p_partkey").agg(
+        F.count(F.lit(1)).alias("n_rules"), F.array_join(F.transform(rules, lambda x: x["rule_name"]), ",").alias("rules"),
+        F.max_by("rule_name", "priority").alias("top_rule"))
 
 
 @query("recon_summary", "\nUNION ALL\n".join(
