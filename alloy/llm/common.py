@@ -82,10 +82,12 @@ class Words(NamedTuple):
     distinct: np.ndarray
 
 
-def coded(lists: pa.ListArray, drop_empty: bool = True) -> Words:
+def coded(lists: pa.ListArray, drop_empty: bool = True, lower: bool = False) -> Words:
+    """``lower``: A-Z as a-z, so that entries of ``distinct`` may be equal."""
     flat = lists.flatten().dictionary_encode()
     codes = flat.indices.to_numpy(zero_copy_only=False)
-    distinct = flat.dictionary.to_numpy(zero_copy_only=False)
+    entries = pc.ascii_lower(flat.dictionary) if lower else flat.dictionary
+    distinct = entries.to_numpy(zero_copy_only=False)
     ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     if drop_empty and (empty := np.flatnonzero(distinct == "")).size:
         keep = codes != empty[0]
@@ -94,9 +96,9 @@ def coded(lists: pa.ListArray, drop_empty: bool = True) -> Words:
     return Words(codes, ends, distinct)
 
 
-def space_words(texts: pa.Array) -> Words:
+def space_words(texts: pa.Array, lower: bool = False) -> Words:
     """Words between runs of space and \\x09-\\x0D."""
-    return coded(pc.ascii_split_whitespace(texts.cast(pa.large_string())))
+    return coded(pc.ascii_split_whitespace(texts.cast(pa.large_string())), lower=lower)
 
 
 def word_hashes(distinct: np.ndarray) -> np.ndarray:

@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +56,7 @@ TOGETHER = 4096
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; A-Z count as a-z."""
-    words = space_words(pc.ascii_lower(texts.cast(pa.large_string())))
+    words = space_words(texts, lower=True)
     hashes = word_hashes(words.distinct)[words.codes]
     runs = run_hashes(hashes, shingle)
     start = 0

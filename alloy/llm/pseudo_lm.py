@@ -22,7 +22,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,7 +107,7 @@ class Adam:
 
 
 def lower_words(texts: pa.Array) -> Words:
-    return space_words(pc.ascii_lower(texts.cast(pa.large_string())))
+    return space_words(texts, lower=True)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:

@@ -285,3 +285,16 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF_SMALL).count() == 0
     assert corpus_pipeline.quality(spark, docs, SF_SMALL).columns == docs.columns
     assert corpus_pipeline.pack(spark, docs.limit(0), SF_SMALL).count() == 0
+
+
+def test_slices_of_arrays_are_read_right():
+    """Tasks work on slices of batches; kernels must respect where a slice begins."""
+    import pyarrow as pa
+    texts = [t for _, t in corpus(60, 9)]
+    whole = pa.array(["padding Text " * 9, *texts], pa.string())
+    for part, own in ((whole.slice(1), texts), (whole.slice(31, 20), texts[30:50])):
+        for lower in (False, True):
+            words = common.space_words(part, lower)
+            got = [words.distinct[words.codes[a:b]].tolist() for a, b in zip([0, *words.ends[:-1]], words.ends, strict=True)]
+            assert got == [[w.decode() for w in (t.encode().lower() if lower else t.encode()).split()] for t in own]
+        assert [s.tolist() for s in near_dedup.shingle_sets(part)] == [s.tolist() for s in near_dedup.shingle_sets(pa.array(own))]
