@@ -35,12 +35,12 @@ N_WORDS = N_CLASSES - N_ENDINGS - 1
 SIDE = 2
 OFFSETS = (-2, -1, 1, 2)
 EMBED, HIDDEN = 16, 32
-STRIDE = 8
+STRIDE = 16
 ROUNDS = 2
 STEP_WORDS = 512
 RATE = 0.005
 #: words that are scored together
-TOGETHER = 8192
+TOGETHER = 1024
 SHAPES = ((N_CLASSES, EMBED), (len(OFFSETS) * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, N_CLASSES), (N_CLASSES,))
 
 
@@ -66,12 +66,18 @@ class MaskedLm:
         embed, inner, bias, outer, prior = self.weights
         # what each class adds to the hidden layer from each side place
         adds = [embed @ inner[k * EMBED:(k + 1) * EMBED] for k in range(len(OFFSETS))]
+        adds[0] = adds[0] + bias
+        large = np.abs(prior).max() + np.abs(outer).sum(0).max() > 60  # scores that exp may not take
         out = np.empty(len(at), np.float64)
         for i in range(0, len(at), TOGETHER):
             own = at[i:i + TOGETHER]
-            hidden = bias + sum(add[classes[own + o]] for add, o in zip(adds, OFFSETS, strict=True))
-            scores = np.tanh(hidden) @ outer + prior
-            scores -= scores.max(1, keepdims=True)
+            hidden = adds[0][classes[own + OFFSETS[0]]]
+            for add, o in zip(adds[1:], OFFSETS[1:], strict=True):
+                hidden += add[classes[own + o]]
+            scores = np.tanh(hidden, out=hidden) @ outer
+            scores += prior
+            if large:
+                scores -= scores.max(1, keepdims=True)
             right = scores[np.arange(len(own)), classes[own]]
             out[i:i + TOGETHER] = right - np.log(np.exp(scores, out=scores).sum(1))
         return out
