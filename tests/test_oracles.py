@@ -31,3 +31,11 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns == ["r_name", "c_mktsegment", "n_lines", "sum_qty", "revenue"]
+
+
+@pytest.mark.parametrize("missing", ["corpus_pipeline", "alloy.llm.queries"])
+def test_entry_without_the_training_data_operators(monkeypatch, missing):
+    """Where that subpackage is not installed, its queries are absent and nothing else is."""
+    import sys
+    monkeypatch.setitem(sys.modules, missing, None)
+    assert set(entry.queries()) == set(entry.oracle_sql()) == set(REGISTRY)
