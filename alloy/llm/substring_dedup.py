@@ -11,8 +11,8 @@ against the index: backward search gives the matching statistics, and each inter
 a window that also starts in a document with a smaller id are removed.
 
 Documents with the same words are one class: its smallest id is searched for, the others have
-every window in it. Minimizers with more than ``SHARD_SEGMENTS`` segments are dealt on by
-their single windows, so no shard holds more of them than another.
+every window in it. Minimizers with more than ``SHARD_SEGMENTS`` different segments are dealt on
+by their single windows, so no shard holds more of them than another.
 
 Words stand for their 64-bit hashes in the index. Defined results: NULL text has no words;
 texts under WINDOW words lose nothing; rows without id lose nothing and take nothing from
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alloy.llm.common import join_hot, run_hashes, space_words, staged, text_or_empty, text_slices, word_hashes
+from alloy.llm.common import drop_staged, join_hot, run_hashes, space_words, staged, text_or_empty, text_slices, word_hashes
 
 WINDOW = 13
 GRAM = 4
@@ -218,10 +218,9 @@ def unpacked(batch: pa.RecordBatch, column: str) -> pa.Array:
 def segments(docs: DataFrame) -> DataFrame:
     """``anchor, seg, doc_id, key, start`` of the windows whose minimizer is one of ``places``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32())
         for batch in (part for whole in batches for part in text_slices(whole, 2)):
             hashes, ends = hashed(unpacked(batch, "packed"))
-            out: list[tuple] = []
+            anchors, words, sizes, docs, keys, starts = [], [], [], [], [], []
             start = 0
             for doc, key, places, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                              batch.column(3).to_numpy(zero_copy_only=False), ends.tolist(), strict=True):
@@ -231,32 +230,48 @@ def segments(docs: DataFrame) -> DataFrame:
                     continue
                 grams, where = minimizers(own, WINDOW, GRAM)
                 first = np.flatnonzero(np.diff(where, prepend=-1))
-                last = np.append(first[1:], len(where))
+                size = np.diff(first, append=len(where)) + WINDOW - 1
                 chosen = np.isin(where[first], places)
-                for i, j in zip(first[chosen].tolist(), last[chosen].tolist(), strict=True):
-                    out.append((int(grams[where[i]].view(np.int64)), own[i:j + WINDOW - 1].tobytes(), doc, key, i))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
+                first, size = first[chosen], size[chosen]
+                # the words of all chosen runs, one run after the other
+                shift = np.repeat(first - np.cumsum(size) + size, size)
+                words.append(own[np.arange(len(shift)) + shift])
+                anchors.append(grams[where[first]].view(np.int64))
+                sizes.append(size)
+                starts.append(first.astype(np.int32))
+                docs.append(np.full(len(first), doc, np.int64))
+                keys += [key] * len(first)
+            if not keys:
+                continue
+            offsets = np.concatenate([[0], np.cumsum(8 * np.concatenate(sizes))])
+            seg = pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.concatenate(words))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), seg.cast(pa.binary()), pa.array(np.concatenate(docs)),
+                                              pa.array(keys, pa.binary()), pa.array(np.concatenate(starts))],
                                              ["anchor", "seg", "doc_id", "key", "start"])
 
     return docs.select("doc_id", "key", "packed", "places").mapInArrow(
         run, "anchor long, seg binary, doc_id long, key binary, start int")
 
 
-def split_hot(occurrences: DataFrame) -> DataFrame:
-    """Segments of minimizers that would fill a shard alone become single windows, dealt by
-    their own hash."""
-    sizes = occurrences.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD_SEGMENTS)
-    hot = staged(sizes.select("anchor"), "hot")
-    if not hot.take(1):
-        return occurrences
-    width = 8 * WINDOW
+def with_id(segments: DataFrame) -> DataFrame:
+    return segments.withColumn("seg_id", F.unhex(F.md5("seg")))
+
+
+def distinct_segments(occurrences: DataFrame) -> DataFrame:
+    """``seg_id, first_doc, seg, anchor`` of the different segments."""
+    return staged(occurrences.groupBy("seg_id").agg(
+        F.min("doc_id").alias("first_doc"), F.first("seg").alias("seg"), F.first("anchor").alias("anchor")), "distinct")
+
+
+def split_hot(occurrences: DataFrame, hot: DataFrame) -> DataFrame:
+    """Segments of the minimizers in ``hot``, which would fill a shard alone, become single
+    windows, dealt by their own hash."""
     n = (F.length("seg") / 8 - WINDOW).cast("int")
-    single = (occurrences.join(hot, "anchor", "left_semi")
-              .withColumn("i", F.explode(F.sequence(F.lit(0), n)))
-              .withColumn("seg", F.substring(F.col("seg"), F.col("i") * 8 + 1, F.lit(width)))
+    single = (occurrences.join(hot, "anchor", "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), n)))
+              .withColumn("seg", F.substring(F.col("seg"), F.col("i") * 8 + 1, F.lit(8 * WINDOW)))
               .select(F.xxhash64("seg").alias("anchor"), "seg", "doc_id", "key", (F.col("start") + F.col("i")).alias("start")))
-    return occurrences.join(hot, "anchor", "left_anti").unionByName(single)
+    rest = occurrences.join(hot, "anchor", "left_anti").select("anchor", "seg", "doc_id", "key", "start")
+    return with_id(rest.unionByName(single))
 
 
 def search_shards(distinct: DataFrame) -> DataFrame:
@@ -275,12 +290,14 @@ def search_shards(distinct: DataFrame) -> DataFrame:
 
 def repeated_windows(occurrences: DataFrame) -> DataFrame:
     """``doc_id, marks array<struct<key, starts>>``: starts of the windows to remove."""
-    occurrences = staged(split_hot(occurrences).withColumn("seg_id", F.unhex(F.md5("seg"))), "segments")
-    distinct = occurrences.groupBy("seg_id").agg(F.min("doc_id").alias("first_doc"), F.first("seg").alias("seg"),
-                                                 F.first("anchor").alias("anchor"))
-    found = search_shards(staged(distinct, "distinct"))
-    # segments none of whose windows starts in another document than its first have no news
-    found = staged(found, "least")
+    occurrences = staged(with_id(occurrences), "segments")
+    distinct = distinct_segments(occurrences)
+    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    hot = staged(sizes.filter(F.col("n") > SHARD_SEGMENTS).select("anchor"), "hot")
+    if hot.take(1):
+        occurrences = staged(split_hot(occurrences, hot), "segments")
+        distinct = distinct_segments(occurrences)
+    found = staged(search_shards(distinct), "least")
     own = occurrences.select("seg_id", "doc_id", "key", "start").join(found, "seg_id")
     early = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = own.select("doc_id", "key", early.alias("starts")).filter(F.size("starts") > 0)
@@ -336,10 +353,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def shared(a: DataFrame) -> DataFrame:
         several = (a.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
                    .filter("x < y").select("anchor"))
-        return a.join(several, "anchor", "left_semi")
+        # written first, so that a hot minimizer's rows in the join can be split
+        return a.join(staged(several, "several"), "anchor", "left_semi")
 
     # minimizers in several documents; then, of those, in several classes
     some = staged(shared(anchors), "shared").join(copies, "doc_id", "left_anti")
+    drop_staged(read)
     places = (shared(some).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
               .join(docs.filter("not copy").select("doc_id", "key").distinct(), "doc_id"))
     # one text under an id that has several is found by its key
