@@ -8,10 +8,9 @@ compared exhaustively. A child that holds most of its parent is dense, and branc
 not part it: its members are compared in blocks that share a few pivots; those that do not
 join the pivots' component are then compared with every block.
 
-Comparing uses 128-value sketches. Of a node's candidate pairs the heaviest spanning forest
-and the pairs between clusters that the forest does not make sure of are kept, so a group of
-copies gives rows in proportion to its size. Forest pairs are confirmed on the full shingle
-sets, then the other pairs whose ends lie in different components; components come from
+Comparing uses 128-value sketches. Of a node's candidate pairs the heaviest spanning forest is
+confirmed on the full shingle sets, then the other pairs whose ends still lie in different
+components, so a group of copies gives rows in proportion to its size; components come from
 alternating large-star and small-star steps. A pair at the threshold misses one choice with
 probability 1/4, and 12 root choices meet it with probability 1 - 6e-8; below the root two
 choices a node keep a pair with probability 0.89 in each of the six trees.
@@ -46,9 +45,8 @@ LEAF = 256
 DENSE = 0.75
 MAX_DEPTH = 10
 PIVOTS = 8
-#: sketch likeness below which a pair is no candidate (6.5 deviations below the threshold),
-#: and from which it is as good as sure
-LEAST_LIKENESS, SURE = 0.5, 0.9
+#: sketch likeness below which a pair is no candidate (4 deviations below the threshold)
+LEAST_LIKENESS = 0.6
 MULTIPLIERS = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 #: shingles that are hashed together
 TOGETHER = 4096
@@ -173,70 +171,84 @@ def blocks(dense: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return own.unionByName(shared).distinct()
 
 
-def candidate_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates of each group ``grp, key`` as ``a, b, forest``, each pair once."""
-    rows = (groups.join(classes.select("key", "sketch"), "key").select("grp", "key", "sketch")
-            .repartition("grp").sortWithinPartitions("grp", "key"))
-    kinds = (pa.binary(), pa.binary(), pa.bool_())
+def candidate_pairs(groups: DataFrame, classes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Candidates ``a, b`` of the groups ``grp, key``, each pair once: the heaviest spanning
+    forest of each group's candidate pairs, or, with the components ``roots`` (key, root) found
+    so far, all candidate pairs between different components."""
+    sketch = classes.select("key", "sketch")
+    if roots is None:
+        rows = groups.join(sketch, "key").withColumn("root", F.col("key"))
+    else:
+        rows = groups.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        several = (rows.groupBy("grp").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("grp"))
+        rows = rows.join(several, "grp", "left_semi").join(sketch, "key")
+    rows = rows.select("grp", "key", "sketch", "root").repartition("grp").sortWithinPartitions("grp", "key")
+    forest = roots is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, marks = None, [], []
-        found: list[tuple[bytes, bytes, bool]] = []
+        now, keys, marks, owners = None, [], [], []
+        found: list[tuple[bytes, bytes]] = []
 
         def compare() -> None:
             if len(keys) > 1:
-                for i, j, forest in group_pairs(np.frombuffer(b"".join(marks), np.uint8).reshape(-1, SKETCH)):
-                    found.append((min(keys[i], keys[j]), max(keys[i], keys[j]), forest))
+                values = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, SKETCH)
+                for i, j in spanning_forest(values) if forest else between(values, owners):
+                    found.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
 
         def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [()] * 3
-            out = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "forest"])
+            out = pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
             found.clear()
             return out
 
         for batch in batches:
-            for grp, key, mark in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True):
+            for grp, key, mark, owner in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True):
                 if grp != now:
                     compare()
-                    now, keys, marks = grp, [], []
+                    now, keys, marks, owners = grp, [], [], []
                 keys.append(key)
                 marks.append(mark)
+                owners.append(owner)
             yield batch_of()
         compare()
         yield batch_of()
 
-    pairs = rows.mapInArrow(run, "a binary, b binary, forest boolean")
-    return pairs.groupBy("a", "b").agg(F.max("forest").alias("forest"))
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def group_pairs(marks: np.ndarray) -> list[tuple[int, int, bool]]:
-    """The heaviest spanning forest of the group's candidate pairs, and the candidates between
-    parts that sure forest pairs do not connect."""
+def likenesses(marks: np.ndarray) -> np.ndarray:
+    like = np.zeros((len(marks), len(marks)), np.float32)
+    for i, own in enumerate(marks):
+        like[i] = (marks == own).mean(1)
+    np.fill_diagonal(like, 0)
+    return like
+
+
+def spanning_forest(marks: np.ndarray) -> list[tuple[int, int]]:
+    """The heaviest spanning forest of the pairs of at least LEAST_LIKENESS."""
     n = len(marks)
     if n == 2:
-        return [(0, 1, True)] if (marks[0] == marks[1]).mean() >= LEAST_LIKENESS else []
-    like = np.zeros((n, n), np.float32)
-    for i in range(n):
-        like[i] = (marks == marks[i]).mean(1)
-    np.fill_diagonal(like, 0)
-    out: list[tuple[int, int, bool]] = []
-    part = np.zeros(n, np.int64)  # connected by sure pairs
+        return [(0, 1)] if (marks[0] == marks[1]).mean() >= LEAST_LIKENESS else []
+    like = likenesses(marks)
+    out = []
     best, source, todo = like[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
     todo[0] = False
-    for step in range(1, n):
+    for _ in range(1, n):
         i = int(np.where(todo, best, -1).argmax())
         todo[i] = False
         if best[i] >= LEAST_LIKENESS:
-            out.append((int(source[i]), i, True))
-        part[i] = part[source[i]] if best[i] >= SURE else step
+            out.append((int(source[i]), i))
         closer = like[i] > best
         best[closer], source[closer] = like[i][closer], i
-    if part.any():
-        a, b = np.nonzero(np.triu(like >= LEAST_LIKENESS, 1) & (part[:, None] != part[None, :]))
-        out += [(i, j, False) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
     return out
 
 
+def between(marks: np.ndarray, roots: list[bytes]) -> list[tuple[int, int]]:
+    """The candidate pairs whose ends have different roots."""
+    _, part = np.unique(np.array(roots, object), return_inverse=True)
+    a, b = np.nonzero(np.triu(likenesses(marks) >= LEAST_LIKENESS, 1) & (part[:, None] != part[None, :]))
+    return list(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets are similar enough; ``texts``: key, packed."""
     rows = (pairs.select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("packed").alias("text_a")), "a")
@@ -308,36 +320,34 @@ def packed_texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
     return staged(texts.mapInArrow(run, "key binary, packed binary").dropDuplicates(["key"]), "texts")
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not yet in one component."""
-    a, b = (roots.select(F.col("key").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    far = pairs.join(a, "a", "left").join(b, "b", "left")
-    return far.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
 def link_classes(classes: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``key, root`` of the classes that have links."""
     leaves, dense = tree_groups(classes)
-    groups = leaves if dense is None else leaves.unionByName(blocks(dense))
-    pairs = staged(candidate_pairs(groups, classes), "pairs")
-    texts = packed_texts(rows, classes, pairs)
-    links = staged(confirmed(pairs.filter("forest"), texts, percent), "links")
+    groups = leaves if dense is None else staged(leaves.unionByName(blocks(dense)), "groups")
+    tried = staged(candidate_pairs(groups, classes), "pairs")
+    links = staged(confirmed(tried, packed_texts(rows, classes, tried), percent), "links")
     roots = staged(components(links), "roots")
-    more = staged(confirmed(apart(pairs.filter(~F.col("forest")), roots), texts, percent), "links")
-    if more.take(1):
-        links = links.unionByName(more)
-        roots = staged(components(links), "roots")
+
+    def join_more(groups: DataFrame) -> None:
+        """Confirm what is left between components, and join those that it links."""
+        nonlocal tried, links, roots
+        late = staged(candidate_pairs(groups, classes, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not late.take(1):
+            return
+        more = staged(confirmed(late, packed_texts(rows, classes, late), percent), "links")
+        tried = tried.unionByName(late)
+        if more.take(1):
+            links = links.unionByName(more)
+            roots = staged(components(links), "roots")
+
+    join_more(groups)
     if dense is not None:
         # members of dense nodes outside the component of the node's first pivot meet all blocks
         own = dense.join(roots, "key", "left").select("node", "key", F.coalesce("root", "key").alias("root"))
         main = own.groupBy("node").agg(F.min_by("root", F.xxhash64("node", "key")).alias("main"))
         out = staged(own.join(main, "node").filter("root != main").select("node", "key"), "outside")
         if out.take(1):
-            some = dense.join(out.select("node").distinct(), "node", "left_semi")
-            late = staged(apart(candidate_pairs(blocks(some, out), classes), roots), "pairs")
-            more = staged(confirmed(late, packed_texts(rows, classes, late), percent), "links")
-            if more.take(1):
-                roots = staged(components(links.unionByName(more)), "roots")
+            join_more(blocks(dense.join(out.select("node").distinct(), "node", "left_semi"), out))
     return roots
 
 
