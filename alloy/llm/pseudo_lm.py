@@ -4,9 +4,10 @@ Tokens are classes of words: the most frequent words of the corpus (counted over
 each, all other words by a hash of their ending. A small network reads the classes of two
 words on either side of a masked word, embeds them, and predicts the masked one: embeddings,
 one tanh layer, softmax over all classes. It is trained in numpy inside tasks: each task
-takes its share of the texts (every ``STRIDE``-th word of each document as the masked one)
-through Adam steps from the common weights, and Spark averages the tasks' weights by their
-number of words, round after round. A document's score is the sum over all its words of
+takes its share of the texts through Adam steps from the common weights, and Spark averages
+the tasks' weights by their number of words, round after round. Of R rounds, round r masks the
+words r, r + R, r + 2R, ... of each document, so that every word of the corpus is the masked one
+once. A document's score is the sum over all its words of
 log P(word | words on both sides).
 
 Only the class words and the averaged weights reach the driver, sizes that do not depend on
@@ -35,7 +36,6 @@ N_WORDS = N_CLASSES - N_ENDINGS - 1
 SIDE = 2
 OFFSETS = (-2, -1, 1, 2)
 EMBED, HIDDEN = 16, 32
-STRIDE = 16
 ROUNDS = 2
 STEP_WORDS = 512
 RATE = 0.005
@@ -95,16 +95,21 @@ class Adam:
         sides = np.stack([classes[at + o] for o in OFFSETS], 1)
         x = embed[sides].reshape(n, -1)
         hidden = np.tanh(x @ inner + bias)
-        scores = hidden @ outer + prior
-        scores -= scores.max(1, keepdims=True)
+        scores = hidden @ outer
+        scores += prior
+        if np.abs(prior).max() + np.abs(outer).sum(0).max() > 60:  # scores that exp may not take
+            scores -= scores.max(1, keepdims=True)
         wrong = np.exp(scores, out=scores)
-        wrong /= wrong.sum(1, keepdims=True)
-        wrong[np.arange(n), classes[at]] -= 1
-        wrong /= n
+        wrong *= 1 / (n * wrong.sum(1, keepdims=True))
+        wrong[np.arange(n), classes[at]] -= 1 / n
         back = (wrong @ outer.T) * (1 - hidden * hidden)
-        places = np.zeros((n * len(OFFSETS), N_CLASSES), np.float32)
-        places[np.arange(len(places)), sides.ravel()] = 1
-        grads = [places.T @ (back @ inner.T).reshape(-1, EMBED), x.T @ back, back.sum(0), hidden.T @ wrong, wrong.sum(0)]
+        # the rows of each class added up: sorted by class, then summed run by run
+        order = np.argsort(sides.ravel(), kind="stable")
+        owners = sides.ravel()[order]
+        starts = np.flatnonzero(np.diff(owners, prepend=-1))
+        embed_grad = np.zeros_like(embed)
+        embed_grad[owners[starts]] = np.add.reduceat((back @ inner.T).reshape(-1, EMBED)[order], starts)
+        grads = [embed_grad, x.T @ back, back.sum(0), hidden.T @ wrong, wrong.sum(0)]
         self.steps += 1
         for w, g, m, s in zip(self.weights, grads, self.mean, self.square, strict=True):
             m += 0.1 * (g - m)
@@ -146,7 +151,14 @@ def first_model(counts: DataFrame, seed: int = 0) -> MaskedLm:
     return MaskedLm(words, weights)
 
 
-def train_round(rows: DataFrame, model: MaskedLm, round_: int) -> MaskedLm:
+def masked_places(words: Words, round_: int, rounds: int) -> np.ndarray:
+    """The words of a slice that a round masks: each word is in one of the rounds."""
+    sizes = np.diff(words.ends, prepend=0)
+    place = np.arange(len(words.codes)) - np.repeat(words.ends - sizes, sizes)
+    return np.flatnonzero(place % rounds == round_)
+
+
+def train_round(rows: DataFrame, model: MaskedLm, round_: int, rounds: int) -> MaskedLm:
     """One pass of every task over its texts, and the average of their weights."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         adam, seen = Adam(model.weights), 0
@@ -154,10 +166,7 @@ def train_round(rows: DataFrame, model: MaskedLm, round_: int) -> MaskedLm:
         for batch in (part for whole in batches for part in text_slices(whole)):
             words = lower_words(batch.column(1))
             classes, at = model.classes(words)
-            # every STRIDE-th word of each document, from a place that the round decides
-            sizes = np.diff(words.ends, prepend=0)
-            place = np.arange(len(at)) - np.repeat(words.ends - sizes, sizes)
-            at = rng.permutation(at[place % STRIDE == np.minimum(round_ * 3 % STRIDE, np.repeat(sizes, sizes) - 1)])
+            at = rng.permutation(at[masked_places(words, round_, rounds)])
             for i in range(0, len(at), STEP_WORDS):
                 adam.step(classes, at[i:i + STEP_WORDS])
             seen += len(at)
@@ -182,7 +191,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: i
     rows = _rows(df, id_col, text_col)
     model = first_model(staged(word_counts(rows), "words"))
     for round_ in range(rounds):
-        model = train_round(rows, model, round_)
+        model = train_round(rows, model, round_, rounds)
     return model
 
 

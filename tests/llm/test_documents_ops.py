@@ -430,5 +430,12 @@ def test_lm_edges(spark):
     assert empty.words == [] and pseudo_lm.score(df.limit(0), empty).count() == 0
 
 
+def test_every_word_is_masked_once():
+    words = pseudo_lm.lower_words(pa.array(["one", "", "a b c d e f g h i j k l m n o p q r s t", "x y z"]))
+    for rounds in (1, 2, 3):
+        seen = np.concatenate([pseudo_lm.masked_places(words, r, rounds) for r in range(rounds)])
+        assert sorted(seen.tolist()) == list(range(24))
+
+
 def test_vocabulary_paths():
     assert vocabulary("byte_bpe_50k.json") == str(public_tokenizers.path("byte_bpe_50k.json"))
