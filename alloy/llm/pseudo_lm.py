@@ -1,17 +1,21 @@
 """LM scoring by masked pseudo-likelihood.
 
-Tokens are classes of words: the most frequent words of the corpus (counted over all texts)
-each, all other words by a hash of their ending. A small network reads the classes of two
-words on either side of a masked word, embeds them, and predicts the masked one: embeddings,
-one tanh layer, softmax over all classes. It is trained in numpy inside tasks: each task
+Tokens are words, in classes: the most frequent words of the corpus (counted over all texts)
+each, all other words by a hash of their ending. The number of class words grows by
+``WORDS_PER_DOUBLING`` with each doubling of the corpus. A small network reads the classes of two
+words on either side of a masked word, embeds them, and predicts the masked one's class:
+embeddings, one tanh layer, softmax over all classes. P(word | class) is 1 for class words and
+else (count(word) + 1) / (count(class) + distinct words of the class + 1), from the counts of all
+words; a word that the corpus lacks counts as 0 times. The network is trained in numpy inside tasks: each task
 takes its share of the texts through Adam steps from the common weights, and Spark averages
 the tasks' weights by their number of words, round after round. Of R rounds, round r masks the
 words r, r + R, r + 2R, ... of each document, so that every word of the corpus is the masked one
 once. A document's score is the sum over all its words of
-log P(word | words on both sides).
+log P(word | words on both sides) = log P(class | both sides) + log P(word | class); the counts
+are joined in Spark, a row for each distinct word of a slice of texts.
 
-Only the class words and the averaged weights reach the driver, sizes that do not depend on
-the corpus. Defined results: NULL text is empty; a text without words has 0 tokens, score 0
+Only the class words, the totals of the classes and the averaged weights reach the driver, sizes
+that grow with the logarithm of the corpus; the word counts stay in a table. Defined results: NULL text is empty; a text without words has 0 tokens, score 0
 and NULL mean; words outside the text count as padding; a corpus without words gives the
 uniform model; rows are scored one by one, repeated or without id; an empty table gives no rows.
 """
@@ -19,11 +23,12 @@ uniform model; rows are scored one by one, repeated or without id; an empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,8 @@ N_CLASSES = 256
 #: classes of words by their ending; class 0 is padding
 N_ENDINGS = 64
 N_WORDS = N_CLASSES - N_ENDINGS - 1
+#: class words that are added for each doubling of the corpus over LEAST_CORPUS words
+WORDS_PER_DOUBLING, LEAST_CORPUS = 8, 1 << 20
 SIDE = 2
 OFFSETS = (-2, -1, 1, 2)
 EMBED, HIDDEN = 16, 32
@@ -41,20 +48,41 @@ STEP_WORDS = 512
 RATE = 0.005
 #: words that are scored together
 TOGETHER = 1024
-SHAPES = ((N_CLASSES, EMBED), (len(OFFSETS) * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, N_CLASSES), (N_CLASSES,))
+
+
+def shapes(n_classes: int) -> tuple[tuple[int, ...], ...]:
+    return (n_classes, EMBED), (len(OFFSETS) * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, n_classes), (n_classes,)
+
+
+SHAPES = shapes(N_CLASSES)
+
+
+def class_words(total: int) -> int:
+    """The number of class words of a corpus of so many words."""
+    return N_WORDS + WORDS_PER_DOUBLING * (max(total, LEAST_CORPUS) // LEAST_CORPUS).bit_length() - WORDS_PER_DOUBLING
 
 
 @dataclass
 class MaskedLm:
-    """``words``: class words in order (classes 1, 2, ...); ``weights``: arrays of SHAPES."""
+    """``words``: class words in order (classes 1, 2, ...); ``weights``: arrays of ``shapes``;
+    ``unseen``: by class, log P(word | class) of a word that the corpus lacks; ``counts``: the
+    table ``word, n`` of all words (left out where tasks need the model)."""
     words: list[str]
     weights: list[np.ndarray]
+    unseen: np.ndarray | None = None
+    counts: DataFrame | None = None
+
+    @property
+    def first_ending(self) -> int:
+        return len(self.weights[4]) - N_ENDINGS
+
+    def word_classes(self, words: list[str]) -> np.ndarray:
+        known, first = {w: i + 1 for i, w in enumerate(self.words)}, self.first_ending
+        return np.fromiter((known.get(w) or first + xxhash.xxh3_64_intdigest(w[-3:]) % N_ENDINGS for w in words), np.int64, len(words))
 
     def classes(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Classes of all words with padding between texts, and where the words are."""
-        known = {w: i + 1 for i, w in enumerate(self.words)}
-        by_code = np.fromiter((known.get(w) or N_WORDS + 1 + xxhash.xxh3_64_intdigest(w[-3:]) % N_ENDINGS
-                               for w in words.distinct.tolist()), np.int64, len(words.distinct))
+        by_code = self.word_classes(words.distinct.tolist())
         sizes = np.diff(words.ends, prepend=0)
         at = np.arange(len(words.codes)) + SIDE * (1 + np.repeat(np.arange(len(sizes)), sizes))
         out = np.zeros(len(words.codes) + SIDE * (1 + len(sizes)), np.int64)
@@ -135,20 +163,30 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def first_model(counts: DataFrame, seed: int = 0) -> MaskedLm:
     """The class words and a network that predicts each class by its share of all words."""
-    top = counts.orderBy(F.desc("n"), "word").limit(N_WORDS).collect()
-    words = [r["word"] for r in top]
-    ends = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in words], "word string")), "word", "left_anti")
-    total = ends.agg(F.sum("n")).first()[0] or 0
-    share = np.full(N_CLASSES, 1.0)
-    share[1:len(words) + 1] += [r["n"] for r in top]
-    share[N_WORDS + 1:] += total / N_ENDINGS
-    share[0] = share.sum() * 1e-9
+    n_words = class_words(counts.agg(F.sum("n")).first()[0] or 0)
+    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(n_words).collect()]
+    n_classes = n_words + 1 + N_ENDINGS
     rng = np.random.default_rng(seed)
-    weights = [(rng.standard_normal(s) * (0.3 if len(s) > 1 else 0)).astype(np.float32) for s in SHAPES]
+    weights = [(rng.standard_normal(s) * (0.3 if len(s) > 1 else 0)).astype(np.float32) for s in shapes(n_classes)]
     weights[1] *= np.float32(0.5)
     weights[3] *= np.float32(0.1)
+    model = MaskedLm(words, weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = model.word_classes(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(classes), batch.column(1)], ["class", "n"])
+
+    share, distinct = np.zeros(n_classes), np.zeros(n_classes)
+    for r in counts.select("word", "n").mapInArrow(run, "class long, n long").groupBy("class").agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect():
+        share[r["class"]], distinct[r["class"]] = r["n"], r["distinct"]
+    unseen = -np.log(share + distinct + 1)
+    unseen[:model.first_ending] = 0
+    share += 1
+    share[0] = share.sum() * 1e-9
     weights[4] = np.log(share / share.sum()).astype(np.float32)
-    return MaskedLm(words, weights)
+    return replace(model, unseen=unseen)
 
 
 def masked_places(words: Words, round_: int, rounds: int) -> np.ndarray:
@@ -179,8 +217,8 @@ def train_round(rows: DataFrame, model: MaskedLm, round_: int, rounds: int) -> M
         return model
     flat = sums.sort_values("place")["value"].to_numpy()
     flat = (flat[:-1] / flat[-1]).astype(np.float32)
-    cuts = np.cumsum([int(np.prod(s)) for s in SHAPES])[:-1]
-    return MaskedLm(model.words, [x.reshape(s) for x, s in zip(np.split(flat, cuts), SHAPES, strict=True)])
+    cuts = np.cumsum([w.size for w in model.weights])[:-1]
+    return replace(model, weights=[x.reshape(w.shape) for x, w in zip(np.split(flat, cuts), model.weights, strict=True)])
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -189,23 +227,55 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> MaskedLm:
     rows = _rows(df, id_col, text_col)
-    model = first_model(staged(word_counts(rows), "words"))
+    counts = staged(word_counts(rows), "words")
+    model = first_model(counts)
     for round_ in range(rounds):
         model = train_round(rows, model, round_, rounds)
-    return model
+    return replace(model, counts=counts)
+
+
+def word_owners(words: Words, plain: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The codes of the words of a slice that are ``plain`` (by code) and, for each, the number of
+    the text of every place where it is."""
+    places = np.flatnonzero(plain[words.codes])
+    texts = np.repeat(np.arange(len(words.ends), dtype=np.int32), np.diff(words.ends, prepend=0))[places]
+    codes = words.codes[places]
+    n = np.bincount(codes, minlength=len(plain))
+    found = np.flatnonzero(n)
+    starts = np.concatenate([[0], np.cumsum(n[found])]).astype(np.int32)
+    return found, pa.ListArray.from_arrays(pa.array(starts), pa.array(texts[np.argsort(codes, kind="stable")]))
 
 
 def score(df: DataFrame, model: MaskedLm, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, pseudo_log_likelihood, mean_log_prob`` of each whole text."""
+    net = replace(model, counts=None)
+    kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("total", pa.float64()),
+                       ("word", pa.string()), ("unseen", pa.float64()), ("texts", pa.list_(pa.int32()))])
+
+    def batch_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in kinds], schema=kinds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33  # rows are numbered, as ids may repeat
         for batch in (part for whole in batches for part in text_slices(whole)):
             words = lower_words(batch.column(1))
-            sums = np.concatenate([[0.0], np.cumsum(model.log_probs(*model.classes(words)))])
+            sums = np.concatenate([[0.0], np.cumsum(net.log_probs(*net.classes(words)))])
             starts, ends = np.concatenate([[0], words.ends[:-1]]), words.ends
-            total, n = sums[ends] - sums[starts], ends - starts
-            mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total), mean],
-                                             ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_prob"])
-
-    return _rows(df, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_prob double")
+            yield batch_of(batch.num_rows, row=pa.array(first + np.arange(batch.num_rows)), doc_id=batch.column(0),
+                           n_tokens=pa.array(ends - starts, pa.int64()), total=pa.array(sums[ends] - sums[starts]))
+            classes = net.word_classes(words.distinct.tolist())
+            found, texts = word_owners(words, classes >= net.first_ending)
+            yield batch_of(len(found), row=pa.array(np.full(len(found), first)), word=pa.array(words.distinct[found], pa.string()),
+                           unseen=pa.array(net.unseen[classes[found]]), texts=texts)
+            first += batch.num_rows
+
+    scored = staged(_rows(df, id_col, text_col).mapInArrow(
+        run, "row long, doc_id long, n_tokens long, total double, word string, unseen double, texts array<int>"), "scored")
+    share = F.log1p(F.coalesce("n", F.lit(0))) + F.col("unseen")
+    in_class = (scored.filter("word is not null").join(model.counts, "word", "left")
+                .select("row", share.alias("share"), F.explode("texts").alias("text"))
+                .groupBy((F.col("row") + F.col("text")).alias("row")).agg(F.sum("share").alias("share")))
+    total = F.col("total") + F.coalesce("share", F.lit(0.0))
+    return (scored.filter("word is null").join(in_class, "row", "left")
+            .select("doc_id", "n_tokens", total.alias("pseudo_log_likelihood"),
+                    F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob")))

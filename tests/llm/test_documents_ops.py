@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -437,5 +438,35 @@ def test_every_word_is_masked_once():
         assert sorted(seen.tolist()) == list(range(24))
 
 
+def test_each_words_own_probability_counts(spark):
+    text = "the cat sat on the mat with a station nation nation Ration"
+    class_ = [f"c{i}" for i in range(pseudo_lm.N_WORDS)]
+    pairs = [(i, " ".join([*class_ * 3, text])) for i in range(4)] + [(7, "nation"), (7, "nation"), (None, "station Station"), (8, "xqtion"), (9, "c5")]
+    df = rows(spark, pairs)
+    model = pseudo_lm.fit(df.filter("doc_id is null or doc_id < 8").repartition(3))
+    counts = Counter(w.lower() for d, t in pairs if d is None or d < 8 for w in t.split())
+    by_class = {}
+    for w, n in counts.items():
+        by_class.setdefault(int(model.word_classes([w])[0]), []).append(n)
+
+    def own(word):
+        c = int(model.word_classes([word])[0])
+        return 0.0 if word in model.words else np.log((counts[word] + 1) / (sum(by_class.get(c, [])) + len(by_class.get(c, [])) + 1))
+
+    got = sorted(pseudo_lm.score(df.repartition(3), model).collect(), key=str)
+    want = []
+    for doc, t in pairs:
+        words = pseudo_lm.lower_words(pa.array([t]))
+        want.append((doc, model.log_probs(*model.classes(words)).sum() + sum(own(w.lower()) for w in t.split())))
+    assert len(got) == len(want)
+    for doc, score in want:
+        assert any(r["doc_id"] == doc and r["pseudo_log_likelihood"] == pytest.approx(score, rel=1e-5) for r in got), (doc, score)
+    # words that share a class: the frequent one is likelier than the rare, the rare than gibberish
+    score = {r["doc_id"]: r["pseudo_log_likelihood"] for r in pseudo_lm.score(
+        rows(spark, [(0, "nation"), (1, "station"), (2, "xqtion")]), model).collect()}
+    assert score[0] > score[1] > score[2]
+    assert pseudo_lm.class_words(1 << 30) > pseudo_lm.class_words(1 << 24) > pseudo_lm.class_words(0) == pseudo_lm.N_WORDS
+
+
 def test_vocabulary_paths():
     assert vocabulary("byte_bpe_50k.json") == str(public_tokenizers.path("byte_bpe_50k.json"))
