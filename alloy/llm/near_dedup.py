@@ -3,10 +3,12 @@
 Documents with one shingle set are one class, and the join runs over classes. ``TREES``
 independent trees branch the classes: a node sends each member to one child for each of its
 two chosen minwise tokens, named after the token's value, so two sets of similarity s meet
-again in a child with probability s for each choice. Nodes of at most ``LEAF`` members are
-compared exhaustively. A child that holds most of its parent is dense, and branching would
-not part it: its members are compared in blocks that share a few pivots; those that do not
-join the pivots' component are then compared with every block.
+again in a child with probability s for each choice. No path uses a token twice. Nodes of at
+most ``LEAF`` members are compared exhaustively. A larger node is dense if a sample shows that
+most of its members are as like to one of a few pivots as linked sets are, so that branching
+would not part it (nodes without tokens left are treated alike): its members are compared in
+blocks that share pivots; then the members outside the first pivot's component meet all members,
+block by block, two blocks a group, so that no group grows with the node.
 
 Comparing uses 128-value sketches. Of a node's candidate pairs the heaviest spanning forest is
 confirmed on the full shingle sets, then the other pairs whose ends still lie in different
@@ -42,9 +44,15 @@ ROOT_CHOICES = 2 * TREES
 #: minwise tokens for branching (the first ROOT_CHOICES at the roots) and sketch values
 TOKENS, SKETCH = 32, 128
 LEAF = 256
+#: nodes with this share of members that are like a pivot are dense
 DENSE = 0.75
-MAX_DEPTH = 10
+#: nodes with less than this share of their parent are branched without a look at their sketches
+LOOK = 0.5
+#: a path takes one token at the root and the others below
+MAX_DEPTH = 1 + TOKENS - ROOT_CHOICES
 PIVOTS = 8
+#: members by which a node is judged dense
+SAMPLE = 256
 #: sketch likeness below which a pair is no candidate (4 deviations below the threshold)
 LEAST_LIKENESS = 0.6
 MULTIPLIERS = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -106,30 +114,70 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def branch(nodes: DataFrame, choices: Column) -> DataFrame:
-    """``parent, node, key``: a row for each member of a node and each of its choices."""
+    """``parent, node, used, key``: a row for each member of a node and each of its choices, with
+    the bits of the tokens that the path has used."""
     return (nodes.withColumn("choice", F.explode(choices))
-            .select(F.col("node").alias("parent"), "key",
-                    F.xxhash64("node", "choice", F.element_at("tokens", F.col("choice") + 1)).alias("node")))
+            .select(F.col("node").alias("parent"),
+                    F.xxhash64("node", "choice", F.element_at("tokens", F.col("choice") + 1)).alias("node"),
+                    F.col("used").bitwiseOR(F.expr("shiftleft(1L, choice)")).alias("used"), "key"))
+
+
+def unused_choices() -> Column:
+    """Two tokens (one, if only one is left) that the path of ``node, used`` has not used."""
+    unused = F.filter(F.sequence(F.lit(ROOT_CHOICES), F.lit(TOKENS - 1)), lambda i: F.getbit("used", i) == 0)
+    n = F.size(unused)
+    one = F.pmod(F.xxhash64("node", F.lit(1)), n)
+    two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.greatest(n - 1, F.lit(1))), n)
+    return F.array_distinct(F.array(*(F.element_at(unused, (i + 1).cast("int")) for i in (one, two))))
+
+
+def alike(marks: np.ndarray) -> bool:
+    """Whether most sketches are as like to one of the first PIVOTS as linked sets are."""
+    pivots, rest = marks[:PIVOTS], marks[PIVOTS:]
+    if not len(rest):
+        return False
+    best = np.max([(rest == p).mean(1) for p in pivots], axis=0)
+    return bool((best >= PERCENT / 100).mean() >= DENSE)
+
+
+def dense_nodes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node`` of those whose members (``node, size, key``) are alike, judged by some SAMPLE of them."""
+    place = F.xxhash64("key", "node")
+    some = members.filter(F.pmod(place, F.ceil(F.col("size") / SAMPLE).cast("long")) == 0).select("node", "key", place.alias("place"))
+    lists = (some.join(classes.select("key", "sketch"), "key").groupBy("node")
+             .agg(F.sort_array(F.collect_list(F.struct("place", "sketch")))["sketch"].alias("marks")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dense = [alike(np.frombuffer(b"".join(x.as_py()), np.uint8).reshape(-1, SKETCH)) for x in batch.column(1)]
+            yield batch.select(["node"]).filter(pa.array(dense, pa.bool_()))
+
+    return lists.mapInArrow(run, "node long")
 
 
 def tree_groups(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The small nodes of all trees as ``grp, key``, and the dense ones as ``node, size, key``."""
     tokens = classes.select("key", "tokens")
-    roots = tokens.withColumn("node", F.lit(0).cast("long"))
-    rows = staged(branch(roots, F.sequence(F.lit(0), F.lit(ROOT_CHOICES - 1))).select("parent", "node", "key"), "roots")
+    roots = tokens.withColumn("node", F.lit(0).cast("long")).withColumn("used", F.lit(0).cast("long"))
+    rows = staged(branch(roots, F.sequence(F.lit(0), F.lit(ROOT_CHOICES - 1))), "roots")
     above = None
     leaves, dense = [], []
     for depth in range(1, MAX_DEPTH + 1):
-        sizes = rows.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        sizes = rows.groupBy("parent", "node", "used").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         if above is None:
             sizes = sizes.withColumn("whole", F.lit(1 << 62))
         else:
             sizes = sizes.join(above.select(F.col("node").alias("parent"), F.col("size").alias("whole")), "parent")
-        last = F.lit(depth == MAX_DEPTH)
-        kind = (F.when(F.col("size") <= LEAF, F.lit("leaf"))
-                .when(last | (F.col("size") >= DENSE * F.col("whole")), F.lit("dense")).otherwise(F.lit("big")))
-        sizes = staged(sizes.select("node", "size", kind.alias("kind")), "sizes")
+        kind = (F.when(F.col("size") <= LEAF, F.lit("leaf")).when(F.lit(depth == MAX_DEPTH), F.lit("dense"))
+                .when(F.col("size") >= LOOK * F.col("whole"), F.lit("look")).otherwise(F.lit("big")))
+        sizes = staged(sizes.select("node", "size", "used", kind.alias("kind")), "sizes")
         kinds = {r["kind"] for r in sizes.select("kind").distinct().collect()}
+        if "look" in kinds:
+            look = rows.select("node", "key").join(sizes.filter("kind = 'look'").select("node", "size"), "node")
+            found = dense_nodes(look, classes).withColumn("found", F.lit(True))
+            kind = F.when(F.col("kind") != "look", F.col("kind")).when(F.col("found"), F.lit("dense")).otherwise(F.lit("big"))
+            sizes = staged(sizes.join(found, "node", "left").select("node", "size", "used", kind.alias("kind")), "sizes")
+            kinds = {r["kind"] for r in sizes.select("kind").distinct().collect()}
         member = rows.select("node", "key").join(sizes, "node")
         if "leaf" in kinds:
             leaves.append(staged(member.filter("kind = 'leaf'").select(F.col("node").alias("grp"), "key"), "leaves"))
@@ -138,11 +186,7 @@ def tree_groups(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if "big" not in kinds:
             break
         above = sizes.filter("kind = 'big'").select("node", "size")
-        spread = TOKENS - ROOT_CHOICES
-        one = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(spread))
-        two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(spread - 1)), F.lit(spread))
-        choices = F.array(one + ROOT_CHOICES, two + ROOT_CHOICES).cast("array<int>")
-        rows = staged(branch(member.filter("kind = 'big'").select("node", "key").join(tokens, "key"), choices), "branch")
+        rows = staged(branch(member.filter("kind = 'big'").select("node", "used", "key").join(tokens, "key"), unused_choices()), "branch")
 
     def together(parts: list[DataFrame]) -> DataFrame | None:
         out = parts[0] if parts else None
@@ -154,9 +198,9 @@ def tree_groups(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return together(leaves) if leaves else empty, together(dense)
 
 
-def blocks(dense: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+def blocks(dense: DataFrame) -> DataFrame:
     """Dense nodes as groups ``grp, key`` of some LEAF members, each with the node's PIVOTS
-    first members by hash and the node's rows of ``extra`` (node, key)."""
+    first members by hash."""
     place = F.xxhash64("node", "key")
     n_blocks = F.ceil(F.col("size") / LEAF).cast("long")
     own = dense.select(F.xxhash64("node", F.pmod(place, n_blocks)).alias("grp"), "key")
@@ -164,13 +208,27 @@ def blocks(dense: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     first = (dense.groupBy("node", "size", F.pmod(F.xxhash64("key", "node"), F.lit(PIVOTS)).alias("part"))
              .agg(F.min(F.struct(place.alias("place"), F.col("key"))).alias("least"))
              .select("node", "size", F.col("least.key").alias("key")))
-    if extra is not None:
-        first = first.unionByName(extra.join(dense.select("node", "size").distinct(), "node").select("node", "size", "key"))
     shared = (first.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
               .select(F.xxhash64("node", "block").alias("grp"), "key"))
     return own.unionByName(shared).distinct()
 
 
+def block_pairs(dense: DataFrame, out: DataFrame) -> DataFrame:
+    """Groups ``grp, key`` in which every row of ``out`` (node, key) meets every member of its
+    dense node: some LEAF members with some LEAF of ``out`` each, whatever the node's size."""
+    place = F.xxhash64("node", "key")
+    counts = (out.groupBy("node").agg(F.count(F.lit(1)).alias("outside"))
+              .join(dense.groupBy("node").agg(F.max("size").alias("size")), "node")
+              .select("node", *(F.ceil(F.col(c) / LEAF).cast("long").alias(n) for c, n in (("size", "n_own"), ("outside", "n_out")))))
+
+    def dealt(rows: DataFrame, own: str, others: str) -> DataFrame:
+        dealt = rows.select("node", "key").join(counts, "node").withColumn(own, F.pmod(place, F.col(f"n_{own}")))
+        dealt = dealt.withColumn(others, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{others}") - 1)))
+        return dealt.select(F.xxhash64("node", "own", "out").alias("grp"), "key")
+
+    return dealt(dense, "own", "out").unionByName(dealt(out, "out", "own")).distinct()
+
+
 def candidate_pairs(groups: DataFrame, classes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Candidates ``a, b`` of the groups ``grp, key``, each pair once: the heaviest spanning
     forest of each group's candidate pairs, or, with the components ``roots`` (key, root) found
@@ -342,12 +400,12 @@ def link_classes(classes: DataFrame, rows: DataFrame, percent: int = PERCENT) ->
 
     join_more(groups)
     if dense is not None:
-        # members of dense nodes outside the component of the node's first pivot meet all blocks
+        # members of dense nodes outside the component of the node's first pivot meet all members
         own = dense.join(roots, "key", "left").select("node", "key", F.coalesce("root", "key").alias("root"))
         main = own.groupBy("node").agg(F.min_by("root", F.xxhash64("node", "key")).alias("main"))
         out = staged(own.join(main, "node").filter("root != main").select("node", "key"), "outside")
         if out.take(1):
-            join_more(blocks(dense.join(out.select("node").distinct(), "node", "left_semi"), out))
+            join_more(staged(block_pairs(dense.join(out.select("node").distinct(), "node", "left_semi"), out), "groups"))
     return roots
 
 

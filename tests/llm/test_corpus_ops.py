@@ -229,6 +229,50 @@ def test_components_query(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def made_classes(spark, n, share, like, seed=5):
+    """Classes whose tokens and sketch values are the common ones with probabilities share and like."""
+    rng = np.random.default_rng(seed)
+    tokens = np.where(rng.random((n, near_dedup.TOKENS)) < share, -1, rng.integers(0, 1 << 31, (n, near_dedup.TOKENS)))
+    marks = np.where(rng.random((n, near_dedup.SKETCH)) < like, 0, rng.integers(1, 256, (n, near_dedup.SKETCH))).astype(np.uint8)
+    return spark.createDataFrame([(i.to_bytes(16, "big"), t, bytearray(m.tobytes())) for i, (t, m) in enumerate(zip(tokens.tolist(), marks, strict=True))],
+                                 "key binary, tokens array<int>, sketch binary")
+
+
+def test_only_alike_members_are_dense(spark, monkeypatch):
+    """A shared passage without links is branched down to leaves, a group of near copies is dense."""
+    monkeypatch.setattr(near_dedup, "LEAF", 64)
+    leaves, dense = near_dedup.tree_groups(made_classes(spark, 900, 0.6, 0.6))
+    assert dense is None
+    assert leaves.groupBy("grp").count().agg(F.max("count")).first()[0] <= 64
+    _, dense = near_dedup.tree_groups(made_classes(spark, 300, 0.95, 0.95))
+    assert dense is not None and dense.agg(F.min("size")).first()[0] > 64
+
+
+def test_no_path_uses_a_token_twice(spark):
+    nodes = spark.range(200).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("used"), F.lit(b"k").alias("key"),
+                                    F.sequence(F.lit(1), F.lit(near_dedup.TOKENS)).alias("tokens"))
+    for depth in range(near_dedup.MAX_DEPTH - 1):
+        nodes = near_dedup.branch(nodes, near_dedup.unused_choices()).groupBy("parent").agg(
+            F.first("node").alias("node"), F.first("used").alias("used"), F.first("key").alias("key")).withColumn(
+            "tokens", F.sequence(F.lit(1), F.lit(near_dedup.TOKENS)))
+        nodes = spark.createDataFrame(nodes.select("node", "used", "key", "tokens").collect(), "node long, used long, key binary, tokens array<int>")
+        assert {r[0] for r in nodes.select(F.bit_count("used")).distinct().collect()} == {depth + 1}
+
+
+def test_outsiders_meet_all_members_in_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 32)
+    keys = [i.to_bytes(2, "big") for i in range(500)]
+    dense = spark.createDataFrame([(7, 500, k) for k in keys], "node long, size long, key binary")
+    out = dense.select("node", "key").limit(300)
+    groups = {}
+    for r in near_dedup.block_pairs(dense, out).collect():
+        groups.setdefault(r["grp"], set()).add(bytes(r["key"]))
+    assert max(map(len, groups.values())) <= 4 * 32
+    met = {(a, b) for g in groups.values() for a in g for b in g}
+    outside = {bytes(r["key"]) for r in out.collect()}
+    assert all((a, b) in met for a in outside for b in keys)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
     got = {bytes(r["key"]): bytes(r["root"]) for r in near_dedup.components(links).collect()}
