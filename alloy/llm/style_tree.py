@@ -12,7 +12,10 @@ identical text count once.
 Hosts may have one page only, and menus or adverts may differ on every page; entropy says
 nothing there. Element labels therefore carry a fixed importance where HTML or common naming
 gives one: 0 for menus, footers, sidebars, adverts, notices, forms, comments and the like, 1
-for ``article`` and ``main``. If a page has such a content branch, its text is that branch's.
+for the elements ``article`` and ``main`` themselves, so that they never go as a whole; what is
+below them is judged by entropy. On a page with such a content branch, other elements are taken
+for noise at first, which counts as ``LEAST_PAGES`` pages of importance 0: their text stays if
+their mean importance with those is at least ``KEPT_IMPORTANCE``.
 
 Blocks are divided by block-level tags; a line break is white space. Defined results: NULL
 html is empty and gives an empty text; a NULL or malformed url is the host ''; unclosed and
@@ -38,6 +41,8 @@ from alloy.session import estimated_bytes
 LEAST_IMPORTANCE = 0.2
 #: pages (with different texts) below which a host's entropies say nothing
 LEAST_PAGES = 4
+#: importance from which text beside a page's content branches stays
+KEPT_IMPORTANCE = 0.5
 LEVEL_WEIGHT = 0.9
 #: files of the hosts' noise branches that may be broadcast, in bytes
 BROADCAST_BYTES = 4 << 20
@@ -197,28 +202,26 @@ def is_noise(path: str) -> bool:
     return f">{NOISE}" in path
 
 
-def main_text(source: str, noise: frozenset[str] = frozenset()) -> str:
-    """The blocks that no noise branch holds, joined by newlines; those of the page's content
-    branches only, if there are any."""
-    kept = [(inside, text) for path, inside, text in parse(source).blocks
+def main_text(source: str, noise: frozenset[str] = frozenset(), main: frozenset[str] = frozenset()) -> str:
+    """The blocks that no noise branch holds, joined by newlines; if the page has content
+    branches, those inside them and at the paths ``main`` only."""
+    kept = [(inside, path, text) for path, inside, text in parse(source).blocks
             if not is_noise(path) and not (noise and any(p in noise for p in steps(path)))]
-    if any(inside for inside, _ in kept):
-        kept = [x for x in kept if x[0]]
-    return "\n".join(text for _, text in kept)
+    if any(inside for inside, _, _ in kept):
+        kept = [x for x in kept if x[0] or x[1] in main]
+    return "\n".join(text for _, _, text in kept)
 
 
 def page_features(source: str) -> tuple[int, list[tuple[str, int]]]:
     """A hash of the page's whole text, and for each element path that is not noise by its
-    label what the page shows there (content branches as a whole)."""
+    label what the page shows there."""
     page = parse(source)
     shown: dict[str, list[str]] = {}
-    for path, inside, text in page.blocks:
+    for path, _, text in page.blocks:
         if not is_noise(path):
-            if inside:
-                path = path[:(path.find(">", path.find(f">{CONTENT}") + 1) + 1 or len(path) + 1) - 1]
             shown.setdefault(path, []).append(text)
     for path, shape in page.shapes.items():
-        if path and path not in shown and not is_noise(path) and f">{CONTENT}" not in path:
+        if path and path not in shown and not is_noise(path):
             shown[path] = shape
     whole = xxhash.xxh3_64_intdigest("\n".join(text for _, _, text in page.blocks))
     return _signed(whole), [(p, _signed(xxhash.xxh3_64_intdigest("\n".join(v)))) for p, v in shown.items()]
@@ -229,8 +232,8 @@ def _signed(x: int) -> int:
 
 
 def noise_branches(pages: DataFrame) -> DataFrame:
-    """``host, noise array<string>`` of the hosts that have low-importance branches, from
-    ``host, html``."""
+    """``host, noise array<string>, main array<string>``, from ``host, html``: low-importance
+    branches, and important paths outside the content branches, of the hosts that have any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_slices(whole)):
             rows = []
@@ -246,8 +249,9 @@ def noise_branches(pages: DataFrame) -> DataFrame:
     counts = seen.groupBy("host", "path", "shown").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
-    entropy = F.when(F.contains("path", F.lit(f">{CONTENT}")), F.lit(1.0)).otherwise(entropy)
-    nodes = nodes.withColumn("importance", entropy).select("host", "m", "importance", F.col("path").alias("below"))
+    # labels of content elements, not of what is below them
+    entropy = F.when(F.col("path").rlike(rf">\{CONTENT}[^>]*$"), F.lit(1.0)).otherwise(entropy)
+    nodes = staged(nodes.withColumn("importance", entropy).select("host", "m", "importance", F.col("path").alias("below")), "nodes")
 
     def by_branch(rows: DataFrame) -> DataFrame:
         """A row for each branch that ``below`` is in, itself among them."""
@@ -262,7 +266,12 @@ def noise_branches(pages: DataFrame) -> DataFrame:
     low = (by_branch(composite.withColumnRenamed("branch", "below")).groupBy("host", "branch")
            .agg(F.max("importance").alias("importance"), F.max("m").alias("m"))
            .filter((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)))
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("branch")).alias("noise"))
+    noise = low.groupBy("host").agg(F.sort_array(F.collect_set("branch")).alias("noise"))
+    inside = F.contains("below", F.lit(f">{CONTENT}"))
+    kept = ~inside & (F.col("m") * F.col("importance") >= KEPT_IMPORTANCE * (F.col("m") + LEAST_PAGES)) & (F.col("m") >= LEAST_PAGES)
+    main = (nodes.groupBy("host").agg(F.max(inside).alias("has_content"), F.sort_array(F.collect_set(F.when(kept, F.col("below")))).alias("main"))
+            .filter(F.col("has_content") & (F.size("main") > 0)).select("host", "main"))
+    return noise.join(main, "host", "full")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -280,9 +289,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_slices(whole, 2)):
-            texts = [main_text(source.as_py(), frozenset(x.as_py() or ()))
-                     for source, x in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [main_text(source.as_py(), frozenset(x.as_py() or ()), frozenset(y.as_py() or ()))
+                     for source, x, y in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                              ["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "noise").mapInArrow(run, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "noise", "main").mapInArrow(run, "page_id long, url string, text string")

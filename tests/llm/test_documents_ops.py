@@ -172,6 +172,18 @@ def test_noise_by_entropy(spark):
     assert {r["text"] for r in style_tree.extract(same).collect()} == {"same text"}
 
 
+def test_entropy_decides_on_pages_with_articles(spark):
+    """Notices that repeat inside an article go; main text beside a teaser stays, what repeats there goes."""
+    pages = [(i, f"http://in.example/{i}", f"<article><div class=box><p>Read our other offers</div><p>story {i}</article>") for i in range(12)]
+    pages += [(20 + i, f"http://beside.example/{i}", f"<article>teaser {i}</article><div class=x><p>long main text {i}</div><div class=y>All rights kept</div>")
+              for i in range(12)]
+    pages += [(50, "http://single.example/", "<article>own</article><div>beside</div>")]
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(12)] == [f"story {i}" for i in range(12)]
+    assert [got[20 + i] for i in range(12)] == [f"teaser {i}\nlong main text {i}" for i in range(12)]
+    assert got[50] == "own"
+
+
 def test_articles_of_the_pages_table(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect()}
     import html
