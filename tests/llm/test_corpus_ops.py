@@ -273,6 +273,15 @@ def test_outsiders_meet_all_members_in_bounded_groups(spark, monkeypatch):
     assert all((a, b) in met for a in outside for b in keys)
 
 
+def test_pairs_far_below_the_threshold_are_candidates():
+    """A linked pair has at least 64 of 128 equal sketch values, but for 1 in 10^9."""
+    marks = np.zeros((3, near_dedup.SKETCH), np.uint8)
+    marks[1, 64:] = 1
+    marks[2] = 2
+    assert near_dedup.spanning_forest(marks) == near_dedup.spanning_forest(marks[:2]) == [(0, 1)]
+    assert near_dedup.between(marks, [b"a", b"b", b"c"]) == [(0, 1)]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
     got = {bytes(r["key"]): bytes(r["root"]) for r in near_dedup.components(links).collect()}
