@@ -4,8 +4,9 @@ A run of key-like characters with letters and digits is a random string if it ha
 ``MAX_RATIO`` characters per token of the vocabulary: prose, names and paths are made of long
 tokens, random strings of tokens of one or two characters. Digests in the usual lengths,
 UUIDs and strings given as known are identifiers, not secrets. Spans are in code points, end
-exclusive, by start, then by kind in the order of ``KINDS``; a run that overlaps a base span
-adds none.
+exclusive, by start, then by kind in the order of ``KINDS``; of a run that overlaps base spans,
+the parts outside them are judged, each as a run. A run of letters only needs fewer than
+``MAX_LETTERS_RATIO`` characters per token.
 
 Defined results: NULL text is empty and has no spans (``redacted`` leaves it NULL); rows are
 scanned one by one, so repeated rows and ids repeat their spans; an empty table gives no rows.
@@ -37,7 +38,10 @@ DIGEST = r"(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|
 UUID = r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
 # ----------------------------------------------------------------------------------
 RUN = r"[A-Za-z0-9+/=_-]{20,}"
+RUN_LEAST = 20
 MAX_RATIO = 2.0
+#: of runs without digits, at least RUN_LEAST letters long
+MAX_LETTERS_RATIO = 1.75
 MASK = "[secret]"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 #: RE2 forms that hold wherever the patterns do, so that most texts need no closer look
@@ -56,14 +60,24 @@ class Scanner:
         self.assign = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
         self.access, self.hex, self.run = re.compile(ACCESS), re.compile(HEX), re.compile(RUN)
         self.identifier = re.compile(f"{DIGEST}|{UUID}")
+        self.letters = re.compile(r"(?:[^A-Za-z0-9]*[A-Za-z]){%d}[^0-9]*" % RUN_LEAST)
         self.mixed = re.compile(r"(?=[^0-9]*[0-9])[^A-Za-z]*[A-Za-z]")
         self.known, self.max_ratio = known, max_ratio
 
+    def is_known(self, run: str) -> bool:
+        return run in self.known or self.identifier.fullmatch(run) is not None
+
     def is_random(self, run: str) -> bool:
-        if run in self.known or self.identifier.fullmatch(run) or not self.mixed.match(run):
+        if self.is_known(run):
+            return False
+        if self.mixed.match(run):
+            ratio = self.max_ratio
+        elif self.letters.fullmatch(run):
+            ratio = min(self.max_ratio, MAX_LETTERS_RATIO)
+        else:
             return False
         tokens = sum(len(self.tokens.encode_ordinary(run[i:i + RUN_PART])) for i in range(0, len(run), RUN_PART))
-        return len(run) < self.max_ratio * tokens
+        return len(run) < ratio * tokens
 
     def spans(self, text: str, hints: tuple[bool, ...] = (True,) * 4) -> list[tuple[int, int, int]]:
         """(start, kind, end) of all spans in order."""
@@ -78,9 +92,16 @@ class Scanner:
             base = covered(found)
             starts = [s for s, _ in base]
             for m in self.run.finditer(text):
-                i = int(np.searchsorted(starts, m.end())) - 1  # the last base span that starts before the run's end
-                if (i < 0 or base[i][1] <= m.start()) and self.is_random(m.group()):
-                    found.append((m.start(), 3, m.end()))
+                if self.is_known(m.group()):
+                    continue
+                # the parts of the run between the base spans that it meets
+                at = m.start()
+                first = max(0, int(np.searchsorted(starts, m.start(), "right")) - 1)
+                met = base[first:int(np.searchsorted(starts, m.end()))]
+                for start, end in [*met, (m.end(), m.end())]:
+                    if start - at >= RUN_LEAST and self.is_random(text[at:start]):
+                        found.append((at, 3, start))
+                    at = max(at, end)
         return sorted(found)
 
     def scan(self, texts: pa.Array) -> Iterator[list[tuple[int, int, int]]]:

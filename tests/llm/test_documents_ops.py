@@ -230,6 +230,22 @@ def test_token_efficiency():
         assert not scan.is_random(plain), plain
 
 
+def test_parts_beside_base_spans_and_letters(spark):
+    rng = random.Random(1)
+    scan = secret_scan.scanner(vocabulary("byte_bpe_50k.tiktoken"), frozenset(), 2.0)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    tail = "".join(rng.choice(letters + "0123456789") for _ in range(40))
+    text = f"key 0123456789abcdef01234567-{tail} end"
+    assert scan.spans(text) == [(4, 2, 28), (28, 3, 69)]
+    (got,) = rows(spark, [(1, text)]).select(secret_scan.redacted(F.col("text"), vocabulary("byte_bpe_50k.tiktoken"))).first()
+    assert tail not in got
+    runs = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(200)]
+    assert sum(scan.is_random(x) for x in runs) > 180
+    for plain in ("thisisaverylongwordwithoutdigits", "international-standard-organisation", "--------------------------", "getUserProfileSettingsFromPage",
+                  "THE_QUICK_BROWN_FOX_JUMPS_OVER"):
+        assert not scan.is_random(plain), plain
+
+
 def test_secret_query_and_masking(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     for r in QUERIES["op4_token_efficiency"](spark, SF_SMALL).collect():
