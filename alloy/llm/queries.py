@@ -96,10 +96,24 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs))
 
 
+def op12_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives of one gzip stream each, normalised and read back."""
+    import uuid
+
+    from alloy.llm.warc import normalise, read_records, write_archives
+    from alloy.session import scratch_path
+    folder = scratch_path(spark, f"warc-{uuid.uuid4().hex}")
+    index = normalise(write_archives(table(spark, sf_dir, "pages"), f"{folder}/whole"), f"{folder}/members")
+    page = [F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long") for c in ("record_id", "refers_to")]
+    return read_records(index).select(
+        page[0].alias("page_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        F.col("type").alias("record_type"), page[1].alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (op1_piecewise_hash, op2_style_tree, op3_digest_index, op4_token_efficiency, op5_pairwise_quality, op6_bpe_automaton,
-               op7_fm_index, op8_chosen_path, op9_sum_of_squares, op10_pseudo_likelihood)
+               op7_fm_index, op8_chosen_path, op9_sum_of_squares, op10_pseudo_likelihood, op12_gzip_normaliser)
 }
 
 ORACLES: dict[str, str] = {
@@ -110,4 +124,13 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
         FROM d WINDOW w AS (PARTITION BY h)""",
+    "op12_gzip_normaliser": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (SELECT page_id, h, strlen(html) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS last,
+                     [('0x' || h[5 * i + 1:5 * i + 5])::INT for i in range(8)] AS parts FROM p)
+        SELECT page_id, payload_bytes, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN last <> page_id THEN last END AS refers_to,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1) for i in range(32)], '') AS payload_digest
+        FROM d""",
 }
