@@ -11,6 +11,7 @@ from alloy.llm.common import table
 
 #: kinds of token files that the queries use; their place is the tokenizers package's
 BYTE_BPE, WORD_BPE, BYTE_RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -96,6 +97,12 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs))
 
 
+def op11_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers in every document, aligned."""
+    from alloy.llm.token_alignment import alignment_digests
+    return alignment_digests(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), vocabulary(BYTE_RANKS), vocabulary(PIECES))
+
+
 def op12_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives of one gzip stream each, normalised and read back."""
     import uuid
@@ -113,7 +120,7 @@ def op12_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (op1_piecewise_hash, op2_style_tree, op3_digest_index, op4_token_efficiency, op5_pairwise_quality, op6_bpe_automaton,
-               op7_fm_index, op8_chosen_path, op9_sum_of_squares, op10_pseudo_likelihood, op12_gzip_normaliser)
+               op7_fm_index, op8_chosen_path, op9_sum_of_squares, op10_pseudo_likelihood, op11_galloping_alignment, op12_gzip_normaliser)
 }
 
 ORACLES: dict[str, str] = {
