@@ -9,7 +9,10 @@ Shards hold ``SHARD_PIECES`` pieces on average whatever the input size; the bins
 less than ``GOOD_FILL`` full are taken apart and packed again across shards.
 
 Defined results: NULL text is empty, an empty document is the one closing id; rows without
-id are packed like others; repeated rows are packed once each; an empty table gives no rows.
+id are packed like others; repeated rows are packed once each, dealt to all shards; of choices
+with equal sums the open bin with the smallest gap is taken, an open bin before a new one, and
+of the bins of one gap the last; an empty table gives no rows; columns of the input other than
+id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -130,11 +133,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         gap = capacity  # a new bin, unless an open one is better
         held = open_bins[size:capacity]
         if held.any():
-            # twice the growth of the sum of squares, less what all choices share; filling
-            # a bin up leaves no gap to count
-            after = open_bins[:capacity - size].copy()
-            after[0] = -1 if size else 0
-            growth = np.where(held > 0, 2 * (after - held) + 2, np.iinfo(np.int64).max)
+            # growth of the sum of squares by moving a bin from one gap to the next
+            growth = 2 * (open_bins[:capacity - size] - held) + 2
+            if size:
+                growth[0] = 1 - 2 * held[0]  # filling a bin up leaves no gap to count
+            growth[held == 0] = np.iinfo(np.int64).max
             best = int(growth.argmin())
             if growth[best] <= (2 * open_bins[capacity - size] + 1 if size < capacity else 0):
                 gap = best + size
@@ -156,7 +159,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack_shards(pieces: DataFrame, capacity: int, round_: int) -> DataFrame:
     """Pack ``pieces`` (a staged table) shard by shard; ``fill`` is the bin's final level."""
     shards = max(1, -(-pieces.count() // SHARD_PIECES))
-    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(shards)))
+    # by place in the staged table, so that equal rows are dealt to all shards
+    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])

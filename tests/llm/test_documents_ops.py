@@ -411,6 +411,18 @@ def test_sum_of_squares_rule(sizes):
     assert all(fill[i] == levels[int(b)] for i, b in enumerate(bins))
 
 
+def test_equal_rows_are_packed_in_several_shards(spark):
+    """50,000 rows without id and with one text are no hot key."""
+    df = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("seven words make a row of ids here").alias("text"))
+    got = packing.pack_documents(df, vocabulary("word_bpe_49k.json")).select("length", "offset", "sequence_id").collect()
+    assert len(got) == 50_000 and len({r["length"] for r in got}) == 1
+    # the shard is in the sequence number
+    first = [r for r in got if r["sequence_id"] >> 56 == 0]
+    assert len({r["sequence_id"] >> 32 for r in first}) >= 4
+    per_bin = 2048 // got[0]["length"]
+    assert len({r["sequence_id"] for r in got}) <= 1.12 * 50_000 / per_bin
+
+
 def test_packing_edges(spark):
     df = edge_rows(spark)
     got = packing.pack_documents(df, vocabulary("word_bpe_49k.json")).collect()
