@@ -73,13 +73,13 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
 SLICE_BYTES = 8 << 20
 
 
-def text_slices(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about SLICE_BYTES of text, so memory follows the longest text only."""
+def text_slices(batch: pa.RecordBatch, text: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``size`` bytes of text, so memory follows the longest text only."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -44,6 +44,8 @@ from alloy.llm.common import coded, staged, text_or_empty, text_slices, worker_c
 
 #: most pairs that are broadcast
 HOT_PAIRS = 1 << 20
+#: bytes of text that a task aligns at a time
+ALIGNED_BYTES = 2 << 20
 #: characters that a tokenizer is given at a time
 BLOCK_CHARS = 1 << 16
 #: characters that every version of Unicode tables takes alike
@@ -302,7 +304,7 @@ def align_documents(df: DataFrame, a_vocabulary: str, a_ranks: str, b_model: str
     ``a_ranks`` holds the vocabulary of A as byte ranks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_cached(f"aligned {a_vocabulary} {b_model}", lambda: Tokenizers(a_vocabulary, a_ranks, b_model))
-        for batch in (part for whole in batches for part in text_slices(whole, text=2)):
+        for batch in (part for whole in batches for part in text_slices(whole, text=2, size=ALIGNED_BYTES)):
             rows = list(Slice(tok, batch.column(2)).documents())
             digests = ["" if r[4] is None else hashlib.sha256(r[4].encode()).hexdigest() for r in rows]
             offsets = pa.array(np.cumsum([0, *(len(r[5]) for r in rows)]), pa.int32())
