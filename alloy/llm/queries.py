@@ -117,10 +117,17 @@ def op12_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type").alias("record_type"), page[1].alias("refers_to"))
 
 
+def op13_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    from alloy.llm.geometric_index import rank_documents
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (op1_piecewise_hash, op2_style_tree, op3_digest_index, op4_token_efficiency, op5_pairwise_quality, op6_bpe_automaton,
-               op7_fm_index, op8_chosen_path, op9_sum_of_squares, op10_pseudo_likelihood, op11_galloping_alignment, op12_gzip_normaliser)
+               op7_fm_index, op8_chosen_path, op9_sum_of_squares, op10_pseudo_likelihood, op11_galloping_alignment, op12_gzip_normaliser,
+               op13_geometric_blocks)
 }
 
 ORACLES: dict[str, str] = {
@@ -140,4 +147,26 @@ ORACLES: dict[str, str] = {
                array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1) for i in range(32)], '') AS payload_digest
         FROM d""",
+    "op13_geometric_blocks": r"""
+        WITH words AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        docs AS (SELECT r, doc_id, t, len(t) AS n FROM words WHERE len(t) > 0),
+        total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+        post AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) GROUP BY r, term),
+        weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+                    FROM (SELECT term, count(*) AS df FROM post GROUP BY term), total),
+        asked AS (SELECT i, item_id, term, count(*) AS often FROM (
+            SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY i, item_id, term),
+        scores AS (
+            SELECT i, item_id, r, doc_id,
+                   sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score
+            FROM asked JOIN post USING (term) JOIN weights USING (term) JOIN docs USING (r), total
+            GROUP BY i, item_id, r, doc_id)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+        WHERE rank <= 10""",
 }
