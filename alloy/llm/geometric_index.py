@@ -46,11 +46,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (question, term) pairs that are searched at a time
 QUESTION_TERMS = 1 << 17
 #: documents and postings of a segment, documents of a block
-SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK_DOCS = 2048, 1 << 19, 64
+SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK_DOCS = 1024, 1 << 18, 64
 #: lists of so few documents are read without a summary
 SHORT_LIST = 4
 #: documents that a task of the index build takes at least
-TASK_DOCS = 16 * SEGMENT_DOCS
+TASK_DOCS = 32 * SEGMENT_DOCS
 PIVOTS, PLANES = 32, 16
 #: entries of the tables that summaries are made in
 TABLE, ENTRIES = 1 << 22, 1 << 21
@@ -59,8 +59,10 @@ TO_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum()
 
 COUNTED = "row long, doc_id long, n long, terms array<int>, tfs array<long>"
 VECTORS = "row long, doc_id long, signature int, terms array<int>, coordinates array<long>"
-SEGMENT = ("doc_ids array<long>, doc_first array<int>, doc_terms array<int>, doc_values array<long>, block_term array<int>, "
-           "block_first array<int>, members array<int>, summary_first array<int>, summary_terms array<int>, summary_values array<long>")
+#: columns of a segment, and how the numbers of the binary ones are written
+LAYOUT = {"doc_first": "<i4", "doc_terms": "<i4", "doc_values": "<i8", "block_term": "<i4", "block_first": "<i4", "members": "<i4",
+          "summary_first": "<i4", "summary_terms": "<i4", "summary_values": "<i8"}
+SEGMENT = ", ".join(["doc_ids array<long>", *(f"{c} binary" for c in LAYOUT)])
 FOUND = "item int, doc_id long, score long"
 
 
@@ -242,15 +244,13 @@ def build_index(vectors_: DataFrame) -> DataFrame:
     parts = min(-(-rows // SEGMENT_DOCS), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_DOCS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c.split()[0], pa.list_(pa.int32() if "int" in c else pa.int64())) for c in SEGMENT.split(", ")])
-
         def segment(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
             terms, first = flat(whole.column("terms"))
             built = build_segment(whole.column("doc_id"), first, terms.astype(np.int64), flat(whole.column("coordinates"))[0])
-            return pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, f.type.value_type))
-                 for x, f in zip(built, schema, strict=True)], schema=schema)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(built.doc_ids)], pa.int32()), built.doc_ids)
+            rest = [pa.array([getattr(built, c).astype(kind).tobytes()], pa.binary()) for c, kind in LAYOUT.items()]
+            return pa.RecordBatch.from_arrays([ids, *rest], ["doc_ids", *LAYOUT])
 
         held: list[pa.RecordBatch] = []
         docs = postings = 0
@@ -279,8 +279,8 @@ def build_index(vectors_: DataFrame) -> DataFrame:
 # ---- searching -----------------------------------------------------------------------
 def read_segments(batch: pa.RecordBatch) -> Iterator[Segment]:
     for i in range(batch.num_rows):
-        columns = [c[i].values for c in batch.columns]
-        yield Segment(columns[0], *(c.to_numpy(zero_copy_only=False) for c in columns[1:]))
+        yield Segment(batch.column("doc_ids")[i].values,
+                      *(np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in LAYOUT.items()))
 
 
 def bounds(seg: Segment, ask: Questions) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
