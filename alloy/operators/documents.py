@@ -7,12 +7,12 @@ whole texts are processed, never prefixes.
 
 from __future__ import annotations
 
-import math
+from html.entities import name2codepoint
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alloy.session import cut_lineage
+from alloy.operators import batching
 
 # ---- fixed values ---------------------------------------------------------------
 CHUNK_SIZE = 1500
@@ -27,9 +27,6 @@ TOKEN_DIVISOR = 4.0
 TOKEN_OVERHEAD = 50
 BATCH_BASE = 900
 BATCH_BUDGET = 6000
-# HTML entities decoded after tags are removed (&amp; last).
-HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&apos;", "'"), ("&amp;", "&"))
 # ---------------------------------------------------------------------------------
 
 STRIP_RE = f"^{STRIP_CLASS}+|{STRIP_CLASS}+$"
@@ -83,16 +80,51 @@ def list_documents(chunks: DataFrame, doc_col: str, extra_first: str | None = No
     return chunks.groupBy(doc_col).agg(*aggs)
 
 
+def entity_names() -> dict[str, str]:
+    """Named character references of HTML 4 and ``apos``, from the standard library; a
+    no-break space is read as a space."""
+    return {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+
+
+def windows_letters() -> dict[int, str]:
+    """What pages mean by the numbers 128 to 159: the letters of Windows-1252, where it has one."""
+    return {code: bytes([code]).decode("cp1252", "ignore") or "\ufffd" for code in range(128, 160)}
+
+
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
+
+
+def decode_references(text: Column) -> Column:
+    """Character references as their characters, each read once (``&amp;lt;`` becomes ``&lt;``).
+    Numbers that stand for no character become U+FFFD; unknown names stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in entity_names().items() for x in pair])
+    windows = F.create_map(*[x for code, letter in windows_letters().items() for x in (F.lit(code).cast("long"), F.lit(letter))])
+
+    def character(code: Column) -> Column:
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return (F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd"))
+                .when(code.between(128, 159), F.element_at(windows, code)).otherwise(plain))
+
+    def read(piece: Column) -> Column:
+        ref = F.regexp_extract(piece, REFERENCE, 1)
+        rest = F.substr(piece, F.length(ref) + 2)
+        code = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2))).try_cast("long")
+        found = F.when(F.startswith(ref, F.lit("#")), character(code)).otherwise(F.element_at(names, ref))
+        return F.when((ref != "") & found.isNotNull(), F.concat(found, rest)).otherwise(F.concat(F.lit("&"), piece))
+
+    parts = F.split(text, "&", -1)
+    decoded = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), read), ""))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
-    """Drop script / style / comments, replace tags by spaces, decode entities,
-    collapse whitespace."""
+    """Drop script / style / comments, replace tags by spaces, decode character
+    references, collapse whitespace."""
     s = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
     s = F.regexp_replace(s, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
     s = F.regexp_replace(s, r"(?s)<!--.*?-->", " ")
     s = F.regexp_replace(s, r"<[^>]*>", " ")
-    for ent, rep in HTML_ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(rep))
-    s = F.regexp_replace(s, r"[ \t\n\r\f]+", " ")
+    s = F.regexp_replace(decode_references(s), r"[ \t\n\r\f]+", " ")
     return F.trim(s)
 
 
@@ -100,105 +132,17 @@ def token_estimate(text: Column) -> Column:
     return (F.round(F.coalesce(F.length(text), F.lit(0)) / F.lit(TOKEN_DIVISOR)).cast("int") + F.lit(TOKEN_OVERHEAD)).cast("long")
 
 
-# ---- distributed greedy batching ------------------------------------------------
-def block_prefix_sum(df: DataFrame, group: str, order: str, value: str, out: str,
-                     block_width: int = 4096) -> DataFrame:
-    """Exclusive running sum of ``value`` per group ordered by a unique numeric ``order``.
-
-    Rows are cut into key blocks of ``block_width``; block totals are prefix-summed over
-    the (few) blocks of a group and added to the in-block running sum, so no task ever
-    holds more than one block of a group.
-    """
-    b = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block_width)))
-    totals = b.groupBy(group, "_blk").agg(F.sum(value).alias("_bsum"))
-    wb = Window.partitionBy(group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_boff", F.coalesce(F.sum("_bsum").over(wb), F.lit(0))).drop("_bsum")
-    wi = Window.partitionBy(group, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = b.withColumn("_loc", F.coalesce(F.sum(value).over(wi), F.lit(0)))
-    return (local.join(offsets, [group, "_blk"]).withColumn(out, F.col("_boff") + F.col("_loc"))
-            .drop("_blk", "_boff", "_loc"))
-
-
-def _last_at_or_below(probes: DataFrame, points: DataFrame, group: str, probe_val: str,
-                      point_val: str, width: int, out: str, strict_above: str | None = None) -> DataFrame:
-    """For each probe, the largest point value ``<= probe_val`` (and ``> strict_above`` if
-    given) known to lie within ``width`` below the probe: an equi-join on
-    (group, bucket) with each probe looking at its own and the previous bucket."""
-    pts = points.select(F.col(group).alias("_g"), F.col(point_val).alias("_pv"),
-                        F.floor(F.col(point_val) / F.lit(width)).alias("_pb"))
-    pr = probes.withColumn("_qb", F.explode(F.array(F.floor(F.col(probe_val) / F.lit(width)),
-                                                    F.floor(F.col(probe_val) / F.lit(width)) - 1)))
-    j = pr.join(pts, (F.col(group) == F.col("_g")) & (F.col("_qb") == F.col("_pb")), "left")
-    ok = F.col("_pv") <= F.col(probe_val)
-    if strict_above:
-        ok = ok & (F.col("_pv") > F.col(strict_above))
-    j = j.withColumn("_pv", F.when(ok, F.col("_pv")))
-    keys = [c for c in probes.columns]
-    return j.groupBy(*keys).agg(F.max("_pv").alias(out))
-
-
+# ---- greedy batching ------------------------------------------------------------
 def pack_batches(df: DataFrame, group: str, order: str, text_col: str | None = None,
                  tokens_col: str | None = None, budget: int = BATCH_BUDGET, base: int = BATCH_BASE,
                  block_width: int = 4096) -> DataFrame:
-    """Greedy token-budget batching per group in ``order`` (numeric, unique per group).
+    """Greedy token-budget batching per group in ``order`` (whole numbers, unique per group).
 
     A row joins the current batch while ``base + batch tokens + t <= budget``; an empty
-    batch always takes the row. Formulation (all joins have bounded fan-out):
-
-    1. ``E`` = exclusive token prefix sum (block prefix sums); E is strictly increasing.
-    2. From a batch start with offset E_i the next start is the row with the greatest E
-       in (E_i, E_i + budget - base], or the row right after i (E = E_i + t_i) when none:
-       a (group, E-bucket) equi-join.
-    3. Batch starts = the chain from E = 0, found by pointer doubling.
-    4. Each row belongs to the last start at or below its E (again a bucket join, as a
-       non-start row lies within budget - base of its start).
-    Output: input columns + ``tokens``, ``batch_no`` (from 0 per group), ``batch_tokens``.
-    Rows with NULL group are one group; NULL texts and token counts are empty texts.
-    """
-    room = budget - base
-    t = F.coalesce(F.col(tokens_col), F.lit(0)) if tokens_col else token_estimate(F.col(text_col))
-    rows = df.withColumn("tokens", t).withColumn("_group", F.struct(F.col(group)))
-    group = "_group"  # a struct is never NULL itself, so joins find NULL groups
-    rows = block_prefix_sum(rows, group, order, "tokens", "_E", block_width)
-    rows = rows.withColumn("_I", F.col("_E") + F.col("tokens"))
-    nodes = rows.select(group, "_E", "_I")
-    totals = rows.groupBy(group).agg(F.sum("tokens").alias("_end"))
-    # step 2: next start per node
-    probes = nodes.withColumn("_L", F.col("_E") + F.lit(room))
-    # the group's end (E = total) is a point too: a batch that reaches it has no successor
-    points = nodes.select(group, "_E").unionByName(totals.select(group, F.col("_end").alias("_E")))
-    nxt = _last_at_or_below(probes, points, group, "_L", "_E", room, "_cand", strict_above="_E")
-    nxt = nxt.select(group, "_E", F.coalesce(F.col("_cand"), F.col("_I")).alias("_J"))
-    # END sentinel: the group's total; it points to itself
-    ends = totals.select(group, F.col("_end").alias("_E"), F.col("_end").alias("_J"))
-    jump = nxt.unionByName(ends)
-    # step 3: pointer doubling; levels J_0 .. J_M with M = ceil(log2(max group rows))
-    # chain length = batches per group <= rows, and <= 2 * tokens / room + 1 because two
-    # consecutive batches always hold more than ``room`` tokens; two numbers reach the driver
-    bound = totals.join(rows.groupBy(group).count(), group).agg(
-        F.max(F.least(F.col("count"), F.floor(F.col("_end") * 2 / F.lit(room)) + 1))).first()[0] or 1
-    levels = [cut_lineage(jump)]
-    for _ in range(max(1, math.ceil(math.log2(bound + 1)))):
-        prev = levels[-1]
-        hop = prev.alias("a").join(prev.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}"))
-                                   & (F.col("a._J") == F.col("b._E")))
-        # each level is checkpointed: it is used twice by the next one and plans stay flat
-        levels.append(cut_lineage(hop.select(F.col(f"a.{group}").alias(group), F.col("a._E").alias("_E"),
-                                             F.col("b._J").alias("_J"))))
-    # walk down the levels: every reached node also reaches its J_m; the set is read once
-    # per level (join, then explode [E, J]), so the plan grows linearly
-    starts = totals.select(group, F.lit(0).cast("long").alias("_E"))
-    for lvl in reversed(levels):
-        starts = (starts.join(lvl, [group, "_E"])
-                  .select(group, F.explode(F.array("_E", "_J")).alias("_E")).distinct())
-    # materialised once: the start set is read by the rank, the row assignment and the join
-    starts = cut_lineage(starts.join(totals, group).filter(F.col("_E") < F.col("_end")).select(group, "_E"))
-    starts = starts.withColumn("_one", F.lit(1))
-    starts = block_prefix_sum(starts, group, "_E", "_one", "batch_no", room * 1024).drop("_one")
-    # step 4: owning start of every row
-    owned = _last_at_or_below(rows.select(group, "_E"), starts.select(group, "_E"), group, "_E", "_E",
-                              max(room, 1), "_S")
-    out = (rows.join(owned, [group, "_E"])
-           .join(starts.withColumnRenamed("_E", "_S"), [group, "_S"]))
-    bt = out.groupBy(group, "batch_no").agg((F.sum("tokens") + F.lit(base)).alias("batch_tokens"))
-    return out.join(bt, [group, "batch_no"]).drop("_E", "_I", "_S", group)
+    batch always takes the row. Output: input columns + ``tokens``, ``batch_no`` (from 0 per
+    group), ``batch_tokens``. Computed by composing blocks of ``block_width`` order numbers
+    (``alloy.operators.batching``). Rows with NULL group are one group; a NULL text has the
+    tokens of an empty one; a NULL token count is 0 tokens, and rows of 0 tokens join the
+    batch before them, unless a single row overfills it."""
+    tokens = F.coalesce(F.col(tokens_col), F.lit(0)).cast("long") if tokens_col else token_estimate(F.col(text_col))
+    return batching.pack_batches(df, group, order, tokens, budget - base, base, block_width)

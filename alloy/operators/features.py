@@ -49,13 +49,13 @@ def phase_durations(log: DataFrame, run: str, ts: str, tiebreak: str) -> DataFra
     """Seconds from each step to the next step of the same run, and its share of the run.
 
     The run total telescopes to ``max(ts) - min(ts)``, so it is one grouped aggregate
-    joined back instead of a window over the whole run.
+    joined back instead of a window over the whole run. Steps with NULL run are one run.
     """
     nb = with_neighbors(log, [run], ts, [tiebreak], next_cols=[ts])
     nxt = F.timestamp_diff("MICROSECOND", F.col(ts), F.col(f"next_{ts}"))
     spans = log.groupBy(run).agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1")).select(
         F.col(run).alias("_r"), F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("_t1")).alias("_total_us"))
-    out = nb.withColumn("_dur_us", nxt).join(broadcast_if_small(spans), F.col(run) == F.col("_r"), "left")
+    out = nb.withColumn("_dur_us", nxt).join(broadcast_if_small(spans), F.col(run).eqNullSafe(F.col("_r")), "left")
     return (out.withColumn("duration_sec", F.col("_dur_us") / F.lit(1e6))
             .withColumn("pct_of_run", F.round(F.col("_dur_us").cast("double") * 100.0
                                               / F.nullif(F.col("_total_us"), F.lit(0)).cast("double"), 4))
@@ -84,12 +84,15 @@ def nth_smallest(df: DataFrame, col: str, rank: int) -> object:
             margin *= 4
         elif low == high:
             return low
-        elif upto - below == n:  # few distinct values
-            counts = left.groupBy("v").count().orderBy("v").toLocalIterator()
-            for value, count in counts:
-                if rank <= count:
-                    return value
-                rank -= count
+        elif upto - below == n:  # the bracket holds everything: halve the values instead
+            pivot = left.agg(F.percentile_approx("v", 0.5, SKETCH_BUCKETS)).first()[0]
+            less, upto = left.agg(F.count_if(F.col("v") < pivot), F.count_if(F.col("v") <= pivot)).first()
+            if less < rank <= upto:
+                return pivot
+            if rank <= less:
+                left, n = left.filter(F.col("v") < pivot), less
+            else:
+                left, rank, n = left.filter(F.col("v") > pivot), rank - upto, n - upto
         else:
             left, rank, n = left.filter(F.col("v").between(low, high)), rank - below, upto - below
     return left.orderBy("v").offset(rank - 1).first()[0]

@@ -2,11 +2,8 @@
 
 * ``profile``: one aggregation pass over all columns (approximate distinct by
   default, exact on request), stacked to one row per column.
-* ``discover_fks``: inclusion dependencies found with a single value-level join:
-  every integral or short text column is turned into distinct ``(table, column, value)``
-  rows; column pairs are chosen from the columns' statistics first, then the values of the
-  chosen columns are joined, and the shared value count per pair gives the containment.
-  No column pair is scanned on its own.
+* ``discover_fks``: single-column inclusion dependencies, chosen by the columns' statistics and
+  sketches (``inclusion``) and scored by containment and name.
 """
 
 from __future__ import annotations
@@ -20,7 +17,7 @@ from pyspark.sql import types as T
 
 from alloy.functions.columns import (canonical_row, looks_like_boolean, looks_like_number,
                                      looks_like_timestamp)
-from alloy.session import cut_lineage
+from alloy.operators.inclusion import DISTINCT_ERROR, references
 
 # ---- fixed values ---------------------------------------------------------------
 # Name fragments of measure / free-text columns that are never FK sources.
@@ -33,12 +30,8 @@ FK_MIN_CONFIDENCE = 0.70
 # reference whose name does not tell covers at least this share of the target's values.
 LOOKUP_ROW_RATIO = 0.1
 MIN_COVERAGE = 0.05
-# Text columns with longer values are free text, not keys.
-MAX_KEY_CHARS = 64
 # ---------------------------------------------------------------------------------
 
-INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-
 
 def simple_type(dt: T.DataType) -> str:
     return dt.simpleString()
@@ -169,95 +162,47 @@ def pk_candidates(prof: DataFrame, tables: dict[str, DataFrame] | None = None, t
                       (F.col("is_unique") | found).alias("is_unique"))
 
 
-def _key_columns(df: DataFrame) -> list[tuple[str, str]]:
-    """(column, family) of the columns that may hold keys."""
-    return [(f.name, "i" if isinstance(f.dataType, INTEGRAL) else "s") for f in df.schema.fields
-            if isinstance(f.dataType, (*INTEGRAL, T.StringType))]
+EDGES = ("source_table string, source_column string, target_table string, target_column string, source_distinct long, "
+         "shared_values long, containment double, name_similarity double, confidence double, relationship_type string, "
+         "name_mismatch boolean")
 
 
-def value_index(tables: dict[str, DataFrame]) -> DataFrame | None:
-    """Distinct ``(table, column, family, v, i)`` for every integral and text column of every
-    table (texts up to MAX_KEY_CHARS): one single-column projection per column (columnar
-    reads), unioned, one distinct. ``i`` is the number of an integral value."""
-    out = None
-    for name, df in tables.items():
-        for c, family in _key_columns(df):
-            number = F.col(c).cast("long") if family == "i" else F.lit(None).cast("long")
-            part = df.select(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(family).alias("family"),
-                             F.col(c).cast("string").alias("v"), number.alias("i"))
-            part = part.filter(F.length("v") <= MAX_KEY_CHARS)
-            out = part if out is None else out.unionByName(part)
-    return None if out is None else out.distinct()
+def is_measure(name: Column) -> Column:
+    """A name that tells a measure or free text."""
+    found = F.lit(False)
+    for part in MEASURE_PARTS:
+        found = found | F.upper(name).contains(part)
+    return found
 
 
-EDGES = ("source_table string, source_column string, target_table string, target_column string, source_distinct long, "
-         "shared_values long, containment double, name_similarity double, confidence double, relationship_type string, "
-         "name_mismatch boolean")
+def name_similarity(a: Column, b: Column) -> Column:
+    """1 - edit distance / length of two base names, 4 digits."""
+    a, b = base_name(a), base_name(b)
+    return F.round(F.lit(1.0) - F.levenshtein(a, b).cast("double") / F.greatest(F.length(a), F.length(b), F.lit(1)).cast("double"), 4)
 
 
 def discover_fks(tables: dict[str, DataFrame], min_conf: float = FK_MIN_CONFIDENCE) -> DataFrame:
     """FK edges ``(source_table, source_column, target_table, target_column, containment,
     name_similarity, confidence, relationship_type)`` with confidence >= ``min_conf``.
 
-    The distinct value index is materialised once (reliable checkpoint) because three
-    consumers read it; what is broadcast has one row per column or pair of columns.
-    """
-    index = value_index(tables)
-    if index is None:
-        return next(iter(tables.values())).sparkSession.createDataFrame([], EDGES)
-    vals = cut_lineage(index)
-    colstats = None
-    for name, df in tables.items():
-        cols = [c for c, _ in _key_columns(df)]
-        if not cols:
-            continue
-        one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(f"n_{c}") for c in cols],
-                     *[F.max(F.length(F.col(c).cast("string"))).alias(f"l_{c}") for c in cols])
-        part = one.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col("_rows").alias("table_rows"),
-                     F.col(f"n_{c}").alias("n_nonnull"), F.col(f"l_{c}").alias("longest")) for c in cols])).alias("x")) \
-            .select(F.lit(name).alias("table_name"), "x.*")
-        colstats = part if colstats is None else colstats.unionByName(part)
-    texts = F.when(F.col("family") == "s", F.col("v"))
-    stats = (vals.groupBy("table_name", "column_name", "family")
-             .agg(F.count(F.lit(1)).alias("n_distinct"), F.min("i").alias("imin"), F.max("i").alias("imax"),
-                  F.min(texts).alias("smin"), F.max(texts).alias("smax"))
-             .join(F.broadcast(colstats.filter(F.col("longest") <= MAX_KEY_CHARS)), ["table_name", "column_name"]))
-    stats = cut_lineage(stats)  # one row per column
-    tgt = stats.filter((F.col("n_distinct") == F.col("table_rows")) & (F.col("n_nonnull") == F.col("table_rows"))).select(
-        F.col("table_name").alias("target_table"), F.col("column_name").alias("target_column"), "family",
-        *[F.col(c).alias(f"t_{c}") for c in ("imin", "imax", "smin", "smax")], F.col("table_rows").alias("target_rows"))
-    measure = F.lit(False)
-    for part in MEASURE_PARTS:
-        measure = measure | F.upper(F.col("column_name")).contains(part)
-    src = stats.filter(~measure).select(
-        F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), "family",
-        F.col("n_distinct").alias("source_distinct"), F.col("table_rows").alias("source_rows"), "imin", "imax", "smin", "smax")
-    sa, sb = base_name(F.col("source_column")), base_name(F.col("target_column"))
-    sim = F.lit(1.0) - F.levenshtein(sa, sb).cast("double") / F.greatest(F.length(sa), F.length(sb), F.lit(1)).cast("double")
-
-    def inside(kind: str) -> Column:
-        return (F.col(f"{kind}min") >= F.col(f"t_{kind}min")) & (F.col(f"{kind}max") <= F.col(f"t_{kind}max"))
-
-    # column pairs worth a look, from one row per column
-    pairs = (src.join(F.broadcast(tgt), "family").filter(F.col("source_table") != F.col("target_table"))
-             .filter(F.when(F.col("family") == "i", inside("i")).otherwise(inside("s")))
-             .withColumn("name_similarity", F.round(sim, 4))
-             .filter((F.col("name_similarity") >= 0.5) | (F.col("source_distinct") >= MIN_COVERAGE * F.col("target_rows"))))
-    pairs = cut_lineage(pairs.select("source_table", "source_column", "target_table", "target_column", "source_distinct",
-                                     "source_rows", "target_rows", "name_similarity"))
-
-    def values_of(side: str) -> DataFrame:
-        named = vals.select(F.col("table_name").alias(f"{side}_table"), F.col("column_name").alias(f"{side}_column"), "family", "v")
-        return named.join(F.broadcast(pairs.select(f"{side}_table", f"{side}_column").distinct()),
-                          [f"{side}_table", f"{side}_column"], "left_semi")
-
-    four = ["source_table", "source_column", "target_table", "target_column"]
-    # a pair that shares no value has containment 0 and can never reach the confidence floor
-    shared = (values_of("source").join(values_of("target"), ["family", "v"])
-              .join(F.broadcast(pairs.select(*four)), four, "left_semi")
-              .groupBy(*four).agg(F.count(F.lit(1)).alias("shared_values")))
-    e = shared.join(F.broadcast(pairs), four)
+    Sketches rule out the pairs that cannot reach the confidence; the values of the columns
+    left are counted exactly (``alloy.operators.inclusion``). Any integral or text column may
+    take part, however long its texts, also two of one table. One row per edge reaches the
+    driver and becomes the result."""
+    similarity = name_similarity(F.col("a_columns"), F.col("b_columns"))
+    found = references(
+        tables, lambda c: ~is_measure(F.col(c)),
+        # 1e-4 for the rounding of the confidence
+        lambda: (F.lit(min_conf - 1e-4) - 0.3 * similarity) / 0.7,
+        lambda: (similarity >= 0.5) | (F.col("a_estimate") * (1 + DISTINCT_ERROR) >= MIN_COVERAGE * F.col("b_table_rows")))
+    spark = next(iter(tables.values())).sparkSession
+    e = spark.createDataFrame(
+        [(r.source.table, r.source.columns[0], r.target.table, r.target.columns[0], r.source_distinct, r.shared_values, r.source_rows,
+          r.target_rows) for r in found],
+        "source_table string, source_column string, target_table string, target_column string, source_distinct long, shared_values long, "
+        "source_rows long, target_rows long")
+    e = e.withColumn("name_similarity", name_similarity(F.col("source_column"), F.col("target_column")))
+    e = e.filter((F.col("name_similarity") >= 0.5) | (F.col("source_distinct") >= MIN_COVERAGE * F.col("target_rows")))
     containment = F.col("shared_values").cast("double") / F.col("source_distinct").cast("double")
     e = e.withColumn("containment", F.round(containment, 4))
     e = e.withColumn("confidence", F.round(F.lit(0.7) * containment + F.lit(0.3) * F.col("name_similarity"), 4))
@@ -266,8 +211,7 @@ def discover_fks(tables: dict[str, DataFrame], min_conf: float = FK_MIN_CONFIDEN
                    & (F.col("shared_values") == F.col("source_distinct")), F.lit("LOOKUP"))
              .otherwise(F.lit("SOFT_FK")))
     return (e.filter(F.col("confidence") >= min_conf).withColumn("relationship_type", rtype)
-            .select(*four, "source_distinct", "shared_values", "containment", "name_similarity", "confidence",
-                    "relationship_type", (F.col("name_similarity") < 0.5).alias("name_mismatch")))
+            .withColumn("name_mismatch", F.col("name_similarity") < 0.5).select(*[c.split()[0] for c in EDGES.split(", ")]))
 
 
 def infer_types(df: DataFrame, threshold: float = 1.0) -> DataFrame:

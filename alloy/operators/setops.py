@@ -8,11 +8,14 @@ target; callers write it to a new directory and switch to it (see
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alloy.operators.dedup import Order, keep_one
+
 
 def _norm(c: Column, dtype: T.DataType) -> Column:
     """Case-insensitive key part for strings, raw value otherwise."""
@@ -39,13 +42,25 @@ def insert_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> D
     return target.unionByName(new.select(*target.columns))
 
 
+def one_per_key(source: DataFrame, keys: Sequence[str], order: Sequence[Order] = (), fold_case: bool = False) -> DataFrame:
+    """Of source rows with equal keys the first by ``order``, then by all columns ascending.
+    Rows with a NULL key equal no other and all stay."""
+    parts = [_norm(F.col(k), source.schema[k].dataType) if fold_case else F.col(k) for k in keys]
+    own = F.when(reduce(lambda a, b: a | b, [p.isNull() for p in parts]), F.monotonically_increasing_id())
+    tagged = source.withColumns({f"_k{i}": p for i, p in enumerate(parts)} | {"_own": own})
+    helpers = [*(f"_k{i}" for i in range(len(parts))), "_own"]
+    return keep_one(tagged, helpers, [*order, *(Order(c) for c in source.columns)]).drop(*helpers)
+
+
 def update_from(target: DataFrame, source: DataFrame, keys: Sequence[str], when: Column,
-                assignments: dict[str, str]) -> DataFrame:
+                assignments: dict[str, str], order: Sequence[Order] = ()) -> DataFrame:
     """UPDATE target SET col = source.expr WHERE key matches AND ``when`` holds.
 
-    ``assignments`` maps target column -> source column. Source must be unique per key
-    (it is aggregated by the caller); non-matching or non-qualifying rows keep values.
+    ``assignments`` maps target column -> source column. Of source rows with equal
+    (case-insensitive) keys the first by ``order`` counts, so target rows never multiply;
+    non-matching or non-qualifying rows keep values.
     """
+    source = one_per_key(source, keys, order, fold_case=True)
     src = source.select(*[F.col(k).alias(f"_s_{k}") for k in keys],
                         *[F.col(v).alias(f"_v_{c}") for c, v in assignments.items()],
                         F.lit(True).alias("_hit"))
@@ -58,12 +73,15 @@ def update_from(target: DataFrame, source: DataFrame, keys: Sequence[str], when:
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
-           update_cols: Sequence[str]) -> DataFrame:
+           update_cols: Sequence[str], order: Sequence[Order] = ()) -> DataFrame:
     """MERGE on a natural key: matched rows take the listed columns from the source and
     keep the others; unmatched source rows are inserted; untouched rows stay.
 
-    One full outer join on the key (source unique per key).
+    One full outer join on the key. Of source rows with equal keys the first by ``order``
+    counts (map-side, before the join), so no key is updated or inserted twice; a row with a
+    NULL key matches nothing and is inserted.
     """
+    source = one_per_key(source, keys, order)
     s = source.select(*[F.col(c).alias(f"_s_{c}") for c in source.columns],
                       F.lit(True).alias("_in_s"))
     t = target.withColumn("_in_t", F.lit(True))

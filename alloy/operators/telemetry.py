@@ -51,6 +51,11 @@ def _observed(observations: DataFrame, key: str, ts: str, seq: str, text_cols: S
     return observations.groupBy(key).agg(*aggs)
 
 
+def _beside(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``more``, NULL keys being equal."""
+    return rows.join(more.withColumnRenamed(key, "_more"), F.col(key).eqNullSafe(F.col("_more")), "left").drop("_more")
+
+
 def reinforce(observations: DataFrame, key: str, ts: str, seq: str, conf: str,
               text_cols: Sequence[str] = (), block_seconds: int = 3_600) -> DataFrame:
     """Fold all observations per signature in time order.
@@ -60,11 +65,12 @@ def reinforce(observations: DataFrame, key: str, ts: str, seq: str, conf: str,
     A step is ``x -> least(a * x + d, m)``, and such steps compose to one of their kind:
     rows are folded per (key, time block), then a key's blocks in order, so no task holds
     more of a key than one block's rows or one row per block. Observations without
-    confidence count and set the texts, and leave the confidence as it is.
+    confidence count and set the texts, and leave the confidence as it is. Observations
+    with NULL signature are one signature, here and in ``merge_learnings``.
     """
     folded = _blocks(observations, key, ts, seq, conf, block_seconds).select(
         key, _through(F.slice("steps", 2, F.size("steps")), F.element_at("steps", 1)["alone"]).alias("confidence"))
-    out = _observed(observations, key, ts, seq, text_cols).join(folded, key, "left")
+    out = _beside(_observed(observations, key, ts, seq, text_cols), folded, key)
     cols = [key, "times_observed", "last_observed", F.round("confidence", 6).alias("confidence")]
     cols += [F.col(f"_t.{c}").alias(c) for c in text_cols]
     return out.select(*cols).withColumn("is_active", F.coalesce(F.col("confidence") >= F.lit(0.5), F.lit(False)))
@@ -76,10 +82,9 @@ def merge_learnings(stored: DataFrame, observations: DataFrame, key: str, ts: st
     confidence, *text_cols, is_active``: the active row of a signature is reinforced by
     each of them, a signature without one gets a new active row; all other rows stay."""
     columns = [key, "times_observed", "last_observed", "confidence", *text_cols, "is_active"]
-    new = (_observed(observations, key, ts, seq, text_cols)
-           .join(_blocks(observations, key, ts, seq, conf, block_seconds), key, "left"))
+    new = _beside(_observed(observations, key, ts, seq, text_cols), _blocks(observations, key, ts, seq, conf, block_seconds), key)
     old = stored.filter("is_active").select(F.col(key).alias("_key"), F.struct(*columns[1:]).alias("_old"))
-    both = old.join(new, F.col("_key") == F.col(key), "full")
+    both = old.join(new, F.col("_key").eqNullSafe(F.col(key)), "full")
     steps = F.coalesce("steps", F.array())
     first = F.coalesce(F.col("_old")["confidence"], F.get(F.col("steps"), F.lit(0))["alone"])
     rest = F.when(F.col("_old")["confidence"].isNotNull(), steps).otherwise(F.slice(steps, 2, F.greatest(F.size(steps), F.lit(1))))

@@ -4,8 +4,8 @@ A plain ``Window.partitionBy(entity)`` sends every row of an entity to one task,
 so an entity holding a third of the data becomes a single-task stage. The helpers
 here partition by ``(entity, time bucket)`` instead:
 
-* ``range_frames`` — RANGE frames of length L as differences of prefix sums over the
-  entity's distinct times; no task holds more than one time block of one entity.
+* ``range_frames`` — RANGE frames of all lengths by one sweep over the times at which the
+  entity's values enter and leave them; no task holds more than one time block of one entity.
 * ``with_neighbors`` — lag/lead: computed inside (entity, bucket), then the first
   and last row of every bucket are fixed from a per-bucket summary (one row per
   non-empty bucket) that carries the previous bucket's last row and the next
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alloy.operators.dedup import ntz_micros
-from alloy.session import cut_lineage
 
 MICROS = 1_000_000
 
@@ -101,21 +100,20 @@ def range_frames(df: DataFrame, keys: Sequence[str], ts: str,
 
     For each ``(name, value, length_seconds)`` (``value`` None = row count) adds the sum
     of ``value`` over the entity's rows with time in ``[t - length, t]`` (peers at ``t``
-    included), computed as ``P(t) - P(< t - length)`` where ``P`` is the entity's prefix
-    sum over its distinct timestamps:
-
-    1. rows are pre-aggregated per (entity, timestamp) (map-side combine);
-    2. ``P`` = prefix of block totals (one row per entity and ``block_seconds`` block)
-       + running sum inside the (entity, block);
-    3. ``P(< x)`` is looked up inside x's (entity, block) by a window over the block's
-       points and the probes falling in it; a probe with no earlier point in its block
-       takes the cumulative total of the entity's earlier blocks (a window over one row
-       per block, so as many rows as the entity has hours, whatever its number of rows);
-    4. results join back to the rows on (entity, timestamp).
+    included), by one sweep for all lengths:
+
+    1. rows are pre-aggregated to points, one per (entity, time) (map-side combine);
+    2. a point enters all frames at its time and leaves those of a length L just after
+       ``t + L``: an event each, with the point's sums, negative on leaving;
+    3. events are sorted per (entity, ``block_seconds`` block) once and summed up; what the
+       entity's earlier blocks add up to is a prefix over one row per block (as many rows as
+       the entity has hours with events, whatever its number of rows), joined to the sorted
+       events without moving them;
+    4. the sums at the entering events join back to the rows on (entity, time).
 
     As SQL has it, rows with NULL keys are one entity, rows with NULL time are each
     other's only peers, and a frame without non-NULL values sums to NULL. Sums must be
-    exact (integers or decimals) for ``P(t) - P(< x)`` to be exact.
+    exact (integers or decimals), as leaving takes away what entering added.
     """
     width = block_seconds * MICROS
     names = [s[0] for s in specs]
@@ -134,52 +132,23 @@ def range_frames(df: DataFrame, keys: Sequence[str], ts: str,
                 for i, (name, value, _) in enumerate(specs)]
 
     timed, untimed = base.filter(F.col("_t").isNotNull()), base.filter(F.col("_t").isNull())
-    pts = timed.groupBy("_key", "_t").agg(*aggs).withColumn("_blk", F.floor(F.col("_t") / F.lit(width)))
-    blocks = pts.groupBy("_key", "_blk").agg(*[F.sum(s).alias(f"_b{s}") for s in sums])
-    wb = Window.partitionBy("_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = cut_lineage(blocks.select("_key", "_blk", *[F.coalesce(F.sum(f"_b{s}").over(wb), F.lit(0)).alias(f"_o{s}")
-                                                         for s in sums],
-                                       *[F.col(f"_b{s}") for s in sums]))
-    wi = Window.partitionBy("_key", "_blk").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    # materialised once: read by the probes, the points of every lookup and the result
-    prefix = cut_lineage(pts.join(blocks, ["_key", "_blk"])
-                         .select("_key", "_t", "_blk", *[(F.col(f"_o{s}") + F.sum(s).over(wi)).alias(f"_P{s}")
-                                                         for s in sums]))
-    out = prefix
-    for length in sorted(set(lengths_of.values())):
-        ss = [s for s in sums if lengths_of[s] == length]
-        # probes: last point strictly before t - length, i.e. at or before t - length - 1us
-        probes = prefix.select("_key", "_t", (F.col("_t") - F.lit(length * MICROS) - 1).alias("_x"))
-        probes = probes.withColumn("_xb", F.floor(F.col("_x") / F.lit(width)))
-        p_pts = prefix.select("_key", F.col("_blk").alias("_xb"), F.col("_t").alias("_x"),
-                              *[F.col(f"_P{s}").alias(f"_v{s}") for s in ss],
-                              F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_own"))
-        p_prb = probes.select("_key", "_xb", "_x",
-                              *[F.lit(None).cast(prefix.schema[f"_P{s}"].dataType).alias(f"_v{s}") for s in ss],
-                              F.lit(1).alias("_kind"), F.col("_t").alias("_own"))
-        wx = Window.partitionBy("_key", "_xb").orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-        looked = (p_pts.unionByName(p_prb)
-                  .select("_key", "_xb", "_kind", "_own",
-                          *[F.last(f"_v{s}", ignorenulls=True).over(wx).alias(f"_q{s}") for s in ss])
-                  .filter(F.col("_kind") == 1).drop("_kind").withColumnRenamed("_own", "_t"))
-        # carry for probes whose block has no earlier point: total of all earlier blocks
-        # (probe rows sort before the same block's total, so only earlier blocks count)
-        cum = blocks.select("_key", "_blk", *[(F.col(f"_o{s}") + F.col(f"_b{s}")).alias(f"_c{s}") for s in ss],
-                            F.lit(1).alias("_kind"))
-        need = looked.select("_key", F.col("_xb").alias("_blk")).distinct().select(
-            "_key", "_blk", *[F.lit(None).cast(cum.schema[f"_c{s}"].dataType).alias(f"_c{s}") for s in ss],
-            F.lit(0).alias("_kind"))
-        wc = Window.partitionBy("_key").orderBy("_blk", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-        carry = (cum.unionByName(need)
-                 .select("_key", "_blk", "_kind", *[F.last(f"_c{s}", ignorenulls=True).over(wc).alias(f"_k{s}")
-                                                    for s in ss])
-                 .filter(F.col("_kind") == 0).select("_key", F.col("_blk").alias("_xb"), *[f"_k{s}" for s in ss]))
-        q = looked.join(carry, ["_key", "_xb"], "left").select(
-            "_key", "_t", *[F.coalesce(F.col(f"_q{s}"), F.col(f"_k{s}"), F.lit(0)).alias(f"_Q{s}") for s in ss])
-        out = out.join(q, ["_key", "_t"])
-        for s in ss:
-            out = out.withColumn(s, F.col(f"_P{s}") - F.col(f"_Q{s}")).drop(f"_Q{s}")
-    res = out.select("_key", "_t", *named(out))
+    points = timed.groupBy("_key", "_t").agg(*aggs)
+    # one event per point and length, and the entering one (length NULL), as rows of one scan
+    leaving = [F.struct(F.lit(length).cast("long").alias("_len"), (F.col("_t") + length * MICROS + 1).alias("_e"),
+                        *[(-F.col(s) if lengths_of[s] == length else F.lit(0)).cast(points.schema[s].dataType).alias(s) for s in sums])
+               for length in sorted(set(lengths_of.values()))]
+    entering = F.struct(F.lit(None).cast("long").alias("_len"), F.col("_t").alias("_e"), *[F.col(s) for s in sums])
+    events = points.select("_key", F.explode(F.array(entering, *leaving)).alias("_x")).select(
+        "_key", F.floor(F.col("_x._e") / F.lit(width)).alias("_blk"), "_x.*")
+    earlier = Window.partitionBy("_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = events.groupBy("_key", "_blk").agg(*[F.sum(s).alias(f"_b{s}") for s in sums])
+    blocks = blocks.select("_key", "_blk", *[F.coalesce(F.sum(f"_b{s}").over(earlier), F.lit(0)).alias(f"_o{s}") for s in sums])
+    # what leaves at a time has left before what enters then is counted
+    inside = Window.partitionBy("_key", "_blk").orderBy("_e", F.col("_len").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.select("_key", "_blk", "_e", "_len", *[F.sum(s).over(inside).alias(s) for s in sums])
+    swept = swept.filter(F.col("_len").isNull()).join(blocks, ["_key", "_blk"]).select(
+        "_key", F.col("_e").alias("_t"), *[(F.col(s) + F.col(f"_o{s}")).alias(s) for s in sums])
+    res = swept.select("_key", "_t", *named(swept))
     peers = untimed.groupBy("_key").agg(*aggs)
     peers = peers.select("_key", *[c.cast(res.schema[n].dataType).alias(n) for c, n in zip(named(peers), names, strict=True)])
     return (timed.join(res, ["_key", "_t"]).select(*df.columns, *names)

@@ -63,25 +63,53 @@ def q_list_documents(spark, sf):
     return D.list_documents(doc_chunks(spark, sf), "doc_id")
 
 
+def _decode_sql(s: str) -> str:
+    """Character references, piece by piece after each &."""
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    names = "MAP {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in D.entity_names().items()) + "}"
+    windows = "MAP {" + ", ".join(f"{k}: {text(v)}" for k, v in D.windows_letters().items()) + "}"
+    ref = f"regexp_extract(p, '{D.REFERENCE}', 1)"
+    code = (f"CASE WHEN lower({ref}[2:2]) = 'x' THEN CAST('0x' || {ref}[3:] AS BIGINT) ELSE CAST({ref}[2:] AS BIGINT) END")
+    char = (f"CASE WHEN {code} = 0 OR {code} BETWEEN 55296 AND 57343 OR {code} > 1114111 THEN chr(65533) "
+            f"WHEN {code} BETWEEN 128 AND 159 THEN {windows}[{code}] ELSE chr(CAST({code} AS INT)) END")
+    read = (f"CASE WHEN {ref} = '' THEN '&' || p WHEN {ref}[1:1] = '#' THEN {char} || p[length({ref}) + 2:] "
+            f"WHEN {names}[{ref}] IS NOT NULL THEN {names}[{ref}] || p[length({ref}) + 2:] ELSE '&' || p END")
+    parts = f"string_split({s}, '&')"
+    return f"({parts}[1] || array_to_string([{read} FOR p IN {parts}[2:]], ''))"
+
+
 def _html_sql(col: str) -> str:
     s = f"regexp_replace({col}, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g')"
     s = f"regexp_replace({s}, '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')"
     s = f"regexp_replace({s}, '(?s)<!--.*?-->', ' ', 'g')"
     s = f"regexp_replace({s}, '<[^>]*>', ' ', 'g')"
-    for ent, rep in D.HTML_ENTITIES:
-        rep_sql = rep.replace("'", "''")
-        s = f"replace({s}, '{ent}', '{rep_sql}')"
+    s = _decode_sql(s)
     s = f"regexp_replace({s}, '[ \\t\\n\\r\\f]+', ' ', 'g')"
     return f"trim({s})"
 
 
 @query("html_to_text", f"""
-SELECT page_id, url, {_html_sql('html')} AS text, length({_html_sql('html')}) AS n_chars FROM pages""", ("K6",))
+SELECT *, length(text) AS n_chars FROM (SELECT page_id, url, {_html_sql('html')} AS text FROM pages)""", ("K6",))
 def q_html_to_text(spark, sf):
     p = t(spark, sf, "pages").select("page_id", "url", D.html_to_text(F.col("html")).alias("text"))
     return p.withColumn("n_chars", F.length("text"))
 
 
+REFERENCES_SQL = """hard AS (SELECT page_id, url, '<p>caf&eacute; &#233;t&#xE9; &#8217;' || page_id || '&#150; &amp;lt; &bogus; &copy 2 & 3 &#0;&#xD800;&#x1F600;&nbsp;x</p>' AS html
+         FROM pages)"""
+
+
+@query("html_references", f"""
+WITH {REFERENCES_SQL} SELECT page_id, {_html_sql('html')} AS text FROM hard""", ("K6",))
+def q_html_references(spark, sf):
+    """Numeric, named, unknown, unfinished and impossible character references."""
+    html = F.concat(F.lit("<p>caf&eacute; &#233;t&#xE9; &#8217;"), F.col("page_id").cast("string"),
+                    F.lit("&#150; &amp;lt; &bogus; &copy 2 & 3 &#0;&#xD800;&#x1F600;&nbsp;x</p>"))
+    return t(spark, sf, "pages").select("page_id", D.html_to_text(html).alias("text"))
+
+
 def _pack_sql(src: str, group: str, order: str, text: str) -> str:
     return f"""WITH RECURSIVE d AS (
   SELECT {group} AS grp, {order} AS ord, CAST(round(length({text}) / 4.0) AS BIGINT) + 50 AS tokens,
@@ -109,6 +137,23 @@ def q_pack_conversations(spark, sf):
     return D.pack_batches(c, "conv_id", "turn", text_col="text").drop("text")
 
 
+@query("pack_counts", """WITH RECURSIVE d AS (
+  SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 41 = 0 THEN 5200 WHEN event_id % 7 > 0 THEN event_id % 700 ELSE 0 END AS tokens,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+r AS (SELECT user_id, rn, event_id, tokens, 0 AS batch_no, 900 + tokens AS tot FROM d WHERE rn = 1
+      UNION ALL
+      SELECT d.user_id, d.rn, d.event_id, d.tokens, CASE WHEN r.tot + d.tokens > 6000 THEN r.batch_no + 1 ELSE r.batch_no END,
+             CASE WHEN r.tot + d.tokens > 6000 THEN 900 + d.tokens ELSE r.tot + d.tokens END
+      FROM r JOIN d ON d.user_id = r.user_id AND d.rn = r.rn + 1)
+SELECT user_id, event_id, tokens, batch_no, 900 + sum(tokens) OVER (PARTITION BY user_id, batch_no) AS batch_tokens FROM r""", ("K7",))
+def q_pack_counts(spark, sf):
+    """Given counts: rows of no tokens, of unknown numbers of them, and such that overfill a batch alone."""
+    e = t(spark, sf, "events").select("user_id", "event_id")
+    n = F.col("event_id")
+    count = F.when(n % 3 == 0, 0).when(n % 41 == 0, 5200).when(n % 7 > 0, n % 700)
+    return D.pack_batches(e.withColumn("n", count), "user_id", "event_id", tokens_col="n").drop("n")
+
+
 TOK = "[\\p{L}\\p{N}_]+"
 
 

@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import functions as F
 
 from alloy.functions.columns import ISO_TS_PATTERN, NUMBER_PATTERN, TRUE_STRINGS, FALSE_STRINGS
+from alloy.operators import inclusion as IN
+from alloy.operators import keys as K
 from alloy.operators import profile as P
 from alloy.plans.fixtures import cdc_events, t
 from alloy.plans.registry import query
@@ -103,6 +105,21 @@ def q_pk_candidates(spark, sf):
     return P.pk_candidates(P.profile_tables(tables, exact=True), tables)
 
 
+MEASURE = "|".join(P.MEASURE_PARTS)
+
+
+def _plain_sql(c: str, ty: str) -> str:
+    """Texts above a length are compared by digest."""
+    if ty in INTEGRALS:
+        return f"CAST({c} AS VARCHAR)"
+    return f"CASE WHEN length({c}) <= {IN.MAX_PLAIN_CHARS} THEN {c} ELSE '{IN.DIGEST_MARK}' || sha256({c}) END"
+
+
+def _similarity_sql(a: str, b: str) -> str:
+    a, b = (f"regexp_replace(regexp_replace(lower({c}), '^[a-z]{{1,2}}_', ''), '(_id|_key|_code|_ref|_num|key|id)$', '')" for c in (a, b))
+    return (f"round(1.0 - CAST(levenshtein({a}, {b}) AS DOUBLE) / CAST(greatest(length({a}), length({b}), 1) AS DOUBLE), 4)")
+
+
 def _fk_sql(tables) -> str:
     vals, rows, cols = [], [], []
     for tb in tables:
@@ -111,16 +128,9 @@ def _fk_sql(tables) -> str:
             if ty not in (*INTEGRALS, "string"):
                 continue
             family, number = ("i", f"CAST({c} AS BIGINT)") if ty in INTEGRALS else ("s", "CAST(NULL AS BIGINT)")
-            vals.append(f"SELECT DISTINCT '{tb}' AS table_name, '{c}' AS column_name, '{family}' AS family, CAST({c} AS VARCHAR) AS v, "
-                        f"{number} AS i FROM {tb} WHERE length(CAST({c} AS VARCHAR)) <= {P.MAX_KEY_CHARS}")
-            cols.append(f"SELECT '{tb}' AS table_name, '{c}' AS column_name, count({c}) AS n_nonnull, "
-                        f"max(length(CAST({c} AS VARCHAR))) AS longest FROM {tb}")
-    measure = "|".join(P.MEASURE_PARTS)
-
-    def base(c: str) -> str:
-        return (f"regexp_replace(regexp_replace(lower({c}), '^[a-z]{{1,2}}_', ''), "
-                f"'(_id|_key|_code|_ref|_num|key|id)$', '')")
-
+            vals.append(f"SELECT DISTINCT '{tb}' AS table_name, '{c}' AS column_name, '{family}' AS family, {_plain_sql(c, ty)} AS v, "
+                        f"{number} AS i FROM {tb} WHERE {c} IS NOT NULL")
+            cols.append(f"SELECT '{tb}' AS table_name, '{c}' AS column_name, count({c}) AS n_nonnull FROM {tb}")
     return f"""vals AS ({' UNION ALL '.join(vals)}),
 trows AS ({' UNION ALL '.join(rows)}),
 cols AS ({' UNION ALL '.join(cols)}),
@@ -128,18 +138,16 @@ stats AS (SELECT s.*, trows.table_rows, cols.n_nonnull FROM
             (SELECT table_name, column_name, family, count(*) AS n_distinct, min(i) AS imin, max(i) AS imax,
                     min(v) AS smin, max(v) AS smax
              FROM vals GROUP BY 1, 2, 3) s
-          JOIN trows USING (table_name) JOIN cols USING (table_name, column_name) WHERE longest <= {P.MAX_KEY_CHARS}),
+          JOIN trows USING (table_name) JOIN cols USING (table_name, column_name)),
 targets AS (SELECT * FROM stats WHERE n_distinct = table_rows AND n_nonnull = table_rows),
-src AS (SELECT * FROM stats WHERE NOT regexp_matches(upper(column_name), '{measure}')),
+src AS (SELECT * FROM stats WHERE NOT regexp_matches(upper(column_name), '{MEASURE}')),
 shared AS (SELECT s.table_name AS source_table, s.column_name AS source_column,
                   g.table_name AS target_table, g.column_name AS target_column, count(*) AS shared_values
            FROM vals s JOIN (SELECT vals.* FROM vals JOIN targets USING (table_name, column_name)) g
                 ON s.v = g.v AND s.family = g.family
-           WHERE s.table_name <> g.table_name GROUP BY 1, 2, 3, 4),
+           WHERE s.table_name <> g.table_name OR s.column_name <> g.column_name GROUP BY 1, 2, 3, 4),
 cand AS (SELECT sh.*, src.n_distinct AS source_distinct, src.table_rows AS source_rows, tg.table_rows AS target_rows,
-                round(1.0 - CAST(levenshtein({base('sh.source_column')}, {base('sh.target_column')}) AS DOUBLE)
-                      / CAST(greatest(length({base('sh.source_column')}), length({base('sh.target_column')}), 1) AS DOUBLE), 4)
-                  AS name_similarity
+                {_similarity_sql('sh.source_column', 'sh.target_column')} AS name_similarity
          FROM shared sh JOIN src ON sh.source_table = src.table_name AND sh.source_column = src.column_name
                         JOIN targets tg ON sh.target_table = tg.table_name AND sh.target_column = tg.column_name
          WHERE CASE WHEN src.family = 'i' THEN src.imin >= tg.imin AND src.imax <= tg.imax
@@ -163,6 +171,128 @@ def q_fk_containment(spark, sf):
     return P.discover_fks(_tables(spark, sf, DISCOVERY_TABLES))
 
 
+# ---- keys of up to three columns, references by several columns, shared dimensions --------
+KEY_TYPES = (*INTEGRALS, "string", "timestamp_ntz")
+
+
+def _minimal_keys_sql(tables) -> str:
+    parts = []
+    for tb in tables:
+        cols = [c for c, ty in SCHEMAS[tb] if ty in KEY_TYPES]
+        for n in (1, 2, 3):
+            for group in itertools.combinations(cols, n):
+                whole = " AND ".join(f"count({c}) = count(*)" for c in group)
+                parts.append(f"SELECT '{tb}' AS table_name, {list(group)} AS cols, count(DISTINCT ({', '.join(group)})) = count(*) "
+                             f"AND {whole} AND count(*) > 0 AS is_key FROM {tb}")
+    return f"""found AS ({' UNION ALL '.join(parts)}),
+minimal AS (SELECT table_name, cols FROM found a WHERE is_key AND NOT EXISTS (
+    SELECT 1 FROM found b WHERE b.is_key AND b.table_name = a.table_name AND len(b.cols) < len(a.cols) AND list_has_all(a.cols, b.cols)))"""
+
+
+@query("minimal_keys", f"""WITH {_minimal_keys_sql(DISCOVERY_TABLES)}
+SELECT table_name, array_to_string(cols, ',') AS key_columns, len(cols)::INT AS n_columns FROM minimal""", ("P2",))
+def q_minimal_keys(spark, sf):
+    return K.minimal_keys(_tables(spark, sf, DISCOVERY_TABLES))
+
+
+def _shared_sql(tables) -> str:
+    return f"""{_fk_sql(tables)},
+plainly AS (SELECT * FROM stats WHERE n_distinct < table_rows AND NOT regexp_matches(upper(column_name), '{MEASURE}')),
+meet AS (SELECT a.table_name AS table_a, a.column_name AS column_a, b.table_name AS table_b, b.column_name AS column_b, count(*) AS shared_values
+         FROM vals a JOIN vals b ON a.v = b.v AND a.family = b.family AND a.table_name < b.table_name GROUP BY 1, 2, 3, 4),
+both_sides AS (SELECT m.*, a.n_distinct + b.n_distinct - m.shared_values AS all_values,
+                      {_similarity_sql('m.column_a', 'm.column_b')} AS name_similarity
+               FROM meet m JOIN plainly a ON a.table_name = table_a AND a.column_name = column_a
+                           JOIN plainly b ON b.table_name = table_b AND b.column_name = column_b)
+SELECT table_a, column_a, table_b, column_b, shared_values, all_values,
+       round(CAST(shared_values AS DOUBLE) / CAST(all_values AS DOUBLE), 4) AS likeness, name_similarity,
+       round(0.7 * (CAST(shared_values AS DOUBLE) / CAST(all_values AS DOUBLE)) + 0.3 * name_similarity, 4) AS confidence
+FROM both_sides
+WHERE round(0.7 * (CAST(shared_values AS DOUBLE) / CAST(all_values AS DOUBLE)) + 0.3 * name_similarity, 4) >= {P.FK_MIN_CONFIDENCE}"""
+
+
+@query("shared_dimensions", f"WITH {_shared_sql(DISCOVERY_TABLES)}", ("P3",))
+def q_shared_dimensions(spark, sf):
+    return IN.shared_dimensions(spark, _tables(spark, sf, DISCOVERY_TABLES), P.name_similarity, P.FK_MIN_CONFIDENCE,
+                                lambda c: ~P.is_measure(F.col(c)))
+
+
+# Bronze with a two-column key, a three-column key and rows that refer to them
+SUPPLY_SQL = """supply AS (SELECT l_partkey AS part_no, l_suppkey AS supp_no, count(*) AS n FROM lineitem GROUP BY 1, 2),
+shipments AS (SELECT l_orderkey AS order_no, l_partkey AS part_ref, l_suppkey AS supp_ref, l_linenumber AS line_no, l_returnflag AS flag
+              FROM lineitem WHERE l_returnflag = 'R'),
+lines AS (SELECT DISTINCT l_orderkey AS ord, l_linenumber AS line, l_returnflag AS rf, l_partkey % 7 AS lot FROM lineitem)"""
+SUPPLY_SCHEMAS = {"supply": ["part_no", "supp_no", "n"], "shipments": ["order_no", "part_ref", "supp_ref", "line_no"],
+                  "lines": ["ord", "line", "lot"]}
+SUPPLY_KEYS = {"supply": [("part_no", "supp_no")], "lines": [("ord", "line"), ("ord", "line", "lot")]}
+
+
+def supply_tables(spark, sf):
+    line = t(spark, sf, "lineitem")
+    supply = line.groupBy(F.col("l_partkey").alias("part_no"), F.col("l_suppkey").alias("supp_no")).agg(F.count(F.lit(1)).alias("n"))
+    shipments = line.filter(F.col("l_returnflag") == "R").select(
+        F.col("l_orderkey").alias("order_no"), F.col("l_partkey").alias("part_ref"), F.col("l_suppkey").alias("supp_ref"),
+        F.col("l_linenumber").alias("line_no"), F.col("l_returnflag").alias("flag"))
+    lines = line.select(F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("rf"),
+                        (F.col("l_partkey") % 7).alias("lot")).distinct()
+    return {"supply": supply, "shipments": shipments, "lines": lines}
+
+
+def _composite_sql() -> str:
+    parts = []
+    for tb, keys in SUPPLY_KEYS.items():
+        for key in keys:
+            inside = f"(SELECT DISTINCT {', '.join(key)} FROM {tb})"
+            for src, cols in SUPPLY_SCHEMAS.items():
+                for group in itertools.permutations(cols, len(key)):
+                    if (src, group) != (tb, key):
+                        tuples = f"(SELECT DISTINCT {', '.join(group)} FROM {src})"
+                        parts.append(
+                            f"SELECT '{src}' AS source_table, '{','.join(group)}' AS source_columns, '{tb}' AS target_table, "
+                            f"'{','.join(key)}' AS target_columns, {len(key)}::INT AS n_columns, "
+                            f"(SELECT count(*) FROM {tuples}) AS source_distinct, (SELECT count(*) FROM {inside}) AS target_distinct, "
+                            f"(SELECT count(*) FROM ({tuples} EXCEPT {inside})) AS outside")
+    return " UNION ALL ".join(parts)
+
+
+@query("composite_references", f"WITH {SUPPLY_SQL} SELECT * EXCLUDE (outside) FROM ({_composite_sql()}) WHERE outside = 0", ("P3",))
+def q_composite_references(spark, sf):
+    return IN.composite_references(spark, supply_tables(spark, sf), SUPPLY_KEYS)
+
+
+# two tables with long keys, and a table that refers to itself
+def _long_sql() -> str:
+    return """pages_url AS (SELECT page_id, url, 'https://archive.example/' || repeat('path/', 12) || page_id AS long_ref FROM pages),
+hits AS (SELECT event_id, 'https://archive.example/' || repeat('path/', 12) || (event_id % (SELECT count(*) FROM pages)) AS long_ref FROM events),
+staff AS (SELECT c_custkey AS employee_id, CASE WHEN c_custkey % 9 > 0 THEN c_custkey // 9 + (SELECT min(c_custkey) FROM customer) END
+              AS manager_employee_id FROM customer)"""
+
+
+LONG_SCHEMAS = {"pages_url": [("page_id", "bigint"), ("url", "string"), ("long_ref", "string")],
+                "hits": [("event_id", "bigint"), ("long_ref", "string")],
+                "staff": [("employee_id", "bigint"), ("manager_employee_id", "bigint")]}
+
+
+def long_tables(spark, sf):
+    pages, events, customer = (t(spark, sf, n) for n in ("pages", "events", "customer"))
+    stem = F.lit("https://archive.example/" + "path/" * 12)
+    n_pages = pages.agg(F.count(F.lit(1))).scalar()
+    least = customer.agg(F.min("c_custkey")).scalar()
+    return {"pages_url": pages.select("page_id", "url", F.concat(stem, F.col("page_id").cast("string")).alias("long_ref")),
+            "hits": events.select("event_id", F.concat(stem, (F.col("event_id") % n_pages).cast("string")).alias("long_ref")),
+            "staff": customer.select(F.col("c_custkey").alias("employee_id"), F.when(
+                F.col("c_custkey") % 9 > 0, F.floor(F.col("c_custkey") / 9) + least).alias("manager_employee_id"))}
+
+
+SCHEMAS.update(LONG_SCHEMAS)
+
+
+@query("fk_long_and_self", f"WITH {_long_sql()}, {_fk_sql(LONG_SCHEMAS)} SELECT * FROM edges WHERE confidence >= {P.FK_MIN_CONFIDENCE}", ("P3",))
+def q_fk_long_and_self(spark, sf):
+    """References over texts of more than 64 characters, and within one table."""
+    return P.discover_fks(long_tables(spark, sf))
+
+
 # ---- string-typed Bronze for type inference -------------------------------------
 def events_as_text(spark, sf):
     e = t(spark, sf, "events")
