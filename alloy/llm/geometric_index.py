@@ -46,11 +46,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (question, term) pairs that are searched at a time
 QUESTION_TERMS = 1 << 17
 #: documents and postings of a segment, documents of a block
-SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK_DOCS = 1024, 1 << 18, 64
+SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK_DOCS = 1024, 1 << 18, 128
 #: lists of so few documents are read without a summary
-SHORT_LIST = 4
+SHORT_LIST = 16
 #: documents that a task of the index build takes at least
-TASK_DOCS = 32 * SEGMENT_DOCS
+TASK_DOCS = 8 * SEGMENT_DOCS
 PIVOTS, PLANES = 32, 16
 #: entries of the tables that summaries are made in
 TABLE, ENTRIES = 1 << 22, 1 << 21
