@@ -114,23 +114,23 @@ def pack_batches(df: DataFrame, group: str, order: str, tokens: Column, room: in
     rows = df.withColumn("tokens", tokens).withColumn("_g", canonical_row(df, [group])).withColumn(
         "_blk", F.floor(F.col(order) / F.lit(block_width)).cast("long"))
 
-    def table_of(key, part: pd.DataFrame) -> pd.DataFrame:
+    def table_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_o")
         return _written(key[0], int(key[1]), block_table(part["tokens"].to_numpy(np.int64), room))
 
     tables = rows.select("_g", "_blk", F.col(order).alias("_o"), "tokens").groupBy("_g", "_blk").applyInPandas(table_of, TABLE)
     run = F.floor(F.col("_blk") / RUN).cast("long")
 
-    def run_of(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for row in _tables(part):
             whole = row[1] if whole is None else composed(whole, row[1])
         return _written(key[0], int(key[1]), whole)
 
-    def run_entries(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run_entries(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return _entries(part, "_run", UNOPENED, -1)
 
-    def block_entries(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def block_entries(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _entries(left, "_blk", int(right["fill"].iloc[0]), int(right["batch"].iloc[0]))
 
     by_run = tables.withColumn("_run", run)

@@ -85,7 +85,7 @@ def nth_smallest(df: DataFrame, col: str, rank: int) -> object:
         elif low == high:
             return low
         elif upto - below == n:  # the bracket holds everything: halve the values instead
-            pivot = left.agg(F.percentile_approx("v", 0.5, SKETCH_BUCKETS)).first()[0]
+            pivot = left.agg(F.percentile_approx("v", 0.5)).first()[0]
             less, upto = left.agg(F.count_if(F.col("v") < pivot), F.count_if(F.col("v") <= pivot)).first()
             if less < rank <= upto:
                 return pivot

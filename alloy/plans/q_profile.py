@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from alloy.functions.columns import ISO_TS_PATTERN, NUMBER_PATTERN, TRUE_STRINGS, FALSE_STRINGS
 from alloy.operators import inclusion as IN
 from alloy.operators import keys as K
+from alloy.operators import digest_tree as DT
 from alloy.operators import profile as P
+from alloy.operators import profile_sketches as PS
 from alloy.plans.fixtures import cdc_events, t
 from alloy.plans.registry import query
 
@@ -293,6 +295,63 @@ def q_fk_long_and_self(spark, sf):
     return P.discover_fks(long_tables(spark, sf))
 
 
+# ---- profiles that merge, changes found by digests ---------------------------------------
+PARTED = "lineitem"
+
+
+def _merged_profile_sql() -> str:
+    parts = []
+    for pos, (c, ty) in enumerate(SCHEMAS[PARTED], start=1):
+        text, num = ty == "string", ty in NUMERIC
+        parts.append(
+            f"SELECT '{c}' AS column_name, {pos} AS position, count(*) AS n_rows, count_if({c} IS NULL) AS n_nulls, "
+            f"{f'count_if({c} = {chr(39)}{chr(39)})' if text else 'CAST(NULL AS BIGINT)'} AS n_empty, "
+            f"{f'round(avg(length({c})), 4)' if text else 'CAST(NULL AS DOUBLE)'} AS avg_len, "
+            f"{f'CAST(min({c}) AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS min_value, "
+            f"{f'CAST(max({c}) AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS max_value, true AS distinct_in_bound, "
+            f"{'true' if num else 'CAST(NULL AS BOOLEAN)'} AS median_in_bound FROM {PARTED}")
+    return "\nUNION ALL ".join(parts)
+
+
+@query("profile_merged", _merged_profile_sql(), ("P1",))
+def q_profile_merged(spark, sf):
+    """The profile of a table from those of its line statuses and months; estimates are held against
+    exact counts and ranks."""
+    df = t(spark, sf, PARTED)
+    months = PS.profile_parts(df.filter(F.col("l_linestatus") == "O"), F.date_trunc("year", "l_shipdate"))
+    rest = PS.profile_parts(df.filter(~F.coalesce(F.col("l_linestatus") == "O", F.lit(False))), F.col("l_linestatus"))
+    found = PS.estimates(PS.merged(PS.merged(months, "open").unionByName(rest)))
+    exact = P.profile(df, PARTED, exact=True).select("column_name", F.col("n_distinct").alias("exact"))
+    numeric = [c for c, ty in SCHEMAS[PARTED] if ty in NUMERIC]
+    middles = {r["column_name"]: r["q50"] for r in found.filter(F.col("q50").isNotNull()).select("column_name", "q50").collect()}
+    ranks = df.agg(*[(F.count_if(F.col(c) < middles[c]) / F.count(c)).alias(f"b_{c}") for c in numeric],
+                   *[(F.count_if(F.col(c) <= middles[c]) / F.count(c)).alias(f"u_{c}") for c in numeric])
+    ranks = ranks.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), ((F.col(f"b_{c}") <= 0.517) & (F.col(f"u_{c}") >= 0.483)).alias(
+        "median_in_bound")) for c in numeric])))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.098 * F.col("exact") + 1
+    return (found.join(exact, "column_name").join(ranks, "column_name", "left")
+            .select("column_name", "position", "n_rows", "n_nulls", "n_empty", "avg_len", "min_value", "max_value", near.alias("distinct_in_bound"),
+                    "median_in_bound"))
+
+
+@query("changed_keys", """
+WITH later AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 997 = 5 THEN 1 ELSE 0 END AS o_totalprice,
+                      o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 1009 <> 7
+               UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
+                         WHERE o_orderkey % 2003 = 11)
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+       CASE WHEN a.o_orderkey IS NULL THEN 'ADDED' WHEN b.o_orderkey IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS status
+FROM orders a FULL JOIN later b ON a.o_orderkey = b.o_orderkey
+WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_totalprice <> b.o_totalprice""", ("P6", "V8"))
+def q_changed_keys(spark, sf):
+    """Orders against a later version with changed, lost and new rows."""
+    o = t(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    later = o.filter(k % 1009 != 7).withColumn("o_totalprice", F.col("o_totalprice") + F.when(k % 997 == 5, 1).otherwise(0))
+    later = later.unionByName(o.filter(k % 2003 == 11).withColumn("o_orderkey", -k))
+    return DT.changed_keys(o, later, "o_orderkey", 256)
+
+
 # ---- string-typed Bronze for type inference -------------------------------------
 def events_as_text(spark, sf):
     e = t(spark, sf, "events")

@@ -62,6 +62,15 @@ def q_sink_clustered(spark, sf):
     return spark.read.parquet(path).filter(F.col("order_year") == 1995).drop("order_year", "order_day")
 
 
+@query("sink_interleaved", """
+SELECT * FROM lineitem WHERE l_partkey BETWEEN 100 AND 140 OR l_shipdate >= TIMESTAMP '1998-06-01'""", ("SNK4",))
+def q_sink_interleaved(spark, sf):
+    """A layout by part and day, read back by filters on either."""
+    path = writers.write_interleaved(t(spark, sf, "lineitem"), _folder(spark, "interleaved"), ["l_partkey", "l_shipdate"])
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("l_partkey").between(100, 140) | (F.col("l_shipdate") >= F.expr("TIMESTAMP_NTZ'1998-06-01 00:00:00'")))
+
+
 @query("sink_routed", f"WITH {ROUTE_SQL} SELECT * FROM routed", ("SNK5",))
 def q_sink_routed(spark, sf):
     return spark.read.parquet(writers.write_routed(routed_orders(spark, sf), _folder(spark, "routed")))

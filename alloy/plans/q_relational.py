@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alloy.functions.columns import MONEY_TYPE
 from alloy.operators import aggregates as A
 from alloy.operators import dedup, joins, setops
 from alloy.operators.dedup import Order
+from alloy.operators.pattern_index import match_rules_indexed
 from alloy.plans.fixtures import (LINEAGE_SQL, OBSERVATIONS_SQL, ROUTING_RULES_SQL, RUNS_SQL,
                                   CDC_EVENTS_SQL, cdc_events, lineage, observations,
                                   routing_rules, run_log, runs, t)
@@ -297,6 +301,27 @@ def q_match_rules(spark, sf):
         F.max_by("rule_name", "priority").alias("top_rule"))
 
 
+PARTS_OF_NAMES_SQL = """WITH rules AS (
+  SELECT DISTINCT '%' || split_part(p_type, ' ', 1) || '%' || right(p_name, 3) AS pattern FROM part
+  UNION SELECT '%' || substr(p_name, 2, 12) FROM part WHERE p_partkey % 7 = 0 UNION SELECT '_' || substr(p_type, 2, 4) || '%' FROM part
+  UNION SELECT repeat('_', length(p_type)::INT) FROM part WHERE p_partkey % 50 = 0 UNION SELECT '%\\%%' UNION SELECT '')
+SELECT p.p_partkey, r.pattern FROM part p JOIN rules r ON p.p_type LIKE r.pattern ESCAPE '\\' OR p.p_name LIKE r.pattern ESCAPE '\\'"""
+
+
+@query("match_rules_indexed", PARTS_OF_NAMES_SQL, ("J6",))
+def q_match_rules_indexed(spark, sf):
+    """Rules made from the parts' own names and types: as many as there are parts of a kind."""
+    p = t(spark, sf, "part").select("p_partkey", "p_type", "p_name")
+    key, name, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_type")
+    rules = [p.select(F.concat(F.lit("%"), F.split_part(kind, F.lit(" "), F.lit(1)), F.lit("%"), F.right(name, F.lit(3))).alias("pattern")),
+             p.filter(key % 7 == 0).select(F.concat(F.lit("%"), F.substring(name, 2, 12)).alias("pattern")),
+             p.select(F.concat(F.lit("_"), F.substring(kind, 2, 4), F.lit("%")).alias("pattern")),
+             p.filter(key % 50 == 0).select(F.repeat(F.lit("_"), F.length(kind)).alias("pattern")),
+             p.select(F.lit("%\\%%").alias("pattern")), p.select(F.lit("").alias("pattern"))]
+    rules = reduce(DataFrame.unionByName, rules).distinct()
+    return match_rules_indexed(p, rules, ["p_type", "p_name"]).select("p_partkey", "pattern")
+
+
 @query("recon_summary", "\nUNION ALL\n".join(
     f"""SELECT '{tb}' AS table_name, count(*) AS n_rows,
        (SELECT count(*) FROM (SELECT DISTINCT {k} FROM {tb})) AS distinct_keys,

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _exists_with_rows(spark: SparkSession, path: str) -> bool:
@@ -88,10 +90,46 @@ def write_clustered(df: DataFrame, path: str, date_col: str | None, cluster_cols
     return path
 
 
-def write_routed(routed: DataFrame, path: str, table_col: str = "gold_table", files_per_target: int = 8) -> str:
+def interleaved(df: DataFrame, cols: list[str], bits: int = 6) -> Column:
+    """A Z-order key: the columns' ranks, in ``2 ** bits`` ranges of equal size each, with their bits
+    taken in turns. Rows near in all columns have near keys, so a range of keys is narrow in every
+    one of them. The range bounds are quantiles (one pass; ``2 ** bits`` numbers a column reach
+    the driver), so skewed columns are cut evenly; NULLs are the first range, and a value that
+    fills several ranges by itself is in the last of them."""
+    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
+    # texts are ranked by a number that keeps their order as far as six bytes go
+    ranked = {c: F.conv(F.rpad(F.substring(F.hex(F.col(c).cast("string")), 1, 12), 12, "0"), 16, 10).cast("double")
+              if isinstance(df.schema[c].dataType, T.StringType) else
+              F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+              if isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.col(c).cast("double")
+              for c in cols}
+    bounds = df.agg(*[F.percentile_approx(v, shares, 10_000).alias(f"b{i}") for i, v in enumerate(ranked.values())]).first()
+    # the bits of each rank, spread to their places in the key
+    spread = [[sum((rank >> bit & 1) << (bit * len(cols) + i) for bit in range(bits)) for rank in range(1 << bits)] for i in range(len(cols))]
+
+    def part(i: int, value: Column) -> Column:
+        rank = F.size(F.filter(F.lit(bounds[i] or shares), lambda low: low <= value))
+        return F.coalesce(F.get(F.lit(spread[i]), F.when(value.isNotNull(), rank)), F.lit(0)).cast("long")
+
+    return reduce(Column.__add__, [part(i, value) for i, value in enumerate(ranked.values())])
+
+
+def write_interleaved(df: DataFrame, path: str, cols: list[str], num_partitions: int | None = None, bits: int = 6) -> str:
+    """Layout for filters on any of several columns: files are ranges of a Z-order key
+    (``interleaved``), so each file, and each row group in it, is narrow in all of ``cols``."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_z", interleaved(df, cols, bits))
+    keyed.repartitionByRange(n, "_z", *cols).sortWithinPartitions("_z", *cols).drop("_z").write.mode("overwrite").parquet(path)
+    return path
+
+
+def write_routed(routed: DataFrame, path: str, table_col: str = "gold_table", rows_per_file: int = 1_000_000) -> str:
     """Fan-out in one pass: one directory per Gold target (not one scan per target). Rows are
-    dealt by target and a salt, so a target gets ``files_per_target`` files at most and a
-    hot target as many tasks."""
-    salt = F.pmod(F.xxhash64(*routed.columns), F.lit(files_per_target))
-    routed.repartition(F.col(table_col), salt).write.mode("overwrite").partitionBy(table_col).parquet(path)
+    dealt by target and a salt; a target has as many salts, so files and tasks, as its rows
+    fill files of ``rows_per_file`` (one small row per target is counted first)."""
+    sizes = routed.groupBy(F.col(table_col).alias("_target")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    dealt = routed.join(F.broadcast(sizes), F.col(table_col).eqNullSafe(F.col("_target")))
+    salt = F.pmod(F.xxhash64(*routed.columns), F.col("_files"))
+    parts = max(int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions")), sizes.agg(F.sum("_files")).first()[0] or 1)
+    dealt.repartition(parts, F.col(table_col), salt).drop("_target", "_files").write.mode("overwrite").partitionBy(table_col).parquet(path)
     return path
