@@ -50,11 +50,13 @@ def text_or_empty(name: str) -> Column:
 
 
 def worker_cached(key: str, make: Callable[[], Any]) -> Any:
-    """One object per Python worker process, kept over the tasks that it runs."""
-    store = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    """One object per Python worker process, kept over the tasks that it runs until one of
+    another key is asked for, so that the caches of several stages do not add up."""
+    held = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache"))
+    if getattr(held, "key", None) != key:
+        held.key = held.value = None
+        held.key, held.value = key, make()
+    return held.value
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
