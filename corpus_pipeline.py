@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alloy.llm import digest_index, near_dedup, packing, quality_rank, secret_scan
-from alloy.llm.common import table
+from alloy.llm.common import staged, table
 from alloy.llm.queries import BYTE_RANKS, WORD_BPE, held_out, vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -73,8 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over ``documents``."""
+    """The result of the last stage over ``documents``; what each stage keeps is written to the
+    shared folder, so none is computed again by the next one's jobs."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
