@@ -292,7 +292,8 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """``doc_id, ids array<int>, decoded`` of each whole text.
 
     Defined results: NULL text is empty and has no ids; a special token's string in a text is
-    that token; repeated rows are encoded once each; an empty table gives no rows."""
+    that token; repeated rows are encoded once each; an empty table gives no rows;
+    columns other than id and text, whatever their names, are ignored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
         for batch in (part for whole in batches for part in text_slices(whole)):

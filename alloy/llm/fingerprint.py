@@ -8,7 +8,8 @@ for each piece. Fingerprints compare at equal or neighbouring block sizes, by ed
 
 Defined results: NULL text is empty; an empty text is ``3::``; rows without id come last in
 the order, rows with equal ids by a hash of their text; the only row of a table is its own
-next one; an empty table gives no rows.
+next one; an empty table gives no rows; columns other than id and text, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations

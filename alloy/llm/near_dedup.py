@@ -21,7 +21,8 @@ it with probability 0.11 ** 6 = 1.8e-6. All trees use one sketch, which loses 3.
 Defined results: NULL text is empty; a document without words has an empty set, is linked
 with nothing and is its own component; rows without id take their class's component (NULL if
 no member has an id) and are not kept; rows that repeat an id are in the component of their
-own text; an empty table gives no rows.
+own text; an empty table gives no rows; columns other than id and text, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations

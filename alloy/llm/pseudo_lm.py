@@ -17,7 +17,10 @@ are joined in Spark, a row for each distinct word of a slice of texts.
 Only the class words, the totals of the classes and the averaged weights reach the driver, sizes
 that grow with the logarithm of the corpus; the word counts stay in a table. Defined results: NULL text is empty; a text without words has 0 tokens, score 0
 and NULL mean; words outside the text count as padding; a corpus without words gives the
-uniform model; rows are scored one by one, repeated or without id; an empty table gives no rows.
+uniform model; rows are scored one by one, repeated or without id; an empty table gives no rows; columns
+other than id and text, whatever their names, are ignored. Words of equal counts are ranked by the
+word itself. The weights of tasks are summed in no fixed order, so scores may differ in their last
+digits from run to run.
 """
 
 from __future__ import annotations

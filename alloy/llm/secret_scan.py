@@ -9,7 +9,9 @@ the parts outside them are judged, each as a run. A run of letters only needs fe
 ``MAX_LETTERS_RATIO`` characters per token.
 
 Defined results: NULL text is empty and has no spans (``redacted`` leaves it NULL); rows are
-scanned one by one, so repeated rows and ids repeat their spans; an empty table gives no rows.
+scanned one by one, so repeated rows and ids repeat their spans; an empty table gives no rows; columns other than id and text, whatever their
+names, are ignored. The ratio of a run of more than 4,096 characters is judged part by part, as it
+is tokenised in such parts.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ their mean importance with those is at least ``KEPT_IMPORTANCE``.
 Blocks are divided by block-level tags; a line break is white space. Defined results: NULL
 html is empty and gives an empty text; a NULL or malformed url is the host ''; unclosed and
 stray tags are read as browsers read them, as far as blocks are concerned; repeated rows give
-a row each; an empty table gives no rows.
+a row each; an empty table gives no rows; columns other than id, url and html, whatever their
+names, are ignored. Pages are read whole, however long; time and memory grow with the square of
+the depth of elements that are left open (16,000 of them: 20 seconds).
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ by their single windows, so no shard holds more of them than another.
 Words stand for their 64-bit hashes in the index. Defined results: NULL text has no words;
 texts under WINDOW words lose nothing; rows without id lose nothing and take nothing from
 others; rows that repeat an id are judged each by its own text, and never against each other;
-an empty table gives no rows.
+an empty table gives no rows; columns other than id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
