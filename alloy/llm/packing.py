@@ -2,7 +2,7 @@
 
 A document's ids come from the tokenizers library. Lower-casing, normalisation and word
 splitting never cross ASCII white space, so the ids of a text are the ids of its
-white-space-separated chunks in order; a worker keeps the ids of chunks it has seen in a
+white-space-separated chunks in order; a task keeps the ids of chunks it has seen in a
 bounded table. Packing places the pieces of one shard, longest first; each goes where the
 sum over residual gaps of (number of open bins with that gap) squared becomes smallest.
 Shards hold ``SHARD_PIECES`` pieces on average whatever the input size; the bins that stay
@@ -34,8 +34,8 @@ from alloy.llm.common import space_words, staged, text_or_empty, text_slices, wo
 CAPACITY = 2048
 SHARD_PIECES = 10_000
 GOOD_FILL = 0.98
-#: chunks that a worker remembers
-CACHE_WORDS = 400_000
+#: chunks that a task remembers
+CACHE_WORDS = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, fill long"
 
@@ -59,6 +59,10 @@ class ChunkIds(dict):
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+
     def piece(self, piece: str) -> bytes:
         """Ids of one word of the splitter, in the letters of byte-level vocabularies."""
         ids = self.pieces.get(piece)
@@ -117,6 +121,7 @@ def cut_pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)],
                                              schema=schema)
+        chunks.forget()  # idle workers hold no more than the vocabulary
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, PIECES)
