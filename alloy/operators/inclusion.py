@@ -7,7 +7,7 @@ the containment of one group in another; a pair that cannot reach the containmen
 dropped before any value moves. What is left is decided exactly by one shuffle of the
 surviving groups' values (integers as integers, texts above MAX_PLAIN_CHARS as SHA-256): each
 value becomes one row with the set of groups that hold it, so no value, however frequent, meets
-itself, and the sets give distinct and shared counts of all pairs at once.
+itself, and the number of values per set gives distinct and shared counts of all pairs at once.
 
 On that stand ``references`` (one column in a unique one, self-references included),
 ``composite_references`` (several columns in a key of several, grown level by level from
@@ -131,16 +131,27 @@ def containment_bound(estimate: Column, other: Column, both: Column) -> Column:
     return F.when(largest < entries, share).otherwise(wide)
 
 
+#: bits of a word of the masks that tell which groups hold a value
+WORD = 62
+
+
 def value_groups(tables: dict[str, DataFrame], groups: Sequence[Group]) -> DataFrame:
-    """One row per distinct value of all ``groups``: ``ids``, the groups that hold it. The sets
-    are built map-side first, so a frequent value is one row per task when it is shuffled."""
+    """``ids, n``: which groups hold a value, and of how many distinct values of all ``groups`` that
+    is so. A value's groups are bits of a few whole numbers, OR-ed map-side by a hash
+    aggregate, so a frequent value is one row per task when it is shuffled."""
+    words = range(-(-len(groups) // WORD))
+
     def of(i: int, g: Group) -> DataFrame:
         number, text = _value(tables[g.table], g)
-        rows = tables[g.table].select(F.lit(family(tables, g)).alias("family"), number.alias("i"), text.alias("s"), F.lit(i).alias("id"))
+        masks = [F.lit(1 << i % WORD if i // WORD == w else 0).cast("long").alias(f"m{w}") for w in words]
+        rows = tables[g.table].select(F.lit(family(tables, g)).alias("family"), number.alias("i"), text.alias("s"), *masks)
         return rows.filter(F.col("i").isNotNull() | F.col("s").isNotNull())
 
-    return (_union(of(i, g) for i, g in enumerate(groups)).groupBy("family", "i", "s")
-            .agg(F.collect_set("id").alias("ids")).select("ids"))
+    names = [f"m{w}" for w in words]
+    values = _union(of(i, g) for i, g in enumerate(groups)).groupBy("family", "i", "s").agg(*[F.bit_or(m).alias(m) for m in names])
+    kinds = values.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    held = [F.when(F.col(f"m{i // WORD}").bitwiseAND(F.lit(1 << i % WORD).cast("long")) != 0, F.lit(i)) for i in range(len(groups))]
+    return kinds.select(F.array_compact(F.array(*held)).alias("ids"), "n")
 
 
 class Counts(NamedTuple):
@@ -162,9 +173,9 @@ def exact_counts(tables: dict[str, DataFrame], pairs: Sequence[tuple[Group, Grou
         wanted.setdefault(place[a], []).append(place[b])
     # a group is its own partner too: that counts its distinct values
     partners = spark.createDataFrame([(i, [i, *wanted.get(i, [])]) for i in range(len(groups))], "id int, partners array<int>")
-    holders = value_groups(tables, groups).select(F.explode("ids").alias("id"), "ids")
-    met = (holders.join(F.broadcast(partners), "id").select("id", F.explode(F.array_intersect("ids", "partners")).alias("other"))
-           .groupBy("id", "other").agg(F.count(F.lit(1)).alias("n")))
+    holders = value_groups(tables, groups).select(F.explode("ids").alias("id"), "ids", "n")
+    met = (holders.join(F.broadcast(partners), "id").select("id", F.explode(F.array_intersect("ids", "partners")).alias("other"), "n")
+           .groupBy("id", "other").agg(F.sum("n").alias("n")))
     found = {(r["id"], r["other"]): r["n"] for r in met.collect()}
     return Counts({g: found.get((i, i), 0) for g, i in place.items()},
                   {(a, b): found.get((place[a], place[b]), 0) for a, b in pairs})
