@@ -95,14 +95,18 @@ def group_statistics(tables: dict[str, DataFrame], groups: Sequence[Group]) -> D
         df = tables[table]
         partial: list[Column] = [F.count(F.lit(1)).alias("rows")]
         merged: list[Column] = [F.sum("rows").alias("rows")]
+        # each value is made once, digests above all
+        values = []
         for i, g in members:
             number, text = _value(df, g)
-            value = number if family(tables, g) == "i" else text
+            values.append((number if family(tables, g) == "i" else text).alias(f"v{i}"))
+        for i, _ in members:
+            value = F.col(f"v{i}")
             partial += [F.count(value).alias(f"n{i}"), F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}"),
                         F.theta_sketch_agg(value, SKETCH_BITS).alias(f"k{i}")]
             merged += [F.sum(f"n{i}").alias(f"n{i}"), F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"),
                        F.theta_union_agg(f"k{i}", SKETCH_BITS).alias(f"k{i}")]
-        step = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("_part")).agg(*partial)
+        step = df.select(*values).groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("_part")).agg(*partial)
         one = step.agg(*merged)
 
         def row(i: int, g: Group) -> Column:
