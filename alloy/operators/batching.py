@@ -10,6 +10,11 @@ of consecutive blocks compose to a table of their kind: blocks are composed to r
 group's runs are gone through once, and the fills found at their beginnings are handed down
 to the blocks, which then number their rows. No task holds more rows than a block, however
 large the group.
+
+That is for groups of more than ``WHOLE`` blocks' rows. The others, often many and tiny, are
+sorted side by side and gone through as one stream of rows that carries the open batch along:
+what they cost depends on their rows, not on how many groups or blocks hold them. A large group
+whose numbers lie far apart gets wider blocks, of no more rows.
 """
 
 from __future__ import annotations
@@ -21,14 +26,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alloy.functions.columns import canonical_row
+from alloy.session import cut_lineage
 
 #: blocks of a run
 RUN = 512
+#: groups of up to so many blocks' rows are gone through in order, whole
+WHOLE = 32
 #: the fill before the first row of a group: nothing fits
 UNOPENED = 1 << 62
 TABLE = "_g string, _blk long, total long, low array<long>, starts array<long>, fill array<long>"
@@ -109,13 +117,52 @@ def _entries(part: pd.DataFrame, name: str, fill: int, batch: int) -> pd.DataFra
 
 
 def pack_batches(df: DataFrame, group: str, order: str, tokens: Column, room: int, base: int, block_width: int = 4096) -> DataFrame:
-    """``df`` with ``tokens``, ``batch_no`` and ``batch_tokens`` (see ``documents.pack_batches``). Rows
-    move slim to the tables of their blocks, whole to their numbering, and by batch to its sum."""
-    rows = df.withColumn("tokens", tokens).withColumn("_g", canonical_row(df, [group])).withColumn(
-        "_blk", F.floor(F.col(order) / F.lit(block_width)).cast("long"))
+    """``df`` with ``tokens``, ``batch_no`` and ``batch_tokens`` (see ``documents.pack_batches``)."""
+    rows = df.withColumn("tokens", tokens).withColumn("_g", canonical_row(df, [group]))
+    kept = [*df.columns, "tokens", "batch_no", "batch_tokens"]
+    large = cut_lineage(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WHOLE * block_width).select("_g"))
+    if large.isEmpty():
+        return pack_whole(rows, order, room, base).select(kept)
+    # at most one in WHOLE * block_width rows is such a group
+    rest = rows.join(F.broadcast(large), "_g", "left_anti")
+    hot = rows.join(F.broadcast(large), "_g", "left_semi")
+    return pack_blocks(hot, order, room, base, block_width).select(kept).unionByName(pack_whole(rest, order, room, base).select(kept))
+
+
+def pack_whole(rows: DataFrame, order: str, room: int, base: int) -> DataFrame:
+    """``rows`` (with ``_g`` and ``tokens``) and their batches, by one pass over sorted groups."""
+    sorted_rows = rows.repartition("_g").sortWithinPartitions("_g", F.col(order).asc_nulls_last(), "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fill, batch = None, 0, 0
+        for b in batches:
+            found = []
+            for g, n in zip(b.column("_g").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+                if g != now:
+                    now, fill, batch = g, n, 0
+                elif fill + n > room:
+                    fill, batch = n, batch + 1
+                else:
+                    fill += n
+                found.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], [*b.schema.names, "batch_no"])
+
+    out = sorted_rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("batch_no", T.LongType())]))
+    return out.withColumn("batch_tokens", F.sum("tokens").over(Window.partitionBy("_g", "batch_no")) + F.lit(base))
+
+
+def pack_blocks(rows: DataFrame, order: str, room: int, base: int, block_width: int) -> DataFrame:
+    """``rows`` (with ``_g`` and ``tokens``) and their batches, by blocks. Rows move slim to the tables
+    of their blocks, whole to their numbering, and by batch to its sum."""
+    cell = F.floor(F.col(order) / F.lit(block_width)).cast("long")
+    # cells of a sparse group are joined to blocks: as many as hold a block's rows if all are as full as the fullest
+    widths = (rows.groupBy("_g", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).groupBy("_g")
+              .agg(F.greatest(F.lit(1), F.floor(F.lit(block_width) / F.max("_n"))).cast("long").alias("_cells")))
+    rows = (rows.join(F.broadcast(cut_lineage(widths)), "_g").withColumn("_blk", F.floor(cell / F.col("_cells")).cast("long"))
+            .drop("_cells").select(*rows.columns, "_blk"))
 
     def table_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_o")
+        part = part.sort_values(["_o", "tokens"])
         return _written(key[0], int(key[1]), block_table(part["tokens"].to_numpy(np.int64), room))
 
     tables = rows.select("_g", "_blk", F.col(order).alias("_o"), "tokens").groupBy("_g", "_blk").applyInPandas(table_of, TABLE)
@@ -139,14 +186,14 @@ def pack_batches(df: DataFrame, group: str, order: str, tokens: Column, room: in
     entries = by_run.groupBy("_g", "_run").cogroup(begun.groupBy("_g", "_run")).applyInPandas(block_entries, ENTRY.format("_blk"))
 
     def numbered(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.take(pc.sort_indices(left, [(order, "ascending")]))
+        left = left.take(pc.sort_indices(left, [(order, "ascending"), ("tokens", "ascending")]))
         found = numbers(left.column("tokens").to_numpy().astype(np.int64), right.column("fill")[0].as_py(), right.column("batch")[0].as_py(), room)
         return left.drop_columns(["_blk"]).append_column("batch_no", pa.array(found, pa.int64()))
 
     schema = T.StructType([*(f for f in rows.schema.fields if f.name != "_blk"), T.StructField("batch_no", T.LongType())])
     out = rows.groupBy("_g", "_blk").cogroup(entries.groupBy("_g", "_blk")).applyInArrow(numbered, schema)
     sums = out.groupBy("_g", "batch_no").agg((F.sum("tokens") + F.lit(base)).alias("batch_tokens"))
-    return out.join(sums, ["_g", "batch_no"]).select(*df.columns, "tokens", "batch_no", "batch_tokens")
+    return out.join(sums, ["_g", "batch_no"])
 
 
 def numbers(tokens: np.ndarray, fill: int, batch: int, room: int) -> np.ndarray:

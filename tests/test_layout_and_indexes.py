@@ -216,6 +216,23 @@ def test_batches_of_a_hot_group_with_zeros(spark):
         assert [got[r[1]] for r in own] == [(b, r[3], total[b]) for r, b in zip(own, batches, strict=True)]
 
 
+def test_batches_of_many_small_and_sparse_groups(spark):
+    """Groups whose order numbers lie far apart: no group or block of its own costs a call."""
+    rng = random.Random(11)
+    rows = [(f"g{rng.randrange(300)}", i * 5000 + 17, rng.choice([None, 0, 40, 700, 5200])) for i in range(3000)]
+    rows += [("sparse", 10**12 + i * 999, rng.choice([0, 40, 700, 5200])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o long, n long")
+    small = D.pack_batches(df.filter("g != 'sparse'"), "g", "o", tokens_col="n", block_width=64)
+    assert "FlatMapGroups" not in small._jdf.queryExecution().toString()
+    got = {(r["g"], r["o"]): (r["batch_no"], r["batch_tokens"]) for r in D.pack_batches(df, "g", "o", tokens_col="n", block_width=64).collect()}
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        batches = slow_batches([r[2] or 0 for r in own], 5100)
+        total = {b: 900 + sum(r[2] or 0 for r, x in zip(own, batches, strict=True) if x == b) for b in set(batches)}
+        assert [got[g, r[1]] for r in own] == [(b, total[b]) for b in batches]
+
+
 # ---- NULL keys and repeated source rows ---------------------------------------------------
 def test_null_signatures_and_runs(spark):
     obs = spark.createDataFrame([(None, 1, 1, 0.8, "a"), (None, 2, 2, 0.8, "b"), ("s", 1, 3, 0.4, "c")], "sig string, ts long, seq long, c double, txt string")
