@@ -284,6 +284,25 @@ def test_pairs_fit_by_brute_force():
     assert quality_rank.fit_pairs(x[:0], y[:0], 0.0).score(["a", None, ""]).tolist() == [0.5] * 3
 
 
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    """More labelled rows than a block holds, one label rare: moments, pairs and cut are those of all rows."""
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice(["a", "bb", "ccc,", "Dd.", "12"]) for _ in range(rng.randrange(1, 40))) + ("!" if i % 9 == 0 else "")) for i in range(700)]
+    df = rows(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 9 != 0)) for i, _ in texts], "doc_id long, quality int")
+    monkeypatch.setattr(quality_rank, "LEAST", 20)
+    model = quality_rank.fit(df, labels, block=100)
+    x = quality_rank.feature_matrix([t for _, t in texts])
+    assert np.allclose(model.centre, x.mean(0)) and np.allclose(model.scale, np.where(x.std(0) > 1e-12, x.std(0), 1))
+    s, y = model.linear(x), np.array([int(i % 9 != 0) for i, _ in texts])
+    right = [((s >= c) == y).sum() for c in (model.cut, *np.unique(s) + 1e-9, s.min() - 1)]
+    assert right[0] == max(right)
+    whole = quality_rank.fit(df, labels, block=1000)
+    one = quality_rank.fit_pairs(x, y, 1 - y.mean())
+    assert np.allclose(whole.weights, one.weights) and np.isclose(whole.cut, one.cut)
+    assert np.mean(s[y == 1][:, None] > s[y == 0][None, :]) > 0.98
+
+
 def test_quality_edges(spark):
     df = edge_rows(spark)
     labels = spark.createDataFrame([(1, 1, None), (2, None, 1), (None, 1, 1), (4, 1, 0), (4, 0, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
