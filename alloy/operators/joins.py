@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alloy.operators.windows import MICROS, micros
-from alloy.session import broadcast_if_small
+from alloy.session import DEFAULT_BROADCAST_BYTES, FILE_TO_MEMORY, broadcast_if_small, planned_bytes
 
 
 @dataclass(frozen=True)
@@ -20,12 +20,35 @@ class Edge:
     target_col: str
 
 
+def is_small(dim: DataFrame) -> bool:
+    return planned_bytes(dim) * FILE_TO_MEMORY <= DEFAULT_BROADCAST_BYTES
+
+
 def enrich(fact: DataFrame, dims: Sequence[tuple[DataFrame, Edge]], how: str = "left") -> DataFrame:
     """Equi-joins along FK edges. Each dimension is broadcast only when its estimated
-    size is under the threshold; otherwise AQE picks sort-merge / shuffled hash."""
+    size is under the threshold; otherwise AQE picks sort-merge / shuffled hash. A left join to a
+    large dimension of a large dimension is made there, and the fact meets the large dimensions
+    first, the narrowest before the others, so its rows are moved as seldom and as narrow as can be."""
+    every = [fact, *(d for d, _ in dims)]
+    names = [c for df in every for c in df.columns]
+    large = [not is_small(d) for d, _ in dims]
+    if how != "left" or not any(large) or len(set(names)) < len(names):
+        return _chain(fact, dims, how)
+    root = list(range(len(dims)))  # the large dimension that a dimension is joined to, or itself
+    for i, (_, edge) in enumerate(dims):
+        owner = next((j for j in range(i) if edge.source_col in dims[j][0].columns), None)
+        if large[i] and owner is not None and large[owner]:
+            root[i] = root[owner]
+    folded = {i: (_chain(dims[i][0], [dims[j] for j, r in enumerate(root) if r == i and j != i], how), dims[i][1])
+              for i, r in enumerate(root) if i == r}
+    first = sorted((i for i in folded if large[i] and dims[i][1].source_col in fact.columns), key=lambda i: len(folded[i][0].columns))
+    return _chain(fact, [folded[i] for i in [*first, *(i for i in folded if i not in first)]], how).select(names)
+
+
+def _chain(fact: DataFrame, dims: Sequence[tuple[DataFrame, Edge]], how: str) -> DataFrame:
     out = fact
     for dim, edge in dims:
-        d = broadcast_if_small(dim)
+        d = F.broadcast(dim) if is_small(dim) else dim
         if edge.source_col == edge.target_col:
             out = out.join(d, on=edge.source_col, how=how)
         else:

@@ -87,6 +87,11 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = DEFAULT_BROADCAST_BYTES
     return F.broadcast(df) if estimated_bytes(df) * FILE_TO_MEMORY <= limit_bytes else df
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a table that is read and cut to some columns."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
