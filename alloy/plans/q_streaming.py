@@ -1,5 +1,6 @@
 """Streaming queries: each writes its table as several files, in no order of time, under the
-shared checkpoint dir, streams it one file per micro-batch, and returns the resulting state.
+shared checkpoint dir, streams it one file per micro-batch (more of a large table, of some FILE_BYTES
+each), and returns the resulting state.
 Their oracles are the batch operators' SQL: streaming must equal batch."""
 
 from __future__ import annotations
@@ -14,18 +15,26 @@ from alloy.plans.fixtures import t
 from alloy.plans.q_history import SCD2_SQL
 from alloy.plans.q_silver import LINEITEM_COLS, LINEITEM_TIEBREAK
 from alloy.plans.registry import query
-from alloy.session import scratch_path
+from alloy.session import planned_bytes, scratch_path
 from alloy.streaming import incremental as ST
 from alloy.streaming import stateful as SF
 
 MICRO_BATCHES = 3
+#: estimated bytes of a file of a stream
+FILE_BYTES = 32 << 20
 
 
 def _stream(spark, name: str, df):
     """(stream of ``df`` in MICRO_BATCHES micro-batches, log folder, late log, checkpoint)."""
     base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
-    df.repartition(MICRO_BATCHES, F.xxhash64(*df.columns)).write.parquet(f"{base}/in")
-    return ST.parquet_stream(spark, f"{base}/in", df.schema, 1), f"{base}/log", f"{base}/late", f"{base}/_checkpoint"
+    files = files_each(df)
+    df.repartition(MICRO_BATCHES * files, F.xxhash64(*df.columns)).write.parquet(f"{base}/in")
+    return ST.parquet_stream(spark, f"{base}/in", df.schema, files), f"{base}/log", f"{base}/late", f"{base}/_checkpoint"
+
+
+def files_each(df) -> int:
+    """Files of a micro-batch: no task writes or reads more than a file, however large the table."""
+    return max(1, -(-planned_bytes(df) // (MICRO_BATCHES * FILE_BYTES)))
 
 
 @query("stream_keep_latest", f"""

@@ -123,3 +123,16 @@ def test_text_does_not_order_latest_rows(spark, tmp):
     src, log, ck = arriving(spark, tmp, [[row("a", 1, 1)]])
     with pytest.raises(TypeError):
         SF.stream_latest(src, ["k"], ["op"], log, ck)
+
+
+def test_a_large_stream_has_several_files_a_batch(spark, monkeypatch):
+    """As many micro-batches as for a small table, each of several files, and the same table."""
+    from alloy.plans import q_streaming as Q
+    monkeypatch.setattr(Q, "FILE_BYTES", 1 << 12)
+    df = spark.range(20_000).select(F.col("id"), (F.col("id") % 7).alias("n")).repartition(2)
+    assert Q.files_each(df) > 3
+    src, log, _, ck = Q._stream(spark, "files", df)
+    ST.stream_scd2(src, log, ck).awaitTermination()
+    rows = ST.read_log(spark, log)
+    assert rows.select("batch_id").distinct().count() == Q.MICRO_BATCHES
+    assert rows.count() == 20_000 and rows.select("id").distinct().count() == 20_000
