@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from alloy.functions.columns import (canonical_row, looks_like_boolean, looks_like_number,
                                      looks_like_timestamp)
 from alloy.operators.inclusion import DISTINCT_ERROR, references
+from alloy.operators.keys import repeated
 
 # ---- fixed values ---------------------------------------------------------------
 # Name fragments of measure / free-text columns that are never FK sources.
@@ -133,28 +134,26 @@ def pk_candidates(prof: DataFrame, tables: dict[str, DataFrame] | None = None, t
     """The best primary-key candidate per table. Where no best column is unique, the first
     pair of the ``top`` candidates that is unique in ``tables`` takes its place
     (``pk_column`` = ``a,b``); if there is none, ``is_unique`` stays false."""
-    ranked = _ranked(prof).filter(F.col("rn") <= top)
-    best = ranked.filter(F.col("rn") == 1).select(
+    ranked = _ranked(prof).filter(F.col("rn") <= top).select(
         "table_name", F.col("column_name").alias("pk_column"), F.round("_ratio", 6).alias("uniqueness"),
-        F.col("_lcp").alias("name_match"), (F.col("_ratio") == 1.0).alias("is_unique"))
+        F.col("_lcp").alias("name_match"), (F.col("_ratio") == 1.0).alias("is_unique"), "rn")
     if not tables:
-        return best
-    # ``top`` short rows per table come to the driver
+        return ranked.filter(F.col("rn") == 1).drop("rn")
+    # ``top`` short rows per table come to the driver, so the profile is made once
     columns: dict[str, list] = {}
     for r in ranked.orderBy("table_name", "rn").collect():
         columns.setdefault(r["table_name"], []).append(r)
-    pairs = None
-    for table, cand in columns.items():
-        if cand[0]["_ratio"] == 1.0 or table not in tables:
-            continue
-        for i, (a, b) in enumerate(itertools.combinations([c["column_name"] for c in cand], 2)):
-            one = tables[table].agg(F.count_distinct(F.struct(a, b)).alias("n"), F.count(F.lit(1)).alias("rows")).select(
-                F.lit(table).alias("pair_table"), F.lit(f"{a},{b}").alias("pair"), F.lit(i).alias("i"),
-                (F.col("n") == F.col("rows")).alias("unique"))
-            pairs = one if pairs is None else pairs.unionByName(one)
-    if pairs is None:
+    best = prof.sparkSession.createDataFrame([tuple(cand[0])[:-1] for cand in columns.values()], ranked.drop("rn").schema)
+    pairs = [(table, pair) for table, cand in columns.items() if not cand[0]["is_unique"] and table in tables
+             for pair in itertools.combinations([c["pk_column"] for c in cand], 2)]
+    again = repeated(tables, pairs)
+    unique: dict[str, str] = {}
+    for table, (a, b) in pairs:
+        if (table, (a, b)) not in again:
+            unique.setdefault(table, f"{a},{b}")
+    if not unique:
         return best
-    first = pairs.filter("unique").groupBy("pair_table").agg(F.min_by("pair", "i").alias("pair"))
+    first = prof.sparkSession.createDataFrame(sorted(unique.items()), "pair_table string, pair string")
     out = best.join(F.broadcast(first), F.col("table_name") == F.col("pair_table"), "left")
     found = F.col("pair").isNotNull()
     return out.select("table_name", F.coalesce("pair", "pk_column").alias("pk_column"),
