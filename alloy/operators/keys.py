@@ -5,17 +5,19 @@ holds a known key (it is unique, but not minimal), if it lies in a set known not
 (all eligible columns of a table are tried first), or if the product of its columns' distinct
 counts is below the number of rows. The rest of a level gets approximate distinct counts, one
 scan per table for all of them; only sets whose count may equal the rows are decided exactly,
-by looking for one tuple that repeats.
+by looking for one tuple that repeats: first among the tuples whose hash falls in one slice of
+SLICES, where one repeat settles that a set is no key, then, for the sets without one, among all.
+All tuples of a set move only if it is a key, or nearly.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +25,7 @@ from pyspark.sql import types as T
 KEY_TYPES = (T.IntegralType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
 #: relative deviation of the approximate counts, and how many of them a key may be off
 DEVIATION, DEVIATIONS = 0.02, 6
+SLICES = 64
 KEYS = "table_name string, key_columns string, n_columns int"
 
 Columns = tuple[str, ...]
@@ -45,9 +48,15 @@ def distinct_counts(tables: dict[str, DataFrame], sets: dict[str, Sequence[Colum
 
 def repeated(tables: dict[str, DataFrame], sets: Sequence[tuple[str, Columns]]) -> set[tuple[str, Columns]]:
     """Those of the sets that have a tuple twice (exact; counts are combined map-side)."""
+    found = _repeated(tables, sets, lambda columns: F.pmod(F.xxhash64(*columns), F.lit(SLICES)) == 0)
+    return found | _repeated(tables, [s for s in sets if s not in found], lambda columns: F.lit(True))
+
+
+def _repeated(tables: dict[str, DataFrame], sets: Sequence[tuple[str, Columns]], which: Callable[[Columns], Column]) -> set[tuple[str, Columns]]:
+    """Those of the sets that have a tuple twice among the tuples that ``which`` takes."""
     if not sets:
         return set()
-    parts = [tables[name].groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).select(F.lit(i).alias("i"))
+    parts = [tables[name].filter(which(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).select(F.lit(i).alias("i"))
              for i, (name, columns) in enumerate(sets)]
     return {sets[r["i"]] for r in reduce(DataFrame.unionByName, parts).collect()}
 

@@ -180,3 +180,64 @@ def test_minimal_keys_equal_all_subsets(spark):
     given = {n: spark.read.parquet(f"{SF_SMALL}/{n}.parquet") for n in ("orders", "lineitem", "conversations", "labels", "nation")}
     got = {(r["table_name"], r["key_columns"], r["n_columns"]) for r in K.minimal_keys(given).collect()}
     assert got == {(n, *k) for n, df in given.items() for k in slow_keys(df, 3)}
+
+
+def test_one_slice_settles_what_repeats(spark):
+    """A set with repeats in the first slice of its tuples is not read whole; one repeat outside it is still found."""
+    rows = [(i, i // 2, i) for i in range(4000)]
+    hashes = spark.createDataFrame(rows, "a long, half long, late long").select("late", F.pmod(F.xxhash64("late"), F.lit(K.SLICES)).alias("s"))
+    outside = next(r["late"] for r in hashes.collect() if r["s"] != 0)
+    tables = {"t": spark.createDataFrame([*rows[:-1], (3999, 1999, outside)], "a long, half long, late long")}
+    seen, real = [], K._repeated
+
+    def watched(tables, sets, which):
+        seen.append(list(sets))
+        return real(tables, sets, which)
+
+    K._repeated = watched
+    try:
+        assert K.repeated(tables, [("t", ("a",)), ("t", ("half",)), ("t", ("late",))]) == {("t", ("half",)), ("t", ("late",))}
+    finally:
+        K._repeated = real
+    assert seen == [[("t", ("a",)), ("t", ("half",)), ("t", ("late",))], [("t", ("a",)), ("t", ("late",))]]
+
+
+def test_key_pairs_are_decided_by_slices_and_the_profile_is_made_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(i // 3, i % 3, None if i % 2 else 1) for i in range(300)], "a_id long, b long, c long")
+    prof = P.profile_tables({"t": df}, exact=True)
+    watched = prof.mapInArrow(count, prof.schema)
+    monkeypatch.setattr(P, "repeated", lambda tables, sets: K.repeated(tables, sets))
+    (got,) = P.pk_candidates(watched, {"t": df}).collect()
+    assert (got["pk_column"], got["uniqueness"], got["is_unique"]) == ("a_id,b", 1.0, True)
+    once = made.value
+    P.pk_candidates(watched).collect()
+    assert once == made.value - once
+
+
+def test_derived_supply_tables_are_made_once(spark):
+    from alloy.plans.q_profile import supply_tables
+    for name, df in supply_tables(spark, "/root/testdata/sf0.001").items():
+        assert "Aggregate" not in df._jdf.queryExecution().toString(), name
+
+
+def test_left_joins_of_a_large_snowflake(spark, monkeypatch):
+    """The large dimension of a large dimension is joined there; rows are those of the plain chain."""
+    from alloy.operators import joins as J
+    monkeypatch.setattr(J, "is_small", lambda dim: "p_name" in dim.columns)
+    fact = spark.createDataFrame([(1, 1, 5), (2, 2, 6), (3, None, 5), (4, 9, None), (5, 1, 7)], "f long, a_ref long, p_ref long")
+    a = spark.createDataFrame([(1, 10, "x"), (1, 11, "y"), (2, None, "z"), (None, 10, "n")], "a_id long, b_ref long, a_name string")
+    b = spark.createDataFrame([(10, "b10"), (10, "again"), (None, "none")], "b_id long, b_name string")
+    p = spark.createDataFrame([(5, "five"), (6, "six"), (None, "none")], "p_id long, p_name string")
+    dims = [(a, J.Edge("a_ref", "a_id")), (p, J.Edge("p_ref", "p_id")), (b, J.Edge("b_ref", "b_id"))]
+    got, want = J.enrich(fact, dims), J._chain(fact, dims, "left")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    lines = got._jdf.queryExecution().analyzed().toString().splitlines()
+    depth = {key: next(x.index("Join") for x in lines if "Join" in x and key in x) for key in ("b_id", "a_id", "p_id")}
+    assert depth["b_id"] > depth["a_id"] > depth["p_id"]
