@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from alloy.operators import profile as P
 from alloy.operators import profile_sketches as PS
 from alloy.plans.fixtures import cdc_events, t
 from alloy.plans.registry import query
+from alloy.session import cut_lineage, scratch_path
 
 # Schema of the driver tables (FIXTURES.md part B), used to spell out the SQL twins.
 SCHEMAS = {
@@ -237,7 +239,12 @@ def supply_tables(spark, sf):
         F.col("l_linenumber").alias("line_no"), F.col("l_returnflag").alias("flag"))
     lines = line.select(F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("rf"),
                         (F.col("l_partkey") % 7).alias("lot")).distinct()
-    return {"supply": supply, "shipments": shipments, "lines": lines}
+    # each is scanned several times: they are made once
+    path = scratch_path(spark, f"supply-{uuid.uuid4().hex}")
+    tables = {"supply": supply, "shipments": shipments, "lines": lines}
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+    return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
 
 
 def _composite_sql() -> str:
@@ -320,7 +327,8 @@ def q_profile_merged(spark, sf):
     df = t(spark, sf, PARTED)
     months = PS.profile_parts(df.filter(F.col("l_linestatus") == "O"), F.date_trunc("year", "l_shipdate"))
     rest = PS.profile_parts(df.filter(~F.coalesce(F.col("l_linestatus") == "O", F.lit(False))), F.col("l_linestatus"))
-    found = PS.estimates(PS.merged(PS.merged(months, "open").unionByName(rest)))
+    # one row per column, read twice
+    found = cut_lineage(PS.estimates(PS.merged(PS.merged(months, "open").unionByName(rest))))
     exact = P.profile(df, PARTED, exact=True).select("column_name", F.col("n_distinct").alias("exact"))
     numeric = [c for c, ty in SCHEMAS[PARTED] if ty in NUMERIC]
     middles = {r["column_name"]: r["q50"] for r in found.filter(F.col("q50").isNotNull()).select("column_name", "q50").collect()}
