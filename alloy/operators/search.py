@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloy.operators.windows import top_k_per_group
-from alloy.session import broadcast_if_small, cut_lineage
+from alloy.session import cut_lineage
 
 # ---- fixed values: tokenizer and BM25 parameters ---------------------------------
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 BM25_K1 = 1.2
 BM25_B = 0.75
+# terms of queries up to which they are broadcast, and postings that a task scores
+BROADCAST_TERMS, POSTINGS = 1_000_000, 200_000
 # ---------------------------------------------------------------------------------
 
 
@@ -30,15 +32,21 @@ def bm25_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q
     round(score, 6) desc then doc id.
 
     Plan: N and avgdl are scalar subqueries over per-document token counts; postings are
-    restricted to the query vocabulary by a (size-checked) broadcast semi-join right after
-    tokenising, carrying the document length along, so the full postings list is never
-    shuffled or joined; per-term df over that vocabulary is broadcast back. Scores
-    combine map-side per (query, doc) and the rank-limited top-k is pre-limited map-side,
-    so a hot term or a query with many candidates is never one task.
+    restricted to the query vocabulary by a broadcast semi-join right after tokenising, carrying the
+    document length along, so the full postings list is never shuffled or joined; per-term df over
+    that vocabulary is broadcast back (all behind a count of the query terms, which decides what
+    is broadcast). Postings meet the queries by document, POSTINGS a task, where a (query, doc)
+    has all its terms: tasks grow in number, not in size, and scores are not moved. The rank-limited
+    top-k is pre-limited map-side, so a hot term or a query with many candidates is never one task.
     """
     if filters is not None:
         docs = docs.filter(filters)
-    qterms = queries.select(F.col(q_id).alias("query"), F.explode(tokens(F.col(q_text))).alias("term")).distinct()
+    qterms = cut_lineage(queries.select(F.col(q_id).alias("query"), F.explode(tokens(F.col(q_text))).alias("term")).distinct())
+    few = qterms.count() <= BROADCAST_TERMS
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
     vocab = qterms.select("term").distinct().withColumn("_in", F.lit(True))
     toks = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(doc_text)).alias("_toks"))
     dl = F.when(F.col("_toks").isNull(), F.lit(0)).otherwise(F.size("_toks"))
@@ -46,20 +54,21 @@ def bm25_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q
     # regex evaluation in an inferred size() filter; out-of-vocabulary tokens collapse
     # into one NULL-term row per document
     tagged = (toks.select("doc", dl.alias("dl"), F.explode_outer("_toks").alias("term"))
-              .join(broadcast_if_small(vocab), "term", "left")
+              .join(small(vocab), "term", "left")
               .select("doc", "dl", F.when(F.col("_in"), F.col("term")).alias("term")))
     post_all = cut_lineage(tagged.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     per_doc = post_all.groupBy("doc").agg(F.max("dl").alias("dl"))
     n_docs = per_doc.agg(F.count(F.lit(1))).scalar()
     avgdl = per_doc.agg(F.avg("dl")).scalar()
     post = post_all.filter(F.col("term").isNotNull())
+    tasks = max(1, -(-post.count() // POSTINGS))
     dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weights = (post.join(broadcast_if_small(dfreq), "term")
+    weights = (post.repartition(tasks, "doc").join(small(dfreq), "term")
                .withColumn("w", idf * F.col("tf") * F.lit(k1 + 1) / (
                    F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl)))
                .select("term", "doc", "w"))
-    hits = weights.join(broadcast_if_small(qterms), "term")
+    hits = weights.join(small(qterms), "term")
     scores = hits.groupBy("query", "doc").agg(F.sum("w").alias("_s")).withColumn("score", F.round("_s", 6))
     top = top_k_per_group(scores, ["query"], [F.col("score").desc(), F.col("doc").asc()], k)
     return top.select(F.col("query").alias(q_id), F.col("doc").alias(doc_id), "score", "rank")
