@@ -11,8 +11,10 @@ blocks that share pivots; then the members outside the first pivot's component m
 block by block, two blocks a group, so that no group grows with the node.
 
 Comparing uses 128-value sketches. Of a node's candidate pairs the heaviest spanning forest is
-confirmed on the full shingle sets, then the other pairs whose ends still lie in different
-components, so a group of copies gives rows in proportion to its size; components come from
+confirmed on the full shingle sets. What other pairs join between different components goes on as
+members, not as pairs: the task of each such part holds all its pairs against each other on the full
+sets and returns the links that join components, so any group, of copies or of texts that are
+half alike, gives rows in proportion to its size; components come from
 alternating large-star and small-star steps. A pair at the threshold misses one choice with
 probability 1/4, and 12 root choices meet it with probability 1 - 6e-8; below the root two
 choices a node keep a pair with probability 0.89 in each of the six trees, so that all six lose
@@ -28,15 +30,17 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alloy.llm.common import (join_hot, mixed, run_hashes, space_words, staged, text_or_empty, text_slices,
-                              word_hashes)
+from alloy.llm.common import (SLICE_BYTES, join_hot, mixed, run_hashes, space_words, staged, text_or_empty,
+                              text_slices, word_hashes)
 
 SHINGLE = 5
 #: links: 100 * intersection >= PERCENT * union
@@ -232,10 +236,9 @@ def block_pairs(dense: DataFrame, out: DataFrame) -> DataFrame:
     return dealt(dense, "own", "out").unionByName(dealt(out, "out", "own")).distinct()
 
 
-def candidate_pairs(groups: DataFrame, classes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Candidates ``a, b`` of the groups ``grp, key``, each pair once: the heaviest spanning
-    forest of each group's candidate pairs, or, with the components ``roots`` (key, root) found
-    so far, all candidate pairs between different components."""
+def with_sketches(groups: DataFrame, classes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """``grp, key, sketch, root`` by group; with the components ``roots`` (key, root) found so far,
+    only of groups that hold several."""
     sketch = classes.select("key", "sketch")
     if roots is None:
         rows = groups.join(sketch, "key").withColumn("root", F.col("key"))
@@ -243,37 +246,67 @@ def candidate_pairs(groups: DataFrame, classes: DataFrame, roots: DataFrame | No
         rows = groups.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         several = (rows.groupBy("grp").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("grp"))
         rows = rows.join(several, "grp", "left_semi").join(sketch, "key")
-    rows = rows.select("grp", "key", "sketch", "root").repartition("grp").sortWithinPartitions("grp", "key")
-    forest = roots is None
+    return rows.select("grp", "key", "sketch", "root").repartition("grp").sortWithinPartitions("grp", "key")
+
+
+def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns after the first of each run of rows with one first value."""
+    now, held = None, []
+    for batch in batches:
+        for grp, *row in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True):
+            if grp != now:
+                if held:
+                    yield [list(c) for c in zip(*held, strict=True)]
+                now, held = grp, []
+            held.append(row)
+    if held:
+        yield [list(c) for c in zip(*held, strict=True)]
+
+
+def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
+PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+MEMBER = pa.schema([("grp", pa.int64()), ("key", pa.binary()), ("root", pa.binary())])
+
+
+def candidate_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """The heaviest spanning forest ``a, b`` of the candidate pairs of each group ``grp, key``, each
+    pair once."""
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for keys, marks, _ in by_group(batches):
+            if len(keys) > 1:
+                for i, j in spanning_forest(marks_of(marks)):
+                    yield min(keys[i], keys[j]), max(keys[i], keys[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, marks, owners = None, [], [], []
-        found: list[tuple[bytes, bytes]] = []
+        yield from batches_of(pairs(batches), PAIR)
 
-        def compare() -> None:
+    return with_sketches(groups, classes).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def undecided(groups: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``grp, key, root``: what candidate pairs between different components ``roots`` join within a
+    group ``grp, key``. A row for each member, however many pairs it is in; parts with the same
+    members have one ``grp`` and are kept once."""
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for keys, marks, owners in by_group(batches):
             if len(keys) > 1:
-                values = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, SKETCH)
-                for i, j in spanning_forest(values) if forest else between(values, owners):
-                    found.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+                for part in joined(across(marks_of(marks), owners)):
+                    own = [keys[i] for i in part]
+                    grp = xxhash.xxh3_64_intdigest(b"".join(own)) - (1 << 63)
+                    yield from ((grp, keys[i], owners[i]) for i in part)
 
-        def batch_of() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
-            found.clear()
-            return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(members(batches), MEMBER)
 
-        for batch in batches:
-            for grp, key, mark, owner in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True):
-                if grp != now:
-                    compare()
-                    now, keys, marks, owners = grp, [], [], []
-                keys.append(key)
-                marks.append(mark)
-                owners.append(owner)
-            yield batch_of()
-        compare()
-        yield batch_of()
+    return with_sketches(groups, classes, roots).mapInArrow(run, "grp long, key binary, root binary").distinct()
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+
+def marks_of(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
 
 
 def likenesses(marks: np.ndarray) -> np.ndarray:
@@ -303,13 +336,29 @@ def spanning_forest(marks: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def across(marks: np.ndarray, roots: list[bytes]) -> np.ndarray:
+    """Whether two members are a candidate pair whose ends have different roots."""
+    _, part = np.unique(np.array(roots, object), return_inverse=True)
+    return (likenesses(marks) >= LEAST_LIKENESS) & (part[:, None] != part[None, :])
+
+
 def between(marks: np.ndarray, roots: list[bytes]) -> list[tuple[int, int]]:
     """The candidate pairs whose ends have different roots."""
-    _, part = np.unique(np.array(roots, object), return_inverse=True)
-    a, b = np.nonzero(np.triu(likenesses(marks) >= LEAST_LIKENESS, 1) & (part[:, None] != part[None, :]))
+    a, b = np.nonzero(np.triu(across(marks, roots), 1))
     return list(zip(a.tolist(), b.tolist(), strict=True))
 
 
+def joined(pairs: np.ndarray) -> list[list[int]]:
+    """The connected parts of a symmetric matrix of pairs; those without a pair are left out."""
+    n = len(pairs)
+    least, before = np.arange(n), None
+    while before is None or (least != before).any():
+        before = least
+        least = np.minimum(least, np.where(pairs, least[None, :], n).min(1))
+    some = np.flatnonzero(pairs.any(1))
+    return [some[least[some] == x].tolist() for x in np.unique(least[some])]
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets are similar enough; ``texts``: key, packed."""
     rows = (pairs.select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("packed").alias("text_a")), "a")
@@ -340,6 +389,55 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def linked_within(groups: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links ``a, b`` between different roots: all pairs of each group ``grp, key, root`` are held
+    against each other on their full shingle sets, and of the links those that join parts not
+    joined yet are returned, less than the group has members. ``texts``: key, packed."""
+    rows = (groups.join(texts, "key").select("grp", "key", "root", "packed").repartition("grp").sortWithinPartitions("grp", "key"))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        unpack = zstandard.ZstdDecompressor()
+
+        def sets_of(packed: list[bytes]) -> list[np.ndarray]:
+            return list(shingle_sets(pa.array([unpack.decompress(p).decode() for p in packed], pa.large_string())))
+
+        for keys, owners, packed in by_group(batches):
+            _, part = np.unique(np.array(owners, object), return_inverse=True)
+            sizes = np.cumsum([zstandard.frame_content_size(p) for p in packed]) // SLICE_BYTES
+            cuts = np.flatnonzero(np.diff(sizes, prepend=-1, append=-1)).tolist()
+            blocks = list(zip(cuts[:-1], cuts[1:], strict=True))
+            for n, (start, stop) in enumerate(blocks):
+                own = sets_of(packed[start:stop])
+                for first, last in blocks[n:]:
+                    if (part[start:stop] == part[start]).all() and (part[first:last] == part[start]).all():
+                        continue
+                    others = own if first == start else sets_of(packed[first:last])
+                    for i, like in enumerate(similar(own, others, percent), start):
+                        while (new := np.flatnonzero(like & (part[first:last] != part[i]))).size:
+                            j = first + int(new[0])
+                            yield min(keys[i], keys[j]), max(keys[i], keys[j])
+                            part[part == part[j]] = part[i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(links(batches), PAIR)
+
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def similar(own: list[np.ndarray], others: list[np.ndarray], percent: int) -> Iterator[np.ndarray]:
+    """For each set of ``own``, which of ``others`` (none is empty) are similar enough."""
+    sizes = np.array([len(x) for x in others])
+    starts = np.cumsum(sizes) - sizes
+    values, codes = np.unique(np.concatenate(others), return_inverse=True)
+    for one in own:
+        at = np.searchsorted(values, one)
+        at[at == len(values)] = 0
+        found = np.zeros(len(values), bool)
+        found[at[values[at] == one]] = True
+        both = np.add.reduceat(found[codes], starts, dtype=np.int64)
+        yield 100 * both >= percent * (len(one) + sizes - both)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``key, root`` (the least key of its component) of every end of a link ``a, b``, by
     alternating large-star and small-star steps."""
@@ -362,10 +460,14 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def packed_texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``key, packed``: the compressed text of each class that is an end of a pair."""
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    some = classes.select(F.col("doc_id").alias("lender"), "key").join(ends, "key", "left_semi")
+def ends(pairs: DataFrame) -> DataFrame:
+    """``key`` of both ends of each pair."""
+    return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+
+
+def packed_texts(rows: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key, packed``: the compressed text of each class of ``keys`` (key, may repeat)."""
+    some = classes.select(F.col("doc_id").alias("lender"), "key").join(keys.distinct(), "key", "left_semi")
     texts = rows.join(some, F.col("doc_id").eqNullSafe(F.col("lender"))).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,17 +488,20 @@ def link_classes(classes: DataFrame, rows: DataFrame, percent: int = PERCENT) ->
     leaves, dense = tree_groups(classes)
     groups = leaves if dense is None else staged(leaves.unionByName(blocks(dense)), "groups")
     tried = staged(candidate_pairs(groups, classes), "pairs")
-    links = staged(confirmed(tried, packed_texts(rows, classes, tried), percent), "links")
+    # a member that has a candidate in its group is an end of the group's forest, so later steps need
+    # no other texts than these
+    keys = ends(tried) if dense is None else ends(tried).unionByName(dense.select("key"))
+    texts = packed_texts(rows, classes, keys)
+    links = staged(confirmed(tried, texts, percent), "links")
     roots = staged(components(links), "roots")
 
     def join_more(groups: DataFrame) -> None:
-        """Confirm what is left between components, and join those that it links."""
-        nonlocal tried, links, roots
-        late = staged(candidate_pairs(groups, classes, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
+        """Decide what is left between components, and join those that it links."""
+        nonlocal links, roots
+        late = staged(undecided(groups, classes, roots), "undecided")
         if not late.take(1):
             return
-        more = staged(confirmed(late, packed_texts(rows, classes, late), percent), "links")
-        tried = tried.unionByName(late)
+        more = staged(linked_within(late, texts, percent), "links")
         if more.take(1):
             links = links.unionByName(more)
             roots = staged(components(links), "roots")

@@ -282,6 +282,29 @@ def test_pairs_far_below_the_threshold_are_candidates():
     assert near_dedup.between(marks, [b"a", b"b", b"c"]) == [(0, 1)]
 
 
+def test_undecided_members_go_on_as_members(spark, monkeypatch):
+    """Texts that are half alike but not linked: rows in proportion to the members, not to their pairs;
+    two groups with the same members are decided once, and large texts in blocks give the same links."""
+    rng = random.Random(4)
+    shared = [f"c{i}" for i in range(170)]
+    texts = [" ".join(shared + [f"o{i}x{j}" for j in range(50)]) for i in range(40)]
+    for i in range(0, 10, 2):
+        texts[i + 1] = texts[i].replace(f"o{i}x{rng.randrange(49)} ", "")
+    sketch = near_dedup.sketches(rows(spark, list(enumerate(texts)))).filter("key is not null")
+    classes = common.staged(sketch, "sketches")
+    keys = [bytes(r["key"]) for r in classes.select("key").collect()]
+    groups = spark.createDataFrame([(g, bytearray(k)) for g in (1, 2) for k in keys] + [(3, bytearray(keys[0]))], "grp long, key binary")
+    roots = classes.select("key", F.col("key").alias("root"))
+    late = near_dedup.undecided(groups, classes, roots)
+    assert late.count() == len(keys) == 40
+    packed = near_dedup.packed_texts(rows(spark, list(enumerate(texts))), classes, late.select("key"))
+    own = {r["doc_id"]: bytes(r["key"]) for r in classes.collect()}
+    want = {tuple(sorted((own[i], own[i + 1]))) for i in range(0, 10, 2)}
+    for size in (near_dedup.SLICE_BYTES, 3000):
+        monkeypatch.setattr(near_dedup, "SLICE_BYTES", size)
+        assert {(bytes(r["a"]), bytes(r["b"])) for r in near_dedup.linked_within(late, packed).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
     got = {bytes(r["key"]): bytes(r["root"]) for r in near_dedup.components(links).collect()}
