@@ -11,11 +11,13 @@ takes its share of the texts through Adam steps from the common weights, and Spa
 the tasks' weights by their number of words, round after round. Of R rounds, round r masks the
 words r, r + R, r + 2R, ... of each document, so that every word of the corpus is the masked one
 once. A document's score is the sum over all its words of
-log P(word | words on both sides) = log P(class | both sides) + log P(word | class); the counts
-are joined in Spark, a row for each distinct word of a slice of texts.
+log P(word | words on both sides) = log P(class | both sides) + log P(word | class); the counts of
+at most ``FREQUENT`` frequent words are with every task, those of all other words are joined in
+Spark, a row for each distinct word of a slice of texts.
 
-Only the class words, the totals of the classes and the averaged weights reach the driver, sizes
-that grow with the logarithm of the corpus; the word counts stay in a table. Defined results: NULL text is empty; a text without words has 0 tokens, score 0
+Only the class words, the frequent words, the totals of the classes and the averaged weights reach
+the driver, sizes that are fixed or grow with the logarithm of the corpus; the word counts stay in a
+table. Defined results: NULL text is empty; a text without words has 0 tokens, score 0
 and NULL mean; words outside the text count as padding; a corpus without words gives the
 uniform model; rows are scored one by one, repeated or without id; an empty table gives no rows; columns
 other than id and text, whatever their names, are ignored. Words of equal counts are ranked by the
@@ -30,6 +32,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,6 +54,8 @@ STEP_WORDS = 512
 RATE = 0.005
 #: words that are scored together
 TOGETHER = 1024
+#: words, at most, whose counts every task has
+FREQUENT = 1 << 18
 
 
 def shapes(n_classes: int) -> tuple[tuple[int, ...], ...]:
@@ -69,23 +74,39 @@ def class_words(total: int) -> int:
 class MaskedLm:
     """``words``: class words in order (classes 1, 2, ...); ``weights``: arrays of ``shapes``;
     ``unseen``: by class, log P(word | class) of a word that the corpus lacks; ``counts``: the
-    table ``word, n`` of all words (left out where tasks need the model)."""
+    table ``word, n`` of all words (left out where tasks need the model); ``frequent``: the rows of
+    that table which tasks have."""
     words: list[str]
     weights: list[np.ndarray]
     unseen: np.ndarray | None = None
     counts: DataFrame | None = None
+    frequent: pa.Table | None = None
 
     @property
     def first_ending(self) -> int:
         return len(self.weights[4]) - N_ENDINGS
 
-    def word_classes(self, words: list[str]) -> np.ndarray:
-        known, first = {w: i + 1 for i, w in enumerate(self.words)}, self.first_ending
-        return np.fromiter((known.get(w) or first + xxhash.xxh3_64_intdigest(w[-3:]) % N_ENDINGS for w in words), np.int64, len(words))
-
-    def classes(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of all words with padding between texts, and where the words are."""
-        by_code = self.word_classes(words.distinct.tolist())
+    def word_classes(self, words: list[str] | np.ndarray) -> np.ndarray:
+        texts, first = pa.array(words, pa.string()), self.first_ending
+        endings = pc.utf8_slice_codeunits(texts, -3).dictionary_encode()
+        by_ending = np.array([first + xxhash.xxh3_64_intdigest(e) % N_ENDINGS for e in endings.dictionary.to_pylist()], np.int64)
+        own = pc.fill_null(pc.index_in(texts, pa.array(self.words, pa.string())), -1).to_numpy(zero_copy_only=False)
+        return np.where(own >= 0, own + 1, by_ending[endings.indices.to_numpy()])
+
+    def frequent_shares(self, words: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | class) of the frequent words (0 for all others), and which words have it."""
+        if self.frequent is None or not len(words):
+            return np.zeros(len(words)), np.zeros(len(words), bool)
+        own = pc.index_in(pa.array(words, pa.string()), self.frequent.column("word").combine_chunks())
+        n = pc.fill_null(self.frequent.column("n").combine_chunks().take(own), -1).to_numpy(zero_copy_only=False)
+        found = (n >= 0) & (classes >= self.first_ending)
+        return np.where(found, np.log1p(np.maximum(n, 0)) + self.unseen[classes], 0.0), found
+
+    def classes(self, words: Words, by_code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of all words with padding between texts, and where the words are; ``by_code``: the
+        classes of the distinct words, where they are known."""
+        if by_code is None:
+            by_code = self.word_classes(words.distinct)
         sizes = np.diff(words.ends, prepend=0)
         at = np.arange(len(words.codes)) + SIDE * (1 + np.repeat(np.arange(len(sizes)), sizes))
         out = np.zeros(len(words.codes) + SIDE * (1 + len(sizes)), np.int64)
@@ -100,31 +121,40 @@ class MaskedLm:
         adds[0] = adds[0] + bias
         large = np.abs(prior).max() + np.abs(outer).sum(0).max() > 60  # scores that exp may not take
         out = np.empty(len(at), np.float64)
+        ones = np.ones(len(prior), np.float32)
         for i in range(0, len(at), TOGETHER):
             own = at[i:i + TOGETHER]
-            hidden = adds[0][classes[own + OFFSETS[0]]]
+            hidden = adds[0].take(classes[own + OFFSETS[0]], 0)
             for add, o in zip(adds[1:], OFFSETS[1:], strict=True):
-                hidden += add[classes[own + o]]
+                hidden += add.take(classes[own + o], 0)
             scores = np.tanh(hidden, out=hidden) @ outer
             scores += prior
             if large:
                 scores -= scores.max(1, keepdims=True)
             right = scores[np.arange(len(own)), classes[own]]
-            out[i:i + TOGETHER] = right - np.log(np.exp(scores, out=scores).sum(1))
+            out[i:i + TOGETHER] = right - np.log(np.exp(scores, out=scores) @ ones)
         return out
 
 
+def split(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    cuts = np.cumsum([w.size for w in like])[:-1]
+    return [x.reshape(w.shape) for x, w in zip(np.split(flat, cuts), like, strict=True)]
+
+
 class Adam:
+    """``weights`` are views of ``flat``, which is updated as a whole."""
+
     def __init__(self, weights: list[np.ndarray]):
-        self.weights = [w.copy() for w in weights]
-        self.mean, self.square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+        self.flat = np.concatenate([w.ravel() for w in weights])
+        self.weights = split(self.flat, weights)
+        self.mean, self.square = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.steps = 0
 
     def step(self, classes: np.ndarray, at: np.ndarray) -> None:
         embed, inner, bias, outer, prior = self.weights
         n = len(at)
         sides = np.stack([classes[at + o] for o in OFFSETS], 1)
-        x = embed[sides].reshape(n, -1)
+        x = embed.take(sides.ravel(), 0).reshape(n, -1)
         hidden = np.tanh(x @ inner + bias)
         scores = hidden @ outer
         scores += prior
@@ -135,17 +165,17 @@ class Adam:
         wrong[np.arange(n), classes[at]] -= 1 / n
         back = (wrong @ outer.T) * (1 - hidden * hidden)
         # the rows of each class added up: sorted by class, then summed run by run
-        order = np.argsort(sides.ravel(), kind="stable")
-        owners = sides.ravel()[order]
+        owners = sides.ravel().astype(np.int16)
+        order = np.argsort(owners, kind="stable")
+        owners = owners[order]
         starts = np.flatnonzero(np.diff(owners, prepend=-1))
         embed_grad = np.zeros_like(embed)
-        embed_grad[owners[starts]] = np.add.reduceat((back @ inner.T).reshape(-1, EMBED)[order], starts)
-        grads = [embed_grad, x.T @ back, back.sum(0), hidden.T @ wrong, wrong.sum(0)]
+        embed_grad[owners[starts]] = np.add.reduceat((back @ inner.T).reshape(-1, EMBED).take(order, 0), starts)
+        g = np.concatenate([x.ravel() for x in (embed_grad, x.T @ back, back.sum(0), hidden.T @ wrong, wrong.sum(0))])
         self.steps += 1
-        for w, g, m, s in zip(self.weights, grads, self.mean, self.square, strict=True):
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            w -= RATE * (m / (1 - 0.9 ** self.steps)) / (np.sqrt(s / (1 - 0.99 ** self.steps)) + 1e-8)
+        self.mean += 0.1 * (g - self.mean)
+        self.square += 0.01 * (g * g - self.square)
+        self.flat -= RATE * (self.mean / (1 - 0.9 ** self.steps)) / (np.sqrt(self.square / (1 - 0.99 ** self.steps)) + 1e-8)
 
 
 def lower_words(texts: pa.Array) -> Words:
@@ -212,7 +242,7 @@ def train_round(rows: DataFrame, model: MaskedLm, round_: int, rounds: int) -> M
                 adam.step(classes, at[i:i + STEP_WORDS])
             seen += len(at)
         if seen:
-            flat = np.concatenate([w.ravel() for w in adam.weights]).astype(np.float64) * seen
+            flat = adam.flat.astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, seen))], ["place", "value"])
 
     sums = rows.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
@@ -220,8 +250,7 @@ def train_round(rows: DataFrame, model: MaskedLm, round_: int, rounds: int) -> M
         return model
     flat = sums.sort_values("place")["value"].to_numpy()
     flat = (flat[:-1] / flat[-1]).astype(np.float32)
-    cuts = np.cumsum([w.size for w in model.weights])[:-1]
-    return replace(model, weights=[x.reshape(w.shape) for x, w in zip(np.split(flat, cuts), model.weights, strict=True)])
+    return replace(model, weights=split(flat, model.weights))
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -234,7 +263,20 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: i
     model = first_model(counts)
     for round_ in range(rounds):
         model = train_round(rows, model, round_, rounds)
-    return replace(model, counts=counts)
+    return replace(model, counts=counts, frequent=frequent_words(counts))
+
+
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> pa.Table:
+    """``word, n`` of all words with at least 2^k occurrences, for the least k that leaves at most
+    ``most`` words."""
+    digits = F.length(F.bin("n"))
+    least, total = 64, 0
+    for r in counts.groupBy(digits.alias("digits")).count().orderBy(F.desc("digits")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        least = r["digits"]
+    return counts.filter(digits >= least).select("word", "n").toArrow()
 
 
 def word_owners(words: Words, plain: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
@@ -262,12 +304,13 @@ def score(df: DataFrame, model: MaskedLm, id_col: str = "doc_id", text_col: str
         first = TaskContext.get().partitionId() << 33  # rows are numbered, as ids may repeat
         for batch in (part for whole in batches for part in text_slices(whole)):
             words = lower_words(batch.column(1))
-            sums = np.concatenate([[0.0], np.cumsum(net.log_probs(*net.classes(words)))])
+            classes = net.word_classes(words.distinct)
+            shares, known = net.frequent_shares(words.distinct, classes)
+            sums = np.concatenate([[0.0], np.cumsum(net.log_probs(*net.classes(words, classes)) + shares[words.codes])])
             starts, ends = np.concatenate([[0], words.ends[:-1]]), words.ends
             yield batch_of(batch.num_rows, row=pa.array(first + np.arange(batch.num_rows)), doc_id=batch.column(0),
                            n_tokens=pa.array(ends - starts, pa.int64()), total=pa.array(sums[ends] - sums[starts]))
-            classes = net.word_classes(words.distinct.tolist())
-            found, texts = word_owners(words, classes >= net.first_ending)
+            found, texts = word_owners(words, (classes >= net.first_ending) & ~known)
             yield batch_of(len(found), row=pa.array(np.full(len(found), first)), word=pa.array(words.distinct[found], pa.string()),
                            unseen=pa.array(net.unseen[classes[found]]), texts=texts)
             first += batch.num_rows

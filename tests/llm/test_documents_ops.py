@@ -1,5 +1,6 @@
 """Operators on single documents against brute-force versions."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -529,3 +530,19 @@ def test_each_words_own_probability_counts(spark):
 
 def test_vocabulary_paths():
     assert vocabulary("byte_bpe_50k.json") == str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_frequent_words_are_scored_in_tasks(spark):
+    """Only words that tasks lack are joined, and the scores are those of the join of all words."""
+    texts = [" ".join(f"w{j}" for j in range(i, 400, i % 7 + 1)) for i in range(12)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None])], "doc_id long, text string")
+    model = pseudo_lm.fit(df, rounds=0)
+    few = pseudo_lm.frequent_words(model.counts, 300)
+    n = {r["word"]: r["n"] for r in model.counts.collect()}
+    got = dict(zip(*(c.to_pylist() for c in few.columns), strict=True))
+    assert 0 < len(got) <= 300 < len(n) == len(model.frequent) == 400
+    assert got == {w: k for w, k in n.items() if k >= min(got.values())}
+    want = pseudo_lm.score(df, dataclasses.replace(model, frequent=None)).orderBy("doc_id").collect()
+    for known in (model.frequent, few):
+        for a, b in zip(pseudo_lm.score(df, dataclasses.replace(model, frequent=known)).orderBy("doc_id").collect(), want, strict=True):
+            assert a[:2] == b[:2] and a["pseudo_log_likelihood"] == pytest.approx(b["pseudo_log_likelihood"], rel=1e-9)
