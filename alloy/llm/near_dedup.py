@@ -6,16 +6,17 @@ two chosen minwise tokens, named after the token's value, so two sets of similar
 again in a child with probability s for each choice. No path uses a token twice. Nodes of at
 most ``LEAF`` members are compared exhaustively. A larger node is dense if a sample shows that
 most of its members are as like to one of a few pivots as linked sets are, so that branching
-would not part it (nodes without tokens left are treated alike): its members are compared in
-blocks that share pivots; then the members outside the first pivot's component meet all members,
-block by block, two blocks a group, so that no group grows with the node.
+would not part it (nodes without tokens left are treated alike). Dense nodes with nearly the same
+members are one. Their members are compared in blocks that share pivots; then the members outside
+the node's largest component meet all members, block by block, two blocks a group, so that no group
+grows with the node. Nodes of up to ``SUBTREE`` members are branched to their leaves by one task.
 
 Comparing uses 128-value sketches. Of a node's candidate pairs the heaviest spanning forest is
 confirmed on the full shingle sets. What other pairs join between different components goes on as
 members, not as pairs: the task of each such part holds all its pairs against each other on the full
 sets and returns the links that join components, so any group, of copies or of texts that are
 half alike, gives rows in proportion to its size; components come from
-alternating large-star and small-star steps. A pair at the threshold misses one choice with
+alternating large-star and small-star steps, few links are joined by one task. A pair at the threshold misses one choice with
 probability 1/4, and 12 root choices meet it with probability 1 - 6e-8; below the root two
 choices a node keep a pair with probability 0.89 in each of the six trees, so that all six lose
 it with probability 0.11 ** 6 = 1.8e-6. All trees use one sketch, which loses 3.4e-10 more.
@@ -63,8 +64,14 @@ SAMPLE = 256
 #: probability 3.4e-10: at most 63 of 128 values agree)
 LEAST_LIKENESS = 0.5
 MULTIPLIERS = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
-#: shingles that are hashed together
-TOGETHER = 4096
+#: shingles that are hashed together: their hashes stay in a core's cache
+TOGETHER = 256
+#: members of a dense node of which one names it
+HUBS = 8
+#: members up to which a large node is branched to its leaves by one task
+SUBTREE = 1 << 15
+#: links up to which components are joined by one task
+FEW_LINKS = 1 << 18
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -162,6 +169,49 @@ def dense_nodes(members: DataFrame, classes: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "node long")
 
 
+NODE = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("key", pa.binary())])
+
+
+def subtrees(nodes: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+    """Nodes ``node, used, look, key`` of depth ``depth`` branched as ``branch`` does, each by one
+    task: ``node, size, key`` of their leaves and dense nodes, those with the same members once."""
+    rows = (nodes.join(classes.select("key", "tokens", "sketch"), "key").select("node", "key", "tokens", "sketch", "used", "look")
+            .repartition("node").sortWithinPartitions("node", "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members() -> Iterator[tuple]:
+            for node, (keys, tokens, marks, used, look) in by_group(batches, named=True):
+                found = ends_of_tree(node, int(used[0]), bool(look[0]), depth, np.stack(tokens), marks_of(marks))
+                yield from ((name, len(own), keys[i]) for name, own in found for i in own.tolist())
+
+        yield from batches_of(members(), NODE)
+
+    return rows.mapInArrow(run, "node long, size long, key binary")
+
+
+def ends_of_tree(node: int, used: int, look: bool, depth: int, tokens: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The leaves and dense nodes below a node and their members; leaves have at most LEAF."""
+    todo, seen = [(node, used, look, depth, np.arange(len(tokens)))], set()
+    while todo:
+        node, used, look, depth, own = todo.pop()
+        if len(own) > LEAF and depth < MAX_DEPTH:
+            some = np.random.default_rng(node & (1 << 64) - 1).permutation(own)[:SAMPLE] if look else own[:0]
+            if not alike(marks[some]):
+                unused = [i for i in range(ROOT_CHOICES, TOKENS) if not used >> i & 1]
+                for choice in np.random.default_rng([node & (1 << 64) - 1, 1]).permutation(unused)[:2].tolist():
+                    order = own[np.argsort(tokens[own, choice], kind="stable")]
+                    values, starts = np.unique(tokens[order, choice], return_index=True)
+                    for value, part in zip(values.tolist(), np.split(order, starts[1:]), strict=True):
+                        if len(part) > 1:
+                            name = xxhash.xxh3_64_intdigest(np.array([node, choice, value], np.int64).tobytes()) - (1 << 63)
+                            todo.append((name, used | 1 << choice, len(part) >= LOOK * len(own), depth + 1, part))
+                continue
+        members = xxhash.xxh3_128_digest(own.tobytes())
+        if members not in seen:
+            seen.add(members)
+            yield node, own
+
+
 def tree_groups(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The small nodes of all trees as ``grp, key``, and the dense ones as ``node, size, key``."""
     tokens = classes.select("key", "tokens")
@@ -175,8 +225,10 @@ def tree_groups(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             sizes = sizes.withColumn("whole", F.lit(1 << 62))
         else:
             sizes = sizes.join(above.select(F.col("node").alias("parent"), F.col("size").alias("whole")), "parent")
+        look = F.col("size") >= LOOK * F.col("whole")
         kind = (F.when(F.col("size") <= LEAF, F.lit("leaf")).when(F.lit(depth == MAX_DEPTH), F.lit("dense"))
-                .when(F.col("size") >= LOOK * F.col("whole"), F.lit("look")).otherwise(F.lit("big")))
+                .when(F.col("size") <= SUBTREE, F.when(look, F.lit("subtree, look")).otherwise(F.lit("subtree")))
+                .when(look, F.lit("look")).otherwise(F.lit("big")))
         sizes = staged(sizes.select("node", "size", "used", kind.alias("kind")), "sizes")
         kinds = {r["kind"] for r in sizes.select("kind").distinct().collect()}
         if "look" in kinds:
@@ -190,6 +242,11 @@ def tree_groups(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             leaves.append(staged(member.filter("kind = 'leaf'").select(F.col("node").alias("grp"), "key"), "leaves"))
         if "dense" in kinds:
             dense.append(staged(member.filter("kind = 'dense'").select("node", "size", "key"), "dense"))
+        if kinds & {"subtree", "subtree, look"}:
+            small = member.filter("kind like 'subtree%'").select("node", "used", (F.col("kind") != "subtree").alias("look"), "key")
+            found = staged(subtrees(small, classes, depth), "subtrees")
+            leaves.append(found.filter(F.col("size") <= LEAF).select(F.col("node").alias("grp"), "key"))
+            dense.append(found.filter(F.col("size") > LEAF))
         if "big" not in kinds:
             break
         above = sizes.filter("kind = 'big'").select("node", "size")
@@ -202,7 +259,22 @@ def tree_groups(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         return out
 
     empty = classes.select(F.lit(0).cast("long").alias("grp"), "key").limit(0)
-    return together(leaves) if leaves else empty, together(dense)
+    found = together(dense)
+    return together(leaves) if leaves else empty, found if found is not None and found.take(1) else None
+
+
+def merged(dense: DataFrame) -> DataFrame:
+    """Dense nodes ``node, size, key`` with one hub as one node. A node's hub is that of its least
+    members by HUBS hashes which most nodes have. The nodes that a group of like texts makes in all
+    trees have nearly the same members, so most of them have the same hub, and the group is compared
+    once or twice instead of once for each node."""
+    least = dense.groupBy("node").agg(F.array(*(F.min(F.xxhash64("key", F.lit(i))) for i in range(HUBS))).alias("hubs"))
+    least = staged(least.select("node", F.explode("hubs").alias("hub")), "hubs")
+    often = least.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    hubs = least.join(often, "hub").groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+    members = dense.join(hubs, "node").select(F.col("hub").alias("node"), "key").distinct()
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    return staged(members.join(sizes, "node").select("node", "size", "key"), "merged")
 
 
 def blocks(dense: DataFrame) -> DataFrame:
@@ -249,18 +321,22 @@ def with_sketches(groups: DataFrame, classes: DataFrame, roots: DataFrame | None
     return rows.select("grp", "key", "sketch", "root").repartition("grp").sortWithinPartitions("grp", "key")
 
 
-def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
-    """The columns after the first of each run of rows with one first value."""
+def by_group(batches: Iterator[pa.RecordBatch], named: bool = False) -> Iterator:
+    """The columns after the first of each run of rows with one first value; ``named``: with that value."""
+    def columns() -> list[list] | tuple:
+        own = [list(c) for c in zip(*held, strict=True)]
+        return (now, own) if named else own
+
     now, held = None, []
     for batch in batches:
         for grp, *row in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True):
             if grp != now:
                 if held:
-                    yield [list(c) for c in zip(*held, strict=True)]
+                    yield columns()
                 now, held = grp, []
             held.append(row)
     if held:
-        yield [list(c) for c in zip(*held, strict=True)]
+        yield columns()
 
 
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -310,9 +386,9 @@ def marks_of(sketches: list[bytes]) -> np.ndarray:
 
 
 def likenesses(marks: np.ndarray) -> np.ndarray:
-    like = np.zeros((len(marks), len(marks)), np.float32)
+    like, values = np.zeros((len(marks), len(marks)), np.float32), np.ascontiguousarray(marks.T)
     for i, own in enumerate(marks):
-        like[i] = (marks == own).mean(1)
+        like[i] = (values == own[:, None]).sum(0, dtype=np.uint8) / np.float32(SKETCH)
     np.fill_diagonal(like, 0)
     return like
 
@@ -367,22 +443,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        held: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in (part for whole in batches for part in text_slices(whole, 2)):
+        for batch in (part for whole in batches for part in text_slices(whole, 2, SLICE_BYTES >> 3)):
+            a, b, text_a, text_b = (c.to_pylist() for c in batch.columns)
+            packed = dict(zip(a + b, text_a + text_b, strict=True))
+            texts = pa.array([unpack.decompress(t).decode() for t in packed.values()], pa.large_string())
+            sets = dict(zip(packed, shingle_sets(texts), strict=True))
             kept = []
-            for i, (a, b, text_a, text_b) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                one, other = ((k, t) for k, t in ((a, text_a), (b, text_b)))
-                sets = []
-                for key, packed in (one, other):
-                    if key != held[0]:
-                        (found,) = shingle_sets(pa.array([unpack.decompress(packed).decode()], pa.large_string()))
-                        if key == b:
-                            held = (key, found)
-                    else:
-                        found = held[1]
-                    sets.append(found)
-                both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-                if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both):
+            for i, (one, other) in enumerate(zip(a, b, strict=True)):
+                both = len(np.intersect1d(sets[one], sets[other], assume_unique=True))
+                if 100 * both >= percent * (len(sets[one]) + len(sets[other]) - both):
                     kept.append(i)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
@@ -392,7 +461,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 def linked_within(groups: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links ``a, b`` between different roots: all pairs of each group ``grp, key, root`` are held
     against each other on their full shingle sets, and of the links those that join parts not
-    joined yet are returned, less than the group has members. ``texts``: key, packed."""
+    joined yet are returned, as their ends' roots, less than the group has. ``texts``: key, packed."""
     rows = (groups.join(texts, "key").select("grp", "key", "root", "packed").repartition("grp").sortWithinPartitions("grp", "key"))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -401,7 +470,7 @@ def linked_within(groups: DataFrame, texts: DataFrame, percent: int = PERCENT) -
         def sets_of(packed: list[bytes]) -> list[np.ndarray]:
             return list(shingle_sets(pa.array([unpack.decompress(p).decode() for p in packed], pa.large_string())))
 
-        for keys, owners, packed in by_group(batches):
+        for _, owners, packed in by_group(batches):
             _, part = np.unique(np.array(owners, object), return_inverse=True)
             sizes = np.cumsum([zstandard.frame_content_size(p) for p in packed]) // SLICE_BYTES
             cuts = np.flatnonzero(np.diff(sizes, prepend=-1, append=-1)).tolist()
@@ -415,7 +484,7 @@ def linked_within(groups: DataFrame, texts: DataFrame, percent: int = PERCENT) -
                     for i, like in enumerate(similar(own, others, percent), start):
                         while (new := np.flatnonzero(like & (part[first:last] != part[i]))).size:
                             j = first + int(new[0])
-                            yield min(keys[i], keys[j]), max(keys[i], keys[j])
+                            yield min(owners[i], owners[j]), max(owners[i], owners[j])
                             part[part == part[j]] = part[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,23 +494,81 @@ def linked_within(groups: DataFrame, texts: DataFrame, percent: int = PERCENT) -
 
 
 def similar(own: list[np.ndarray], others: list[np.ndarray], percent: int) -> Iterator[np.ndarray]:
-    """For each set of ``own``, which of ``others`` (none is empty) are similar enough."""
+    """For each set of ``own``, which of ``others`` (none is empty) are similar enough; where both are
+    one list, of the others than itself."""
     sizes = np.array([len(x) for x in others])
-    starts = np.cumsum(sizes) - sizes
-    values, codes = np.unique(np.concatenate(others), return_inverse=True)
-    for one in own:
-        at = np.searchsorted(values, one)
-        at[at == len(values)] = 0
-        found = np.zeros(len(values), bool)
-        found[at[values[at] == one]] = True
-        both = np.add.reduceat(found[codes], starts, dtype=np.int64)
+    for one, both in zip(own, shared(own, others), strict=True):
         yield 100 * both >= percent * (len(one) + sizes - both)
 
 
+def shared(own: list[np.ndarray], others: list[np.ndarray], wide: int = 4096) -> np.ndarray:
+    """How many values each set of ``own`` has in common with each of ``others``, by products of 0/1
+    matrices, ``wide`` of the values that both sides have at a time. Where both are one list, values
+    of one set only are left out, so what a set has in common with itself is not counted whole."""
+    values, codes = np.unique(np.concatenate(others), return_inverse=True)
+    flat = np.concatenate(own)
+    at = np.searchsorted(values, flat)
+    at[at == len(values)] = 0
+    found = np.zeros(len(values), bool)
+    found[at[values[at] == flat]] = True
+    if own is others:
+        found &= np.bincount(codes, minlength=len(values)) > 1
+    place = np.cumsum(found) - 1
+
+    def dealt(sets: list[np.ndarray], at: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, columns = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[here], place[at[here]]
+        order = np.argsort(columns // wide, kind="stable")
+        rows, columns = rows[order], columns[order]
+        return rows, columns % wide, np.searchsorted(columns // wide, np.arange(-(-int(found.sum()) // wide) + 1))
+
+    one, other = dealt(own, at, found[at] & (values[at] == flat)), dealt(others, codes, found[codes])
+    out = np.zeros((len(own), len(others)), np.int64)
+    for n in range(len(one[2]) - 1):
+        sides = []
+        for sets, (rows, columns, cuts) in ((own, one), (others, other)):
+            side = np.zeros((len(sets), wide), np.float32)
+            side[rows[cuts[n]:cuts[n + 1]], columns[cuts[n]:cuts[n + 1]]] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+ROOT = pa.schema([("key", pa.binary()), ("root", pa.binary())])
+
+
+def joined_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, root`` of the ends of all edges ``u, v`` of the batches."""
+    above: dict[bytes, bytes] = {}
+
+    def top(key: bytes) -> bytes:
+        at = key
+        while above.setdefault(at, at) != at:
+            at = above[at]
+        while above[key] != at:
+            above[key], key = at, above[key]
+        return at
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            least, other = sorted((top(u), top(v)))
+            above[other] = least
+    yield from batches_of(((key, top(key)) for key in above), ROOT)
+
+
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, root`` after links ``a, b`` between roots (or keys that are in no component yet)."""
+    now = staged(components(links), "joined")
+    known = roots.join(now.select(F.col("key").alias("root"), F.col("root").alias("now")), "root", "left")
+    fresh = now.join(roots.select("key"), "key", "left_anti")
+    return staged(known.select("key", F.coalesce("now", "root").alias("root")).unionByName(fresh), "roots")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``key, root`` (the least key of its component) of every end of a link ``a, b``, by
-    alternating large-star and small-star steps."""
+    """``key, root`` (the least key of its component) of every end of a link ``a, b``: up to
+    FEW_LINKS links by one task, more by alternating large-star and small-star steps."""
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if edges.count() <= FEW_LINKS:
+        return edges.coalesce(1).mapInArrow(joined_by_one, "key binary, root binary")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -486,6 +613,8 @@ def packed_texts(rows: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFr
 def link_classes(classes: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``key, root`` of the classes that have links."""
     leaves, dense = tree_groups(classes)
+    if dense is not None:
+        dense = merged(dense)
     groups = leaves if dense is None else staged(leaves.unionByName(blocks(dense)), "groups")
     tried = staged(candidate_pairs(groups, classes), "pairs")
     # a member that has a candidate in its group is an end of the group's forest, so later steps need
@@ -497,20 +626,20 @@ def link_classes(classes: DataFrame, rows: DataFrame, percent: int = PERCENT) ->
 
     def join_more(groups: DataFrame) -> None:
         """Decide what is left between components, and join those that it links."""
-        nonlocal links, roots
+        nonlocal roots
         late = staged(undecided(groups, classes, roots), "undecided")
         if not late.take(1):
             return
         more = staged(linked_within(late, texts, percent), "links")
         if more.take(1):
-            links = links.unionByName(more)
-            roots = staged(components(links), "roots")
+            roots = joined_roots(roots, more)
 
     join_more(groups)
     if dense is not None:
-        # members of dense nodes outside the component of the node's first pivot meet all members
+        # members of dense nodes outside the node's largest component meet all members
         own = dense.join(roots, "key", "left").select("node", "key", F.coalesce("root", "key").alias("root"))
-        main = own.groupBy("node").agg(F.min_by("root", F.xxhash64("node", "key")).alias("main"))
+        main = (own.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
+                .groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
         out = staged(own.join(main, "node").filter("root != main").select("node", "key"), "outside")
         if out.take(1):
             join_more(staged(block_pairs(dense.join(out.select("node").distinct(), "node", "left_semi"), out), "groups"))

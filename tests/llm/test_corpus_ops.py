@@ -311,6 +311,98 @@ def test_components_of_a_long_chain(spark):
     assert got == {bytes([i]): b"\x00" for i in range(61)} | {b"\xf0": b"\xf0", b"\xf1": b"\xf0"}
 
 
+def group_of_edits(n, most, seed=6):
+    """Texts that are one text with up to ``most`` of its 150 words replaced: about half are linked with others."""
+    rng = random.Random(seed)
+    pairs = []
+    for i in range(n):
+        own = [f"b{j}" for j in range(150)]
+        for j in rng.sample(range(150), rng.randint(0, most)):
+            own[j] = f"n{rng.randrange(30)}"
+        pairs.append((i, " ".join(own)))
+    return pairs
+
+
+def test_a_group_of_like_texts_is_compared_a_few_times(spark, monkeypatch):
+    """Not once for each node that it makes in the trees; few tables are written, whatever the depth."""
+    monkeypatch.setattr(near_dedup, "LEAF", 32)
+    written = []
+
+    def counted(df, tag):
+        out = common.staged(df, tag)
+        written.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", counted)
+    pairs = group_of_edits(160, 9)
+    got = linked(rows(spark, pairs))
+    assert got == slow_components(pairs)
+    sizes = {}
+    for _, _, component in got:
+        sizes[component] = sizes.get(component, 0) + 1
+    alone = len(pairs) - max(sizes.values())
+    assert 40 <= alone <= 120
+    assert sum(n for tag, n in written if tag == "outside") <= 6 * alone
+    assert len(written) <= 30
+
+
+def test_nodes_of_one_hub_are_one(spark):
+    """Members of like nodes meet in one node, those of other nodes stay apart; every pair still meets."""
+    nodes = {n: {k for k in range(100) if (k * 7 + n) % 10} for n in range(20)} | {50: set(range(200, 260))}
+    dense = spark.createDataFrame([(n, len(own), bytearray([k >> 8, k & 255])) for n, own in nodes.items() for k in own], "node long, size long, key binary")
+    got = {}
+    for r in near_dedup.merged(dense).collect():
+        got.setdefault((r["node"], r["size"]), set()).add(int.from_bytes(r["key"], "big"))
+    assert len(got) <= 6 and all(size == len(own) for (_, size), own in got.items())
+    assert all(any(own <= whole for whole in got.values()) for own in nodes.values())
+    assert set(range(200, 260)) in got.values()
+
+
+def test_nodes_are_branched_alike_in_tasks_and_in_spark(spark, monkeypatch):
+    """Both ways, and both ways of joining links, give the same components."""
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    pairs = group_of_edits(70, 9) + [(1000 + i, t.replace("b", "c")) for i, t in group_of_edits(50, 3, 7)]
+    want = slow_components(pairs)
+    assert linked(rows(spark, pairs)) == want
+    monkeypatch.setattr(near_dedup, "SUBTREE", 0)
+    monkeypatch.setattr(near_dedup, "FEW_LINKS", 0)
+    assert linked(rows(spark, pairs)) == want
+
+
+def test_leaves_of_a_subtree_hold_like_pairs(monkeypatch):
+    """Members with the same tokens share every leaf or dense node; leaves are small, and none comes twice."""
+    monkeypatch.setattr(near_dedup, "LEAF", 8)
+    rng = np.random.default_rng(3)
+    tokens = np.repeat(rng.integers(0, 3, (100, near_dedup.TOKENS)), 2, axis=0)
+    marks = rng.integers(0, 256, (200, near_dedup.SKETCH)).astype(np.uint8)
+    found = [own.tolist() for _, own in near_dedup.ends_of_tree(5, 1, False, 1, tokens, marks)]
+    assert len({tuple(x) for x in found}) == len(found) and max(map(len, found)) <= 8
+    assert all((i ^ 1) in own for own in found for i in own)
+    assert {i for own in found for i in own} == set(range(200))
+
+
+def test_counts_of_shared_values():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64) << np.uint64(55 - n % 5)) for n in range(1, 40)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets[10:]] for a in sets[:30]])
+    for wide in (7, 4096):
+        assert (near_dedup.shared(sets[:30], sets[10:], wide) == want).all()
+    both = near_dedup.shared(sets, sets, 7)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(39) for j in range(39) if i != j)
+    assert (near_dedup.shared(sets[:1], [np.array([9], np.uint64)]) == 0).all()
+
+
+def test_components_of_more_links(spark, monkeypatch):
+    """Links between roots join what they stand for, by one task and by steps."""
+    for few in (near_dedup.FEW_LINKS, 0):
+        monkeypatch.setattr(near_dedup, "FEW_LINKS", few)
+        links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in (1, 2, 7, 20, 30)], "a binary, b binary")
+        roots = common.staged(near_dedup.components(links), "roots")
+        more = spark.createDataFrame([(b"\x01", b"\x07"), (b"\x00", b"\x07"), (b"\x40", b"\x1e")], "a binary, b binary")
+        got = {r["key"][0]: r["root"][0] for r in near_dedup.joined_roots(roots, more).collect()}
+        assert got == dict.fromkeys((0, 1, 2, 3, 7, 8), 0) | {20: 20, 21: 20} | dict.fromkeys((30, 31, 64), 30)
+
+
 # ---- pipeline ----------------------------------------------------------------------
 def test_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
